@@ -122,8 +122,8 @@ def turns_long(
 ) -> DataFrame:
     """Per-turn rule lists from nested lists: one row per turn, 0-based.
 
-    A turn without an id list has none; a turn without an argument list gets
-    one empty object per rule.
+    A turn without an id list has none. A turn past the end of the argument
+    lists gets one empty object per rule, a NULL argument list one in all.
     """
     rows = samples.select(
         *keys,
@@ -133,13 +133,16 @@ def turns_long(
     )
     turn_ids = F.coalesce(F.get("_ids", F.col("turn")), F.array().cast(NO_IDS))
     blanks = F.array_repeat(F.lit("{}"), F.size(turn_ids))
-    turn_args = F.when(F.col("turn") < F.size("_args"), F.get("_args", F.col("turn")))
+    one_blank = F.array(F.lit("{}"))
+    turn_args = F.when(
+        F.col("turn") < F.size("_args"), F.coalesce(F.get("_args", F.col("turn")), one_blank)
+    ).otherwise(blanks)
     return rows.select(
         *keys,
         "turn",
         "prompt",
         turn_ids.alias("instruction_id_list"),
-        F.coalesce(turn_args, blanks).alias("kwargs"),
+        turn_args.alias("kwargs"),
     )
 
 
