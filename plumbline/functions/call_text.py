@@ -75,7 +75,7 @@ def _canonical(value: Any) -> list:
     if isinstance(value, list):
         return ["l", [_canonical(v) for v in value]]
     if isinstance(value, dict):
-        return ["d", [[str(k), _canonical(v)] for k, v in sorted(value.items(), key=str)]]
+        return ["d", [[str(k), _canonical(v)] for k, v in sorted(value.items(), key=lambda m: str(m[0]))]]
     return ["o", f"{type(value).__name__}:{value!r}"]
 
 
