@@ -26,33 +26,18 @@ from pyspark.sql import types as T
 from plumbline.functions import jsontext
 from plumbline.functions.text import FENCE, WS, first_group, strip
 
-CALLS = T.StructType.fromDDL(
-    "failed boolean, "
-    "calls array<struct<name:string,args:array<struct<k:string,t:string,v:string>>>>"
+_ENTRY = T.StructType([T.StructField(n, T.StringType()) for n in ("k", "t", "v")])
+_CALL = T.StructType(
+    [T.StructField("name", T.StringType()), T.StructField("args", T.ArrayType(_ENTRY))]
 )
-_NO_ARGS = "array<struct<k:string,t:string,v:string>>"
-_NO_CALLS = "array<struct<name:string,args:array<struct<k:string,t:string,v:string>>>>"
-_ARROW_CALLS = pa.struct(
-    [
-        ("failed", pa.bool_()),
-        (
-            "calls",
-            pa.list_(
-                pa.struct(
-                    [
-                        ("name", pa.string()),
-                        (
-                            "args",
-                            pa.list_(
-                                pa.struct([("k", pa.string()), ("t", pa.string()), ("v", pa.string())])
-                            ),
-                        ),
-                    ]
-                )
-            ),
-        ),
-    ]
+CALLS = T.StructType(
+    [T.StructField("failed", T.BooleanType()), T.StructField("calls", T.ArrayType(_CALL))]
 )
+_NO_ARGS = "array<struct<k:string,t:string,v:string>>"
+_NO_CALLS = f"array<struct<name:string,args:{_NO_ARGS}>>"
+_ARROW_ENTRY = pa.struct([(n, pa.string()) for n in ("k", "t", "v")])
+_ARROW_CALL = pa.struct([("name", pa.string()), ("args", pa.list_(_ARROW_ENTRY))])
+_ARROW_CALLS = pa.struct([("failed", pa.bool_()), ("calls", pa.list_(_ARROW_CALL))])
 
 # Marks arguments that are no object: the key of their single entry.
 WHOLE = "\x00"
@@ -234,7 +219,7 @@ def with_calls(table: DataFrame, text: str, name: str, *, quoted: bool = False)
     needs_python = (readable & ~done) | (~readable & syntax)
     staged = staged.withColumn("_ask", F.when(needs_python, F.col("_text")))
     told = _read_calls(F.col("_ask"), F.when(F.col("_ask").isNotNull(), F.col("_block")))
-    native = F.transform("_native", lambda c: F.struct(c.name.alias("name"), c.args.alias("args")))
+    native = F.transform("_native", lambda c: F.struct(c.getField("name").alias("name"), c.args.alias("args")))
     plain = F.struct(
         F.lit(False).alias("failed"),
         F.coalesce(native, F.array().cast(_NO_CALLS)).alias("calls"),
@@ -257,5 +242,5 @@ def same_calls(predicted: Column, expected: Column) -> Column:
     """
     said, wanted = predicted.getField("calls"), expected.getField("calls")
     readable = ~predicted.getField("failed") & ~expected.getField("failed")
-    objects = ~F.exists(F.concat(said, wanted), lambda c: c.name.isNull())
+    objects = ~F.exists(F.concat(said, wanted), lambda c: c.getField("name").isNull())
     return readable & objects & (F.array_sort(said) == F.array_sort(wanted))

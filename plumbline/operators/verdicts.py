@@ -37,7 +37,8 @@ def score_programs(answers: DataFrame, runs: DataFrame, key: str = "sample_id")
     """
     logged = runs.select(key, "exit_code", F.substring("output", 1, OUTPUT_ECHO).alias("output"))
     correct = F.coalesce(F.col("exit_code") == 0, F.lit(False))
-    return answers.join(logged, key, "left").select(
+    programs_only = answers.select(key, "completion", "entry_point")
+    return programs_only.join(logged, key, "left").select(
         key,
         correct.alias("correct"),
         correct.cast("double").alias("score"),

@@ -25,7 +25,8 @@ def run_label(suite: Column, model: Column) -> Column:
 
 
 def _four(value: Column) -> Column:
-    return F.format_string("%.4f", value)
+    # The pattern form rounds the exact binary value, half to even, like C does.
+    return F.call_function("format_number", value, F.lit("0.0000"))
 
 
 def comparison_rows(summaries: DataFrame) -> DataFrame:
