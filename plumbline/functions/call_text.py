@@ -140,49 +140,95 @@ def _read_calls(texts: pa.Array, blocks: pa.Array) -> pa.Array:
     return pa.array(rows, type=_ARROW_CALLS)
 
 
-_SCALAR = ("BIGINT", "BOOLEAN", "VOID")
-
-
-def _native_entry(key: Column, value: Column) -> Column:
-    """Entry of a scalar member; its kind is NULL when Python has to look."""
-    kind = jsontext.kind(value)
-    text = F.try_variant_get(value, "$", "string")
-    inner = jsontext.parse(text)
-    resolved = F.when(kind == "STRING", jsontext.kind(inner)).otherwise(kind)
-    odd_number = F.rlike(text, F.lit("NaN|Infinity"))
-    number = F.when(kind == "STRING", F.try_variant_get(inner, "$", "bigint")).otherwise(
-        F.try_variant_get(value, "$", "bigint")
+def _text_of(value: Column) -> Column:
+    """Content of a VARIANT string, NULL for every other kind."""
+    return F.when(jsontext.kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _native_entries(entries: Column) -> Column:
+    """Entries of scalar members; the kind is NULL where Python has to look.
+
+    Written as a chain of transforms, so that each step is computed once.
+    """
+    read = F.transform(
+        entries,
+        lambda e: F.struct(e.key.alias("k"), e.value.alias("value"), _text_of(e.value).alias("text")),
+    )
+    resolved = F.transform(
+        read,
+        lambda e: F.struct(
+            e.k.alias("k"),
+            e.text.alias("text"),
+            F.when(e.text.isNull(), e.value).otherwise(jsontext.parse(e.text)).alias("value"),
+        ),
+    )
+    typed = F.transform(
+        resolved,
+        lambda e: F.struct(
+            e.k.alias("k"), e.text.alias("text"), e.value.alias("value"), jsontext.kind(e.value).alias("kind")
+        ),
     )
-    tag = F.when(resolved.isin("BIGINT", "BOOLEAN"), "n").when(resolved == "VOID", "z")
-    tag = tag.when((kind == "STRING") & inner.isNull() & ~odd_number, "s")
-    shown = F.when(resolved.isin("BIGINT", "BOOLEAN"), number.cast("string")).when(
-        resolved == "VOID", ""
+
+    def finish(e: Column) -> Column:
+        whole = e.kind.isin("BIGINT", "BOOLEAN")
+        plain_text = e.kind.isNull() & ~F.rlike(e.text, F.lit("NaN|Infinity"))
+        tag = F.when(whole, "n").when(e.kind == "VOID", "z").when(plain_text, "s")
+        shown = F.when(whole, F.try_variant_get(e.value, "$", "bigint").cast("string")).when(
+            e.kind == "VOID", ""
+        )
+        return F.struct(
+            e.k.alias("k"), tag.alias("t"), shown.otherwise(strip(e.text)).alias("v")
+        )
+
+    return F.array_sort(F.transform(typed, finish))
+
+
+def _native_calls(items: Column) -> Column:
+    """(name, args, done) per item; ``done`` is false where Python has to look."""
+    members = F.transform(items, jsontext.as_members)
+    fields = F.transform(
+        members,
+        lambda m: F.struct(
+            m.isNull().alias("bad"),
+            F.try_element_at(m, F.lit("name")).alias("called"),
+            F.try_element_at(m, F.lit("arguments")).alias("given"),
+        ),
     )
-    shown = shown.otherwise(strip(text))
-    return F.struct(key.alias("k"), tag.alias("t"), shown.alias("v"))
-
-
-def _native_call(item: Column) -> Column:
-    """(name, args, done); ``done`` is false when Python has to look."""
-    members = jsontext.as_members(item)
-    name = F.try_element_at(members, F.lit("name"))
-    name_kind = jsontext.kind(name)
-    arguments = F.try_element_at(members, F.lit("arguments"))
-    inner = jsontext.parse(F.try_variant_get(arguments, "$", "string"))
-    held = F.when(jsontext.kind(arguments) == "STRING", jsontext.as_members(inner)).otherwise(
-        jsontext.as_members(arguments)
+    opened = F.transform(
+        fields,
+        lambda f: F.struct(
+            f.bad.alias("bad"),
+            f.called.alias("called"),
+            f.given.isNull().alias("bare"),
+            jsontext.as_members(
+                F.coalesce(jsontext.parse(_text_of(f.given)), f.given)
+            ).alias("held"),
+        ),
     )
-    listed = F.transform(F.map_entries(held), lambda e: _native_entry(e.key, e.value))
     none = F.array().cast(_NO_ARGS)
-    entries = F.when(members.isNull() | arguments.isNull(), none).otherwise(listed)
-    done = (name.isNull() | (name_kind == "STRING")) & F.forall(entries, lambda e: e.t.isNotNull())
-    shown = F.when(members.isNull(), F.lit(None)).otherwise(
-        F.coalesce(F.try_variant_get(name, "$", "string"), F.lit(""))
+    listed = F.transform(
+        opened,
+        lambda o: F.struct(
+            o.bad.alias("bad"),
+            o.called.alias("called"),
+            F.when(o.bad | o.bare, none)
+            .otherwise(_native_entries(F.map_entries(o.held)))
+            .alias("args"),
+        ),
     )
-    return F.struct(
-        shown.cast("string").alias("name"),
-        F.array_sort(entries).alias("args"),
-        F.coalesce(members.isNull() | done, F.lit(False)).alias("done"),
+    return F.transform(
+        listed,
+        lambda c: F.struct(
+            F.when(~c.bad, F.coalesce(_text_of(c.called), F.lit(""))).alias("name"),
+            c.args.alias("args"),
+            (
+                c.bad
+                | (
+                    (c.called.isNull() | _text_of(c.called).isNotNull())
+                    & F.coalesce(F.forall(c.args, lambda e: e.t.isNotNull()), F.lit(False))
+                )
+            ).alias("done"),
+        ),
     )
 
 
@@ -212,7 +258,7 @@ def with_calls(table: DataFrame, text: str, name: str, *, quoted: bool = False)
     items = F.when(
         jsontext.is_array(F.col("_value")), jsontext.as_items(F.col("_value"))
     ).when(jsontext.is_object(F.col("_value")), F.array("_value"))
-    staged = staged.withColumn("_native", F.transform(items, _native_call))
+    staged = staged.withColumn("_native", _native_calls(items))
     readable = F.col("_native").isNotNull()
     done = F.forall("_native", lambda c: c.done)
     syntax = F.rlike("_text", F.lit(r"\(|NaN|Infinity"))

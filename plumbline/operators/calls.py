@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import jsontext
 from plumbline.functions.call_text import same_calls, with_calls
+from plumbline.operators.rows import exploded
 
 # Echo length, most turns of an agent run.
 ECHO = 300
@@ -64,7 +65,7 @@ def score_calls(
 def calls_long(table: DataFrame, key: str, text: str = "response") -> DataFrame:
     """One row per call read from ``text``: ``pos, name`` and its arguments."""
     rows = with_calls(table.select(key, text), text, "_calls")
-    rows = rows.select(key, F.posexplode("_calls.calls").alias("pos", "c"))
+    rows = exploded(rows, key, array="_calls.calls", item="c")
     return rows.select(key, "pos", F.col("c.name").alias("name"), F.col("c.args").alias("args"))
 
 
@@ -88,9 +89,7 @@ def actions_long(turns: DataFrame, key: str = "sample_id") -> DataFrame:
         .select(key, "turn", "tool_calls", made.alias("_made"))
         .withColumn("_before", F.coalesce(F.sum("_made").over(window), F.lit(0)))
     )
-    rows = counted.select(
-        key, "turn", "_before", F.posexplode("tool_calls").alias("pos", "call")
-    )
+    rows = exploded(counted, key, "turn", "_before", array="tool_calls", item="call")
     arguments = F.to_json(jsontext.parse_or_empty_object(F.col("call.arguments")))
     return rows.select(
         key,
@@ -105,8 +104,8 @@ def expected_actions_long(
     samples: DataFrame, key: str = "sample_id", text: str = "expected_actions"
 ) -> DataFrame:
     """Expected actions: ``idx, name, arguments``; text that is no list has none."""
-    rows = samples.select(
-        key, F.posexplode(jsontext.as_items(jsontext.parse(F.col(text)))).alias("idx", "item")
+    rows = exploded(
+        samples, key, array=jsontext.as_items(jsontext.parse(F.col(text))), pos="idx"
     )
     return rows.select(
         key,

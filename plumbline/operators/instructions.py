@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import jsontext, rules
+from plumbline.operators.rows import exploded
 
 NO_IDS = "array<string>"
 
@@ -96,7 +97,7 @@ def score_rules(responses: DataFrame, **options) -> DataFrame:
 
 def outcomes_long(checked: DataFrame, *keys: str) -> DataFrame:
     """One row per (response, rule): ``pos, instruction_id, pass``."""
-    rows = checked.select(*keys, F.posexplode("per_instruction").alias("pos", "r"))
+    rows = exploded(checked, *keys, array="per_instruction", item="r")
     return rows.select(*keys, "pos", F.col("r.instruction_id"), F.col("r.pass"))
 
 
@@ -125,11 +126,14 @@ def turns_long(
     A turn without an id list has none. A turn past the end of the argument
     lists gets one empty object per rule, a NULL argument list one in all.
     """
-    rows = samples.select(
+    rows = exploded(
+        samples,
         *keys,
-        F.posexplode(turns).alias("turn", "prompt"),
         F.col(ids).alias("_ids"),
         F.col(arguments).alias("_args"),
+        array=turns,
+        item="prompt",
+        pos="turn",
     )
     turn_ids = F.coalesce(F.get("_ids", F.col("turn")), F.array().cast(NO_IDS))
     blanks = F.array_repeat(F.lit("{}"), F.size(turn_ids))

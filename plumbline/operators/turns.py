@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.prompts import MESSAGES
+from plumbline.operators.rows import exploded
 
 BLOCK = 4_096
 
@@ -60,7 +61,9 @@ def request_histories(samples: DataFrame, key: str = "sample_id") -> DataFrame:
     """
     size = F.size("turns")
     numbers = F.when(size > 0, F.sequence(F.lit(0), size - 1))
-    return samples.select(key, "turns", "responses", F.explode(numbers).alias("turn")).select(
+    return exploded(
+        samples, key, "turns", "responses", array=numbers, item="turn", pos="_pos"
+    ).select(
         key, "turn", _history(F.col("turn")).alias("messages")
     )
 

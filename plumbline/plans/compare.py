@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.rows import exploded
+
 # Rows of the comparison and where they come from.
 PERFORMANCE_ROWS = [
     ("TTFT Mean (s)", "ttft_mean"),
@@ -66,7 +68,7 @@ def comparison_rows(summaries: DataFrame) -> DataFrame:
             for pos, (title, value) in enumerate(lines, start=1)
         ]
     )
-    return summaries.select("label", F.explode(stacked).alias("r")).select("label", "r.*")
+    return exploded(summaries, "label", array=stacked, item="r", pos="_pos").select("label", "r.*")
 
 
 def compare_runs(summaries: DataFrame, labels: Sequence[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import jsontext
 from plumbline.functions.choice import LETTERS
 from plumbline.operators import prompts
+from plumbline.operators.rows import exploded
 from plumbline.operators.ordinals import first_rows, with_ordinal
 
 TEXTS = "array<string>"
@@ -236,7 +237,7 @@ def tests_long(samples: DataFrame, key: str = "sample_id") -> DataFrame:
         F.transform("fail_to_pass", lambda t, i: _test("f2p", i, t)),
         F.transform("pass_to_pass", lambda t, i: _test("p2p", i, t)),
     )
-    return samples.select(key, F.explode(entries).alias("t")).select(key, "t.*")
+    return exploded(samples, key, array=entries, item="t", pos="_pos").select(key, "t.*")
 
 
 def _test(kind: str, pos: Column, test_id: Column) -> Column:

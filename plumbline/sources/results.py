@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.rows import exploded
+
 # Fields of an exported sample's metrics, layout of a document.
 METRIC_FIELDS = (
     "ttft_seconds",
@@ -109,12 +111,14 @@ def read_results(
     )
     good = documents.filter(F.col("_bad").isNull())
     runs = good.drop("_bad", "sample_results")
-    samples = good.select(
+    samples = exploded(
+        good,
         F.col("benchmark").alias("suite"),
         "model",
         "timestamp",
         "file",
-        F.explode("sample_results").alias("s"),
+        array="sample_results",
+        item="s",
     ).select("suite", "model", "timestamp", "file", "s.*")
     bad = documents.filter(F.col("_bad").isNotNull()).select("file", "_bad")
     return runs, samples, bad

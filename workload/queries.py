@@ -27,6 +27,7 @@ from plumbline.operators import (
     verdicts,
 )
 from plumbline.operators.ordinals import first_rows, with_ordinal
+from plumbline.operators.rows import exploded
 from plumbline.plans import compare
 from plumbline.plans.suites import Suite, get_suite, run_summary, score_suite
 from plumbline.session import shared_path
@@ -369,7 +370,7 @@ def samples_calls(spark, sf_dir):
     '{{"type":"function","function":' || json_extract(function, '$[0]')::varchar || '}}' AS tool FROM {CALLS}""",
 )
 def tool_envelopes(spark, sf_dir):
-    return _call_samples(spark, sf_dir).select("sample_id", F.explode("tools").alias("tool"))
+    return exploded(_call_samples(spark, sf_dir), "sample_id", array="tools", item="tool").drop("pos")
 
 
 @query(
@@ -566,7 +567,7 @@ def score_retrieval(spark, sf_dir):
 )
 def extract_set(spark, sf_dir):
     items = answer_sets.extract_set(F.col("response"))
-    return frame(spark, sf_dir, fx.set_answers).select("doc_id", F.explode(items).alias("item"))
+    return exploded(frame(spark, sf_dir, fx.set_answers), "doc_id", array=items).drop("pos")
 
 
 @query(
@@ -623,7 +624,7 @@ def instructions_long(spark, sf_dir):
     raw = frame(spark, sf_dir, fx.rule_lists).withColumnRenamed("response", "prompt")
     samples = adapters.instruction_samples(raw, "doc_id")
     pairs = instructions.rule_list(F.col("instruction_id_list"), F.col("kwargs"))
-    rows = samples.select("sample_id", F.posexplode(pairs).alias("pos", "r"))
+    rows = exploded(samples, "sample_id", array=pairs, item="r")
     return rows.select(
         "sample_id",
         F.col("pos").cast("bigint").alias("pos"),
@@ -837,7 +838,7 @@ def canonical_args(spark, sf_dir):
 
 def _entries(spark, sf_dir, fixture):
     rows = calls.calls_long(frame(spark, sf_dir, fixture), "event_id")
-    return rows.select("event_id", F.explode("args").alias("e")).select(
+    return exploded(rows, "event_id", array="args", item="e").select(
         "event_id", F.col("e.k").alias("key"), F.col("e.t").alias("kind"), F.col("e.v").alias("value")
     )
 
