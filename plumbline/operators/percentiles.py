@@ -110,13 +110,17 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 def _interpolated(prefix: str, share: int) -> Column:
     mine = F.col("_measure") == prefix
-    position = (F.col("_n") - 1) * share / 100
+    position = (F.col("_n") - 1) * F.lit(share / 100)
     below, above = (
         F.min(F.when(mine & (F.col("_reached") > rank), F.struct("_anchor", "_gap")))
         for rank in (F.floor(position), F.ceil(position))
     )
     weight = F.max(F.when(mine, position - F.floor(position)))
-    value = below["_anchor"] + (above["_anchor"] - below["_anchor"]) * weight
+    low, high = below["_anchor"], above["_anchor"]
+    # Measured from the nearer end, which keeps the last digit of the result.
+    value = F.when(weight < 0.5, low + (high - low) * weight).otherwise(
+        high - (high - low) * (1 - weight)
+    )
     missed = below["_gap"] | above["_gap"]
     return F.when(
         missed, F.raise_error(F.lit("a rank fell outside its bracket; raise the accuracy"))

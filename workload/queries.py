@@ -227,7 +227,7 @@ def samples_set(spark, sf_dir):
 @query(
     "samples_retrieval",
     f"""SELECT 'mrcr_' || {ordinal('doc_id')} AS sample_id, expected, context_length,
-    CASE WHEN image IS NULL THEN 2 WHEN text = '' THEN 0 ELSE 1 END AS num_messages, text AS first_content
+    (CASE WHEN image IS NULL THEN 2 WHEN text = '' THEN 0 ELSE 1 END)::BIGINT AS num_messages, text AS first_content
     FROM {ANSWERS}""",
 )
 def samples_retrieval(spark, sf_dir):
@@ -298,7 +298,7 @@ def samples_terminal(spark, sf_dir):
 
 @query(
     "prompt_terminal",
-    f"""SELECT 'terminal_bench_' || {ordinal('conv_id')} AS sample_id, 2 AS num_messages,
+    f"""SELECT 'terminal_bench_' || {ordinal('conv_id')} AS sample_id, 2::BIGINT AS num_messages,
     'Task: ' || instruction || chr(10) || chr(10)
     || 'You have access to a bash shell. What command should I run?' AS prompt FROM {TASKS}""",
 )
@@ -353,7 +353,7 @@ def _call_samples(spark, sf_dir):
 @query(
     "samples_calls",
     f"""SELECT 'bfcl_' || {ordinal('event_id')} AS sample_id, question, answer AS expected_raw,
-    1 AS num_tools FROM {CALLS}""",
+    1::BIGINT AS num_tools FROM {CALLS}""",
 )
 def samples_calls(spark, sf_dir):
     return _call_samples(spark, sf_dir).select(
@@ -375,7 +375,7 @@ def tool_envelopes(spark, sf_dir):
 
 @query(
     "tool_envelopes_typed",
-    f"""SELECT 'tau_bench_' || {ordinal('conv_id')} AS sample_id, instruction, 2 AS num_tools,
+    f"""SELECT 'tau_bench_' || {ordinal('conv_id')} AS sample_id, instruction, 2::BIGINT AS num_tools,
     '{{"type":"function","function":{{"name":"lookup"}}}}' AS first_tool,
     '{{"function":{{"name":"update"}},"type":"function"}}' AS second_tool FROM {TASKS}""",
 )
@@ -398,7 +398,7 @@ _SYSTEM = (
 
 @query(
     "messages_with_system",
-    f"""SELECT 'mmlu_' || {ordinal('event_id')} AS sample_id, 2 AS num_messages, 'system' AS role,
+    f"""SELECT 'mmlu_' || {ordinal('event_id')} AS sample_id, 2::BIGINT AS num_messages, 'system' AS role,
     '{_SYSTEM}' AS system_content, {_PROMPT4} AS user_content FROM {CHOICES}""",
 )
 def messages_with_system(spark, sf_dir):
@@ -419,8 +419,8 @@ def messages_with_system(spark, sf_dir):
 
 @query(
     "request_bodies",
-    f"""SELECT 'mmlu_' || {ordinal('event_id')} AS sample_id, 32 AS request_max_tokens, 32 AS body_max_tokens,
-    'org/m' AS model, 7 AS seed, false AS has_temperature, {_PROMPT4} AS content FROM {CHOICES}""",
+    f"""SELECT 'mmlu_' || {ordinal('event_id')} AS sample_id, 32::BIGINT AS request_max_tokens, 32::BIGINT AS body_max_tokens,
+    'org/m' AS model, 7::BIGINT AS seed, false AS has_temperature, {_PROMPT4} AS content FROM {CHOICES}""",
 )
 def request_bodies(spark, sf_dir):
     samples = adapters.choice4_samples(frame(spark, sf_dir, fx.choices), "event_id")
@@ -807,7 +807,7 @@ _FORM = "[json_extract_string(c, '$.name') || '|' || json_extract_string(c, '$.a
 
 @query(
     "parse_calls",
-    f"""SELECT event_id, pos, json_extract_string(c, '$.name') AS name, 1 AS num_args,
+    f"""SELECT event_id, pos, json_extract_string(c, '$.name') AS name, 1::BIGINT AS num_args,
     'k' AS key, json_extract_string(c, '$.arguments.k') AS value
     FROM (SELECT event_id, unnest(range(len(said))) AS pos, unnest(said) AS c FROM ({_PARSED}))""",
 )

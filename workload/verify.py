@@ -25,6 +25,25 @@ def plain(value):
     return value
 
 
+# Type names of the two engines that count as the same.
+SAME_TYPE = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+}
+
+
+def type_differences(frame, connection, sql: str) -> list[str]:
+    theirs = {r[0]: r[1] for r in connection.execute(f"DESCRIBE {sql}").fetchall()}
+    return [
+        f"{name}: {kind} / {theirs.get(name)}"
+        for name, kind in frame.dtypes
+        if SAME_TYPE.get(kind, kind) != theirs.get(name)
+    ]
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
@@ -65,6 +84,9 @@ def main() -> int:
         a, b = rows_of(frame.columns, mine), rows_of(columns, theirs)
         same = sorted(frame.columns) == sorted(columns) and a == b
         print(f"{'ok   ' if same else 'DIFF '} {name}: {len(a)} / {len(b)} rows, {took:.2f} s, sql {duck_took:.2f} s", flush=True)
+        for difference in type_differences(frame, connection, ORACLES[name]):
+            bad += 1
+            print("   type", difference)
         if not same:
             bad += 1
             print("   columns", sorted(frame.columns), sorted(columns))
