@@ -19,6 +19,7 @@ from plumbline.functions.text import (
     NOT_WS,
     SPACE,
     WS,
+    bound_to,
     first_group,
     nonblank_parts,
     strip,
@@ -223,12 +224,16 @@ def _paragraphs(text: Column, args: Args) -> Column:
 
 @register_rule("length_constraints:nth_paragraph_first_word")
 def _paragraph_start(text: Column, args: Args) -> Column:
-    paragraphs = nonblank_parts(text, "\n\n")
-    enough = F.size(paragraphs) >= args.number("num_paragraphs", 1)
     nth = args.integer("nth_paragraph", 1)
-    paragraph = F.when(nth >= 1, F.get(paragraphs, (nth - 1).cast("int")))
+    fewest = args.number("num_paragraphs", 1)
+    paragraph = bound_to(
+        nonblank_parts(text, "\n\n"),
+        lambda parts: F.when(
+            (F.size(parts) >= fewest) & (nth >= 1), F.get(parts, (nth - 1).cast("int"))
+        ),
+    )
     word = F.btrim(F.lower(F.regexp_extract(paragraph, f"^{NOT_WS}+", 0)), F.lit("*#_"))
-    return enough & (word == F.lower(args.text("first_word", "")))
+    return word == F.lower(args.text("first_word", ""))
 
 
 # --- content ----------------------------------------------------------------
@@ -273,9 +278,12 @@ def _sections(text: Column, args: Args) -> Column:
         F.replace(splitter, F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
         F.lit(f"\\E[{SPACE}]*\\p{{Nd}}*"),
     )
-    named = F.regexp_count(text, quoted)
     headers = pattern_count(text, f"(?md)^#+{WS}")
-    return F.when(named > 0, named).when(named == 0, headers) >= args.number("num_sections", 0)
+    found = bound_to(
+        F.regexp_count(text, quoted),
+        lambda named: F.when(named > 0, named).when(named == 0, headers),
+    )
+    return found >= args.number("num_sections", 0)
 
 
 @register_rule("detectable_format:json_format")

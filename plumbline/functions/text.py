@@ -6,6 +6,8 @@ pattern in the package is built from the classes below.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -41,6 +43,11 @@ def first_group(text: Column, pattern: str) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1))
 
 
+def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of non-blank characters."""
     return F.regexp_count(text, F.lit(f"{NOT_WS}+"))

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.operators.layout import spread
+
 FENCE = "```"
 
 
@@ -41,10 +43,28 @@ def literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def frame(spark: SparkSession, sf_dir: str, fixture, *args) -> DataFrame:
-    """The fixture as a DataFrame."""
+# Unique keys of the tables whose rows feed expensive work.
+SPREAD_KEYS = {"events": ["event_id"], "documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
+def frame(spark: SparkSession, sf_dir: str, fixture, *args, spread_out: bool = False) -> DataFrame:
+    """The fixture as a DataFrame.
+
+    ``spread_out`` is for expensive work within rows: a given table of fewer
+    splits than cores is spread first.
+    """
     dialect = Dialect(spark=True, sf_dir=sf_dir)
-    return spark.sql(dialect.tables(fixture(dialect, *args)))
+    text = fixture(dialect, *args)
+    if not spread_out:
+        return spark.sql(dialect.tables(text))
+    names = re.findall(r"@(\w+)", text)
+    sources = {
+        name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *SPREAD_KEYS[name])
+        for name in set(names)
+    }
+    # Braces of JSON texts are not placeholders.
+    escaped = text.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(r"@(\w+)", r"{\1}", escaped), **sources)
 
 
 def duck(fixture, *args) -> str:

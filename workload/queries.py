@@ -26,6 +26,7 @@ from plumbline.operators import (
     turns,
     verdicts,
 )
+from plumbline.operators.layout import spread
 from plumbline.operators.ordinals import first_rows, with_ordinal
 from plumbline.operators.rows import exploded
 from plumbline.plans import compare
@@ -149,7 +150,7 @@ _CONTENT = "CASE WHEN question_type = 'multiple_choice' THEN 'Answer with the le
 
 
 def _mixed(spark, sf_dir):
-    raw = frame(spark, sf_dir, fx.answers).select(
+    raw = frame(spark, sf_dir, fx.answers, spread_out=True).select(
         "doc_id", F.col("text").alias("question"), F.col("expected").alias("answer"), "question_type", "image"
     )
     return adapters.mixed_samples(raw, "doc_id")
@@ -175,7 +176,7 @@ def prompt_mixed(spark, sf_dir):
 
 
 def _long_context(spark, sf_dir):
-    raw = frame(spark, sf_dir, fx.answers).select(
+    raw = frame(spark, sf_dir, fx.answers, spread_out=True).select(
         "doc_id",
         F.col("text").alias("context"),
         F.concat(F.lit("Which language is it? "), F.col("doc_id")).alias("question"),
@@ -217,7 +218,7 @@ SETS = table(fx.set_answers)
     'List the parts: ' || response AS prompt FROM {SETS}""",
 )
 def samples_set(spark, sf_dir):
-    raw = frame(spark, sf_dir, fx.set_answers).select(
+    raw = frame(spark, sf_dir, fx.set_answers, spread_out=True).select(
         "doc_id", F.concat(F.lit("List the parts: "), "response").alias("question"), "expected"
     )
     rows = adapters.set_samples(raw, "doc_id")
@@ -231,7 +232,7 @@ def samples_set(spark, sf_dir):
     FROM {ANSWERS}""",
 )
 def samples_retrieval(spark, sf_dir):
-    raw = frame(spark, sf_dir, fx.answers).select(
+    raw = frame(spark, sf_dir, fx.answers, spread_out=True).select(
         "doc_id",
         F.col("text").alias("prompt"),
         F.when(
@@ -257,7 +258,7 @@ CODE = table(fx.code_answers)
 
 
 def _code(spark, sf_dir):
-    return adapters.code_samples(frame(spark, sf_dir, fx.code_answers), "doc_id")
+    return adapters.code_samples(frame(spark, sf_dir, fx.code_answers, spread_out=True), "doc_id")
 
 
 @query(
@@ -347,7 +348,7 @@ CALLS = table(fx.call_log)
 
 
 def _call_samples(spark, sf_dir):
-    return adapters.call_samples(frame(spark, sf_dir, fx.call_log), "event_id")
+    return adapters.call_samples(frame(spark, sf_dir, fx.call_log, spread_out=True), "event_id")
 
 
 @query(
@@ -465,7 +466,7 @@ def _score_choice_sql(n: int) -> str:
 
 
 def _scored_choices(spark, sf_dir, n):
-    scored = scoring.score_choices(frame(spark, sf_dir, fx.choices, n), n)
+    scored = scoring.score_choices(frame(spark, sf_dir, fx.choices, n, spread_out=True), n)
     return scored.select("event_id", "predicted", "expected", "correct", "score")
 
 
@@ -514,7 +515,7 @@ def score_join(spark, sf_dir):
            ELSE contains({duck.norm('response')}, {duck.norm('expected')}) END AS correct FROM {ANSWERS})""",
 )
 def score_mixed(spark, sf_dir):
-    scored = scoring.score_mixed(frame(spark, sf_dir, fx.answers))
+    scored = scoring.score_mixed(frame(spark, sf_dir, fx.answers, spread_out=True))
     return scored.select("doc_id", "question_type", "predicted", "correct", "score")
 
 
@@ -523,7 +524,7 @@ def score_mixed(spark, sf_dir):
 
 @query("normalize_text", f"SELECT doc_id, {duck.norm('text')} AS normalized FROM documents")
 def normalize_text(spark, sf_dir):
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     return texts.select("doc_id", normalize(F.col("text")).alias("normalized"))
 
 
@@ -532,7 +533,7 @@ def normalize_text(spark, sf_dir):
     f"""SELECT doc_id, {duck.norm('response')} = {duck.norm('expected')} AS correct FROM {ANSWERS}""",
 )
 def score_exact(spark, sf_dir):
-    return scoring.score_exact(frame(spark, sf_dir, fx.answers)).select("doc_id", "correct")
+    return scoring.score_exact(frame(spark, sf_dir, fx.answers, spread_out=True)).select("doc_id", "correct")
 
 
 @query(
@@ -540,7 +541,7 @@ def score_exact(spark, sf_dir):
     f"""SELECT doc_id, contains({duck.norm('response')}, {duck.norm('expected')}) AS correct FROM {ANSWERS}""",
 )
 def score_contains(spark, sf_dir):
-    return scoring.score_contains(frame(spark, sf_dir, fx.answers)).select("doc_id", "correct")
+    return scoring.score_contains(frame(spark, sf_dir, fx.answers, spread_out=True)).select("doc_id", "correct")
 
 
 @query(
@@ -552,7 +553,7 @@ def score_contains(spark, sf_dir):
       substr(response, 1, 200) AS predicted, substr(expected, 1, 200) AS expected FROM {ANSWERS})""",
 )
 def score_retrieval(spark, sf_dir):
-    scored = scoring.score_retrieval(frame(spark, sf_dir, fx.answers))
+    scored = scoring.score_retrieval(frame(spark, sf_dir, fx.answers, spread_out=True))
     return scored.select(
         "doc_id", "context_length", "exact_match", "contains_match", "correct", "score", "predicted", "expected"
     )
@@ -567,7 +568,7 @@ def score_retrieval(spark, sf_dir):
 )
 def extract_set(spark, sf_dir):
     items = answer_sets.extract_set(F.col("response"))
-    return exploded(frame(spark, sf_dir, fx.set_answers), "doc_id", array=items).drop("pos")
+    return exploded(frame(spark, sf_dir, fx.set_answers, spread_out=True), "doc_id", array=items).drop("pos")
 
 
 @query(
@@ -579,7 +580,7 @@ def extract_set(spark, sf_dir):
       substr(response, 1, 200) AS predicted, substr(expected, 1, 200) AS expected FROM {SETS})""",
 )
 def score_set(spark, sf_dir):
-    scored = scoring.score_sets(frame(spark, sf_dir, fx.set_answers))
+    scored = scoring.score_sets(frame(spark, sf_dir, fx.set_answers, spread_out=True))
     return scored.select(
         "doc_id", "correct", F.round("score", DIGITS).alias("score"), "predicted", "expected"
     )
@@ -600,7 +601,7 @@ def _rules_query(group: str) -> None:
     @query(f"rules_{group}", _rules_sql(group))
     def run(spark, sf_dir):
         used = [rule for rule, _ in fx.RULE_CASES[group] if rule in rules.RULES]
-        checked = instructions.check_rules(frame(spark, sf_dir, fx.rule_cases, group), only=used)
+        checked = instructions.check_rules(frame(spark, sf_dir, fx.rule_cases, group, spread_out=True), only=used)
         rows = instructions.outcomes_long(checked, "doc_id")
         return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -621,7 +622,7 @@ _CHECKED = f"""SELECT doc_id, lang, pos, rule_id, {duck.rule_outcome()} AS pass
     f"SELECT 'ifeval_' || doc_id AS sample_id, pos, rule_id AS instruction_id, {duck.valid_args('a')} AS kwargs FROM ({_PAIRS})",
 )
 def instructions_long(spark, sf_dir):
-    raw = frame(spark, sf_dir, fx.rule_lists).withColumnRenamed("response", "prompt")
+    raw = frame(spark, sf_dir, fx.rule_lists, spread_out=True).withColumnRenamed("response", "prompt")
     samples = adapters.instruction_samples(raw, "doc_id")
     pairs = instructions.rule_list(F.col("instruction_id_list"), F.col("kwargs"))
     rows = exploded(samples, "sample_id", array=pairs, item="r")
@@ -641,7 +642,7 @@ def instructions_long(spark, sf_dir):
     FROM {LISTS} l LEFT JOIN ({_CHECKED}) c ON l.doc_id = c.doc_id GROUP BY l.doc_id""",
 )
 def score_rules(spark, sf_dir):
-    scored = instructions.score_rules(frame(spark, sf_dir, fx.rule_lists), only=fx.RULE_LIST_IDS)
+    scored = instructions.score_rules(frame(spark, sf_dir, fx.rule_lists, spread_out=True), only=fx.RULE_LIST_IDS)
     return scored.select("doc_id", "correct", "score", "num_instructions", "num_passed")
 
 
@@ -651,7 +652,7 @@ def score_rules(spark, sf_dir):
     round(avg(pass::int), {DIGITS}) AS pass_rate FROM ({_CHECKED}) GROUP BY lang, rule_id""",
 )
 def rule_pass_rates(spark, sf_dir):
-    checked = instructions.check_rules(frame(spark, sf_dir, fx.rule_lists), only=fx.RULE_LIST_IDS)
+    checked = instructions.check_rules(frame(spark, sf_dir, fx.rule_lists, spread_out=True), only=fx.RULE_LIST_IDS)
     rates = instructions.rule_pass_rates(checked, "lang")
     return rates.withColumn("pass_rate", F.round("pass_rate", DIGITS))
 
@@ -666,7 +667,7 @@ def custom_rule(spark, sf_dir):
     def min_chars(text, args):
         return F.length(text) >= args.number("num_chars", 0)
 
-    rows = frame(spark, sf_dir, fx.rule_lists).withColumns(
+    rows = frame(spark, sf_dir, fx.rule_lists, spread_out=True).withColumns(
         {
             "instruction_id_list": F.array(F.lit("custom:min_chars")),
             "kwargs": F.array(
@@ -812,7 +813,7 @@ _FORM = "[json_extract_string(c, '$.name') || '|' || json_extract_string(c, '$.a
     FROM (SELECT event_id, unnest(range(len(said))) AS pos, unnest(said) AS c FROM ({_PARSED}))""",
 )
 def parse_calls(spark, sf_dir):
-    rows = calls.calls_long(frame(spark, sf_dir, fx.call_log), "event_id")
+    rows = calls.calls_long(frame(spark, sf_dir, fx.call_log, spread_out=True), "event_id")
     entry = F.get("args", F.lit(0))
     return rows.select(
         "event_id",
@@ -837,7 +838,7 @@ def canonical_args(spark, sf_dir):
 
 
 def _entries(spark, sf_dir, fixture):
-    rows = calls.calls_long(frame(spark, sf_dir, fixture), "event_id")
+    rows = calls.calls_long(frame(spark, sf_dir, fixture, spread_out=True), "event_id")
     return exploded(rows, "event_id", array="args", item="e").select(
         "event_id", F.col("e.k").alias("key"), F.col("e.t").alias("kind"), F.col("e.v").alias("value")
     )
@@ -855,7 +856,7 @@ def canonical_nested_args(spark, sf_dir):
     len(said) AS num_predicted, len(wanted) AS num_expected FROM ({_PARSED})""",
 )
 def score_calls(spark, sf_dir):
-    rows = frame(spark, sf_dir, fx.call_log).withColumn("expected", F.col("answer"))
+    rows = frame(spark, sf_dir, fx.call_log, spread_out=True).withColumn("expected", F.col("answer"))
     scored = calls.score_calls(rows)
     return scored.select("event_id", "correct", "score", "num_predicted", "num_expected")
 
@@ -867,7 +868,7 @@ def score_calls(spark, sf_dir):
 )
 def score_tool_calls(spark, sf_dir):
     """Structured tool calls where a message has them (clicks), text elsewhere."""
-    rows = frame(spark, sf_dir, fx.call_log)
+    rows = frame(spark, sf_dir, fx.call_log, spread_out=True)
     given = F.when(
         F.col("event_type") == "click",
         F.array(F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments"))),
@@ -925,7 +926,7 @@ def score_actions(spark, sf_dir):
 
 @query("clean_completion", f"SELECT doc_id, {duck.completion('response')} AS completion FROM {CODE}")
 def clean_completion(spark, sf_dir):
-    rows = frame(spark, sf_dir, fx.code_answers)
+    rows = frame(spark, sf_dir, fx.code_answers, spread_out=True)
     return rows.select("doc_id", code_text.clean_completion(F.col("response")).alias("completion"))
 
 
@@ -938,7 +939,7 @@ _PROGRAMS = f"SELECT *, {duck.completion('response')} AS completion FROM {CODE}"
     || test || chr(10) || 'check(' || entry_point || ')' || chr(10) AS program FROM ({_PROGRAMS})""",
 )
 def assemble_programs(spark, sf_dir):
-    return verdicts.programs(frame(spark, sf_dir, fx.code_answers)).select("doc_id", "program")
+    return verdicts.programs(frame(spark, sf_dir, fx.code_answers, spread_out=True)).select("doc_id", "program")
 
 
 @query(
@@ -949,19 +950,19 @@ def assemble_programs(spark, sf_dir):
     FROM ({_PROGRAMS}) p LEFT JOIN {table(fx.code_runs)} r USING (doc_id)""",
 )
 def score_verdicts(spark, sf_dir):
-    rows = verdicts.programs(frame(spark, sf_dir, fx.code_answers))
+    rows = verdicts.programs(frame(spark, sf_dir, fx.code_answers, spread_out=True))
     return verdicts.score_programs(rows, frame(spark, sf_dir, fx.code_runs), "doc_id")
 
 
 @query("extract_commands", f"SELECT doc_id, {duck.command('response')} AS command FROM {CODE}")
 def extract_commands(spark, sf_dir):
-    rows = frame(spark, sf_dir, fx.code_answers)
+    rows = frame(spark, sf_dir, fx.code_answers, spread_out=True)
     return rows.select("doc_id", code_text.extract_command(F.col("response")).alias("command"))
 
 
 @query("extract_patches", f"SELECT doc_id, {duck.patch('response')} AS patch FROM {CODE}")
 def extract_patches(spark, sf_dir):
-    rows = verdicts.extracted_patches(frame(spark, sf_dir, fx.code_answers))
+    rows = verdicts.extracted_patches(frame(spark, sf_dir, fx.code_answers, spread_out=True))
     return rows.select("doc_id", "patch")
 
 
