@@ -35,7 +35,7 @@ def rule_list(
     return F.zip_with(
         F.slice(ids, 1, shared),
         members,
-        lambda rule_id, args: F.struct(rule_id.alias("rule_id"), args.alias("args")),
+        _rule,
     )
 
 
@@ -53,6 +53,45 @@ def _members(falsy_is_empty: bool):
     return read
 
 
+def rule_items(items: Column) -> Column:
+    """Rules given as a JSON list of objects, in either of two shapes.
+
+    ``{"instruction_id_list": […], "kwargs": […]}`` pairs the two lists (one
+    empty object where kwargs are missing; falsy arguments are empty ones).
+    ``{"instruction_id": …, "kwargs": {…}}`` is one rule, arguments as given.
+    """
+    empty = F.parse_json(F.lit("{}"))
+
+    def texts(values: Column) -> Column:
+        return F.transform(values, lambda v: F.try_variant_get(v, "$", "string"))
+
+    def as_object(value: Column) -> Column:
+        text = F.when(jsontext.kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+        return F.when(text.isNull(), value).otherwise(F.coalesce(jsontext.parse(text), empty))
+
+    def read(item: Column) -> Column:
+        ids = jsontext.as_items(F.try_element_at(item, F.lit("instruction_id_list")))
+        given = F.try_element_at(item, F.lit("kwargs"))
+        listed = F.when(given.isNull(), F.array(empty)).otherwise(jsontext.as_items(given))
+        shared = F.least(F.size(ids), F.size(listed))
+        pairs = F.zip_with(
+            texts(F.slice(ids, 1, shared)),
+            F.transform(F.transform(F.slice(listed, 1, shared), as_object), _members(True)),
+            _rule,
+        )
+        name = F.try_variant_get(F.try_element_at(item, F.lit("instruction_id")), "$", "string")
+        members = jsontext.as_members(F.coalesce(given, empty))
+        single = F.array(_rule(F.coalesce(name, F.lit("")), members))
+        return F.when(ids.isNotNull(), pairs).otherwise(single)
+
+    objects = F.transform(jsontext.as_items(jsontext.parse(items)), jsontext.as_members)
+    return F.flatten(F.transform(objects, read))
+
+
+def _rule(rule_id: Column, args: Column) -> Column:
+    return F.struct(rule_id.alias("rule_id"), args.alias("args"))
+
+
 def check_rules(
     responses: DataFrame,
     *,
@@ -63,9 +102,14 @@ def check_rules(
     only: list[str] | None = None,
 ) -> DataFrame:
     """Add ``per_instruction``: an array of (instruction_id, pass) in list order."""
-    listed = responses.withColumn(
-        "_rules", rule_list(F.col(ids), F.col(arguments), falsy_is_empty=falsy_is_empty)
-    )
+    listed = rule_list(F.col(ids), F.col(arguments), falsy_is_empty=falsy_is_empty)
+    return check_listed(responses, listed, text=text, only=only)
+
+
+def check_listed(
+    responses: DataFrame, listed: Column, *, text: str = "response", only: list[str] | None = None
+) -> DataFrame:
+    """``check_rules`` for a ready list of (rule_id, args)."""
     outcome = F.transform(
         "_rules",
         lambda r: F.struct(
@@ -73,7 +117,8 @@ def check_rules(
             rules.check(F.col(text), r.rule_id, r.args, only).alias("pass"),
         ),
     )
-    return listed.withColumn("per_instruction", outcome).drop("_rules")
+    prepared = responses.withColumn("_rules", listed)
+    return prepared.withColumn("per_instruction", outcome).drop("_rules")
 
 
 def score_rules(responses: DataFrame, **options) -> DataFrame:

@@ -42,15 +42,14 @@ def exact_percentiles(
     long = table.select(
         *by, F.stack(F.lit(len(wanted)), *pairs).alias("_measure", "_value")
     )
-    values = long.filter(F.col("_value").isNotNull())
     shares = sorted({s for _, marks in wanted.values() for s in marks})
 
     # Pass 1: group sizes and brackets. The table is written, so that Spark
     # knows its size and decides by it whether it may be broadcast.
     margin = 4 / accuracy
     bounds = [b for s in shares for b in (max(s / 100 - margin, 0.0), min(s / 100 + margin, 1.0))]
-    sketch = values.groupBy(*by, "_measure").agg(
-        F.count("*").alias("_n"),
+    sketch = long.groupBy(*by, "_measure").agg(
+        F.count("_value").alias("_n"),
         F.percentile_approx("_value", bounds, accuracy).alias("_bounds"),
     )
     path = shared_path(table.sparkSession, "brackets")
@@ -68,6 +67,7 @@ def exact_percentiles(
         floor, *[F.when(F.col("_value") > high, high).otherwise(floor) for _, high in spans]
     )
     keys = [*by, "_measure"]
+    values = long.filter(F.col("_value").isNotNull())
     joined = _null_safe_join(values, brackets, keys)
     counts = (
         joined.select(
@@ -94,8 +94,8 @@ def exact_percentiles(
     result = reached.groupBy(*by).agg(*outputs)
     if not by:
         return result
-    # Groups without any value keep their row.
-    groups = table.select(*by).distinct()
+    # Groups without any value keep their row; the brackets know all groups.
+    groups = brackets.select(*by).distinct()
     return _null_safe_join(groups, result, by, "left")
 
 

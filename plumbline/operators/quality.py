@@ -47,14 +47,15 @@ def quality_rollup(results: DataFrame, subject: str) -> DataFrame:
     Rows with a NULL subject are a group of their own; ``overall`` tells the
     two apart.
     """
-    return (
-        results.rollup(subject)
-        .agg(
-            F.count("*").alias("num_samples"),
-            F.avg(F.col("correct").cast("double")).alias("accuracy"),
-            F.avg("score").alias("score"),
-            F.grouping(subject).cast("boolean").alias("overall"),
-        )
+    # One row per subject first: the roll-up doubles those rows, not the results.
+    per_subject = results.groupBy(subject).agg(
+        F.count("*").alias("_n"), F.count_if("correct").alias("_c"), F.sum("score").alias("_s")
+    )
+    return per_subject.rollup(subject).agg(
+        F.sum("_n").alias("num_samples"),
+        (F.sum("_c") / F.sum("_n")).alias("accuracy"),
+        (F.sum("_s") / F.sum("_n")).alias("score"),
+        F.grouping(subject).cast("boolean").alias("overall"),
     )
 
 

@@ -166,10 +166,10 @@ def call_samples(table: DataFrame, key: str, max_samples: int | None = None) ->
     """``question`` (text or messages), ``function`` (JSON) and the answer (JSON)."""
     rows = _numbered(table, "bfcl", key, max_samples)
     question = pick(table, "question")
-    is_text = dict(table.dtypes).get("question", "string") == "string"
+    is_text = not dict(table.dtypes).get("question", "string").startswith("array")
     return rows.select(
         *HEAD,
-        (prompts.user_message(question) if is_text else question.cast(prompts.MESSAGES)).alias(
+        (prompts.user_message(question.cast("string")) if is_text else question.cast(prompts.MESSAGES)).alias(
             "messages"
         ),
         prompts.tool_envelopes(pick(table, "function", default=F.lit("[]"))).alias("tools"),

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "suite string, description string, tier int, system_prompt string, max_tokens int"
+SCHEMA = pa.schema(
+    [
+        ("suite", pa.string()),
+        ("description", pa.string()),
+        ("tier", pa.int32()),
+        ("system_prompt", pa.string()),
+        ("max_tokens", pa.int32()),
+    ]
+)
 
 _LETTER_SYSTEM = (
     "You are a knowledgeable assistant. "
@@ -36,7 +45,10 @@ _SUITES = [
 
 def suites(spark: SparkSession, extra: list[tuple] | None = None) -> DataFrame:
     """One row per suite, sorted by name. ``extra`` adds user suites."""
-    return spark.createDataFrame(_SUITES + list(extra or []), SCHEMA).orderBy("suite")
+    rows = sorted(_SUITES + list(extra or []), key=lambda row: row[0])
+    # An Arrow table becomes a local relation: no Python worker, known size.
+    table = pa.Table.from_pylist([dict(zip(SCHEMA.names, row, strict=True)) for row in rows], SCHEMA)
+    return spark.createDataFrame(table)
 
 
 def suite_names(extra: list[tuple] | None = None) -> list[str]:

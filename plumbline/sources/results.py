@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import jsontext
 from plumbline.operators.rows import exploded
 
 # Fields of an exported sample's metrics, layout of a document.
@@ -40,7 +41,7 @@ CONFIG = (
 DOCUMENT = (
     f"benchmark string, model string, timestamp string, config {CONFIG}, name string, "
     f"num_samples bigint, accuracy double, score double, aggregated_metrics {AGGREGATES}, "
-    f"sample_results array<struct<{SAMPLE}>>, _bad string"
+    f"sample_results array<struct<{SAMPLE}>>"
 )
 
 
@@ -77,6 +78,31 @@ def export_sample(results: DataFrame, details: Sequence[str] = ()) -> DataFrame:
     return results.withColumn("exported", F.concat(*parts, F.lit("}")))
 
 
+def sample_results(
+    scored: DataFrame, *, run_id: str, model: str, details: Sequence[str] = ()
+) -> DataFrame:
+    """Scored rows in the common layout of all suites.
+
+    ``details`` names the suite's own columns; they become one JSON text.
+    ``metrics`` is NULL for rows without any metric.
+    """
+    present = [f for f in METRIC_FIELDS if f in scored.columns]
+    measured = F.coalesce(*[F.col(f).cast("string") for f in present], F.lit(None)).isNotNull()
+    metrics = F.struct(*[F.col(f) if f in present else F.lit(None).alias(f) for f in METRIC_FIELDS])
+    return scored.select(
+        F.lit(run_id).alias("run_id"),
+        "suite",
+        F.lit(model).alias("model"),
+        "sample_id",
+        "correct",
+        "score",
+        "predicted",
+        "expected",
+        (F.to_json(F.struct(*details)) if details else F.lit("{}")).alias("details"),
+        F.when(measured, metrics.cast(_METRICS)).alias("metrics"),
+    )
+
+
 def write_results(results: DataFrame, path: str, *, format: str = "parquet") -> None:
     """Write sample results, one folder per suite and model.
 
@@ -101,16 +127,16 @@ def read_results(
     stop the others. ``multi_line`` reads one document per file; without it,
     one document per line, which Spark can split.
     """
-    documents = (
-        spark.read.schema(DOCUMENT)
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .json([paths] if isinstance(paths, str) else list(paths))
+    texts = (
+        spark.read.text([paths] if isinstance(paths, str) else list(paths), wholetext=multi_line)
         .withColumn("file", F.col("_metadata.file_path"))
     )
-    good = documents.filter(F.col("_bad").isNull())
-    runs = good.drop("_bad", "sample_results")
+    # Validity is judged on the whole text: a reader that is asked for some
+    # columns only would not notice a fault elsewhere in the document.
+    readable = jsontext.is_json(F.trim("value"))
+    good = texts.filter(readable).select("file", F.from_json("value", DOCUMENT).alias("d"))
+    good = good.select("file", "d.*")
+    runs = good.drop("sample_results")
     samples = exploded(
         good,
         F.col("benchmark").alias("suite"),
@@ -120,7 +146,7 @@ def read_results(
         array="sample_results",
         item="s",
     ).select("suite", "model", "timestamp", "file", "s.*")
-    bad = documents.filter(F.col("_bad").isNotNull()).select("file", "_bad")
+    bad = texts.filter(~readable).select("file", F.col("value").alias("content"))
     return runs, samples, bad
 
 
