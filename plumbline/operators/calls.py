@@ -120,28 +120,25 @@ def expected_actions_long(
 def score_actions(samples: DataFrame, turns: DataFrame, key: str = "sample_id") -> DataFrame:
     """Names must agree pairwise, in order and in number; none expected passes.
 
-    The two sequences meet on (sample, position), which spreads even one very
-    long sequence over the cluster, and then shrink to counts per sample.
+    The sequences are equal when every (position, name) occurs equally often
+    on both sides. Grouping by sample, position and name spreads even one very
+    long sequence over the cluster; then it shrinks to counts per sample.
     """
     executed = actions_long(turns, key).select(
-        key, "idx", F.col("name").alias("did"), F.lit(1).alias("e"), F.lit(0).alias("w")
+        key, "idx", "name", F.lit(1).alias("e"), F.lit(0).alias("w")
     )
     wanted = expected_actions_long(samples, key).select(
-        key, "idx", F.col("name").alias("want"), F.lit(0).alias("e"), F.lit(1).alias("w")
+        key, "idx", "name", F.lit(0).alias("e"), F.lit(1).alias("w")
     )
     positions = (
-        executed.unionByName(wanted, allowMissingColumns=True)
-        .groupBy(key, "idx")
-        .agg(
-            F.sum("e").alias("e"),
-            F.sum("w").alias("w"),
-            F.max("did").alias("did"),
-            F.max("want").alias("want"),
-        )
+        executed.unionByName(wanted)
+        .groupBy(key, "idx", "name")
+        .agg(F.sum("e").alias("e"), F.sum("w").alias("w"))
     )
-    agrees = (F.col("e") == F.col("w")) & F.col("did").eqNullSafe(F.col("want"))
     totals = positions.groupBy(key).agg(
-        F.bool_and(agrees).alias("_agrees"), F.sum("e").alias("_e"), F.sum("w").alias("_w")
+        F.bool_and(F.col("e") == F.col("w")).alias("_agrees"),
+        F.sum("e").alias("_e"),
+        F.sum("w").alias("_w"),
     )
     num_turns = (
         turns.filter(F.col("turn") < MAX_TURNS)

@@ -13,8 +13,11 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 8_192
+# Up to this many rows, one task numbers the table.
+ONE_TASK_ROWS = 20_000
+ORDERED_KINDS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "timestamp")
 
 
 def with_ordinal(
@@ -26,16 +29,19 @@ def with_ordinal(
     """Add the 0-based position of each row in the order of the unique ``key``.
 
     Only the number of rows, the bucket borders and one count per bucket (at
-    most ``MAX_BUCKETS``) reach the driver. A table of up to
-    ``rows_per_bucket`` rows is numbered by one task.
+    most ``MAX_BUCKETS``) reach the driver. Larger tables get at least one
+    bucket per core.
     """
     total = table.count()
-    if total <= rows_per_bucket:
+    if total <= min(rows_per_bucket, ONE_TASK_ROWS):
         window = Window.partitionBy(F.lit(0)).orderBy(key)
         return table.withColumn(name, F.row_number().over(window).cast("bigint") - 1)
 
-    buckets = min(ceil(total / rows_per_bucket), MAX_BUCKETS)
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    buckets = min(max(ceil(total / rows_per_bucket), cores), MAX_BUCKETS)
     kind = dict(table.dtypes)[key]
+    if not kind.startswith(ORDERED_KINDS):
+        raise ValueError(f"ordering key {key!r} must be a number or a timestamp, not {kind}")
     position = F.unix_micros(key) if kind.startswith("timestamp") else F.col(key)
     shares = [i / buckets for i in range(1, buckets)]
     borders = sorted(

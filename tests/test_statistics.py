@@ -180,3 +180,9 @@ def test_tiers(spark):
     assert catalog.require_suite("hle") == "hle"
     with pytest.raises(KeyError, match="mmlu_pro"):
         catalog.require_suite("nope")
+
+
+def test_ordinals_need_an_ordered_key(spark):
+    data = spark.range(100).select(F.col("id").cast("string").alias("k"))
+    with pytest.raises(ValueError, match="number or a timestamp"):
+        with_ordinal(data, "k", rows_per_bucket=10)
