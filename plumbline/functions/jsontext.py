@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 _BARE_NUMBER = r"(?<=^|[\[,:\s])-?(?:NaN|Infinity)(?=\s*(?:[,\]}]|\z))"
 
 
+# How a JSON value may begin. Most texts fail here, which is far cheaper than
+# the parser's exception; the two bare numbers count for validity only.
+_OPENING = r"^[ \t\n\r]*(?:[\[{\"0-9\-]|true|false|null)"
+_OPENING_OR_BARE = r"^[ \t\n\r]*(?:[\[{\"0-9\-]|true|false|null|NaN|Infinity)"
+
+
 def _wrapped(text: Column) -> tuple[Column, Column]:
     as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
@@ -23,17 +29,20 @@ def _wrapped(text: Column) -> tuple[Column, Column]:
 
 def is_json(text: Column) -> Column:
     """True where ``text`` is exactly one JSON value."""
-    plain = F.regexp_replace(text, _BARE_NUMBER, "0")
+    has_bare = F.rlike(text, F.lit("NaN|Infinity"))
+    plain = F.when(has_bare, F.regexp_replace(text, _BARE_NUMBER, "0")).otherwise(text)
     as_item, as_member = _wrapped(plain)
     one = F.size(F.try_variant_get(as_item, "$", "array<variant>")) == 1
-    return F.coalesce(one & as_member.isNotNull(), F.lit(False))
+    valid = F.when(F.rlike(text, F.lit(_OPENING_OR_BARE)), one & as_member.isNotNull())
+    return F.coalesce(valid, F.lit(False))
 
 
 def parse(text: Column) -> Column:
     """VARIANT value of a JSON text; NULL where it is not exactly one value."""
     as_item, as_member = _wrapped(text)
     one = F.size(F.try_variant_get(as_item, "$", "array<variant>")) == 1
-    return F.when(one, F.try_variant_get(as_member, "$.v", "variant"))
+    opens = F.rlike(text, F.lit(_OPENING))
+    return F.when(opens & one, F.try_variant_get(as_member, "$.v", "variant"))
 
 
 def parse_or_empty_object(text: Column) -> Column:

@@ -52,8 +52,8 @@ def apply_failures(scored: DataFrame) -> DataFrame:
     ok = error.isNull()
     return scored.withColumns(
         {
-            "correct": F.when(ok, F.col("correct")).otherwise(False),
-            "score": F.when(ok, F.col("score")).otherwise(0.0),
+            "correct": F.coalesce(F.when(ok, F.col("correct")), F.lit(False)),
+            "score": F.coalesce(F.when(ok, F.col("score")), F.lit(0.0)),
             "predicted": F.when(ok, F.col("predicted")).otherwise(""),
             "expected": F.when(F.col("paired"), F.coalesce("expected", F.lit(""))).otherwise(""),
             "error": error,

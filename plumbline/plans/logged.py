@@ -7,11 +7,14 @@ Samples without a log entry are wrong unless the suite says otherwise.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import calls, instructions, verdicts
 from plumbline.operators.scoring import ECHO
+from plumbline.sources import adapters
 
 KEY = "sample_id"
 
@@ -79,3 +82,14 @@ def score_patches(samples: DataFrame, responses: DataFrame, tests: DataFrame) ->
         F.when(F.col("has_patch"), F.lit("passing tests")).otherwise("").alias("expected"),
         F.when(~F.coalesce("has_patch", F.lit(False)), "No patch extracted from response").alias("error"),
     )
+
+
+# Suite name to (adapter, scorer); the scorers differ in the logs they take.
+LOGGED_SUITES = {
+    "humaneval": (adapters.code_samples, score_code),
+    "multi_if": (adapters.turn_samples, score_conversations),
+    "tau_bench": (adapters.action_samples, score_agents),
+    "terminal_bench": (adapters.terminal_samples, score_shell),
+    "swe_bench": (adapters.patch_samples, score_patches),
+    "swe_bench_pro": (partial(adapters.patch_samples, suite="swe_bench_pro"), score_patches),
+}

@@ -44,7 +44,10 @@ def register_suite(suite: Suite) -> Suite:
 
 def get_suite(name: str) -> Suite:
     if name not in SUITES:
-        raise KeyError(f"unknown suite {name!r}; known suites: {', '.join(sorted(SUITES))}")
+        raise KeyError(
+            f"no single-response suite {name!r}; known: {', '.join(sorted(SUITES))}. "
+            "Suites judged by several logs are in plumbline.plans.logged."
+        )
     return SUITES[name]
 
 
@@ -54,7 +57,9 @@ def score_suite(suite: Suite, samples: DataFrame, responses: DataFrame) -> DataF
     ``responses`` has ``suite, sample_id, response`` and optionally ``error``
     and metric columns, which are kept.
     """
-    shrunk = suite.shrink(responses) if suite.shrink else responses
+    # A message without content is an empty answer, not an unknown one.
+    answered = responses.withColumn("response", F.coalesce("response", F.lit("")))
+    shrunk = suite.shrink(answered) if suite.shrink else answered
     paired = pairing.pair_responses(samples.drop("messages"), shrunk)
     return pairing.apply_failures(suite.score(paired))
 

@@ -27,6 +27,11 @@ SAMPLE = (
     "id:string,correct:boolean,score:double,predicted:string,expected:string,"
     f"details:string,metrics:{_METRICS}"
 )
+AGGREGATE_FIELDS = (
+    "ttft_p50 ttft_p95 ttft_p99 ttft_mean generation_tps_mean generation_tps_p50 prompt_tps_mean "
+    "latency_p50 latency_p95 latency_p99 latency_mean total_prompt_tokens total_completion_tokens "
+    "total_requests failed_requests wall_time_seconds effective_throughput_rps"
+).split()
 AGGREGATES = (
     "struct<ttft_p50:double,ttft_p95:double,ttft_p99:double,ttft_mean:double,"
     "generation_tps_mean:double,generation_tps_p50:double,prompt_tps_mean:double,"
@@ -113,6 +118,29 @@ def write_results(results: DataFrame, path: str, *, format: str = "parquet") ->
     keyed.write.partitionBy("suite", "model_key").mode("append").format(format).save(path)
 
 
+def run_documents(
+    summaries: DataFrame, *, stamp: Column, config: dict[str, Column] | None = None
+) -> DataFrame:
+    """Result documents without samples, one row per run.
+
+    ``summaries`` has ``suite, model, num_samples, accuracy, score`` and any of
+    the aggregate columns. Written as JSON, NULL fields vanish.
+    """
+    known = [f for f in summaries.columns if f in AGGREGATE_FIELDS]
+    settings = [value.alias(name) for name, value in (config or {}).items()]
+    return summaries.select(
+        F.col("suite").alias("benchmark"),
+        "model",
+        stamp.alias("timestamp"),
+        *([F.struct(*settings).alias("config")] if settings else []),
+        F.col("suite").alias("name"),
+        "num_samples",
+        "accuracy",
+        "score",
+        F.struct(*known).alias("aggregated_metrics"),
+    )
+
+
 def write_run_documents(summaries: DataFrame, path: str) -> None:
     """Write run summaries, one JSON object per line, without their samples."""
     summaries.write.mode("append").json(path)

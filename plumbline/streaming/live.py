@@ -13,7 +13,9 @@ DELAY = "10 minutes"
 GAP = "5 minutes"
 
 
-def request_metrics(chunks: DataFrame, *, delay: str = DELAY, gap: str = GAP) -> DataFrame:
+def request_metrics(
+    chunks: DataFrame, *, delay: str = DELAY, gap: str = GAP, with_text: bool = True
+) -> DataFrame:
     """Metrics of each request from its chunk log; works on batches and streams.
 
     ``chunks``: ``request_id, ts, seq, kind`` (dispatch, chunk, usage, error),
@@ -21,7 +23,9 @@ def request_metrics(chunks: DataFrame, *, delay: str = DELAY, gap: str = GAP) ->
     when nothing arrives for ``gap``. Chunks later than ``delay`` are dropped.
 
     First-token time is that of the first chunk with content; the last usage
-    counts; a failed request has no text.
+    counts; a failed request has no text. The text is the one thing gathered per
+    request, because it is one value of the result; without it, the state of a
+    request has a fixed size however many chunks arrive.
     """
     kind = F.col("kind")
     has_content = (kind == "chunk") & (F.length("content") > 0)
@@ -38,11 +42,12 @@ def request_metrics(chunks: DataFrame, *, delay: str = DELAY, gap: str = GAP) ->
             F.max("ts").alias("end_ts"),
             usage.alias("_usage"),
             F.max(F.when(kind == "error", F.col("content"))).alias("error"),
-            pieces.alias("_pieces"),
+            *([pieces.alias("_pieces")] if with_text else []),
         )
     )
     start = F.unix_micros("start_ts")
     text = F.array_join(F.transform("_pieces", lambda p: p.content), "")
+    told = F.when(F.col("error").isNull(), text).otherwise("").alias("text")
     return grouped.select(
         "request_id",
         "start_ts",
@@ -50,7 +55,7 @@ def request_metrics(chunks: DataFrame, *, delay: str = DELAY, gap: str = GAP) ->
         ((F.unix_micros("end_ts") - start) / 1e6).alias("total_latency_seconds"),
         F.coalesce("_usage.prompt_tokens", F.lit(0)).alias("prompt_tokens"),
         F.coalesce("_usage.completion_tokens", F.lit(0)).alias("completion_tokens"),
-        F.when(F.col("error").isNull(), text).otherwise("").alias("text"),
+        *([told] if with_text else []),
         "error",
     )
 

@@ -1288,16 +1288,8 @@ _RUN_SUMMARIES = f"""SELECT suite, model, count(*) AS num_samples, avg(correct::
 def read_results(spark, sf_dir):
     path = shared_path(spark, "documents")
     summaries = _run_summaries(spark, sf_dir)
-    kept = ("ttft_mean", "ttft_p50", "ttft_p95", "latency_mean", "latency_p95", "failed_requests", "total_requests")
-    documents = summaries.select(
-        F.col("suite").alias("benchmark"),
-        "model",
-        F.col("suite").alias("name"),
-        "num_samples",
-        "accuracy",
-        "score",
-        F.struct(*kept).alias("aggregated_metrics"),
-    )
+    stamp = results.run_stamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    documents = results.run_documents(summaries, stamp=stamp, config={"max_tokens": F.lit(32)})
     results.write_run_documents(documents, path)
     runs, _, _ = results.read_results(spark, path, multi_line=False)
     flat = results.runs_from_documents(runs)
@@ -1376,6 +1368,93 @@ def custom_suite(spark, sf_dir):
     return scored.select("sample_id", "correct", "score")
 
 
+# --- suites end to end -------------------------------------------------------
+
+
+def _suite(spark, sf_dir, name, raw, key):
+    """Samples by the suite's adapter, responses by id from the same fixture."""
+    suite = get_suite(name)
+    samples = suite.to_samples(raw.drop("response"), key)
+    responses = raw.select(
+        F.lit(name).alias("suite"), F.concat(F.lit(f"{name}_"), key).alias("sample_id"), "response"
+    )
+    return score_suite(suite, samples, responses)
+
+
+@query(
+    "suite_graphwalks",
+    f"""SELECT 'graphwalks_' || doc_id AS sample_id, list_sort(p) = list_sort(e) AS correct,
+    round(CASE WHEN len(p) = 0 AND len(e) = 0 THEN 1.0 WHEN len(p) = 0 OR len(e) = 0 THEN 0.0
+      ELSE len(list_intersect(p, e)) / len(list_distinct(list_concat(p, e))) END, {DIGITS})::DOUBLE AS score
+    FROM (SELECT doc_id, {duck.item_set('response')} AS p, {duck.item_set('expected')} AS e FROM {SETS})""",
+)
+def suite_graphwalks(spark, sf_dir):
+    raw = frame(spark, sf_dir, fx.set_answers, spread_out=True).withColumn("prompt", F.lit("List."))
+    scored = _suite(spark, sf_dir, "graphwalks", raw, "doc_id")
+    return scored.select("sample_id", "correct", F.round("score", DIGITS).alias("score"))
+
+
+@query(
+    "suite_mrcr",
+    f"""SELECT context_length >= 2000 AS long_context, count(*) AS num_samples,
+    round(avg(contains({duck.norm('response')}, {duck.norm('expected')})::int), {DIGITS}) AS accuracy
+    FROM {ANSWERS} GROUP BY 1""",
+)
+def suite_mrcr(spark, sf_dir):
+    raw = frame(spark, sf_dir, fx.answers, spread_out=True)
+    raw = raw.withColumns({"prompt": F.lit("Find it."), "messages": F.array().cast(prompts.MESSAGES)})
+    scored = _suite(spark, sf_dir, "mrcr", raw, "doc_id")
+    bucket = scored.withColumn("long_context", F.col("context_length") >= 2000)
+    totals = quality.run_quality(bucket, ["long_context"])
+    return totals.select("long_context", "num_samples", F.round("accuracy", DIGITS).alias("accuracy"))
+
+
+@query(
+    "suite_ifeval",
+    f"""SELECT 'ifeval_' || l.doc_id AS sample_id, coalesce(bool_and(c.pass), true) AS correct,
+    any_value(substr(l.response, 1, 200)) AS predicted FROM {LISTS} l LEFT JOIN ({_CHECKED}) c ON l.doc_id = c.doc_id
+    GROUP BY l.doc_id""",
+)
+def suite_ifeval(spark, sf_dir):
+    raw = frame(spark, sf_dir, fx.rule_lists, spread_out=True).withColumn("prompt", F.col("lang"))
+    scored = _suite(spark, sf_dir, "ifeval", raw, "doc_id")
+    return scored.select("sample_id", "correct", "predicted")
+
+
+@query(
+    "suite_bfcl",
+    f"""SELECT 'bfcl_' || event_id AS sample_id,
+    list_sort({_FORM.format('said')}) = list_sort({_FORM.format('wanted')}) AS correct FROM ({_PARSED})""",
+)
+def suite_bfcl(spark, sf_dir):
+    raw = frame(spark, sf_dir, fx.call_log, spread_out=True)
+    return _suite(spark, sf_dir, "bfcl", raw, "event_id").select("sample_id", "correct")
+
+
+@query(
+    "rule_items",
+    f"""SELECT doc_id, unnest([0, 1, 2]::BIGINT[]) AS pos, unnest(['punctuation:no_comma', 'detectable_format:title',
+      'keywords:existence']) AS instruction_id, unnest([NOT contains(response, ','),
+      regexp_matches(response, '<<[^>]+>>'), contains(lower(response), lang)]) AS pass FROM {LISTS}""",
+)
+def rule_items(spark, sf_dir):
+    """Rules as a JSON list of objects in both shapes, with arguments per row."""
+    rows = frame(spark, sf_dir, fx.rule_lists, spread_out=True)
+    spec = F.concat(
+        F.lit(
+            '[{"instruction_id":"punctuation:no_comma"},'
+            '{"instruction_id_list":["detectable_format:title","keywords:existence"],'
+            '"kwargs":[null,"{\\"keywords\\":[\\"'
+        ),
+        F.col("lang"),
+        F.lit('\\"]}"]}]'),
+    )
+    listed = instructions.rule_items(spec)
+    checked = instructions.check_listed(rows, listed, only=fx.RULE_LIST_IDS)
+    outcomes = instructions.outcomes_long(checked, "doc_id")
+    return outcomes.withColumn("pos", F.col("pos").cast("bigint"))
+
+
 # --- streams -----------------------------------------------------------------
 
 
