@@ -117,6 +117,19 @@ def expected_actions_long(
     )
 
 
+def expects_nothing(text: Column) -> Column:
+    """Expected actions that are invalid JSON or an empty value.
+
+    A value that is neither empty nor a list can never be met.
+    """
+    value = jsontext.parse(text)
+    zero = ~F.startswith(jsontext.kind(value), F.lit("STRING")) & F.coalesce(
+        F.try_variant_get(value, "$", "double") == 0, F.lit(False)
+    )
+    empty = F.to_json(value).isin("[]", "{}", "null", '""', "false")
+    return value.isNull() | empty | zero
+
+
 def score_actions(samples: DataFrame, turns: DataFrame, key: str = "sample_id") -> DataFrame:
     """Names must agree pairwise, in order and in number; none expected passes.
 
@@ -145,8 +158,11 @@ def score_actions(samples: DataFrame, turns: DataFrame, key: str = "sample_id")
         .groupBy(key)
         .agg(F.count("*").alias("num_turns"))
     )
-    joined = samples.select(key).join(totals, key, "left").join(num_turns, key, "left")
-    correct = (F.coalesce("_w", F.lit(0)) == 0) | F.coalesce("_agrees", F.lit(False))
+    nothing_expected = expects_nothing(F.col("expected_actions")).alias("_free")
+    joined = samples.select(key, nothing_expected)
+    joined = joined.join(totals, key, "left").join(num_turns, key, "left")
+    listed = F.coalesce("_w", F.lit(0)) > 0
+    correct = F.col("_free") | (listed & F.coalesce("_agrees", F.lit(False)))
     return joined.select(
         key,
         correct.alias("correct"),

@@ -18,6 +18,10 @@ from plumbline.sources import adapters
 
 KEY = "sample_id"
 
+# Message that returns a command's result, output it shows.
+SHELL_RESULT = "Exit code: %d\nOutput:\n%s"
+SHELL_OUTPUT = 2_000
+
 
 def score_code(samples: DataFrame, responses: DataFrame, runs: DataFrame) -> DataFrame:
     """Code completion: programs are assembled, then judged by their run log."""
@@ -52,10 +56,18 @@ def score_agents(samples: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def score_shell(samples: DataFrame, turns: DataFrame, checks: DataFrame) -> DataFrame:
-    """Shell tasks: the validation decides, the dialogue gives the turn count."""
+    """Shell tasks: the validation decides, the dialogue gives the turn count.
+
+    The echo is the last message: the result of the last command, when the log
+    has its ``output``, else the last response.
+    """
     kept = verdicts.dialogue_turns(turns, KEY)
+    last = F.col("response")
+    if "output" in turns.columns:
+        result = F.format_string(SHELL_RESULT, "exit_code", F.substring("output", 1, SHELL_OUTPUT))
+        last = F.when(F.coalesce(F.col("command") != "", F.lit(False)), result).otherwise(last)
     used = kept.groupBy(KEY).agg(
-        F.count("*").alias("num_turns"), F.max_by("response", "turn").alias("_last")
+        F.count("*").alias("num_turns"), F.max_by(last, "turn").alias("_last")
     )
     outcome = verdicts.score_terminal(samples, checks, KEY)
     return outcome.join(used, KEY, "left").select(

@@ -97,6 +97,8 @@ def test_actions(spark):
             ("free", "[]"),
             ("broken", "?"),
             ("silent", '[{"name":"a"}]'),
+            ("object", '{"name":"a"}'),
+            ("null", "null"),
         ],
         "sample_id string, expected_actions string",
     )
@@ -111,4 +113,6 @@ def test_actions(spark):
         "free": (True, 2, 2),
         "broken": (True, 2, 2),
         "silent": (False, 0, 0),
+        "object": (False, 0, 0),
+        "null": (True, 0, 0),
     }

@@ -44,6 +44,9 @@ def test_shell(spark):
     rows = {r.sample_id: r for r in logged.score_shell(samples, turns, checks).collect()}
     assert (rows["s"].correct, rows["s"].num_turns, rows["s"].predicted) == (True, 2, "bye")
     assert (rows["t"].correct, rows["t"].num_turns) == (True, 0)
+    told = turns.withColumn("output", F.lit("file")).filter("turn = 0")
+    row = logged.score_shell(samples, told, checks).filter("sample_id = 's'").first()
+    assert row.predicted == "Exit code: 0\nOutput:\nfile"
 
 
 def test_patches(spark):
