@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import stats
@@ -31,14 +31,19 @@ def run_quality(
 
 def with_interval(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Samples, accuracy and the 95 % interval of the accuracy."""
+    return results.groupBy(*by).agg(*interval_columns())
+
+
+def interval_columns() -> list[Column]:
+    """Aggregates of ``with_interval``, to be combined with others in one pass."""
     correct = F.col("correct").cast("double")
     half = stats.ci_half_width(correct)
-    return results.groupBy(*by).agg(
+    return [
         F.count("*").alias("num_samples"),
         F.avg(correct).alias("accuracy"),
         (F.avg(correct) - half).alias("ci_lo"),
         (F.avg(correct) + half).alias("ci_hi"),
-    )
+    ]
 
 
 def quality_rollup(results: DataFrame, subject: str) -> DataFrame:

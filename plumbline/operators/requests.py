@@ -42,7 +42,12 @@ def _ok(value: Column | str) -> Column:
 
 def request_summary(requests: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts, token totals and means. Failed requests count, but only as failed."""
-    return requests.groupBy(*by).agg(
+    return requests.groupBy(*by).agg(*summary_columns())
+
+
+def summary_columns() -> list[Column]:
+    """Aggregates of ``request_summary``, to be combined with others in one pass."""
+    return [
         F.count("*").alias("total_requests"),
         F.count_if(F.col("error").isNotNull()).alias("failed_requests"),
         F.coalesce(F.sum(_ok("prompt_tokens")), F.lit(0)).alias("total_prompt_tokens"),
@@ -51,7 +56,7 @@ def request_summary(requests: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.avg(_ok("tokens_per_second_generation")).alias("generation_tps_mean"),
         F.avg(_ok("tokens_per_second_prompt")).alias("prompt_tps_mean"),
         F.avg(_ok("total_latency_seconds")).alias("latency_mean"),
-    )
+    ]
 
 
 def throughput(requests: DataFrame, by: Sequence[str] = (), start: str = "start_ts") -> DataFrame:
@@ -59,16 +64,20 @@ def throughput(requests: DataFrame, by: Sequence[str] = (), start: str = "start_
 
     Wall time runs from the first start to the last end in the log.
     """
-    began = F.unix_micros(start) / 1e6
-    spans = requests.groupBy(*by).agg(
-        F.count_if(F.col("error").isNull()).alias("successful_requests"),
-        (F.max(began + F.col("total_latency_seconds")) - F.min(began)).alias("wall_time_seconds"),
-    )
-    return spans.withColumn("effective_throughput_rps", rate("successful_requests", "wall_time_seconds"))
+    return requests.groupBy(*by).agg(*throughput_columns(start))
 
 
-def rate(count: str, seconds: str) -> Column:
-    return F.when(F.col(seconds) > 0, F.col(count) / F.nullif(F.col(seconds), F.lit(0.0)))
+def throughput_columns(start: str = "start_ts") -> list[Column]:
+    """Aggregates of ``throughput``, to be combined with others in one pass."""
+    began = F.unix_micros(start) / 1e6
+    successes = F.count_if(F.col("error").isNull())
+    wall = F.max(began + F.col("total_latency_seconds")) - F.min(began)
+    rate = F.when(wall > 0, successes / F.nullif(wall, F.lit(0.0)))
+    return [
+        successes.alias("successful_requests"),
+        wall.alias("wall_time_seconds"),
+        rate.alias("effective_throughput_rps"),
+    ]
 
 
 # Reported shares per measure (output prefix, input column).

@@ -96,3 +96,17 @@ def test_logs(spark, tmp_path):
     log = logs.read_log(spark, "program_runs", path)
     assert log.first().asDict() == {"run_id": None, "sample_id": "s", "exit_code": 0, "output": None}
     assert logs.stream_log(spark, "program_runs", path).isStreaming
+
+
+def test_report(spark):
+    from plumbline.plans.report import run_report
+
+    rows = spark.sql(
+        "select 's' suite, 'm' model, id % 2 = 0 correct, 0.5D score, if(id = 3, 'x', null) error, "
+        "timestamp'2024-01-01 00:00:00' start_ts, id / 10D ttft_seconds, id + 1D total_latency_seconds, "
+        "10L prompt_tokens, 5L completion_tokens, 2D tokens_per_second_generation, 3D tokens_per_second_prompt from range(5)"
+    )
+    row = run_report(rows).first()
+    assert (row.num_samples, row.accuracy, row.score, row.total_requests, row.failed_requests) == (5, 0.6, 0.5, 5, 1)
+    assert (row.total_prompt_tokens, row.wall_time_seconds, row.effective_throughput_rps) == (40, 5.0, 0.8)
+    assert round(row.ttft_p50, 9) == 0.15 and (row.latency_p50, row.generation_tps_p50) == (2.5, 2.0)

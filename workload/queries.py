@@ -29,7 +29,8 @@ from plumbline.operators import (
 from plumbline.operators.layout import spread
 from plumbline.operators.ordinals import first_rows, with_ordinal
 from plumbline.operators.rows import exploded
-from plumbline.plans import compare
+from plumbline.plans import compare, logged
+from plumbline.plans.report import run_report
 from plumbline.plans.suites import Suite, get_suite, run_summary, score_suite
 from plumbline.session import shared_path
 from plumbline.sources import adapters, catalog, results
@@ -1252,16 +1253,7 @@ def result_rows(spark, sf_dir):
 
 
 def _run_summaries(spark, sf_dir):
-    rows = _run_results(spark, sf_dir)
-    by = ["suite", "model"]
-    interval = quality.with_interval(rows, by)
-    requests_part = requests.request_summary(rows, by)
-    shares = percentiles.exact_percentiles(
-        rows.filter(F.col("error").isNull()), by, {"ttft": ("ttft_seconds", (50, 95)), "latency": ("total_latency_seconds", (95,))}
-    )
-    speed = requests.throughput(rows, by).select(*by, "wall_time_seconds", "effective_throughput_rps")
-    joined = interval.join(requests_part, by).join(shares, by, "left").join(speed, by)
-    return joined.withColumn("score", F.col("accuracy"))
+    return run_report(_run_results(spark, sf_dir))
 
 
 _RUN_SUMMARIES = f"""SELECT suite, model, count(*) AS num_samples, avg(correct::int) AS accuracy,
@@ -1431,6 +1423,54 @@ def suite_bfcl(spark, sf_dir):
     return _suite(spark, sf_dir, "bfcl", raw, "event_id").select("sample_id", "correct")
 
 
+@query(
+    "suite_humaneval",
+    f"""SELECT task_id AS sample_id, coalesce(r.exit_code = 0, false) AS correct,
+    substr(completion, 1, 500) AS predicted, 'passes ' || entry_point || ' tests' AS expected
+    FROM ({_PROGRAMS}) p LEFT JOIN {table(fx.code_runs)} r USING (doc_id)""",
+)
+def suite_humaneval(spark, sf_dir):
+    raw = frame(spark, sf_dir, fx.code_answers, spread_out=True)
+    runs = frame(spark, sf_dir, fx.code_runs).withColumn(
+        "sample_id", F.concat(F.lit("task/"), "doc_id")
+    )
+    responses = raw.select(F.col("task_id").alias("sample_id"), "response")
+    scored = logged.score_code(adapters.code_samples(raw, "doc_id"), responses, runs)
+    return scored.select("sample_id", "correct", "predicted", "expected")
+
+
+def _prefixed(rows: DataFrame, suite: str) -> DataFrame:
+    return rows.withColumn("sample_id", F.concat(F.lit(f"{suite}_"), F.col("sample_id")))
+
+
+@query(
+    "suite_tau_bench",
+    f"""WITH e AS (SELECT sample_id, list(name ORDER BY idx) AS l FROM ({_ACTIONS}) GROUP BY sample_id),
+    w AS (SELECT sample_id, list(name ORDER BY idx) AS l FROM ({_EXPECTED_ACTIONS}) GROUP BY sample_id)
+    SELECT 'tau_bench_' || t.sample_id AS sample_id, w.l IS NULL OR coalesce(e.l = w.l, false) AS correct,
+    coalesce(len(e.l), 0) AS num_actions, substr(expected_actions, 1, 300) AS expected
+    FROM {TASKS} t LEFT JOIN e USING (sample_id) LEFT JOIN w USING (sample_id)""",
+)
+def suite_tau_bench(spark, sf_dir):
+    raw = frame(spark, sf_dir, fx.agent_tasks).drop("sample_id")
+    turns_log = _prefixed(_action_turns(spark, sf_dir), "tau_bench")
+    scored = logged.score_agents(adapters.action_samples(raw, "conv_id"), turns_log)
+    return scored.select("sample_id", "correct", "num_actions", "expected")
+
+
+@query(
+    "suite_terminal_bench",
+    f"""{_DIALOGUE} SELECT 'terminal_bench_' || t.sample_id AS sample_id,
+    t.validation = '' OR t.exit_code = 0 AS correct, coalesce(n.num_turns, 0) AS num_turns
+    FROM {TASKS} t LEFT JOIN (SELECT sample_id, count(*) AS num_turns FROM k GROUP BY sample_id) n USING (sample_id)""",
+)
+def suite_terminal_bench(spark, sf_dir):
+    checks = _prefixed(frame(spark, sf_dir, fx.agent_tasks), "terminal_bench")
+    turns_log = _prefixed(frame(spark, sf_dir, fx.assistant_turns), "terminal_bench")
+    scored = logged.score_shell(_terminal(spark, sf_dir), turns_log, checks)
+    return scored.select("sample_id", "correct", "num_turns")
+
+
 @query(
     "rule_items",
     f"""SELECT doc_id, unnest([0, 1, 2]::BIGINT[]) AS pos, unnest(['punctuation:no_comma', 'detectable_format:title',
