@@ -7,6 +7,7 @@ Samples without a log entry are wrong unless the suite says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -77,8 +78,13 @@ def score_shell(samples: DataFrame, turns: DataFrame, checks: DataFrame) -> Data
     )
 
 
-def score_patches(samples: DataFrame, responses: DataFrame, tests: DataFrame) -> DataFrame:
-    """Patches: a patch must be found in the response and its tests must pass."""
+def score_patches(
+    samples: DataFrame, responses: DataFrame, tests: DataFrame, order: Sequence[str] = ("pos",)
+) -> DataFrame:
+    """Patches: a patch must be found in the response and its tests must pass.
+
+    ``order`` names the columns that order the regression tests of a sample.
+    """
     found = verdicts.extracted_patches(responses.select(KEY, "response")).select(
         KEY,
         (F.coalesce(F.col("patch"), F.lit("")) != "").alias("has_patch"),
@@ -87,7 +93,7 @@ def score_patches(samples: DataFrame, responses: DataFrame, tests: DataFrame) ->
         .alias("predicted"),
     )
     tasks = samples.select(KEY).join(found, KEY, "left")
-    outcome = verdicts.score_test_verdicts(tasks, tests, ("pos",), KEY)
+    outcome = verdicts.score_test_verdicts(tasks, tests, order, KEY)
     return outcome.join(tasks.select(KEY, "has_patch", "predicted"), KEY).select(
         *outcome.columns,
         F.coalesce("predicted", F.lit("")).alias("predicted"),

@@ -421,6 +421,14 @@ def patch_tasks(d: Dialect) -> str:
     FROM @orders"""
 
 
+def patch_answers(d: Dialect) -> str:
+    return f"""
+    SELECT instance_id AS sample_id, CASE WHEN has_patch
+      THEN concat('Fix: {FENCE}diff', chr(10), '+', problem_statement, chr(10), '{FENCE}')
+      ELSE concat('No patch for ', problem_statement) END AS response
+    FROM ({patch_tasks(d)}) t"""
+
+
 def test_log(d: Dialect) -> str:
     return """
     SELECT l_orderkey AS sample_id, CASE WHEN l_linenumber <= 2 THEN 'f2p' ELSE 'p2p' END AS kind,

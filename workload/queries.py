@@ -1471,6 +1471,32 @@ def suite_terminal_bench(spark, sf_dir):
     return scored.select("sample_id", "correct", "num_turns")
 
 
+@query(
+    "suite_swe_bench",
+    f"""WITH f AS (SELECT sample_id, bool_and(passed) AS f2p FROM {TESTS} WHERE kind = 'f2p' GROUP BY sample_id),
+    p AS (SELECT sample_id, bool_and(passed) AS p2p FROM (SELECT *, row_number() OVER (
+      PARTITION BY sample_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM {TESTS} WHERE kind = 'p2p')
+      WHERE rn <= 10 GROUP BY sample_id)
+    SELECT instance_id AS sample_id, has_patch AND coalesce(f2p, false) AND coalesce(p2p, true) AS correct,
+    CASE WHEN has_patch THEN substr('+' || problem_statement, 1, 500)
+      ELSE substr('No patch for ' || problem_statement, 1, 300) END AS predicted,
+    CASE WHEN has_patch THEN 'passing tests' ELSE '' END AS expected,
+    CASE WHEN NOT has_patch THEN 'No patch extracted from response' END AS error
+    FROM {PATCH_TASKS} o LEFT JOIN f ON o.o_orderkey = f.sample_id LEFT JOIN p ON o.o_orderkey = p.sample_id""",
+)
+def suite_swe_bench(spark, sf_dir):
+    log = frame(spark, sf_dir, fx.test_log).withColumn(
+        "sample_id", F.concat(F.lit("issue-"), "sample_id")
+    )
+    scored = logged.score_patches(
+        _patches(spark, sf_dir),
+        frame(spark, sf_dir, fx.patch_answers),
+        log,
+        order=("l_linenumber", "l_partkey", "l_suppkey"),
+    )
+    return scored.select("sample_id", "correct", "predicted", "expected", "error")
+
+
 @query(
     "rule_items",
     f"""SELECT doc_id, unnest([0, 1, 2]::BIGINT[]) AS pos, unnest(['punctuation:no_comma', 'detectable_format:title',
