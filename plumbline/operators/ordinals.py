@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 8_192
 # Up to this many rows, one task numbers the table.
-ONE_TASK_ROWS = 20_000
+ONE_TASK_ROWS = 2_000
 ORDERED_KINDS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "timestamp")
 
 
