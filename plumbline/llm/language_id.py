@@ -26,16 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_texts, schema_of, texts_of
+from plumbline.llm.common import map_texts, schema_of, stored, texts_of
 
 ORDER = 4
-MAX_GRAMS = 400_000
+MAX_GRAMS = 200_000
 UNDETERMINED = "und"
 
 # Bytes of text coded at once, and grams whose costs a task remembers.
 PIECE = 1 << 20
 REMEMBERED = 1 << 21
 
+# Shares in which a language's grams of one order reach the driver.
+SHARES = 16
+
 _PAD = b"\0" * ORDER
 
 
@@ -104,8 +107,8 @@ def count_grams(docs: DataFrame, text_column: str, lang_column: str) -> DataFram
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def tree_counts(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts of the grams of every order with their level, and grams per level.
+def tree_counts(counted: DataFrame) -> DataFrame:
+    """Counts of the grams of every order with their level.
 
     A level is a sixteenth of an octave of counts: few levels, whatever the counts.
     """
@@ -114,29 +117,60 @@ def tree_counts(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     shorter = F.col("gram").bitwiseAND(F.element_at(F.array(*(F.lit(int(_mask(k))) for k in range(ORDER + 1))), F.col("ord") + 1))
     every = spread.groupBy("lang", "ord", shorter.alias("gram")).agg(F.sum("n").alias("n"))
     level = F.floor(F.log2("n") * 16)
-    sizes = every.groupBy("lang", "ord", level.alias("level")).agg(F.count("*").alias("grams"))
-    return every.withColumn("level", level), sizes
+    return every.withColumn("level", level)
+
+
+def _pack(group: pa.Table) -> pa.Table:
+    """One row of a share of a language's grams of one order, and their counts."""
+    return pa.table(
+        {
+            "lang": group.column("lang").slice(0, 1),
+            "ord": group.column("ord").slice(0, 1),
+            "grams": pa.array([group.column("gram").to_numpy().tobytes()], pa.binary()),
+            "counts": pa.array([group.column("n").to_numpy().tobytes()], pa.binary()),
+        }
+    )
 
 
-def _collect(counted: DataFrame, max_grams: int) -> pd.DataFrame:
-    every, sizes = tree_counts(counted)
-    rows = sizes.toPandas()
-    floors = []
-    for (lang, order), part in rows.groupby(["lang", "ord"]):
-        part = part.sort_values("level", ascending=False)
-        inside = part[part["grams"].cumsum() <= max_grams]
-        lowest = inside["level"].min() if len(inside) else part["level"].max() + 1
-        floors.append((lang, int(order), int(lowest)))
-    if not floors:
-        return pd.DataFrame({"lang": [], "ord": [], "gram": [], "n": []})
+Counts = dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]
+
+
+def _collect(counted: DataFrame, max_grams: int) -> Counts:
+    """Grams and counts by language and order; at most ``max_grams`` of each."""
+    every = stored(tree_counts(counted), "grams")
+    sizes = every.groupBy("lang", "ord", "level").agg(F.count("*").alias("grams"))
     spark = counted.sparkSession
+    by: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in sizes.collect():
+        by.setdefault((r.lang, r.ord), []).append((r.level, r.grams))
+    floors = []
+    for (lang, order), levels in by.items():
+        room, lowest = max_grams, max(levels)[0] + 1
+        for level, size in sorted(levels, reverse=True):
+            room -= size
+            if room < 0:
+                break
+            lowest = level
+        floors.append((lang, order, lowest))
     limits = spark.createDataFrame(floors, "lang string, ord int, floor bigint")
-    return (
+    # Above the floor a group is small by choice of the floor; shares of it are packed.
+    packed = (
         every.join(F.broadcast(limits), ["lang", "ord"])
         .filter("level >= floor")
         .select("lang", "ord", "gram", "n")
-        .toPandas()
+        .groupBy("lang", "ord", F.pmod(F.xxhash64("gram"), F.lit(SHARES)))
+        .applyInArrow(_pack, "lang string, ord int, grams binary, counts binary")
     )
+    shares: dict[tuple[str, int], list] = {}
+    for r in packed.collect():
+        shares.setdefault((r.lang, r.ord), []).append((r.grams, r.counts))
+    out: Counts = {}
+    for (lang, order), parts in shares.items():
+        gram = np.frombuffer(b"".join(g for g, _ in parts), np.int64)
+        n = np.frombuffer(b"".join(c for _, c in parts), np.int64)
+        at = np.argsort(gram)
+        out.setdefault(lang, {})[order] = (gram[at], n[at])
+    return out
 
 
 class Tree:
@@ -204,16 +238,9 @@ def _find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class LanguageModel:
     """Trees of all languages, and what a task remembers of their costs."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(set(counts["lang"]))
-        self.trees = []
-        for lang in self.langs:
-            own = counts[counts["lang"] == lang]
-            by_order = {}
-            for order, part in own.groupby("ord"):
-                part = part.sort_values("gram")
-                by_order[int(order)] = (part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64))
-            self.trees.append(Tree(by_order))
+    def __init__(self, counts: Counts):
+        self.langs = sorted(counts)
+        self.trees = [Tree(counts[lang]) for lang in self.langs]
 
     def scorer(self):
         known, costs = np.empty(0, np.int64), np.empty((len(self.langs), 0))
@@ -288,3 +315,24 @@ def predict(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("
 
     source = docs.select(*keep, F.col(text_column).alias("_coded"))
     return map_texts(source, source.columns, schema, start)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, *, text_column="text", min_score: float = 0.0) -> DataFrame:
+    """``docs`` without texts that are ``und`` or whose posterior is below ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, some = docs.columns.index(text_column), bool(model.langs)
+
+    def start():
+        score = shared.value.scorer() if some else None
+
+        def work(batch: pa.RecordBatch):
+            texts = texts_of(batch.column(at))
+            keep = np.fromiter(map(has_letter, texts), bool, len(texts)) & some
+            if min_score > 0 and keep.any():
+                bits = score(texts)
+                keep &= 1 / np.exp2(bits.min(axis=0) - bits).sum(axis=0) >= min_score
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return work
+
+    return map_texts(docs, docs.columns, docs.schema, start)
