@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import configure
-from plumbline.llm import bpe, decontaminate, exact_dedup, language_id
+from plumbline.llm import bpe, decontaminate, exact_dedup, html_text, jaccard, language_id, lattice_lm, quality, secrets, substring
 from plumbline.llm.common import prepare, split_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -96,3 +97,41 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_secrets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = split_of("doc_id", 3) == 1
+    measured = quality.measure(docs.withColumn("held_out", held_out), keep=("doc_id", "held_out"))
+    model = quality.train(measured.filter(~F.col("held_out")), labels)
+    return quality.score(measured, model, keep=("doc_id", "held_out"))
+
+
+@query("op9_ngram_jaccard")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lattice_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = split_of("doc_id", 10) != 0
+    docs = table(spark, sf_dir, "documents").withColumn("_learn", learn)
+    scored = lattice_lm.score(docs, "_learn", PIECES)
+    return scored.withColumn("held_out", ~F.col("_learn")).drop("_learn")
