@@ -355,7 +355,9 @@ def similarity_classes(
     usable = known.filter(F.col(id_column).isNotNull() & (F.col("_n") > 0))
     classes = usable.groupBy("_digest").agg(F.min(id_column).alias("_of"), F.count("*").alias("_many"))
     classes = stored(classes.filter("_many > 1").drop("_many"), "classes")
-    member = known.join(classes, "_digest", "left").withColumn("_rep", F.coalesce("_of", F.col(id_column)))
+    member = known.join(classes, "_digest", "left").withColumn(
+        "_rep", F.when(F.col(id_column).isNotNull(), F.coalesce("_of", F.col(id_column)))
+    )
 
     alone = member.filter(F.col("_of").isNull() & F.col(id_column).isNotNull())
     # One row stands for a class, also where rows repeat its id.
