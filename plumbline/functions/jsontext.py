@@ -21,6 +21,19 @@ _OPENING = r"^[ \t\n\r]*(?:[\[{\"0-9\-]|true|false|null)"
 _OPENING_OR_BARE = r"^[ \t\n\r]*(?:[\[{\"0-9\-]|true|false|null|NaN|Infinity)"
 
 
+# The VARIANT parser gives NULL above its size limit (128 MB). Texts longer than
+# this are tested by the streaming parser, which has no limit; it also takes
+# single quotes.
+LARGE = 64 << 20
+
+
+def _is_large_json(text: Column) -> Column:
+    """True where a text of any size is exactly one JSON value."""
+    items = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
+    members = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.coalesce((items == 1) & members.isNotNull(), F.lit(False))
+
+
 def _wrapped(text: Column) -> tuple[Column, Column]:
     as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
@@ -33,16 +46,23 @@ def is_json(text: Column) -> Column:
     plain = F.when(has_bare, F.regexp_replace(text, _BARE_NUMBER, "0")).otherwise(text)
     as_item, as_member = _wrapped(plain)
     one = F.size(F.try_variant_get(as_item, "$", "array<variant>")) == 1
-    valid = F.when(F.rlike(text, F.lit(_OPENING_OR_BARE)), one & as_member.isNotNull())
+    small = F.when(F.rlike(text, F.lit(_OPENING_OR_BARE)), one & as_member.isNotNull())
+    valid = F.when(F.octet_length(text) > LARGE, _is_large_json(plain)).otherwise(small)
     return F.coalesce(valid, F.lit(False))
 
 
 def parse(text: Column) -> Column:
-    """VARIANT value of a JSON text; NULL where it is not exactly one value."""
+    """VARIANT value of a JSON text; NULL where it is not exactly one value.
+
+    A valid text above the size limit of a VARIANT is an error, not a NULL.
+    """
     as_item, as_member = _wrapped(text)
     one = F.size(F.try_variant_get(as_item, "$", "array<variant>")) == 1
     opens = F.rlike(text, F.lit(_OPENING))
-    return F.when(opens & one, F.try_variant_get(as_member, "$.v", "variant"))
+    too_large = (F.octet_length(text) > LARGE) & as_item.isNull() & _is_large_json(text)
+    return F.when(
+        too_large, F.raise_error(F.lit("a JSON text above the size limit of a VARIANT")).cast("variant")
+    ).when(opens & one, F.try_variant_get(as_member, "$.v", "variant"))
 
 
 def parse_or_empty_object(text: Column) -> Column:

@@ -12,6 +12,7 @@ from plumbline.operators.rows import exploded
 # Echo length, most turns of an agent run.
 ECHO = 300
 MAX_TURNS = 20
+NOT_COMPARABLE = "calls cannot be compared"
 
 
 def predicted_text(content: Column, tool_calls: Column) -> Column:
@@ -36,8 +37,10 @@ def score_calls(
 
     Each row carries its own calls, so no join or grouping is needed. A call
     list with a non-literal argument, or with an item that is no object, is
-    wrong and marked in ``error``.
+    wrong and marked in ``error`` and ``raised``. An error the row brings
+    along stays.
     """
+    known = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
     rows = with_calls(answers, predicted, "_said")
     rows = with_calls(rows, expected, "_wanted", quoted=True)
     said, wanted = F.col("_said"), F.col("_wanted")
@@ -52,11 +55,10 @@ def score_calls(
                 "num_predicted": num_said.cast("bigint"),
                 "num_expected": num_wanted.cast("bigint"),
                 "predicted": F.substring(F.to_json(said.calls), 1, ECHO),
-                "error": F.when(
-                    said.failed | wanted.failed | malformed, "calls cannot be compared"
-                ),
+                "raised": known.isNull() & F.coalesce(said.failed | wanted.failed | malformed, F.lit(False)),
             }
         )
+        .withColumn("error", F.coalesce(known, F.when(F.col("raised"), NOT_COMPARABLE)))
         .withColumn("score", F.col("correct").cast("double"))
         .drop("_said", "_wanted")
     )
@@ -74,18 +76,23 @@ def calls_long(table: DataFrame, key: str, text: str = "response") -> DataFrame:
 TOOL_CALLS = "array<struct<name:string,arguments:string>>"
 
 
-def actions_long(turns: DataFrame, key: str = "sample_id") -> DataFrame:
+def _turns_of(turns: DataFrame, max_turns: int | None) -> DataFrame:
+    return turns if max_turns is None else turns.filter(F.col("turn") < max_turns)
+
+
+def actions_long(
+    turns: DataFrame, key: str = "sample_id", max_turns: int | None = None
+) -> DataFrame:
     """Executed actions in order: ``idx`` counts through all turns of a sample.
 
     ``turns`` has ``turn`` (0-based, unique per sample) and ``tool_calls``.
-    Turns from ``MAX_TURNS`` on are not part of a run, so the running count
-    sees at most that many rows per sample. Arguments that are not JSON
-    become ``{}``.
+    Whatever was logged counts; ``max_turns`` leaves later turns out. Arguments
+    that are not JSON become ``{}``.
     """
     window = Window.partitionBy(key).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     made = F.greatest(F.size("tool_calls"), F.lit(0)).cast("bigint")
     counted = (
-        turns.filter(F.col("turn") < MAX_TURNS)
+        _turns_of(turns, max_turns)
         .select(key, "turn", "tool_calls", made.alias("_made"))
         .withColumn("_before", F.coalesce(F.sum("_made").over(window), F.lit(0)))
     )
@@ -130,14 +137,16 @@ def expects_nothing(text: Column) -> Column:
     return value.isNull() | empty | zero
 
 
-def score_actions(samples: DataFrame, turns: DataFrame, key: str = "sample_id") -> DataFrame:
+def score_actions(
+    samples: DataFrame, turns: DataFrame, key: str = "sample_id", max_turns: int | None = None
+) -> DataFrame:
     """Names must agree pairwise, in order and in number; none expected passes.
 
     The sequences are equal when every (position, name) occurs equally often
     on both sides. Grouping by sample, position and name spreads even one very
     long sequence over the cluster; then it shrinks to counts per sample.
     """
-    executed = actions_long(turns, key).select(
+    executed = actions_long(turns, key, max_turns).select(
         key, "idx", "name", F.lit(1).alias("e"), F.lit(0).alias("w")
     )
     wanted = expected_actions_long(samples, key).select(
@@ -154,7 +163,7 @@ def score_actions(samples: DataFrame, turns: DataFrame, key: str = "sample_id")
         F.sum("w").alias("_w"),
     )
     num_turns = (
-        turns.filter(F.col("turn") < MAX_TURNS)
+        _turns_of(turns, max_turns)
         .groupBy(key)
         .agg(F.count("*").alias("num_turns"))
     )

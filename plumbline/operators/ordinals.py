@@ -1,8 +1,9 @@
 """Row numbers without a single-task sort.
 
 ``row_number() OVER (ORDER BY key)`` moves the whole table into one task.
-Here the key range is cut into buckets of similar size, rows are numbered
-inside their bucket, and each bucket starts where the previous ones end.
+Here sampled keys cut the key range into buckets of similar size, rows are
+numbered inside their bucket, and each bucket starts where the previous ones
+end. Tables of every size and keys of every orderable type go the same way.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 100_000
+# Borders are part of the plan; a bucket of a very large table is larger.
 MAX_BUCKETS = 8_192
-# Up to this many rows, one task numbers the table.
-ONE_TASK_ROWS = 2_000
-ORDERED_KINDS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "timestamp")
+# Keys sampled for each border.
+SAMPLED = 20
 
 
 def with_ordinal(
@@ -28,60 +29,58 @@ def with_ordinal(
 ) -> DataFrame:
     """Add the 0-based position of each row in the order of the unique ``key``.
 
-    Only the number of rows, the bucket borders and one count per bucket (at
-    most ``MAX_BUCKETS``) reach the driver. Larger tables get at least one
-    bucket per core.
+    A NULL key comes first. Runs two small jobs while the plan is built: the
+    number of rows with a sample of keys (``SAMPLED`` per bucket), and one
+    count per bucket. Which keys are sampled changes sizes of buckets, never
+    a position.
     """
-    total = table.count()
-    if total <= min(rows_per_bucket, ONE_TASK_ROWS):
-        window = Window.partitionBy(F.lit(0)).orderBy(key)
-        return table.withColumn(name, F.row_number().over(window).cast("bigint") - 1)
-
     cores = table.sparkSession.sparkContext.defaultParallelism
+    total = table.count()
     buckets = min(max(ceil(total / rows_per_bucket), cores), MAX_BUCKETS)
-    kind = dict(table.dtypes)[key]
-    if not kind.startswith(ORDERED_KINDS):
-        raise ValueError(f"ordering key {key!r} must be a number or a timestamp, not {kind}")
-    position = F.unix_micros(key) if kind.startswith("timestamp") else F.col(key)
-    shares = [i / buckets for i in range(1, buckets)]
-    borders = sorted(
-        set(
-            table.select(position.cast("double").alias("k")).approxQuantile(
-                "k", shares, 1 / (4 * buckets)
-            )
-        )
+    share = min(1.0, SAMPLED * buckets / max(total, 1))
+    keys = sorted(
+        r[0] for r in table.select(key).filter(F.col(key).isNotNull()).sample(share, 7).collect()
     )
-    placed = table.withColumn("_bucket", _bucket_of(position.cast("double"), borders))
+    borders = sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)}) if keys else []
+    placed = table.withColumn("_bucket", _bucket_of(F.col(key), borders))
     counts = dict(placed.groupBy("_bucket").count().collect())
-    sizes = [counts.get(b, 0) for b in range(len(borders) + 1)]
+    sizes = [counts.get(b, 0) for b in range(-1, len(borders) + 1)]
     starts = list(accumulate(sizes, initial=0))[:-1]
-    start = F.get(F.lit(starts), F.col("_bucket"))
+    start = F.get(F.lit(starts), F.col("_bucket") + 1)
     window = Window.partitionBy("_bucket").orderBy(key)
     within = F.row_number().over(window).cast("bigint") - 1
     return placed.withColumn(name, start + within).drop("_bucket")
 
 
-def _bucket_of(position: Column, borders: list[float]) -> Column:
-    """Number of borders at or below ``position``, by halving the border list."""
+def _bucket_of(position: Column, borders: list) -> Column:
+    """Number of borders at or below ``position``; -1 for NULL."""
 
     def search(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(position < borders[middle], search(low, middle)).otherwise(
+        return F.when(position < F.lit(borders[middle]), search(low, middle)).otherwise(
             search(middle + 1, high)
         )
 
     # Long border lists are searched in two steps to keep the expression small.
     if len(borders) <= 64:
-        return search(0, len(borders))
-    listed = F.lit(borders)
-    step = ceil(len(borders) ** 0.5)
-    coarse = F.size(F.filter(F.lit(borders[step - 1 :: step]), lambda b: b <= position)) * step
-    fine = F.size(F.filter(F.slice(listed, coarse + 1, step), lambda b: b <= position))
-    return coarse + fine
+        found = search(0, len(borders))
+    else:
+        listed = F.array(*map(F.lit, borders))
+        step = ceil(len(borders) ** 0.5)
+        firsts = F.array(*map(F.lit, borders[step - 1 :: step]))
+        coarse = F.size(F.filter(firsts, lambda b: b <= position)) * step
+        found = coarse + F.size(F.filter(F.slice(listed, coarse + 1, step), lambda b: b <= position))
+    return F.when(position.isNull(), -1).otherwise(found)
+
+
+def numbered(table: DataFrame, key: str, n: int | None, name: str = "ordinal") -> DataFrame:
+    """``table`` with positions by ``key``; its first ``n`` rows (None and 0: all)."""
+    rows = with_ordinal(table, key, name)
+    return rows.filter(F.col(name) < n) if n else rows
 
 
 def first_rows(table: DataFrame, key: str, n: int | None) -> DataFrame:
     """The first ``n`` rows by ``key``; None and 0 both mean all rows."""
-    return table.orderBy(key).limit(n) if n else table
+    return numbered(table, key, n, "_position").drop("_position") if n else table

@@ -1,10 +1,11 @@
 """Exact percentiles of groups of any size.
 
 The built-in ``percentile`` keeps a map of all distinct values of a group in
-one task. Here a mergeable sketch first brackets every wanted rank; one more
-pass counts the values inside the brackets one by one and all others in bulk.
-What is then sorted per group is the content of the brackets, a small share
-of the group, and the result is the exact value with linear interpolation.
+one task. Here a mergeable sketch gives a few borders near every wanted rank;
+they cut a group into buckets. Buckets are counted exactly, so the bucket that
+holds a rank is known for certain, and only the values of those buckets are
+put in order. A border that is far off makes a bucket larger, never a result
+wrong. The method is the same for every size and stores nothing.
 """
 
 from __future__ import annotations
@@ -15,10 +16,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import shared_path
-
-# Groups up to this size are counted value by value without brackets.
-SMALL_GROUP = 100_000
 # Relative rank error of the sketch is 1 / ACCURACY.
 ACCURACY = 50_000
 
@@ -28,13 +25,12 @@ def exact_percentiles(
     by: Sequence[str],
     wanted: Mapping[str, tuple[str, Sequence[int]]],
     *,
-    small_group: int = SMALL_GROUP,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per group with columns ``{prefix}_p{share}``.
 
     ``wanted`` maps an output prefix to (input column, percent shares). NULL
-    values are ignored; a measure without values gives NULL.
+    values are ignored; a measure without values gives NULL. NULL is a group.
     """
     by = list(by)
     pairs = [x for prefix, (column, _) in wanted.items() for x in (F.lit(prefix), F.col(column))]
@@ -43,62 +39,65 @@ def exact_percentiles(
         *by, F.stack(F.lit(len(wanted)), *pairs).alias("_measure", "_value")
     )
     shares = sorted({s for _, marks in wanted.values() for s in marks})
+    keys = [*by, "_measure"]
 
-    # Pass 1: group sizes and brackets. The table is written, so that Spark
-    # knows its size and decides by it whether it may be broadcast.
+    # Group sizes, and a border on either side of every wanted rank.
     margin = 4 / accuracy
-    bounds = [b for s in shares for b in (max(s / 100 - margin, 0.0), min(s / 100 + margin, 1.0))]
-    sketch = long.groupBy(*by, "_measure").agg(
+    marks = [b for s in shares for b in (max(s / 100 - margin, 0.0), min(s / 100 + margin, 1.0))]
+    sketch = long.groupBy(*keys).agg(
         F.count("_value").alias("_n"),
-        F.percentile_approx("_value", bounds, accuracy).alias("_bounds"),
-    )
-    path = shared_path(table.sparkSession, "brackets")
-    sketch.write.parquet(path)
-    brackets = table.sparkSession.read.schema(sketch.schema).parquet(path)
-
-    # Pass 2: count inside the brackets by value, outside by gap.
-    small = F.col("_n") <= small_group
-    spans = [(F.get("_bounds", F.lit(2 * i)), F.get("_bounds", F.lit(2 * i + 1))) for i in range(len(shares))]
-    inside = reduce(
-        lambda a, b: a | b, [F.col("_value").between(low, high) for low, high in spans], small
-    )
-    floor = F.lit(float("-inf"))
-    anchor = F.greatest(
-        floor, *[F.when(F.col("_value") > high, high).otherwise(floor) for _, high in spans]
+        F.percentile_approx("_value", marks, accuracy).alias("_borders"),
     )
-    keys = [*by, "_measure"]
-    values = long.filter(F.col("_value").isNotNull())
-    joined = _null_safe_join(values, brackets, keys)
+
+    # Exact counts per value, then per bucket. A value equal to a border lies
+    # below it, so ties never straddle buckets.
+    borders = [F.get("_borders", F.lit(i)) for i in range(len(marks))]
+    bucket = reduce(lambda a, b: a + b, [(F.col("_value") > b).cast("int") for b in borders])
+    values = _null_safe_join(long.filter(F.col("_value").isNotNull()), sketch, keys)
     counts = (
-        joined.select(
-            *keys,
-            "_n",
-            (~inside).alias("_gap"),
-            F.when(inside, F.col("_value")).otherwise(anchor).alias("_anchor"),
-        )
-        .groupBy(*keys, "_n", "_anchor", "_gap")
+        values.withColumn("_bucket", bucket)
+        .groupBy(*keys, "_n", "_bucket", "_value")
         .agg(F.count("*").alias("_count"))
     )
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (
+        counts.groupBy(*keys, "_n", "_bucket")
+        .agg(F.sum("_count").alias("_size"))
+        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    )
+    ranks = [r for s in shares for r in (F.floor(_position(s)), F.ceil(_position(s)))]
+    holds = reduce(
+        lambda a, b: a | b,
+        [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")) for r in ranks],
+    )
+    needed = sizes.filter(holds).select(*keys, "_bucket", "_before")
+
+    # Only the values of needed buckets are ordered, bucket by bucket.
     ordered = (
-        Window.partitionBy(*keys)
-        .orderBy("_anchor", "_gap")
+        Window.partitionBy(*keys, "_bucket")
+        .orderBy("_value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    reached = counts.withColumn("_reached", F.sum("_count").over(ordered))
-
+    picked = _null_safe_join(counts, needed, [*keys, "_bucket"]).withColumn(
+        "_reached", F.col("_before") + F.sum("_count").over(ordered)
+    )
     outputs = [
         _interpolated(prefix, share).alias(f"{prefix}_p{share}")
-        for prefix, (_, marks) in wanted.items()
-        for share in marks
+        for prefix, (_, own) in wanted.items()
+        for share in own
     ]
-    result = reached.groupBy(*by).agg(*outputs)
+    result = picked.groupBy(*by).agg(*outputs)
     if not by:
         return result
-    # Groups without any value keep their row; the brackets know all groups.
-    groups = brackets.select(*by).distinct()
+    # Groups without any value keep their row; the sketch knows all groups.
+    groups = sketch.select(*by).distinct()
     return _null_safe_join(groups, result, by, "left")
 
 
+def _position(share: int) -> Column:
+    return (F.col("_n") - 1) * F.lit(share / 100)
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL group keys meet each other."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -110,21 +109,16 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 def _interpolated(prefix: str, share: int) -> Column:
     mine = F.col("_measure") == prefix
-    position = (F.col("_n") - 1) * F.lit(share / 100)
-    below, above = (
-        F.min(F.when(mine & (F.col("_reached") > rank), F.struct("_anchor", "_gap")))
+    position = _position(share)
+    low, high = (
+        F.min(F.when(mine & (F.col("_reached") > rank), F.col("_value")))
         for rank in (F.floor(position), F.ceil(position))
     )
     weight = F.max(F.when(mine, position - F.floor(position)))
-    low, high = below["_anchor"], above["_anchor"]
     # Measured from the nearer end, which keeps the last digit of the result.
-    value = F.when(weight < 0.5, low + (high - low) * weight).otherwise(
+    return F.when(weight < 0.5, low + (high - low) * weight).otherwise(
         high - (high - low) * (1 - weight)
     )
-    missed = below["_gap"] | above["_gap"]
-    return F.when(
-        missed, F.raise_error(F.lit("a rank fell outside its bracket; raise the accuracy"))
-    ).otherwise(value)
 
 
 def approx_percentiles(

@@ -70,7 +70,7 @@ def score_mixed(answers: DataFrame) -> DataFrame:
 
 
 def score_retrieval(answers: DataFrame) -> DataFrame:
-    """Exact and containment match, both flags kept; texts are cut for echo."""
+    """Exact and containment match, both flags kept; the response is cut for echo."""
     prepared = answers.withColumns(
         {"_said": normalize(F.col("response")), "_wanted": normalize(F.col("expected"))}
     ).withColumns(
@@ -121,10 +121,5 @@ def _outcome(rows: DataFrame, correct: Column, predicted: Column) -> DataFrame:
 
 
 def _echoed(rows: DataFrame) -> DataFrame:
-    """Cut the two echoed texts; the full ones have been scored already."""
-    return rows.withColumns(
-        {
-            "predicted": F.substring("predicted", 1, ECHO),
-            "expected": F.substring("expected", 1, ECHO),
-        }
-    )
+    """Cut the echo of the response; the stored expected answer stays whole."""
+    return rows.withColumn("predicted", F.substring("predicted", 1, ECHO))

@@ -48,11 +48,13 @@ def score_programs(answers: DataFrame, runs: DataFrame, key: str = "sample_id")
     )
 
 
-def dialogue_turns(turns: DataFrame, key: str = "sample_id") -> DataFrame:
+def dialogue_turns(
+    turns: DataFrame, key: str = "sample_id", max_turns: int | None = None
+) -> DataFrame:
     """Turns of a shell dialogue up to its stop, with ``command`` and ``stops``.
 
     A dialogue stops at the first turn without a command, or with exit code 0
-    and "done" in the response, or after ``TERMINAL_TURNS`` turns. The stop is
+    and "done" in the response; ``max_turns`` leaves later turns out. The stop is
     found by a grouped minimum and joined back: a window would gather a whole
     dialogue in one task.
     """
@@ -60,7 +62,7 @@ def dialogue_turns(turns: DataFrame, key: str = "sample_id") -> DataFrame:
     finished = (F.col("exit_code") == 0) & F.contains(F.lower("response"), F.lit("done"))
     no_command = F.coalesce(F.col("command") == "", F.lit(True))
     marked = (
-        turns.filter(F.col("turn") < TERMINAL_TURNS)
+        (turns if max_turns is None else turns.filter(F.col("turn") < max_turns))
         .withColumn("command", command)
         .withColumn("stops", no_command | F.coalesce(finished, F.lit(False)))
     )
@@ -115,12 +117,16 @@ def first_tests(
 
 
 def score_test_verdicts(
-    samples: DataFrame, verdicts: DataFrame, order: Sequence[str] = ("pos",), key: str = "sample_id"
+    samples: DataFrame,
+    verdicts: DataFrame,
+    order: Sequence[str] = ("pos",),
+    key: str = "sample_id",
+    regression_tests: int | None = None,
 ) -> DataFrame:
     """Patch outcome from test verdicts (``kind, passed`` and the order columns).
 
-    All ``f2p`` tests must pass, and there must be one; of the ``p2p`` tests
-    the first ten must pass, none is fine. ``has_patch`` of the sample false
+    All ``f2p`` tests must pass, and there must be one; all ``p2p`` tests, or
+    the first ``regression_tests`` of them, must pass, none is fine. ``has_patch`` of the sample false
     or missing: wrong.
     """
     target = (
@@ -128,9 +134,11 @@ def score_test_verdicts(
         .groupBy(key)
         .agg(F.bool_and("passed").alias("f2p"), F.count("*").alias("num_f2p"))
     )
+    kept = verdicts.filter(F.col("kind") == "p2p")
+    if regression_tests is not None:
+        kept = first_tests(kept, order, key, regression_tests)
     regression = (
-        first_tests(verdicts.filter(F.col("kind") == "p2p"), order, key)
-        .groupBy(key)
+        kept.groupBy(key)
         .agg(F.bool_and("passed").alias("p2p"), F.count("*").alias("num_p2p"))
     )
     joined = samples.select(key, "has_patch").join(target, key, "left").join(regression, key, "left")

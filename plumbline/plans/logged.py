@@ -1,105 +1,198 @@
 """Plans of the suites whose outcome comes from more than one response.
 
-Each takes samples and the logs of a run and gives one row per sample:
-``sample_id, correct, score, predicted, expected`` and the details kept.
-Samples without a log entry are wrong unless the suite says otherwise.
+Each takes samples and the logs of runs and gives exactly one row per run and
+sample: ``sample_id, correct, score, predicted, expected, error`` and the
+details kept, with ``run_id`` when a log has one. A sample that a run left no
+trace of is wrong, with empty texts and the error "no response"; a request
+error in a log makes its sample wrong and leaves the prediction empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import calls, instructions, verdicts
+from plumbline.operators.pairing import RUN, apply_failures, per_run
 from plumbline.operators.scoring import ECHO
 from plumbline.sources import adapters
 
 KEY = "sample_id"
+# Run and sample together, while a plan works on its logs.
+CASE = "_case"
 
 # Message that returns a command's result, output it shows.
 SHELL_RESULT = "Exit code: %d\nOutput:\n%s"
 SHELL_OUTPUT = 2_000
+NO_PATCH = "No patch extracted from response"
 
 
-def score_code(samples: DataFrame, responses: DataFrame, runs: DataFrame) -> DataFrame:
-    """Code completion: programs are assembled, then judged by their run log."""
-    answers = responses.select(KEY, "response").join(
-        samples.select(KEY, "prompt", "test", "entry_point"), KEY
-    )
-    return verdicts.score_programs(verdicts.programs(answers), runs, KEY)
-
-
-def score_conversations(samples: DataFrame, turns: DataFrame) -> DataFrame:
-    """Multi-turn instructions: every turn must follow its own rules."""
-    rules = instructions.turns_long(samples, KEY)
-    _, per_sample = instructions.score_turns(turns, rules, key=KEY)
-    last = turns.groupBy(KEY).agg(F.max_by("response", "turn").alias("_last"))
-    return per_sample.join(last, KEY).select(
-        KEY,
-        "correct",
-        F.col("correct").cast("double").alias("score"),
-        F.substring(F.coalesce("_last", F.lit("")), 1, ECHO).alias("predicted"),
-        F.lit("all turns pass").alias("expected"),
-        "num_turns",
-        "num_turns_passed",
+def _judged(
+    suite: str,
+    samples: DataFrame,
+    logs: Sequence[DataFrame],
+    judge: Callable[..., DataFrame],
+    seen: DataFrame,
+    runs: DataFrame | None,
+) -> DataFrame:
+    """One row per run and sample, with the failure rules applied.
+
+    ``judge`` gets samples and logs keyed by ``CASE``. ``seen`` is the log by
+    which a sample counts as answered; its ``error`` is a request's error.
+    """
+    keys = [RUN, KEY] if any(RUN in log.columns for log in logs) or runs is not None else [KEY]
+
+    def keyed(log: DataFrame) -> DataFrame:
+        own = [F.col(k) if k in log.columns else F.lit(None).cast("string").alias(k) for k in keys]
+        return log.withColumn(CASE, F.struct(*own))
+
+    cases = keyed(per_run(samples, suite, *logs, runs=runs))
+    answered = keyed(seen)
+    failed = F.col("error") if "error" in seen.columns else F.lit(None).cast("string")
+    answered = answered.groupBy(CASE).agg(F.max(failed).alias("_failed"), F.lit(True).alias("paired"))
+    outcome = judge(cases, *map(keyed, logs))
+    if "error" not in outcome.columns:
+        outcome = outcome.withColumn("error", F.lit(None).cast("string"))
+    joined = outcome.join(answered, CASE, "left").withColumns(
+        {"paired": F.coalesce("paired", F.lit(False)), "error": F.coalesce("_failed", "error")}
     )
+    done = apply_failures(joined)
+    rest = [c for c in done.columns if c not in (CASE, "_failed", "paired", *keys)]
+    return done.select(*(F.col(CASE).getField(k).alias(k) for k in keys), *rest)
 
 
-def score_agents(samples: DataFrame, turns: DataFrame) -> DataFrame:
+def score_code(
+    samples: DataFrame, responses: DataFrame, program_runs: DataFrame, runs: DataFrame | None = None
+) -> DataFrame:
+    """Code completion: programs are assembled, then judged by their run log.
+
+    The outcome needs the exit code alone, so the answer meets its run with no
+    more than its cleaned and cut text.
+    """
+
+    def judge(cases: DataFrame, answers: DataFrame, log: DataFrame) -> DataFrame:
+        completion = verdicts.code_text.clean_completion(F.coalesce("response", F.lit("")))
+        said = answers.select(CASE, F.substring(completion, 1, verdicts.OUTPUT_ECHO).alias("completion"))
+        programs = cases.select(CASE, "entry_point").join(said, CASE, "left")
+        return verdicts.score_programs(programs, log, CASE)
+
+    return _judged("humaneval", samples, [responses, program_runs], judge, responses, runs)
+
+
+def score_conversations(samples: DataFrame, turns: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Multi-turn instructions: every turn of the sample must follow its own rules.
+
+    A turn of the sample that the log lacks is an empty answer.
+    """
+
+    def judge(cases: DataFrame, log: DataFrame) -> DataFrame:
+        rules = instructions.turns_long(cases, CASE)
+        logged = log.select(CASE, "turn", "response")
+        # A turn that is not in the log counts as failed, not as absent.
+        asked = rules.select(CASE, "turn").join(logged, [CASE, "turn"], "left")
+        whole = asked.withColumn("response", F.coalesce("response", F.lit("")))
+        _, per_sample = instructions.score_turns(whole, rules, key=CASE)
+        last = logged.groupBy(CASE).agg(
+            F.max_by(F.substring("response", 1, ECHO), "turn").alias("_last"), F.count("*").alias("_logged")
+        )
+        joined = cases.select(CASE).join(per_sample, CASE, "left").join(last, CASE, "left")
+        complete = F.coalesce("_logged", F.lit(0)) >= F.coalesce("num_turns", F.lit(0))
+        correct = complete & F.coalesce("correct", F.lit(True))
+        return joined.select(
+            CASE,
+            correct.alias("correct"),
+            correct.cast("double").alias("score"),
+            F.coalesce("_last", F.lit("")).alias("predicted"),
+            F.lit("all turns pass").alias("expected"),
+            F.coalesce("num_turns", F.lit(0)).alias("num_turns"),
+            F.coalesce("num_turns_passed", F.lit(0)).alias("num_turns_passed"),
+        )
+
+    return _judged("multi_if", samples, [turns], judge, turns, runs)
+
+
+def score_agents(
+    samples: DataFrame, turns: DataFrame, runs: DataFrame | None = None, max_turns: int | None = None
+) -> DataFrame:
     """Agent runs: executed actions against expected ones."""
-    outcome = calls.score_actions(samples, turns, KEY)
-    return outcome.join(
-        samples.select(KEY, F.substring("expected_actions", 1, calls.ECHO).alias("expected")), KEY
-    )
 
+    def judge(cases: DataFrame, log: DataFrame) -> DataFrame:
+        outcome = calls.score_actions(cases, log, CASE, max_turns)
+        texts = cases.select(CASE, F.substring("expected_actions", 1, calls.ECHO).alias("expected"))
+        return outcome.join(texts, CASE).withColumn("predicted", F.lit(""))
 
-def score_shell(samples: DataFrame, turns: DataFrame, checks: DataFrame) -> DataFrame:
+    return _judged("tau_bench", samples, [turns], judge, turns, runs)
+
+
+def score_shell(
+    samples: DataFrame,
+    turns: DataFrame,
+    checks: DataFrame,
+    runs: DataFrame | None = None,
+    max_turns: int | None = None,
+) -> DataFrame:
     """Shell tasks: the validation decides, the dialogue gives the turn count.
 
     The echo is the last message: the result of the last command, when the log
     has its ``output``, else the last response.
     """
-    kept = verdicts.dialogue_turns(turns, KEY)
-    last = F.col("response")
-    if "output" in turns.columns:
-        result = F.format_string(SHELL_RESULT, "exit_code", F.substring("output", 1, SHELL_OUTPUT))
-        last = F.when(F.coalesce(F.col("command") != "", F.lit(False)), result).otherwise(last)
-    used = kept.groupBy(KEY).agg(
-        F.count("*").alias("num_turns"), F.max_by(last, "turn").alias("_last")
-    )
-    outcome = verdicts.score_terminal(samples, checks, KEY)
-    return outcome.join(used, KEY, "left").select(
-        *outcome.columns,
-        F.substring(F.coalesce("_last", F.lit("")), 1, ECHO).alias("predicted"),
-        F.coalesce("num_turns", F.lit(0)).alias("num_turns"),
-    )
+
+    def judge(cases: DataFrame, log: DataFrame, validations: DataFrame) -> DataFrame:
+        kept = verdicts.dialogue_turns(log, CASE, max_turns)
+        last = F.col("response")
+        if "output" in log.columns:
+            result = F.format_string(SHELL_RESULT, "exit_code", F.substring("output", 1, SHELL_OUTPUT))
+            last = F.when(F.coalesce(F.col("command") != "", F.lit(False)), result).otherwise(last)
+        used = kept.groupBy(CASE).agg(
+            F.count("*").alias("num_turns"), F.max_by(F.substring(last, 1, ECHO), "turn").alias("_last")
+        )
+        outcome = verdicts.score_terminal(cases, validations, CASE)
+        return outcome.join(used, CASE, "left").select(
+            *outcome.columns,
+            F.coalesce("_last", F.lit("")).alias("predicted"),
+            F.coalesce("num_turns", F.lit(0)).alias("num_turns"),
+        )
+
+    return _judged("terminal_bench", samples, [turns, checks], judge, turns, runs)
 
 
 def score_patches(
-    samples: DataFrame, responses: DataFrame, tests: DataFrame, order: Sequence[str] = ("pos",)
+    samples: DataFrame,
+    responses: DataFrame,
+    tests: DataFrame,
+    order: Sequence[str] = ("pos",),
+    runs: DataFrame | None = None,
+    regression_tests: int | None = None,
+    suite: str = "swe_bench",
 ) -> DataFrame:
     """Patches: a patch must be found in the response and its tests must pass.
 
     ``order`` names the columns that order the regression tests of a sample.
     """
-    found = verdicts.extracted_patches(responses.select(KEY, "response")).select(
-        KEY,
-        (F.coalesce(F.col("patch"), F.lit("")) != "").alias("has_patch"),
-        F.when(F.col("patch") != "", F.substring("patch", 1, verdicts.OUTPUT_ECHO))
-        .otherwise(F.substring("response", 1, calls.ECHO))
-        .alias("predicted"),
-    )
-    tasks = samples.select(KEY).join(found, KEY, "left")
-    outcome = verdicts.score_test_verdicts(tasks, tests, order, KEY)
-    return outcome.join(tasks.select(KEY, "has_patch", "predicted"), KEY).select(
-        *outcome.columns,
-        F.coalesce("predicted", F.lit("")).alias("predicted"),
-        F.when(F.col("has_patch"), F.lit("passing tests")).otherwise("").alias("expected"),
-        F.when(~F.coalesce("has_patch", F.lit(False)), "No patch extracted from response").alias("error"),
-    )
+
+    def judge(cases: DataFrame, answers: DataFrame, log: DataFrame) -> DataFrame:
+        found = verdicts.extracted_patches(answers.select(CASE, "response")).select(
+            CASE,
+            (F.coalesce(F.col("patch"), F.lit("")) != "").alias("has_patch"),
+            F.when(F.col("patch") != "", F.substring("patch", 1, verdicts.OUTPUT_ECHO))
+            .otherwise(F.substring("response", 1, calls.ECHO))
+            .alias("predicted"),
+        )
+        tasks = cases.select(CASE).join(found, CASE, "left")
+        outcome = verdicts.score_test_verdicts(tasks, log, order, CASE, regression_tests)
+        return outcome.join(tasks.select(CASE, "has_patch", "predicted"), CASE).select(
+            *outcome.columns,
+            F.coalesce("predicted", F.lit("")).alias("predicted"),
+            F.when(F.col("has_patch"), F.lit("passing tests")).otherwise("").alias("expected"),
+            F.when(~F.coalesce("has_patch", F.lit(False)), NO_PATCH).alias("_note"),
+        )
+
+    done = _judged(suite, samples, [responses, tests], judge, responses, runs)
+    # No patch is an outcome, not a failed request: texts stay.
+    return done.withColumn("error", F.coalesce("error", "_note")).drop("_note")
 
 
 # Suite name to (adapter, scorer); the scorers differ in the logs they take.
@@ -109,5 +202,8 @@ LOGGED_SUITES = {
     "tau_bench": (adapters.action_samples, score_agents),
     "terminal_bench": (adapters.terminal_samples, score_shell),
     "swe_bench": (adapters.patch_samples, score_patches),
-    "swe_bench_pro": (partial(adapters.patch_samples, suite="swe_bench_pro"), score_patches),
+    "swe_bench_pro": (
+        partial(adapters.patch_samples, suite="swe_bench_pro"),
+        partial(score_patches, suite="swe_bench_pro"),
+    ),
 }

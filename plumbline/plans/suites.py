@@ -51,16 +51,19 @@ def get_suite(name: str) -> Suite:
     return SUITES[name]
 
 
-def score_suite(suite: Suite, samples: DataFrame, responses: DataFrame) -> DataFrame:
-    """Pair, score and apply the failure rules: one row per sample.
-
-    ``responses`` has ``suite, sample_id, response`` and optionally ``error``
-    and metric columns, which are kept.
+def score_suite(
+    suite: Suite, samples: DataFrame, responses: DataFrame, runs: DataFrame | None = None
+) -> DataFrame:
+    """Pair, score and apply the failure rules: one row per run and sample.
+
+    ``responses`` has ``suite, sample_id, response`` and optionally ``run_id``,
+    ``error`` and metric columns, which are kept. ``runs`` names runs that may
+    have answered nothing.
     """
     # A message without content is an empty answer, not an unknown one.
     answered = responses.withColumn("response", F.coalesce("response", F.lit("")))
     shrunk = suite.shrink(answered) if suite.shrink else answered
-    paired = pairing.pair_responses(samples.drop("messages"), shrunk)
+    paired = pairing.pair_responses(samples.drop("messages"), shrunk, runs=runs)
     return pairing.apply_failures(suite.score(paired))
 
 

@@ -17,7 +17,7 @@ from plumbline.functions import jsontext
 from plumbline.functions.choice import LETTERS
 from plumbline.operators import prompts
 from plumbline.operators.rows import exploded
-from plumbline.operators.ordinals import first_rows, with_ordinal
+from plumbline.operators.ordinals import numbered
 
 TEXTS = "array<string>"
 
@@ -31,7 +31,7 @@ def pick(table: DataFrame, *names: str, default: Column | None = None) -> Column
 
 
 def _numbered(table: DataFrame, suite: str, key: str, max_samples: int | None) -> DataFrame:
-    rows = with_ordinal(first_rows(table, key, max_samples), key)
+    rows = numbered(table, key, max_samples)
     return rows.select(
         "*",
         F.lit(suite).alias("suite"),

@@ -6,21 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from plumbline.session import shared_path
 
 DELAY = "10 minutes"
-GAP = "5 minutes"
+UNNAMED_ERROR = "error"
 
 
 def request_metrics(
-    chunks: DataFrame, *, delay: str = DELAY, gap: str = GAP, with_text: bool = True
+    chunks: DataFrame, *, delay: str = DELAY, gap: str | None = None, with_text: bool = True
 ) -> DataFrame:
     """Metrics of each request from its chunk log; works on batches and streams.
 
     ``chunks``: ``request_id, ts, seq, kind`` (dispatch, chunk, usage, error),
-    ``content``, ``prompt_tokens``, ``completion_tokens``. A request is over
-    when nothing arrives for ``gap``. Chunks later than ``delay`` are dropped.
+    ``content``, ``prompt_tokens``, ``completion_tokens``. A request is its
+    chunks, however far apart: one row per ``request_id``. A stream without a
+    ``gap`` is read in update mode (``drain_updates``): each row replaces the
+    one before, and open requests are there with what is known of them.
+
+    A stream that never ends may give a ``gap``: a request is then over, and
+    its state dropped, when nothing arrives for so long; chunks later than
+    ``delay`` are dropped, and a request that pauses for longer than the gap is
+    split. Choose it above the longest wait for a first token.
 
     First-token time is that of the first chunk with content; the last usage
     counts; a failed request has no text. The text is the one thing gathered per
@@ -33,15 +41,17 @@ def request_metrics(
     usage = F.max_by(
         F.struct("prompt_tokens", "completion_tokens"), F.when(kind == "usage", F.col("ts"))
     )
+    if gap is None:
+        requests = chunks.groupBy("request_id")
+    else:
+        requests = chunks.withWatermark("ts", delay).groupBy("request_id", F.session_window("ts", gap))
     grouped = (
-        chunks.withWatermark("ts", delay)
-        .groupBy("request_id", F.session_window("ts", gap))
-        .agg(
+        requests.agg(
             F.coalesce(F.min(F.when(kind == "dispatch", F.col("ts"))), F.min("ts")).alias("start_ts"),
             F.min(F.when(has_content, F.col("ts"))).alias("_first"),
             F.max("ts").alias("end_ts"),
             usage.alias("_usage"),
-            F.max(F.when(kind == "error", F.col("content"))).alias("error"),
+            F.max(F.when(kind == "error", F.coalesce("content", F.lit(UNNAMED_ERROR)))).alias("error"),
             *([pieces.alias("_pieces")] if with_text else []),
         )
     )
@@ -102,3 +112,32 @@ def drain(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
+def drain_updates(stream: DataFrame, spark: SparkSession, label: str, keys: list[str]) -> DataFrame:
+    """Process what is available of an aggregation in update mode; its last rows.
+
+    Every batch appends the groups it changed, with its number; the newest row
+    of a group counts. Nothing waits for a watermark, so groups that are still
+    open are part of the result. A batch that is repeated after a failure
+    writes the same rows again under the same number.
+    """
+    path = shared_path(spark, label)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{path}/data")
+
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{path}/state")
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
+    query.awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("_batch", IntegerType())])
+    rest = [c for c in stream.columns if c not in keys]
+    newest = spark.read.schema(schema).parquet(f"{path}/data").groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), "_batch").alias("_row")
+    )
+    return newest.select(*keys, "_row.*").select(*stream.columns)

@@ -105,7 +105,7 @@ def test_actions(spark):
     log = [(s, t, [(n, "{}")]) for s in ("both", "order", "short", "free", "broken") for t, n in ((0, "a"), (3, "b"))]
     log.append(("both", 20, [("late", "{}")]))
     turns = spark.createDataFrame(log, f"sample_id string, turn int, tool_calls {calls.TOOL_CALLS}")
-    got = {r.sample_id: (r.correct, r.num_turns, r.num_actions) for r in calls.score_actions(samples, turns).collect()}
+    got = {r.sample_id: (r.correct, r.num_turns, r.num_actions) for r in calls.score_actions(samples, turns, max_turns=calls.MAX_TURNS).collect()}
     assert got == {
         "both": (True, 2, 2),
         "order": (False, 2, 2),

@@ -65,7 +65,7 @@ def test_dialogue_stops(spark):
         *[("long", t, cmd, 0) for t in range(18)],
     ]
     data = spark.createDataFrame(log, "sample_id string, turn int, response string, exit_code int")
-    summary = verdicts.dialogue_summary(verdicts.dialogue_turns(data))
+    summary = verdicts.dialogue_summary(verdicts.dialogue_turns(data, max_turns=verdicts.TERMINAL_TURNS))
     got = {r.sample_id: (r.num_turns, r.num_commands, r.stopped) for r in summary.collect()}
     assert got == {"stop": (3, 3, True), "talk": (1, 0, True), "long": (15, 15, False)}
 
@@ -86,7 +86,7 @@ def test_verdict_roll_up(spark):
     log += [(s, "f2p", 0, True) for s in ("late", "early", "none")]
     log += [("late", "p2p", i, i != 10) for i in range(12)] + [("early", "p2p", i, i != 9) for i in range(12)]
     data = spark.createDataFrame(log, "sample_id string, kind string, pos int, passed boolean")
-    got = {r.sample_id: r.correct for r in verdicts.score_test_verdicts(tasks, data).collect()}
+    got = {r.sample_id: r.correct for r in verdicts.score_test_verdicts(tasks, data, regression_tests=10).collect()}
     assert got == {"ok": True, "nopatch": False, "no_f2p": False, "late": True, "early": False, "none": False}
 
 
@@ -162,9 +162,46 @@ def test_stream_equals_batch(spark):
     assert (bad.ttft_seconds, bad.total_latency_seconds, bad.text, bad.error) == (2.0, 4.0, "", "reset")
     assert (bad.prompt_tokens, bad.completion_tokens) == (0, 0)
     stream = spark.readStream.schema(CHUNKS).parquet(path)
-    done = live.drain(live.request_metrics(stream), spark, "test-ttft").collect()
-    assert 0 < len(done) < 20
-    assert all(batch[r.request_id] == r for r in done)
+    done = live.drain_updates(live.request_metrics(stream), spark, "test-ttft", ["request_id"]).collect()
+    assert {r.request_id: r for r in done} == batch
+    closed = live.drain(live.request_metrics(stream, gap="5 minutes"), spark, "test-closed").collect()
+    assert 0 < len(closed) < 20
+    assert all(batch[r.request_id] == r for r in closed)
+
+
+def test_slow_first_token_and_error_without_text(spark):
+    start = dt.datetime(2024, 1, 1)
+    later = start + dt.timedelta(minutes=6)
+    rows = [
+        ("slow", start, 0, "dispatch", None, None, None),
+        ("slow", later, 1, "chunk", "hi", None, None),
+        ("bad", start, 0, "dispatch", None, None, None),
+        ("bad", later, 1, "error", None, None, None),
+    ]
+    got = {r.request_id: r for r in live.request_metrics(spark.createDataFrame(rows, CHUNKS)).collect()}
+    assert len(got) == 2
+    assert (got["slow"].ttft_seconds, got["slow"].text, got["slow"].error) == (360.0, "hi", None)
+    assert got["bad"].error == live.UNNAMED_ERROR
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    """Python workers find the package, wherever the driver was started."""
+    import os
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {top!r})\n"
+        "from workload.session import local_session\n"
+        "from plumbline.functions.text import normalize\n"
+        "from pyspark.sql import functions as F\n"
+        "s = local_session('1')\n"
+        "print(s.createDataFrame([('\u00c9t\u00e9!',)], 't string').select(normalize(F.col('t'))).first()[0])"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split("\n")[0] == "ete", done.stderr[-2000:]
 
 
 def test_entry_points(spark):

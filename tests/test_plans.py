@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import calls, instructions
 from plumbline.plans import logged
+from plumbline.plans.suites import get_suite, score_suite
 from plumbline.sources import logs, results
 
 F3 = "```"
@@ -43,7 +44,7 @@ def test_shell(spark):
     checks = spark.sql("select 's' sample_id, 0 exit_code")
     rows = {r.sample_id: r for r in logged.score_shell(samples, turns, checks).collect()}
     assert (rows["s"].correct, rows["s"].num_turns, rows["s"].predicted) == (True, 2, "bye")
-    assert (rows["t"].correct, rows["t"].num_turns) == (True, 0)
+    assert (rows["t"].correct, rows["t"].num_turns, rows["t"].error) == (False, 0, "no response")
     told = turns.withColumn("output", F.lit("file")).filter("turn = 0")
     row = logged.score_shell(samples, told, checks).filter("sample_id = 's'").first()
     assert row.predicted == "Exit code: 0\nOutput:\nfile"
@@ -110,3 +111,66 @@ def test_report(spark):
     assert (row.num_samples, row.accuracy, row.score, row.total_requests, row.failed_requests) == (5, 0.6, 0.5, 5, 1)
     assert (row.total_prompt_tokens, row.wall_time_seconds, row.effective_throughput_rps) == (40, 5.0, 0.8)
     assert round(row.ttft_p50, 9) == 0.15 and (row.latency_p50, row.generation_tps_p50) == (2.5, 2.0)
+
+
+def _table(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_every_run_answers_every_sample(spark):
+    suite = get_suite("mmlu")
+    samples = _table(spark, [("mmlu", f"mmlu_{i}", "A") for i in range(2)], "suite string, sample_id string, expected string")
+    samples = samples.withColumns({"messages": F.lit(None).cast("string"), "subject": F.lit("s")})
+    log = [("r1", "mmlu", "mmlu_0", "A", None), ("r1", "mmlu", "mmlu_1", "A", None), ("r2", "mmlu", "mmlu_0", "A", None)]
+    responses = _table(spark, log, "run_id string, suite string, sample_id string, response string, error string")
+    out = {(r.run_id, r.sample_id): (r.correct, r.error) for r in score_suite(suite, samples, responses).collect()}
+    assert out == {
+        ("r1", "mmlu_0"): (True, None),
+        ("r1", "mmlu_1"): (True, None),
+        ("r2", "mmlu_0"): (True, None),
+        ("r2", "mmlu_1"): (False, "no response"),
+    }
+
+
+def test_failed_calls_are_wrong(spark):
+    suite = get_suite("bfcl")
+    rows = [("bfcl", "a", "[]", "timeout", ""), ("bfcl", "b", "[]", None, "[]"), ("bfcl", "c", "f(x=y)", None, "f(x=y)")]
+    data = _table(spark, rows, "suite string, sample_id string, expected_raw string, error string, response string")
+    samples = data.select("suite", "sample_id", "expected_raw").withColumns(
+        {"messages": F.lit(None).cast("string"), "expected": F.col("expected_raw")}
+    )
+    out = {r.sample_id: r for r in score_suite(suite, samples, data.select("suite", "sample_id", "response", "error")).collect()}
+    assert (out["a"].correct, out["a"].error, out["a"].expected) == (False, "timeout", "[]")
+    assert (out["b"].correct, out["b"].error) == (True, None)
+    assert (out["c"].correct, out["c"].expected, out["c"].predicted) == (False, "", "")
+
+
+def test_conversations_need_all_their_turns(spark):
+    samples = spark.createDataFrame(
+        [(s, ["p", "q"], [[], []], [[], []]) for s in ("full", "short", "none")],
+        "sample_id string, turns array<string>, instruction_id_list array<array<string>>, kwargs array<array<string>>",
+    )
+    turns = spark.createDataFrame([("full", 0, "a"), ("full", 1, "b"), ("short", 0, "a")], "sample_id string, turn int, response string")
+    out = {r.sample_id: r for r in logged.score_conversations(samples, turns).collect()}
+    assert {s: (r.correct, r.num_turns, r.error) for s, r in out.items()} == {
+        "full": (True, 2, None),
+        "short": (False, 2, None),
+        "none": (False, 2, "no response"),
+    }
+
+
+def test_no_log_is_no_success(spark):
+    tasks = spark.createDataFrame([("a", "[]"), ("b", "[]")], "sample_id string, expected_actions string")
+    turns = spark.createDataFrame([("a", 0, [])], "sample_id string, turn int, tool_calls array<struct<name:string,arguments:string>>")
+    out = {r.sample_id: (r.correct, r.error) for r in logged.score_agents(tasks, turns).collect()}
+    assert out == {"a": (True, None), "b": (False, "no response")}
+
+
+def test_turns_beyond_a_runners_limit_count(spark):
+    call = [("f", "{}")]
+    turns = spark.createDataFrame(
+        [("a", t, call) for t in range(25)], "sample_id string, turn int, tool_calls array<struct<name:string,arguments:string>>"
+    )
+    tasks = spark.createDataFrame([("a", "[" + ",".join(['{"name":"f"}'] * 25) + "]")], "sample_id string, expected_actions string")
+    assert calls.score_actions(tasks, turns).first().correct
+    assert not calls.score_actions(tasks, turns, max_turns=calls.MAX_TURNS).first().correct

@@ -60,7 +60,7 @@ def test_hot_group_percentiles(skewed):
     values = skewed.range(0, 30_000, 1, 8).select(
         hot().alias("g"), F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.col("id").cast("double")).alias("v")
     )
-    exact = percentiles.exact_percentiles(values, ["g"], {"v": ("v", (50, 95))}, small_group=100, accuracy=1_000)
+    exact = percentiles.exact_percentiles(values, ["g"], {"v": ("v", (50, 95))}, accuracy=1_000)
     plain = values.groupBy("g").agg(F.percentile("v", F.lit(0.5)).alias("a"), F.percentile("v", F.lit(0.95)).alias("b"))
     both = exact.join(plain, "g")
     assert both.count() == 501

@@ -213,3 +213,16 @@ def test_comparison(spark):
     assert rows["TTFT Mean (s)"] == (f"{0.30005:.4f}", "N/A") and rows["Latency P95 (s)"] == ("N/A", "N/A")
     unscored = compare.compare_runs(data, ["r2", "r3"])
     assert "Score" not in {r.metric for r in unscored.collect()}
+
+
+def test_a_large_document_is_read_whole(spark, tmp_path):
+    """Above the size limit of a VARIANT: neither unreadable nor without samples."""
+    sample = '{"id":"%d","correct":true,"score":1.0,"predicted":"' + "x" * 1_000_000 + '","expected":"y"}'
+    body = ",".join(sample % i for i in range(140))
+    text = '{"benchmark":"mmlu","model":"m","num_samples":140,"sample_results":[' + body + "]}"
+    (tmp_path / "large.json").write_text(text)
+    (tmp_path / "bad.json").write_text(text[:-1])
+    runs, samples, bad = results.read_results(spark, str(tmp_path))
+    assert [r.num_samples for r in runs.select("num_samples").collect()] == [140]
+    assert samples.select("suite").count() == 140
+    assert [r.file.rsplit("/")[-1] for r in bad.select("file").collect()] == ["bad.json"]

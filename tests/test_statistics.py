@@ -46,12 +46,12 @@ def _samples(spark):
     return spark.createDataFrame(rows, "g string, v double, w double"), values
 
 
-@pytest.mark.parametrize("small_group", [100_000, 300])
-def test_exact_percentiles_equal_numpy(spark, small_group):
+@pytest.mark.parametrize("accuracy", [50_000, 500, 20])
+def test_exact_percentiles_equal_numpy(spark, accuracy):
     data, values = _samples(spark)
     shares = (1, 50, 95, 99)
     wanted = {"v": ("v", shares), "w": ("w", (50,))}
-    got = percentiles.exact_percentiles(data, ["g"], wanted, small_group=small_group, accuracy=500)
+    got = percentiles.exact_percentiles(data, ["g"], wanted, accuracy=accuracy)
     rows = {r.g: r for r in got.collect()}
     assert set(rows) == {*values, "nothing"}
     assert rows["nothing"].v_p50 is None and rows["tiny"].w_p50 is None
@@ -64,7 +64,7 @@ def test_exact_percentiles_equal_numpy(spark, small_group):
 
 def test_percentiles_without_groups(spark):
     data = spark.range(1_001).select(F.col("id").cast("double").alias("v"))
-    got = percentiles.exact_percentiles(data, [], {"v": ("v", (50, 99))}, small_group=10, accuracy=100)
+    got = percentiles.exact_percentiles(data, [], {"v": ("v", (50, 99))}, accuracy=100)
     assert got.first().asDict() == {"v_p50": 500.0, "v_p99": 990.0}
     rough = percentiles.approx_percentiles(data, [], {"v": ("v", (50,))})
     assert abs(rough.first().v_p50 - 500) <= 1
@@ -182,7 +182,9 @@ def test_tiers(spark):
         catalog.require_suite("nope")
 
 
-def test_ordinals_need_an_ordered_key(spark):
-    data = spark.range(100).select(F.col("id").cast("string").alias("k"))
-    with pytest.raises(ValueError, match="number or a timestamp"):
-        with_ordinal(data, "k", rows_per_bucket=10)
+@pytest.mark.parametrize("size", [3, 2_000, 2_001, 5_000])
+def test_ordinals_of_strings_with_null(spark, size):
+    keys = [None, *(f"é{i % 7}-{i}" for i in range(size - 1))]
+    data = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = {r.k: r.ordinal for r in with_ordinal(data, "k", rows_per_bucket=50).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys, key=lambda k: (k is not None, k or "")))}

@@ -27,7 +27,7 @@ from plumbline.operators import (
     verdicts,
 )
 from plumbline.operators.layout import spread
-from plumbline.operators.ordinals import first_rows, with_ordinal
+from plumbline.operators.ordinals import numbered
 from plumbline.operators.rows import exploded
 from plumbline.plans import compare, logged
 from plumbline.plans.report import run_report
@@ -601,8 +601,7 @@ def _rules_sql(group: str) -> str:
 def _rules_query(group: str) -> None:
     @query(f"rules_{group}", _rules_sql(group))
     def run(spark, sf_dir):
-        used = [rule for rule, _ in fx.RULE_CASES[group] if rule in rules.RULES]
-        checked = instructions.check_rules(frame(spark, sf_dir, fx.rule_cases, group, spread_out=True), only=used)
+        checked = instructions.check_rules(frame(spark, sf_dir, fx.rule_cases, group, spread_out=True))
         rows = instructions.outcomes_long(checked, "doc_id")
         return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -643,7 +642,7 @@ def instructions_long(spark, sf_dir):
     FROM {LISTS} l LEFT JOIN ({_CHECKED}) c ON l.doc_id = c.doc_id GROUP BY l.doc_id""",
 )
 def score_rules(spark, sf_dir):
-    scored = instructions.score_rules(frame(spark, sf_dir, fx.rule_lists, spread_out=True), only=fx.RULE_LIST_IDS)
+    scored = instructions.score_rules(frame(spark, sf_dir, fx.rule_lists, spread_out=True))
     return scored.select("doc_id", "correct", "score", "num_instructions", "num_passed")
 
 
@@ -653,7 +652,7 @@ def score_rules(spark, sf_dir):
     round(avg(pass::int), {DIGITS}) AS pass_rate FROM ({_CHECKED}) GROUP BY lang, rule_id""",
 )
 def rule_pass_rates(spark, sf_dir):
-    checked = instructions.check_rules(frame(spark, sf_dir, fx.rule_lists, spread_out=True), only=fx.RULE_LIST_IDS)
+    checked = instructions.check_rules(frame(spark, sf_dir, fx.rule_lists, spread_out=True))
     rates = instructions.rule_pass_rates(checked, "lang")
     return rates.withColumn("pass_rate", F.round("pass_rate", DIGITS))
 
@@ -676,7 +675,7 @@ def custom_rule(spark, sf_dir):
             ),
         }
     )
-    checked = instructions.check_rules(rows, only=["custom:min_chars"])
+    checked = instructions.check_rules(rows)
     return instructions.outcomes_long(checked, "doc_id").select("doc_id", "pass")
 
 
@@ -724,7 +723,6 @@ def _scored_turns(spark, sf_dir):
     return instructions.score_turns(
         frame(spark, sf_dir, fx.assistant_turns),
         frame(spark, sf_dir, fx.turn_rules),
-        only=fx.RULE_LIST_IDS,
     )
 
 
@@ -845,7 +843,21 @@ def _entries(spark, sf_dir, fixture):
     )
 
 
-@query("canonical_nested_args")
+# A number with a fraction keeps it, one without is whole.
+_NUMBER = """CASE WHEN value = floor(value) THEN 'n' ELSE 'f' END"""
+_DIGITS = """CASE WHEN value = floor(value) THEN value::bigint::varchar ELSE value::varchar END"""
+
+
+@query(
+    "canonical_nested_args",
+    f"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'b' WHEN 1 THEN 'x' WHEN 2 THEN 'x' WHEN 5 THEN 'k' ELSE chr(0) END AS key,
+    CASE event_id % 6 WHEN 0 THEN 'd' WHEN 1 THEN 'd' WHEN 2 THEN {_NUMBER} WHEN 3 THEN 's' ELSE 'l' END AS kind,
+    CASE event_id % 6 WHEN 0 THEN '[["k", ["n", "' || (props->>'k') || '"]]]'
+      WHEN 1 THEN '[["y", ["' || {_NUMBER} || '", "' || {_DIGITS} || '"]]]' WHEN 2 THEN {_DIGITS}
+      WHEN 3 THEN 'plain text' WHEN 4 THEN '[["n", "1"], ["n", "2"]]' ELSE '[["n", "' || event_id || '"]]' END AS value
+    FROM events UNION ALL
+    SELECT event_id, 'a', 'l', '[["n", "1"], ["n", "2"], ["z", ""]]' FROM events WHERE event_id % 6 = 0""",
+)
 def canonical_nested_args(spark, sf_dir):
     return _entries(spark, sf_dir, fx.nested_arguments)
 
@@ -1019,7 +1031,8 @@ TESTS = table(fx.test_log)
 def score_test_verdicts(spark, sf_dir):
     tasks = frame(spark, sf_dir, fx.patch_tasks).withColumnRenamed("o_orderkey", "sample_id")
     log = frame(spark, sf_dir, fx.test_log)
-    return verdicts.score_test_verdicts(tasks, log, ("l_linenumber", "l_partkey", "l_suppkey"))
+    order = ("l_linenumber", "l_partkey", "l_suppkey")
+    return verdicts.score_test_verdicts(tasks, log, order, regression_tests=verdicts.REGRESSION_TESTS)
 
 
 # --- run statistics ----------------------------------------------------------
@@ -1186,10 +1199,10 @@ def latency_percentiles(spark, sf_dir):
 
 @query("latency_percentiles_overall", f"SELECT {_percentile_sql()} FROM ({_RATES})")
 def latency_percentiles_overall(spark, sf_dir):
-    """The same over one single group, with brackets instead of full counts."""
+    """The same over one single group, with a coarse sketch."""
     rows = _rated(spark, sf_dir).filter(F.col("error").isNull())
     exact = percentiles.exact_percentiles(
-        rows, [], requests.PERCENTILES, small_group=500, accuracy=400
+        rows, [], requests.PERCENTILES, accuracy=400
     )
     return exact.withColumns({c: F.round(c, DIGITS) for c in _PERCENTILE_COLUMNS})
 
@@ -1332,7 +1345,7 @@ def compare_runs(spark, sf_dir):
 )
 def custom_suite(spark, sf_dir):
     def to_samples(rows, key, max_samples=None):
-        kept = with_ordinal(first_rows(rows, key, max_samples), key)
+        kept = numbered(rows, key, max_samples)
         return kept.select(
             F.lit("arith").alias("suite"),
             F.concat(F.lit("arith_"), "ordinal").alias("sample_id"),
@@ -1447,8 +1460,10 @@ def _prefixed(rows: DataFrame, suite: str) -> DataFrame:
     "suite_tau_bench",
     f"""WITH e AS (SELECT sample_id, list(name ORDER BY idx) AS l FROM ({_ACTIONS}) GROUP BY sample_id),
     w AS (SELECT sample_id, list(name ORDER BY idx) AS l FROM ({_EXPECTED_ACTIONS}) GROUP BY sample_id)
-    SELECT 'tau_bench_' || t.sample_id AS sample_id, w.l IS NULL OR coalesce(e.l = w.l, false) AS correct,
-    coalesce(len(e.l), 0) AS num_actions, substr(expected_actions, 1, 300) AS expected
+    SELECT 'tau_bench_' || t.sample_id AS sample_id,
+    t.sample_id IN (SELECT sample_id FROM {TURNS}) AND (w.l IS NULL OR coalesce(e.l = w.l, false)) AS correct,
+    coalesce(len(e.l), 0) AS num_actions,
+    CASE WHEN t.sample_id IN (SELECT sample_id FROM {TURNS}) THEN substr(expected_actions, 1, 300) ELSE '' END AS expected
     FROM {TASKS} t LEFT JOIN e USING (sample_id) LEFT JOIN w USING (sample_id)""",
 )
 def suite_tau_bench(spark, sf_dir):
@@ -1461,7 +1476,7 @@ def suite_tau_bench(spark, sf_dir):
 @query(
     "suite_terminal_bench",
     f"""{_DIALOGUE} SELECT 'terminal_bench_' || t.sample_id AS sample_id,
-    t.validation = '' OR t.exit_code = 0 AS correct, coalesce(n.num_turns, 0) AS num_turns
+    n.num_turns IS NOT NULL AND (t.validation = '' OR t.exit_code = 0) AS correct, coalesce(n.num_turns, 0) AS num_turns
     FROM {TASKS} t LEFT JOIN (SELECT sample_id, count(*) AS num_turns FROM k GROUP BY sample_id) n USING (sample_id)""",
 )
 def suite_terminal_bench(spark, sf_dir):
@@ -1493,10 +1508,126 @@ def suite_swe_bench(spark, sf_dir):
         frame(spark, sf_dir, fx.patch_answers),
         log,
         order=("l_linenumber", "l_partkey", "l_suppkey"),
+        regression_tests=verdicts.REGRESSION_TESTS,
+    )
+    return scored.select("sample_id", "correct", "predicted", "expected", "error")
+
+
+# --- several runs, failures, missing logs --------------------------------------
+
+
+@query(
+    "score_runs",
+    f"""SELECT run_id, count(*) AS num_samples, round(avg(correct::int), {DIGITS}) AS accuracy,
+    count(*) FILTER (WHERE error = 'no response') AS num_missing, count(*) FILTER (WHERE error = 'timeout') AS num_failed FROM (
+      SELECT 'r1' AS run_id, {duck.letter('response')} IS NOT DISTINCT FROM expected AS correct, NULL AS error FROM {CHOICES}
+      UNION ALL SELECT 'r2', event_id % 3 <> 0 AND event_id % 5 <> 0 AND {duck.letter('response')} IS NOT DISTINCT FROM expected,
+        CASE WHEN event_id % 3 = 0 THEN 'no response' WHEN event_id % 5 = 0 THEN 'timeout' END FROM {CHOICES}
+      UNION ALL SELECT 'r3', false, 'no response' FROM {CHOICES}) GROUP BY run_id""",
+)
+def score_runs(spark, sf_dir):
+    """A whole run, one with gaps and errors, one that answered nothing."""
+    raw = frame(spark, sf_dir, fx.choices)
+    suite = get_suite("mmlu")
+    said = raw.select(
+        F.lit("mmlu").alias("suite"), F.concat(F.lit("mmlu_"), "event_id").alias("sample_id"), "response", "event_id"
+    )
+    whole = said.withColumns({"run_id": F.lit("r1"), "error": F.lit(None).cast("string")})
+    gaps = said.filter(F.col("event_id") % 3 != 0).withColumns(
+        {"run_id": F.lit("r2"), "error": F.when(F.col("event_id") % 5 == 0, "timeout")}
+    )
+    runs = spark.createDataFrame([("r3", "mmlu")], "run_id string, suite string")
+    responses = whole.unionByName(gaps).drop("event_id")
+    scored = score_suite(suite, suite.to_samples(raw.drop("response"), "event_id"), responses, runs)
+    totals = scored.groupBy("run_id").agg(
+        F.count("*").alias("num_samples"),
+        F.round(F.avg(F.col("correct").cast("int")), DIGITS).alias("accuracy"),
+        F.count_if(F.col("error") == "no response").alias("num_missing"),
+        F.count_if(F.col("error") == "timeout").alias("num_failed"),
+    )
+    return totals
+
+
+@query(
+    "bfcl_failures",
+    f"""SELECT 'bfcl_' || event_id AS sample_id, event_id % 4 <> 0 AND event_id % 7 <> 0
+      AND list_sort({_FORM.format('said')}) = list_sort({_FORM.format('wanted')}) AS correct,
+    CASE WHEN event_id % 7 = 0 THEN 'no response' WHEN event_id % 4 = 0 THEN 'timeout' END AS error FROM ({_PARSED})""",
+)
+def bfcl_failures(spark, sf_dir):
+    raw = frame(spark, sf_dir, fx.call_log, spread_out=True)
+    suite = get_suite("bfcl")
+    failed = F.col("event_id") % 4 == 0
+    responses = raw.filter(F.col("event_id") % 7 != 0).select(
+        F.lit("bfcl").alias("suite"),
+        F.concat(F.lit("bfcl_"), "event_id").alias("sample_id"),
+        F.when(failed, "").otherwise(F.col("response")).alias("response"),
+        F.when(failed, "timeout").alias("error"),
     )
+    scored = score_suite(suite, suite.to_samples(raw.drop("response"), "event_id"), responses)
+    return scored.select("sample_id", "correct", "error")
+
+
+@query(
+    "humaneval_missing",
+    f"""SELECT task_id AS sample_id, doc_id % 3 <> 1 AND coalesce(r.exit_code = 0, false) AS correct,
+    CASE WHEN doc_id % 3 <> 1 THEN substr(completion, 1, 500) ELSE '' END AS predicted,
+    CASE WHEN doc_id % 3 <> 1 THEN 'passes ' || entry_point || ' tests' ELSE '' END AS expected,
+    CASE WHEN doc_id % 3 = 1 THEN 'no response' END AS error
+    FROM ({_PROGRAMS}) p LEFT JOIN {table(fx.code_runs)} r USING (doc_id)""",
+)
+def humaneval_missing(spark, sf_dir):
+    raw = frame(spark, sf_dir, fx.code_answers, spread_out=True)
+    program_runs = frame(spark, sf_dir, fx.code_runs).withColumn("sample_id", F.concat(F.lit("task/"), "doc_id"))
+    responses = raw.filter(F.col("doc_id") % 3 != 1).select(F.col("task_id").alias("sample_id"), "response")
+    scored = logged.score_code(adapters.code_samples(raw, "doc_id"), responses, program_runs)
     return scored.select("sample_id", "correct", "predicted", "expected", "error")
 
 
+@query(
+    "multi_if_missing",
+    f"""SELECT 'multi_if_' || event_id AS sample_id, CASE WHEN event_id % 5 < 2 THEN false END AS incomplete_correct,
+    CASE WHEN event_id % 5 = 0 THEN 'no response' END AS error, 3::BIGINT AS num_turns FROM events""",
+)
+def multi_if_missing(spark, sf_dir):
+    """Samples of three turns: some without any log, some with only two turns of it."""
+    raw = frame(spark, sf_dir, fx.nested_turns)
+    samples = adapters.turn_samples(raw, "event_id")
+    turn = F.explode(F.sequence(F.lit(0), F.when(F.col("event_id") % 5 == 1, 1).otherwise(2))).alias("turn")
+    turns_log = raw.filter(F.col("event_id") % 5 != 0).select(
+        F.concat(F.lit("multi_if_"), "event_id").alias("sample_id"), F.get("responses", F.lit(0)).alias("response"), turn
+    )
+    scored = logged.score_conversations(samples, turns_log)
+    number = F.regexp_extract("sample_id", "([0-9]+)$", 1).cast("bigint")
+    return scored.select(
+        "sample_id", F.when(number % 5 < 2, F.col("correct")).alias("incomplete_correct"), "error", "num_turns"
+    )
+
+
+@query(
+    "tau_missing",
+    f"""WITH e AS (SELECT sample_id, list(name ORDER BY idx) AS l FROM ({_ACTIONS}) GROUP BY sample_id),
+    w AS (SELECT sample_id, list(name ORDER BY idx) AS l FROM ({_EXPECTED_ACTIONS}) GROUP BY sample_id),
+    r AS (SELECT DISTINCT sample_id, run_id FROM {TURNS}, (VALUES ('r1'), ('r2')) v(run_id)
+      WHERE run_id = 'r1' OR sample_id % 2 = 0)
+    SELECT v.run_id, 'tau_bench_' || t.sample_id AS sample_id,
+    r.run_id IS NOT NULL AND (w.l IS NULL OR coalesce(e.l = w.l, false)) AS correct,
+    CASE WHEN r.run_id IS NULL THEN 'no response' END AS error
+    FROM {TASKS} t CROSS JOIN (VALUES ('r1'), ('r2')) v(run_id)
+    LEFT JOIN r ON r.sample_id = t.sample_id AND r.run_id = v.run_id
+    LEFT JOIN e ON e.sample_id = t.sample_id LEFT JOIN w ON w.sample_id = t.sample_id""",
+)
+def tau_missing(spark, sf_dir):
+    """Two runs; the second has a log of every other conversation only."""
+    raw = frame(spark, sf_dir, fx.agent_tasks).drop("sample_id")
+    turns_log = _action_turns(spark, sf_dir)
+    both = turns_log.withColumn("run_id", F.lit("r1")).unionByName(
+        turns_log.filter(F.col("sample_id") % 2 == 0).withColumn("run_id", F.lit("r2"))
+    )
+    scored = logged.score_agents(adapters.action_samples(raw, "conv_id"), _prefixed(both, "tau_bench"))
+    return scored.select("run_id", "sample_id", "correct", "error")
+
+
 @query(
     "rule_items",
     f"""SELECT doc_id, unnest([0, 1, 2]::BIGINT[]) AS pos, unnest(['punctuation:no_comma', 'detectable_format:title',
@@ -1516,7 +1647,7 @@ def rule_items(spark, sf_dir):
         F.lit('\\"]}"]}]'),
     )
     listed = instructions.rule_items(spec)
-    checked = instructions.check_listed(rows, listed, only=fx.RULE_LIST_IDS)
+    checked = instructions.check_listed(rows, listed)
     outcomes = instructions.outcomes_long(checked, "doc_id")
     return outcomes.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -1569,12 +1700,11 @@ def _chunks(events: DataFrame) -> DataFrame:
     "stream_ttft",
     """SELECT event_id AS request_id, 2.0::DOUBLE AS ttft_seconds, 4.0::DOUBLE AS total_latency_seconds,
     50 + event_id % 100 AS prompt_tokens, event_id % 300 AS completion_tokens, event_type || props AS text
-    FROM events WHERE ts + INTERVAL 4 SECOND + INTERVAL 5 MINUTE
-      <= (SELECT max(ts) FROM events) + INTERVAL 4 SECOND - INTERVAL 10 MINUTE""",
+    FROM events""",
 )
 def stream_ttft(spark, sf_dir):
     metrics = live.request_metrics(_chunks(_event_stream(spark, sf_dir)))
-    done = live.drain(metrics, spark, "ttft")
+    done = live.drain_updates(metrics, spark, "ttft", ["request_id"])
     return done.select(
         "request_id", "ttft_seconds", "total_latency_seconds", "prompt_tokens", "completion_tokens", "text"
     )
@@ -1584,8 +1714,7 @@ def stream_ttft(spark, sf_dir):
     "stream_progress",
     f"""SELECT epoch_us(w)::BIGINT AS window_start_us, event_type, count(*) AS num_finished,
     count(*) FILTER (WHERE value > 100) AS num_failed, round(avg(value / 1000.0), 12) AS latency_mean
-    FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events)
-    WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY w, event_type""",
+    FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events) GROUP BY w, event_type""",
 )
 def stream_progress(spark, sf_dir):
     finished = _event_stream(spark, sf_dir).select(
@@ -1594,7 +1723,9 @@ def stream_progress(spark, sf_dir):
         (F.col("value") / 1000.0).alias("total_latency_seconds"),
         F.when(F.col("value") > 100, "timeout").alias("error"),
     )
-    done = live.drain(live.progress(finished, "event_type"), spark, "progress")
+    done = live.drain_updates(
+        live.progress(finished, "event_type"), spark, "progress", ["window_start", "event_type"]
+    )
     return done.select(
         F.unix_micros("window_start").alias("window_start_us"),
         "event_type",
