@@ -43,7 +43,9 @@ GATHERED = 200_000
 LONGEST_PIECE = 16
 # Words of one length scored side by side; longer words go one by one.
 SIDE_BY_SIDE = 192
-CELLS = 1 << 20
+CELLS = 1 << 18
+# Words of a table taken together; batches of a few hundred waste vector work.
+TOGETHER = 1 << 16
 
 START = 0xFF  # marks the start of a word; no byte of UTF-8
 END = b""  # the end of a text, counted as a word
@@ -85,18 +87,27 @@ class Pieces:
     def __init__(self, probabilities: dict[bytes, float], end: float):
         self.end = math.log(end)
         self.known = {piece: math.log(p) for piece, p in probabilities.items()}
-        names = sorted(self.known)
-        codes = np.array([_code(np.frombuffer(n, np.uint8)[None, :])[0] for n in names], np.uint64)
-        order = np.argsort(codes)
-        self.codes = codes[order]
-        if len(np.unique(codes)) < len(codes):
-            raise ValueError("two pieces share a hash")
-        self.names = [names[i] for i in order]
+        self.names = sorted(self.known)
         self.logs = np.array([self.known[n] for n in self.names])
-
-    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return at, self.codes[at] == codes
+        # By length: sorted hashes and which piece each stands for.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.fromiter(map(len, self.names), np.int64, len(self.names))
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            flat = np.frombuffer(b"".join(self.names[i] for i in own), np.uint8)
+            codes = _code(flat.reshape(len(own), size))
+            if len(np.unique(codes)) < len(codes):
+                raise ValueError("two pieces share a hash")
+            order = np.argsort(codes)
+            self.tables[size] = codes[order], own[order]
+
+    def find(self, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which piece of ``size`` bytes has each hash, and whether one has."""
+        if size not in self.tables:
+            return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+        known, which = self.tables[size]
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return which[at], known[at] == codes
 
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -118,8 +129,9 @@ def _links(grid: np.ndarray, pieces: Pieces):
         h = np.zeros(rows, np.uint64)
         for j in range(i + 1, min(i + LONGEST_PIECE, n) + 1):
             h = h * _FACTOR + _BYTE[grid[:, j - 1]]
-            at, there = pieces.find(h)
-            yield i, j, at, there
+            at, there = pieces.find(h, j - i)
+            if there.any():
+                yield i, j, at, there
 
 
 def forward(grid: np.ndarray, pieces: Pieces, links=None) -> np.ndarray:
@@ -189,7 +201,7 @@ def expected_counts(words: list[bytes], weights: np.ndarray, pieces: Pieces) ->
 
 
 def _expect(grid: np.ndarray, weights: np.ndarray, pieces: Pieces, total: np.ndarray) -> None:
-    links = [(i, j, at, there) for i, j, at, there in _links(grid, pieces) if there.any()]
+    links = list(_links(grid, pieces))
     alpha = forward(grid, pieces, links)
     beta = np.full(alpha.shape, -np.inf)
     beta[-1] = 0
@@ -203,6 +215,19 @@ def _expect(grid: np.ndarray, weights: np.ndarray, pieces: Pieces, total: np.nda
 # --- counts -------------------------------------------------------------------
 
 
+def _together(batches):
+    """Arrow batches joined to batches of ``TOGETHER`` rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def word_counts(docs: DataFrame, train_column: str, text_column: str) -> DataFrame:
     """word, n (in training rows) and uses (in all rows), ends of texts included."""
 
@@ -253,7 +278,7 @@ def estimate(words: DataFrame, path: str) -> Pieces:
 
         def work(batches):
             total = np.zeros(len(pieces.logs))
-            for batch in batches:
+            for batch in _together(batches):
                 rows = batch.column(0).to_pylist()
                 total += expected_counts(rows, batch.column(1).to_numpy().astype(float), pieces)
             used = np.flatnonzero(total)
@@ -284,7 +309,7 @@ def scored_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in _together(batches):
             rows = batch.column(0).to_pylist()
             logs = word_logs(rows, own)
             logs[[k for k, w in enumerate(rows) if w == END]] = own.end
