@@ -38,6 +38,15 @@ HEADLINE = [
     "result_rows",
     "compare_runs",
     "stream_ttft",
+    "score_runs",
+    "suite_graphwalks",
+    "suite_mrcr",
+    "suite_ifeval",
+    "suite_bfcl",
+    "suite_humaneval",
+    "suite_tau_bench",
+    "suite_terminal_bench",
+    "suite_swe_bench",
 ]
 
 

@@ -53,7 +53,7 @@ def exact_percentiles(
     # below it, so ties never straddle buckets.
     borders = [F.get("_borders", F.lit(i)) for i in range(len(marks))]
     bucket = reduce(lambda a, b: a + b, [(F.col("_value") > b).cast("int") for b in borders])
-    values = _null_safe_join(long.filter(F.col("_value").isNotNull()), sketch, keys)
+    values = null_safe_join(long.filter(F.col("_value").isNotNull()), sketch, keys)
     counts = (
         values.withColumn("_bucket", bucket)
         .groupBy(*keys, "_n", "_bucket", "_value")
@@ -78,7 +78,7 @@ def exact_percentiles(
         .orderBy("_value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    picked = _null_safe_join(counts, needed, [*keys, "_bucket"]).withColumn(
+    picked = null_safe_join(counts, needed, [*keys, "_bucket"]).withColumn(
         "_reached", F.col("_before") + F.sum("_count").over(ordered)
     )
     outputs = [
@@ -91,14 +91,14 @@ def exact_percentiles(
         return result
     # Groups without any value keep their row; the sketch knows all groups.
     groups = sketch.select(*by).distinct()
-    return _null_safe_join(groups, result, by, "left")
+    return null_safe_join(groups, result, by, "left")
 
 
 def _position(share: int) -> Column:
     return (F.col("_n") - 1) * F.lit(share / 100)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL group keys meet each other."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     condition = reduce(

@@ -135,17 +135,22 @@ def request_bodies(
 ) -> DataFrame:
     """Add ``request_max_tokens`` and the JSON ``body`` of each request.
 
-    The suite's token limit always wins over the run's. A NULL temperature or
-    seed does not appear in the body. ``suites`` has one row per suite, a
-    size that does not grow with the samples.
+    The suite's token limit always wins over the run's, and its system prompt,
+    if it has one, goes first. A NULL temperature or seed does not appear in
+    the body. ``suites`` has one row per suite; Spark broadcasts it by its size.
     """
-    limits = F.broadcast(suites.select("suite", F.col("max_tokens").alias("_suite_limit")))
+    prompt = "system_prompt" if "system_prompt" in suites.columns else None
+    limits = suites.select(
+        "suite",
+        F.col("max_tokens").alias("_suite_limit"),
+        (F.col(prompt) if prompt else F.lit(None).cast("string")).alias("_system"),
+    )
     joined = samples.join(limits, "suite", "left").withColumn(
         "request_max_tokens", F.coalesce("_suite_limit", F.lit(max_tokens)).cast("bigint")
     )
     fields = [
         F.lit(model).alias("model"),
-        F.col("messages"),
+        with_system(F.col("messages"), F.col("_system")).alias("messages"),
         F.lit(stream).alias("stream"),
         F.col("request_max_tokens").alias("max_tokens"),
         F.lit(temperature).cast("double").alias("temperature"),
@@ -158,4 +163,4 @@ def request_bodies(
         body = F.when(
             F.size("tools") > 0, F.concat(F.regexp_replace(body, r"\}\z", ""), tools)
         ).otherwise(body)
-    return joined.withColumn("body", body).drop("_suite_limit")
+    return joined.withColumn("body", body).drop("_suite_limit", "_system")

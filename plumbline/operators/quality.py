@@ -85,16 +85,13 @@ def pass_at_k(
 
 
 def results_by_tier(results: DataFrame, suites: DataFrame) -> DataFrame:
-    """Quality per tier. ``suites`` holds one row per suite, so it is broadcast.
-
-    Results shrink to one row per suite before they meet the catalog.
-    """
+    """Quality per tier. Results shrink to one row per suite before they meet the catalog."""
     per_suite = results.groupBy("suite").agg(
         F.count("*").alias("n"),
         F.count_if("correct").alias("c"),
         F.sum("score").alias("s"),
     )
-    tiers = per_suite.join(F.broadcast(suites.select("suite", "tier")), "suite", "left")
+    tiers = per_suite.join(suites.select("suite", "tier"), "suite", "left")
     return tiers.groupBy("tier").agg(
         F.count("*").alias("num_suites"),
         F.sum("n").alias("num_samples"),

@@ -22,8 +22,10 @@ PERFORMANCE_ROWS = [
 NOT_AVAILABLE = "N/A"
 
 
-def run_label(suite: Column, model: Column) -> Column:
-    return F.concat_ws(" ", F.coalesce(suite, F.lit("?")), F.coalesce(model, F.lit("?")))
+def run_label(suite: Column, model: Column, run: Column | None = None) -> Column:
+    """Name of a run in a comparison; ``run`` (id or stamp) tells repeated runs apart."""
+    parts = [F.coalesce(suite, F.lit("?")), F.coalesce(model, F.lit("?"))]
+    return F.concat_ws(" ", *parts, *([] if run is None else [F.coalesce(run, F.lit("?"))]))
 
 
 def _four(value: Column) -> Column:
@@ -71,17 +73,23 @@ def comparison_rows(summaries: DataFrame) -> DataFrame:
     return exploded(summaries, "label", array=stacked, item="r", pos="_pos").select("label", "r.*")
 
 
+def _only(name: str) -> Column:
+    """The value of a group of one row."""
+    return F.when(F.count(name) > 1, F.raise_error(F.lit("two runs share a label"))).otherwise(F.min(name))
+
+
 def compare_runs(summaries: DataFrame, labels: Sequence[str]) -> DataFrame:
     """One row per metric, one column per run in ``labels``.
 
     The score row appears only when some run has a score. The runs to show
-    are named by the caller, so the number of columns is fixed beforehand.
+    are named by the caller, so the number of columns is fixed beforehand. A
+    label must stand for one run; two runs of one label are an error.
     """
     rows = comparison_rows(summaries.filter(F.col("label").isin(*labels)))
     wide = (
         rows.groupBy("pos", "metric")
         .pivot("label", list(labels))
-        .agg(F.first("value").alias("value"), F.bool_or("known").alias("known"))
+        .agg(_only("value").alias("value"), F.bool_or("known").alias("known"))
     )
     shown = F.coalesce(*[F.nullif(F.col(f"`{n}_known`"), F.lit(False)) for n in labels], F.lit(False))
     return wide.filter(shown).select(

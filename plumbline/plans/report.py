@@ -47,4 +47,8 @@ def run_report(results: DataFrame, by: Sequence[str] = ("suite", "model")) -> Da
     )
     succeeded = stored.filter(F.col("error").isNull())
     shares = percentiles.exact_percentiles(succeeded, by, requests.PERCENTILES)
-    return totals.join(shares, by, "left")
+    if not by:
+        # Two tables of one row each; the percentiles have none without values.
+        one = F.lit(1).alias("_one")
+        return totals.select("*", one).join(shares.select("*", one), "_one", "left").drop("_one")
+    return percentiles.null_safe_join(totals, shares, by, "left")

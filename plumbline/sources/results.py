@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +28,6 @@ SAMPLE = (
     "id:string,correct:boolean,score:double,predicted:string,expected:string,"
     f"details:string,metrics:{_METRICS}"
 )
-AGGREGATE_FIELDS = (
-    "ttft_p50 ttft_p95 ttft_p99 ttft_mean generation_tps_mean generation_tps_p50 prompt_tps_mean "
-    "latency_p50 latency_p95 latency_p99 latency_mean total_prompt_tokens total_completion_tokens "
-    "total_requests failed_requests wall_time_seconds effective_throughput_rps"
-).split()
 AGGREGATES = (
     "struct<ttft_p50:double,ttft_p95:double,ttft_p99:double,ttft_mean:double,"
     "generation_tps_mean:double,generation_tps_p50:double,prompt_tps_mean:double,"
@@ -39,6 +35,7 @@ AGGREGATES = (
     "total_prompt_tokens:bigint,total_completion_tokens:bigint,total_requests:bigint,"
     "failed_requests:bigint,wall_time_seconds:double,effective_throughput_rps:double>"
 )
+AGGREGATE_FIELDS = re.findall(r"(\w+):", AGGREGATES)
 CONFIG = (
     "struct<base_url:string,concurrency:int,streaming:boolean,temperature:double,"
     "max_tokens:bigint,seed:bigint>"
@@ -84,10 +81,12 @@ def export_sample(results: DataFrame, details: Sequence[str] = ()) -> DataFrame:
 
 
 def sample_results(
-    scored: DataFrame, *, run_id: str, model: str, details: Sequence[str] = ()
+    scored: DataFrame, *, model: str, run_id: str | None = None, details: Sequence[str] = ()
 ) -> DataFrame:
     """Scored rows in the common layout of all suites.
 
+    Without ``run_id`` the rows' own one is kept.
+
     ``details`` names the suite's own columns; they become one JSON text.
     ``metrics`` is NULL for rows without any metric.
     """
@@ -95,7 +94,7 @@ def sample_results(
     measured = F.coalesce(*[F.col(f).cast("string") for f in present], F.lit(None)).isNotNull()
     metrics = F.struct(*[F.col(f) if f in present else F.lit(None).alias(f) for f in METRIC_FIELDS])
     return scored.select(
-        F.lit(run_id).alias("run_id"),
+        (F.col("run_id") if run_id is None else F.lit(run_id)).alias("run_id"),
         "suite",
         F.lit(model).alias("model"),
         "sample_id",
@@ -109,13 +108,30 @@ def sample_results(
 
 
 def write_results(results: DataFrame, path: str, *, format: str = "parquet") -> None:
-    """Write sample results, one folder per suite and model.
+    """Write sample results, one folder per suite, model and run.
 
     Rows go to disk from the tasks that hold them; nothing is gathered into
-    one document.
+    one document. A run that is written again replaces its folder, and no other.
     """
+    keys = ["suite", "model_key", *(["run_id"] if "run_id" in results.columns else [])]
     keyed = results.withColumn("model_key", model_key(F.col("model")))
-    keyed.write.partitionBy("suite", "model_key").mode("append").format(format).save(path)
+    writer = keyed.write.partitionBy(*keys).mode("overwrite").format(format)
+    writer.option("partitionOverwriteMode", "dynamic").save(path)
+
+
+def documents_with_samples(summaries: DataFrame, exported: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One JSON text per run, its samples nested: what ``read_results`` reads.
+
+    ``summaries`` are ``run_documents`` with the columns ``keys``; ``exported``
+    has ``keys`` and the objects of ``export_sample``. A document is one value,
+    so it holds all samples of its run in one row; runs of any size are
+    written by ``write_results``.
+    """
+    nested = exported.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("exported")), ",").alias("_s"))
+    fields = [c for c in summaries.columns if c not in keys or c == "model"]
+    head = F.regexp_replace(F.to_json(F.struct(*fields)), r"\}\z", "")
+    tail = F.concat(F.lit(',"sample_results":['), F.coalesce("_s", F.lit("")), F.lit("]}"))
+    return summaries.join(nested, list(keys), "left").select(*keys, F.concat(head, tail).alias("document"))
 
 
 def run_documents(

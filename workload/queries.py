@@ -33,7 +33,7 @@ from plumbline.plans import compare, logged
 from plumbline.plans.report import run_report
 from plumbline.plans.suites import Suite, get_suite, run_summary, score_suite
 from plumbline.session import shared_path
-from plumbline.sources import adapters, catalog, results
+from plumbline.sources import adapters, catalog, logs, results
 from plumbline.streaming import live
 from workload import duck
 from workload import fixtures as fx
@@ -405,7 +405,7 @@ _SYSTEM = (
 )
 def messages_with_system(spark, sf_dir):
     samples = adapters.choice4_samples(frame(spark, sf_dir, fx.choices), "event_id")
-    settings = F.broadcast(catalog.suites(spark).select("suite", "system_prompt"))
+    settings = catalog.suites(spark).select("suite", "system_prompt")
     rows = samples.join(settings, "suite", "left")
     messages = prompts.with_system(F.col("messages"), F.col("system_prompt"))
     # A second pass changes nothing: the first message is a system one by then.
@@ -422,7 +422,8 @@ def messages_with_system(spark, sf_dir):
 @query(
     "request_bodies",
     f"""SELECT 'mmlu_' || {ordinal('event_id')} AS sample_id, 32::BIGINT AS request_max_tokens, 32::BIGINT AS body_max_tokens,
-    'org/m' AS model, 7::BIGINT AS seed, false AS has_temperature, {_PROMPT4} AS content FROM {CHOICES}""",
+    'org/m' AS model, 7::BIGINT AS seed, false AS has_temperature, '{_SYSTEM}' AS system, {_PROMPT4} AS content
+    FROM {CHOICES}""",
 )
 def request_bodies(spark, sf_dir):
     samples = adapters.choice4_samples(frame(spark, sf_dir, fx.choices), "event_id")
@@ -442,7 +443,8 @@ def request_bodies(spark, sf_dir):
         F.col("b.model").alias("model"),
         F.col("b.seed").alias("seed"),
         F.contains("body", F.lit('"temperature"')).alias("has_temperature"),
-        F.get("b.messages", F.lit(0)).getField("content").alias("content"),
+        F.get("b.messages", F.lit(0)).getField("content").alias("system"),
+        F.get("b.messages", F.lit(1)).getField("content").alias("content"),
     )
 
 
@@ -813,14 +815,14 @@ _FORM = "[json_extract_string(c, '$.name') || '|' || json_extract_string(c, '$.a
 )
 def parse_calls(spark, sf_dir):
     rows = calls.calls_long(frame(spark, sf_dir, fx.call_log, spread_out=True), "event_id")
-    entry = F.get("args", F.lit(0))
-    return rows.select(
+    entries = rows.select("event_id", "pos", "name", F.size("args").alias("num_args"), F.explode_outer("args").alias("e"))
+    return entries.select(
         "event_id",
         F.col("pos").cast("bigint").alias("pos"),
         "name",
-        F.size("args").cast("bigint").alias("num_args"),
-        entry.getField("k").alias("key"),
-        entry.getField("v").alias("value"),
+        F.col("num_args").cast("bigint").alias("num_args"),
+        F.col("e.k").alias("key"),
+        F.col("e.v").alias("value"),
     )
 
 
@@ -1307,6 +1309,53 @@ def read_results(spark, sf_dir):
     )
 
 
+@query(
+    "read_documents",
+    f"""SELECT r.suite, count(*) AS num_samples, count(*) FILTER (WHERE correct) AS num_correct,
+    sum(CASE WHEN error IS NULL THEN prompt_tokens END)::BIGINT AS prompt_tokens, 1::BIGINT AS num_bad FROM ({_RUN}) r GROUP BY r.suite""",
+)
+def read_documents(spark, sf_dir):
+    """Complete documents from two folders, read back with a broken file among them."""
+    first, second = shared_path(spark, "documents"), shared_path(spark, "documents")
+    rows = _run_results(spark, sf_dir)
+    exported = results.export_sample(
+        rows.withColumn("prompt_tokens", F.when(F.col("error").isNull(), F.col("prompt_tokens")))
+    )
+    stamp = results.run_stamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    summaries = results.run_documents(run_report(rows), stamp=stamp).withColumn("suite", F.col("benchmark"))
+    documents = results.documents_with_samples(summaries, exported, ["suite", "model"])
+    low = F.col("suite") < "m"
+    documents.filter(low).select("document").write.text(first)
+    documents.filter(~low).select("document").write.text(second)
+    spark.createDataFrame([('{"benchmark": "cut',)], "value string").write.mode("append").text(second)
+    _, samples, bad = results.read_results(spark, [first, second], multi_line=False)
+    totals = samples.groupBy("suite").agg(
+        F.count("*").alias("num_samples"),
+        F.count_if("correct").alias("num_correct"),
+        F.sum("metrics.prompt_tokens").alias("prompt_tokens"),
+    )
+    return totals.select("*", bad.agg(F.count("*")).scalar().alias("num_bad"))
+
+
+@query(
+    "read_logs",
+    f"""SELECT 'mmlu' AS suite, count(*) AS num_rows, count(*) FILTER (WHERE value > 100) AS num_failed FROM {CHOICES}""",
+)
+def read_logs(spark, sf_dir):
+    """A response log that is written and read by its schema; columns it lacks are NULL."""
+    path = shared_path(spark, "log")
+    frame(spark, sf_dir, fx.choices).select(
+        F.lit("mmlu").alias("suite"),
+        F.concat(F.lit("mmlu_"), "event_id").alias("sample_id"),
+        "response",
+        F.when(F.col("value") > 100, "timeout").alias("error"),
+    ).write.parquet(path)
+    log = logs.read_log(spark, "responses", path).filter(F.col("run_id").isNull() & F.col("tool_calls").isNull())
+    return log.groupBy("suite").agg(
+        F.count("*").alias("num_rows"), F.count_if(F.col("error") == "timeout").alias("num_failed")
+    )
+
+
 RUN_LABELS = [
     f"{suite} org/m{i}" for suite in ("click", "error", "purchase", "signup", "view") for i in range(3)
 ]
@@ -1513,6 +1562,21 @@ def suite_swe_bench(spark, sf_dir):
     return scored.select("sample_id", "correct", "predicted", "expected", "error")
 
 
+@query(
+    "suite_swe_bench_pro",
+    f"""SELECT 'swe_pro_' || {ordinal('o_orderkey')} AS sample_id, false AS correct, 'no response' AS error
+    FROM {PATCH_TASKS}""",
+)
+def suite_swe_bench_pro(spark, sf_dir):
+    """Tasks without an id of their own get the default one; none was answered."""
+    to_samples, score = logged.LOGGED_SUITES["swe_bench_pro"]
+    raw = frame(spark, sf_dir, fx.patch_tasks).drop("instance_id")
+    nothing = frame(spark, sf_dir, fx.patch_answers).filter("false")
+    log = frame(spark, sf_dir, fx.test_log).withColumn("sample_id", F.concat(F.lit("issue-"), "sample_id"))
+    scored = score(to_samples(raw, "o_orderkey"), nothing, log, order=("l_linenumber", "l_partkey", "l_suppkey"))
+    return scored.select("sample_id", "correct", "error")
+
+
 # --- several runs, failures, missing logs --------------------------------------
 
 
