@@ -30,6 +30,42 @@ def pick(table: DataFrame, *names: str, default: Column | None = None) -> Column
     return F.lit("") if default is None else default
 
 
+def json_text(table: DataFrame, *names: str, default: str) -> Column:
+    """A column as JSON text: texts stay, typed values (arrays, structs, maps, variants) are written out.
+
+    Fields of a struct that are NULL are absent, as a struct cannot tell the two apart.
+    """
+    for name in names:
+        if name in table.columns:
+            kind = dict(table.dtypes)[name]
+            return F.col(name) if kind == "string" else F.to_json(F.col(name))
+    return F.lit(default)
+
+
+def json_texts(table: DataFrame, name: str, depth: int = 1) -> Column:
+    """A list (of lists, with ``depth`` 2) of JSON texts from a list of typed values or texts.
+
+    One JSON text for the whole list is taken apart.
+    """
+    shape = "array<" * depth + "string" + ">" * depth
+    if name not in table.columns:
+        return F.array().cast(shape)
+
+    def unfold(value: Column, level: int) -> Column:
+        items = F.coalesce(jsontext.as_items(value), F.array().cast("array<variant>"))
+        return F.transform(items, lambda v: F.to_json(v) if level == 1 else unfold(v, level - 1))
+
+    def written(value: Column, level: int) -> Column:
+        return F.transform(value, lambda v: F.to_json(v) if level == 1 else written(v, level - 1))
+
+    kind = dict(table.dtypes)[name]
+    if kind == shape:
+        return F.col(name)
+    if kind in ("string", "variant"):
+        return unfold(jsontext.parse(F.col(name)) if kind == "string" else F.col(name), depth)
+    return written(F.col(name), depth)
+
+
 def _numbered(table: DataFrame, suite: str, key: str, max_samples: int | None) -> DataFrame:
     rows = numbered(table, key, max_samples)
     return rows.select(
@@ -137,14 +173,14 @@ def code_samples(table: DataFrame, key: str, max_samples: int | None = None) ->
 
 
 def instruction_samples(table: DataFrame, key: str, max_samples: int | None = None) -> DataFrame:
-    """``prompt`` with ``instruction_id_list`` and ``kwargs`` (JSON texts)."""
+    """``prompt`` with ``instruction_id_list`` and ``kwargs`` (texts or typed values)."""
     rows = _numbered(table, "ifeval", key, max_samples)
     none = F.array().cast(TEXTS)
     return rows.select(
         *HEAD,
         prompts.user_message(F.col("prompt")).alias("messages"),
         pick(table, "instruction_id_list", default=none).alias("instruction_id_list"),
-        pick(table, "kwargs", default=none).alias("kwargs"),
+        json_texts(table, "kwargs").alias("kwargs"),
     )
 
 
@@ -158,12 +194,12 @@ def turn_samples(table: DataFrame, key: str, max_samples: int | None = None) ->
         pick(
             table, "instruction_id_list", default=F.array().cast("array<array<string>>")
         ).alias("instruction_id_list"),
-        pick(table, "kwargs", default=F.array().cast("array<array<string>>")).alias("kwargs"),
+        json_texts(table, "kwargs", depth=2).alias("kwargs"),
     )
 
 
 def call_samples(table: DataFrame, key: str, max_samples: int | None = None) -> DataFrame:
-    """``question`` (text or messages), ``function`` (JSON) and the answer (JSON)."""
+    """``question`` (text or messages), ``function`` and the answer (JSON or typed)."""
     rows = _numbered(table, "bfcl", key, max_samples)
     question = pick(table, "question")
     is_text = not dict(table.dtypes).get("question", "string").startswith("array")
@@ -172,23 +208,23 @@ def call_samples(table: DataFrame, key: str, max_samples: int | None = None) ->
         (prompts.user_message(question.cast("string")) if is_text else question.cast(prompts.MESSAGES)).alias(
             "messages"
         ),
-        prompts.tool_envelopes(pick(table, "function", default=F.lit("[]"))).alias("tools"),
-        pick(table, "answer", "ground_truth").cast("string").alias("expected_raw"),
+        prompts.tool_envelopes(json_text(table, "function", default="[]")).alias("tools"),
+        json_text(table, "answer", "ground_truth", default="").alias("expected_raw"),
     )
 
 
 def action_samples(table: DataFrame, key: str, max_samples: int | None = None) -> DataFrame:
-    """Agent tasks: instruction, tools and expected actions as JSON texts."""
+    """Agent tasks: instruction, tools and expected actions (JSON or typed)."""
     rows = _numbered(table, "tau_bench", key, max_samples)
     instruction = pick(table, "user_instruction", "instruction")
     return rows.select(
         *HEAD,
         prompts.user_message(instruction).alias("messages"),
-        prompts.tool_envelopes(pick(table, "tools", default=F.lit("[]")), keep_typed=True).alias(
+        prompts.tool_envelopes(json_text(table, "tools", default="[]"), keep_typed=True).alias(
             "tools"
         ),
-        pick(table, "expected_actions", default=F.lit("[]")).alias("expected_actions"),
-        pick(table, "initial_state", default=F.lit("{}")).alias("initial_state"),
+        json_text(table, "expected_actions", default="[]").alias("expected_actions"),
+        json_text(table, "initial_state", default="{}").alias("initial_state"),
     )
 
 
@@ -206,7 +242,7 @@ def terminal_samples(table: DataFrame, key: str, max_samples: int | None = None)
 def patch_samples(
     table: DataFrame, key: str, max_samples: int | None = None, *, suite: str = "swe_bench"
 ) -> DataFrame:
-    """Repository issues; the test lists are JSON texts, invalid ones are empty."""
+    """Repository issues; the test lists are JSON or typed, invalid ones are empty."""
     prefix = {"swe_bench": "swe_", "swe_bench_pro": "swe_pro_"}[suite]
     rows = _numbered(table, suite, key, max_samples)
     default_id = F.concat(F.lit(prefix), F.col("ordinal"))
@@ -219,8 +255,8 @@ def patch_samples(
         pick(table, "base_commit").alias("base_commit"),
         pick(table, "patch").alias("gold_patch"),
         pick(table, "test_patch").alias("test_patch"),
-        test_list(pick(table, "FAIL_TO_PASS")).alias("fail_to_pass"),
-        test_list(pick(table, "PASS_TO_PASS")).alias("pass_to_pass"),
+        test_list(json_text(table, "FAIL_TO_PASS", default="")).alias("fail_to_pass"),
+        test_list(json_text(table, "PASS_TO_PASS", default="")).alias("pass_to_pass"),
     )
 
 

@@ -1562,6 +1562,100 @@ def suite_swe_bench(spark, sf_dir):
     return scored.select("sample_id", "correct", "predicted", "expected", "error")
 
 
+# --- typed question sets: the same samples from arrays and structs -------------
+
+
+def _typed_calls(spark, sf_dir):
+    raw = frame(spark, sf_dir, fx.call_log, spread_out=True)
+    one = "struct<arguments:struct<k:bigint>,name:string>"
+    return raw.withColumns(
+        {
+            "answer": F.array(F.from_json("answer", one)),
+            "function": F.array(F.struct(F.col("event_type").alias("name"), F.lit("int").alias("kind"))),
+        }
+    )
+
+
+@query(
+    "typed_calls",
+    f"""SELECT 'bfcl_' || event_id AS sample_id, '[{{"arguments":{{"k":' || k || '}},"name":"' || event_type || '"}}]' AS expected_raw,
+    '{{"type":"function","function":{{"kind":"int","name":"' || event_type || '"}}}}' AS tool FROM {CALLS}""",
+)
+def typed_calls(spark, sf_dir):
+    samples = adapters.call_samples(_typed_calls(spark, sf_dir), "event_id")
+    return samples.select("sample_id", "expected_raw", F.get("tools", F.lit(0)).alias("tool"))
+
+
+@query(
+    "typed_rules",
+    f"""SELECT 'ifeval_' || doc_id AS sample_id,
+    NOT contains(response, ',') AND len(regexp_extract_all(response, '[^{duck.SPACE}]+')) >= doc_id % 300 AS correct FROM {LISTS}""",
+)
+def typed_rules(spark, sf_dir):
+    """Rule arguments as structs; a field that is NULL is not given."""
+    raw = frame(spark, sf_dir, fx.rule_lists, spread_out=True).withColumns(
+        {
+            "prompt": F.col("lang"),
+            "instruction_id_list": F.array(F.lit("punctuation:no_comma"), F.lit("length_constraints:number_words")),
+            "kwargs": F.array(
+                F.struct(F.lit(None).cast("bigint").alias("num_words")), F.struct((F.col("doc_id") % 300).alias("num_words"))
+            ),
+        }
+    )
+    return _suite(spark, sf_dir, "ifeval", raw, "doc_id").select("sample_id", "correct")
+
+
+@query(
+    "typed_turn_rules",
+    f"SELECT 'multi_if_' || event_id AS sample_id, '{{\"num_words\":' || event_id || '}}' AS first, '{{}}' AS second FROM events",
+)
+def typed_turn_rules(spark, sf_dir):
+    raw = frame(spark, sf_dir, fx.nested_turns)
+    one = lambda n: F.array(F.struct(n.alias("num_words")))
+    raw = raw.withColumn("kwargs", F.array(one(F.col("event_id")), one(F.lit(None).cast("bigint"))))
+    samples = adapters.turn_samples(raw, "event_id")
+    place = lambda i: F.get(F.get("kwargs", F.lit(i)), F.lit(0))
+    return samples.select("sample_id", place(0).alias("first"), place(1).alias("second"))
+
+
+@query(
+    "typed_actions",
+    f"""SELECT 'tau_bench_' || conv_id AS sample_id, '[{{"name":"lookup","arguments":{{"id":"' || conv_id || '"}}}}]' AS expected_actions,
+    '{{"name":"t","type":"function"}}' AS tool FROM {TASKS}""",
+)
+def typed_actions(spark, sf_dir):
+    """Actions as an array of structs with a map, tools as a VARIANT."""
+    arguments = F.create_map(F.lit("id"), F.col("conv_id").cast("string"))
+    raw = frame(spark, sf_dir, fx.agent_tasks).drop("sample_id").withColumns(
+        {
+            "expected_actions": F.array(F.struct(F.lit("lookup").alias("name"), arguments.alias("arguments"))),
+            "tools": F.parse_json(F.lit('[{"name":"t","type":"function"}]')),
+        }
+    )
+    samples = adapters.action_samples(raw, "conv_id")
+    return samples.select("sample_id", "expected_actions", F.get("tools", F.lit(0)).alias("tool"))
+
+
+@query(
+    "typed_test_lists",
+    f"""SELECT instance_id AS sample_id, 2::BIGINT AS num_f2p, 't' || o_orderkey AS first, 0::BIGINT AS num_p2p FROM {PATCH_TASKS}""",
+)
+def typed_test_lists(spark, sf_dir):
+    raw = frame(spark, sf_dir, fx.patch_tasks).withColumns(
+        {
+            "FAIL_TO_PASS": F.array(F.concat(F.lit("t"), "o_orderkey"), F.lit("u")),
+            "PASS_TO_PASS": F.array().cast("array<string>"),
+        }
+    )
+    samples = adapters.patch_samples(raw, "o_orderkey")
+    return samples.select(
+        "sample_id",
+        F.size("fail_to_pass").cast("bigint").alias("num_f2p"),
+        F.get("fail_to_pass", F.lit(0)).alias("first"),
+        F.size("pass_to_pass").cast("bigint").alias("num_p2p"),
+    )
+
+
 @query(
     "suite_swe_bench_pro",
     f"""SELECT 'swe_pro_' || {ordinal('o_orderkey')} AS sample_id, false AS correct, 'no response' AS error
