@@ -41,6 +41,22 @@ def stored(table: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+# Bytes of rows that may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def bounded(table: DataFrame) -> DataFrame:
+    """``table``, marked for broadcast if its rows are counted to fit the bound.
+
+    Beyond ``BROADCAST_BYTES`` it stays as it is and its joins shuffle. For
+    stored tables: the count reads them once.
+    """
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind in ("binary", "string")]
+    size = sum(wide, F.lit(16 * len(table.columns)))
+    total = table.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
+
+
 def split_of(id_column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a NULL id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds

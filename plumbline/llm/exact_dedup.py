@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import blocks, map_texts, mix64, schema_of, stored, texts_of
+from plumbline.llm.common import blocks, bounded, map_texts, mix64, schema_of, stored, texts_of
 
 # Bytes of a chunk: at least, about, at most.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 1 << 10, 1 << 12, 1 << 15
@@ -129,19 +129,25 @@ def _verified(value, docs: DataFrame, text_column: str):
 
 
 def _repeated(made: DataFrame, id_column: str) -> DataFrame:
-    """Recipes of more than one row: the id that stays and the number of rows.
+    """Recipes of more than one row: the id that stays, how many rows have it and all.
 
     Stored, so that the join that follows can split a recipe with very many
     rows; it holds duplicated texts alone.
     """
-    groups = made.groupBy("_recipe").agg(F.max(id_column).alias("_keep"), F.count("*").alias("_size"))
+    each = made.groupBy("_recipe", id_column).agg(F.count("*").alias("_rows"))
+    groups = each.groupBy("_recipe").agg(
+        F.max(id_column).alias("_keep"),
+        F.sum("_rows").alias("_size"),
+        # No id is as good as any: max_by leaves NULL ids out.
+        F.coalesce(F.max_by("_rows", id_column), F.max("_rows")).alias("_kept"),
+    )
     return stored(groups.filter("_size > 1"), "recipes")
 
 
 def exact_groups(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: the id that stays for its text, group size, digest."""
     made = recipes(docs, [id_column], text_column)
-    joined = made.join(_repeated(made, id_column), "_recipe", "left")
+    joined = made.join(bounded(_repeated(made, id_column)), "_recipe", "left")
     single = F.col("_size").isNull()
     keep = F.when(single, F.col(id_column)).otherwise(F.col("_keep"))
     return joined.select(
@@ -157,10 +163,13 @@ def drop_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     """``docs`` with one row of each text, that with the largest id."""
     made = recipes(docs, docs.columns, text_column)
     narrow = recipes(docs, [id_column], text_column)
-    joined = made.join(_repeated(narrow, id_column), "_recipe", "left")
-    single = joined.filter(F.col("_size").isNull()).select(*docs.columns)
-    # Rows that repeat id and text: one of them stays.
-    stays = joined.filter(F.col("_size").isNotNull() & F.col(id_column).eqNullSafe(F.col("_keep")))
-    one = stays.dropDuplicates(["_recipe"]).select(*docs.columns)
-    checked = _verified(F.lit(True), docs, text_column)
-    return single.unionByName(one).filter(checked)
+    groups = _repeated(narrow, id_column)
+    joined = made.join(bounded(groups), "_recipe", "left")
+    stays = F.col("_size").isNull() | F.col(id_column).eqNullSafe(F.col("_keep"))
+    kept = joined.filter(stays & (F.coalesce("_kept", F.lit(1)) == 1)).select(*docs.columns)
+    again = groups.filter("_kept > 1")
+    if not again.isEmpty():
+        # Rows that repeat both id and text: one of them stays.
+        some = made.join(bounded(again), "_recipe").filter(F.col(id_column).eqNullSafe(F.col("_keep")))
+        kept = kept.unionByName(some.dropDuplicates(["_recipe"]).select(*docs.columns))
+    return kept.filter(_verified(F.lit(True), docs, text_column))

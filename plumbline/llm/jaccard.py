@@ -8,15 +8,18 @@ The join is exact over 64-bit hashes of the n-grams:
    enough share one of their first n-grams. The order puts n-grams last that a
    sample finds frequent: the order steers cost and cannot change the result.
    N-grams whose blocks have the same members are one block.
-3. Each block is joined by a signature tree: members sorted by size, nodes with
-   the OR of their members' token bitmaps, the range of sizes and the least
-   number of bits. Two nodes are traversed together and left as soon as the
-   largest possible overlap is below what the smallest sizes would need.
-   Surviving pairs are compared exactly, except those already connected.
-4. A block above ``BLOCK`` members is cut at random, differently for every
+3. Each block is joined by a signature tree over small bitmaps of the sets:
+   members sorted by size, nodes with the OR of their members' bitmaps, the
+   range of sizes and the least number of bits. Two nodes are traversed together
+   and left as soon as the largest possible overlap is below what the smallest
+   sizes would need. Members without a surviving partner go; that is nearly all.
+4. What survives is compared exactly, on whole sets, in the same blocks: first in
+   a few blocks of each text, which connects groups of copies, then in all
+   blocks that still have members of different components.
+5. A block above ``BLOCK`` members is cut at random, differently for every
    n-gram. Members of different cuts that other blocks have not connected by
-   then are joined in a second round, cut by cut.
-5. Components of the links; every member of a class gets its component.
+   then are joined in a last round, cut by cut.
+6. Components of the links; every member of a class gets its component.
 
 Links are found between different sets; inside a class no pairs are made. Pairs
 whose ends are connected by other links need not be compared, so the links
@@ -36,10 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ASCII_LOWER, map_texts, mix64, schema_of, stored, texts_of
+from plumbline.llm.common import ASCII_LOWER, bounded, map_texts, mix64, schema_of, stored, texts_of
 from plumbline.llm.components import components
 
 SIZE, MIN_PERCENT = 4, 85
@@ -47,6 +50,9 @@ SIZE, MIN_PERCENT = 4, 85
 # Members of a block, of a leaf, and children of a node.
 BLOCK, LEAF, FAN = 128, 8, 4
 
+# Blocks of a text that are compared before the others.
+FIRST_BLOCKS = 3
+
 # One text in so many is counted to find frequent n-grams; those seen at least
 # so often, and at most so many of them (16 bytes each), are put last.
 SAMPLE, SEEN, LISTED = 16, 3, 1 << 17
@@ -111,27 +117,41 @@ def frequent_ngrams(docs: DataFrame, id_column: str, text_column: str, size: int
     return grams[order], seen[order]
 
 
+def _width(n: int) -> int:
+    """Bits of a set's bitmap: two to four for every n-gram."""
+    return max(64, 1 << (2 * n - 1).bit_length()) if n else 64
+
+
+def bitmap(grams: np.ndarray, width: int) -> np.ndarray:
+    """Bits of the n-grams, as bytes; ``width`` is a power of two, 64 or more."""
+    flags = np.zeros(width, np.uint8)
+    flags[(grams >> np.uint64(20)).astype(np.int64) & (width - 1)] = 1
+    return np.packbits(flags)
+
+
 def signatures(docs: DataFrame, id_column: str, text_column: str, size: int, percent: int) -> DataFrame:
-    """id, n, digest of the set, prefix: what is known of every text's set."""
+    """id, n, digest of the set, prefix and bitmap: what is known of every text's set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(docs, id_column, text_column, size))
-    schema = schema_of(docs, [id_column], _n="bigint", _digest="binary", _prefix="array<bigint>")
+    schema = schema_of(docs, [id_column], _n="bigint", _digest="binary", _prefix="array<bigint>", _bits="binary")
 
     def start():
         listed, seen = shared.value
 
         def work(batch: pa.RecordBatch):
-            n, digests, prefixes = [], [], []
+            n, digests, prefixes, bits = [], [], [], []
             for text in texts_of(batch.column(1)):
                 grams = ngram_set(text, size)
                 n.append(len(grams))
                 digests.append(hashlib.sha256(grams.tobytes()).digest()[:16] if len(grams) else None)
                 prefixes.append(_prefix(grams, percent, listed, seen).view(np.int64))
+                bits.append(bitmap(grams, _width(len(grams))).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(n, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(bits, pa.binary()),
                 ],
                 names=schema.names,
             )
@@ -151,24 +171,14 @@ class SignatureTree:
     member, and the least and largest set size.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        # About an eighth of the bits of a large set's bitmap are used.
-        width = 64
-        while width < 8 * sizes.max() and width < 1 << 15:
-            width *= 2
-        bitmap = np.zeros((len(sets), width // 8), np.uint8)
-        for row, grams in zip(bitmap, sets):
-            bit = (grams >> np.uint64(20)).astype(np.int64) & (width - 1)
-            flags = np.zeros(width, np.uint8)
-            flags[bit] = 1
-            row[:] = np.packbits(flags)
-        bitmap = bitmap.view(np.uint64)
-        # Similar members next to each other: by size, then by smallest n-gram.
-        self.order = np.lexsort(([g[0] for g in sets], sizes))
-        bits = np.bitwise_count(bitmap).sum(axis=1, dtype=np.int64)
+    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray):
+        """``bitmaps``: a row of bytes for each member, all of one width."""
+        words = np.ascontiguousarray(bitmaps).view(np.uint64)
+        # Similar members next to each other: by size, then by first bits.
+        self.order = np.lexsort((words[:, 0], sizes))
+        bits = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
         o = self.order
-        self.levels = [(bitmap[o], bits[o], sizes[o], sizes[o])]
+        self.levels = [(words[o], bits[o], sizes[o], sizes[o])]
         fan = LEAF
         while len(self.levels[-1][1]) > 1:
             ors, least, low, high = self.levels[-1]
@@ -220,6 +230,43 @@ class SignatureTree:
         return self.order[a[keep]], self.order[b[keep]]
 
 
+def candidates(bits: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members the trees leave, for bitmaps of different widths.
+
+    Members of one width share a tree. Sizes of similar sets are close, so their
+    widths are the same or neighbours; a wider bitmap folds to the narrower by
+    OR of its halves.
+    """
+    widths = np.fromiter(map(len, bits), np.int64, len(bits))
+    left, right = [], []
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        rows = np.stack([bits[i] for i in own])
+        if len(own) > 1:
+            a, b = SignatureTree(rows, sizes[own]).pairs(percent)
+            left.append(own[a])
+            right.append(own[b])
+        largest = sizes[own].max() * 100 // percent
+        next_ = np.flatnonzero((widths == 2 * width) & (sizes <= largest))
+        if len(next_):
+            wide = np.stack([bits[i] for i in next_])
+            both = np.concatenate((own, next_))
+            folded = np.concatenate((rows, _fold(wide)))
+            a, b = SignatureTree(folded, sizes[both]).pairs(percent)
+            cross = (a < len(own)) != (b < len(own))
+            left.append(both[a[cross]])
+            right.append(both[b[cross]])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _fold(rows: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the width: a bit's place loses its highest binary digit."""
+    half = rows.shape[1] // 2
+    return rows[:, :half] | rows[:, half:]
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact test of two sorted sets."""
     if len(a) > len(b):
@@ -238,7 +285,10 @@ def join_block(sets: list[np.ndarray], groups: list, percent: int, sides: np.nda
     """
     if len(sets) < 2:
         return []
-    a, b = SignatureTree(sets).pairs(percent)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    # Wider than what was sent around: whole sets are here.
+    bits = [bitmap(g, 4 * _width(len(g))) for g in sets]
+    a, b = candidates(bits, sizes, percent)
     if sides is not None:
         cross = sides[a] != sides[b]
         a, b = a[cross], b[cross]
@@ -266,79 +316,119 @@ def join_block(sets: list[np.ndarray], groups: list, percent: int, sides: np.nda
 
 
 def _blocks(prefixes: DataFrame) -> DataFrame:
-    """N-grams in the prefix of two members at least, one for each set of members."""
+    """(_rep, _gram, _size): n-grams in the prefixes of two members at least.
+
+    Of n-grams with the same members one is kept.
+    """
+    counts = prefixes.groupBy("_gram").agg(F.count("*").alias("_size"))
+    shared = stored(counts.filter("_size > 1"), "shared-grams")
+    rows = stored(prefixes.join(shared, "_gram"), "shared-rows")
     of = F.col("_rep")
-    grams = prefixes.groupBy("_gram").agg(
-        F.count("*").alias("_size"),
+    members = rows.groupBy("_gram", "_size").agg(
         F.min(of).alias("_low"),
         F.max(of).alias("_high"),
         F.bit_xor(F.xxhash64(of)).alias("_x"),
         F.sum(F.xxhash64(of, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))).alias("_y"),
     )
-    same = ["_size", "_low", "_high", "_x", "_y"]
-    return grams.filter(F.col("_low") != F.col("_high")).groupBy(*same).agg(F.min("_gram").alias("_gram")).select("_gram", "_size")
+    same = members.filter("_low <> _high").groupBy("_size", "_low", "_high", "_x", "_y")
+    return rows.join(stored(same.agg(F.min("_gram").alias("_gram")).select("_gram"), "blocks"), "_gram")
 
 
-def _links(texts: DataFrame, cells: DataFrame, text_column: str, size: int, percent: int) -> DataFrame:
-    """(a, b): links found inside each cell.
+def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
+    """Run ``work`` over the rows of each ``_cell``, a list of tuples at a time.
 
-    ``texts``: _rep and text. ``cells``: _rep, _cells (array of: cell, side,
-    group). The sets of a text's cells are made where its text is.
+    Rows are dealt by cell and sorted, and cells are read one after the other:
+    most have a handful of members, too few for a call of their own.
     """
-    joined = texts.join(cells, "_rep").select("_rep", F.col(text_column).alias("_text"), "_cells")
-    kind = dict(joined.dtypes)["_rep"]
+    names = rows.columns
 
-    def spread():
-        def work(batch: pa.RecordBatch):
-            for i, (text, cells) in enumerate(zip(texts_of(batch.column(1)), batch.column(2).to_pylist())):
-                packed = ngram_set(text, size).tobytes()
-                here = pa.array([i] * len(cells), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([c["cell"] for c in cells], pa.int64()),
-                        pa.array([c["side"] for c in cells], pa.int32()),
-                        batch.column(0).take(here),
-                        pa.array([c["group"] for c in cells], batch.column(0).type),
-                        pa.array([packed] * len(cells), pa.binary()),
-                    ],
-                    names=["_cell", "_side", "_rep", "_group", "_set"],
-                )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, members, kinds = None, [], None
+        for batch in batches:
+            kinds = [c.type for c in batch.columns]
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != cell:
+                    if len(members) > 1:
+                        yield from work(members, kinds)
+                    cell, members = row[0], []
+                members.append(row)
+        if len(members) > 1:
+            yield from work(members, kinds)
+
+    return rows.select("_cell", *[n for n in names if n != "_cell"]).repartition("_cell").sortWithinPartitions("_cell").mapInArrow(run, schema)
+
+
+def _active(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``cells`` (_rep, _cell, _side, _group) that have a surviving partner."""
+    kind = dict(cells.dtypes)["_rep"]
+
+    def work(members: list[tuple], kinds: list[pa.DataType]):
+        sizes = np.array([m[4] for m in members], np.int64)
+        a, b = candidates([np.frombuffer(m[5], np.uint8) for m in members], sizes, percent)
+        side = np.array([m[2] for m in members])
+        names: dict = {}
+        group = np.array([names.setdefault(m[3], len(names)) for m in members])
+        open_ = ((side[a] == 0) | (side[a] != side[b])) & (group[a] != group[b])
+        kept = [members[k] for k in np.union1d(a[open_], b[open_]).tolist()]
+        if kept:
+            columns = list(zip(*kept))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[1], kinds[1]), pa.array(columns[0], kinds[0]), pa.array(columns[2], kinds[2])],
+                names=["_rep", "_cell", "_side"],
+            )
 
-        return work
+    rows = cells.join(bits, "_rep").select("_cell", "_rep", "_side", "_group", "_n", "_bits")
+    return _by_cell(rows, work, f"_rep {kind}, _cell bigint, _side int")
 
-    rows = map_texts(
-        joined, joined.columns, f"_cell bigint, _side int, _rep {kind}, _group {kind}, _set binary", spread
-    )
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(links, reps, kind):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([reps[x] for x, _ in links], kind), pa.array([reps[y] for _, y in links], kind)],
+def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links found inside each cell, on whole sets."""
+    kind = dict(cells.dtypes)["_rep"]
+
+    def work(members: list[tuple], kinds: list[pa.DataType]):
+        grams = [np.frombuffer(m[4], np.uint64) for m in members]
+        sides = np.array([m[2] for m in members])
+        found = join_block(grams, [m[3] for m in members], percent, sides if sides.any() else None)
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([members[x][1] for x, _ in found], kinds[1]), pa.array([members[y][1] for _, y in found], kinds[1])],
                 names=["a", "b"],
             )
 
-        cell, kind = None, None
-        rows: list[tuple] = []
+    rows = cells.join(sets, "_rep").select("_cell", "_rep", "_side", "_group", "_set")
+    return _by_cell(rows, work, f"a {kind}, b {kind}").distinct()
 
-        def finish():
-            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-            sides = np.array([r[0] for r in rows])
-            links = join_block(sets, [r[2] for r in rows], percent, sides if sides.any() else None)
-            return out(links, [r[1] for r in rows], kind)
 
-        for batch in batches:
-            kind = batch.column(2).type
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if row[0] != cell:
-                    if rows:
-                        yield finish()
-                    cell, rows = row[0], []
-                rows.append(row[1:])
-        if rows:
-            yield finish()
+def _sets(texts: DataFrame, wanted: DataFrame, text_column: str, size: int) -> DataFrame:
+    """_rep and the whole set of every wanted text."""
+    joined = texts.join(bounded(stored(wanted, "wanted")), "_rep").select("_rep", text_column)
+    schema = schema_of(joined, ["_rep"], _set="binary")
 
-    dealt = rows.repartition("_cell").sortWithinPartitions("_cell")
-    return dealt.mapInArrow(join, f"a {kind}, b {kind}").distinct()
+    def start():
+        def work(batch: pa.RecordBatch):
+            sets = [ngram_set(t, size).tobytes() for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=schema.names)
+
+        return work
+
+    return map_texts(joined, joined.columns, schema, start)
+
+
+def _grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ``_group``: the component of ``_rep`` so far."""
+    known = found.select(F.col("id").alias("_rep"), "component")
+    return rows.drop("_group").join(known, "_rep", "left").withColumn("_group", F.coalesce("component", "_rep")).drop("component")
+
+
+def _apart(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` still has members of different groups."""
+    keys = (
+        rows.groupBy(key)
+        .agg(F.min("_group").alias("_low"), F.max("_group").alias("_high"))
+        .filter("_low <> _high")
+        .select(key)
+    )
+    return rows.join(bounded(stored(keys, "apart")), key)
 
 
 def similarity_classes(
@@ -352,70 +442,57 @@ def similarity_classes(
 ) -> DataFrame:
     """One row per document: the id, n_shingles and component_id."""
     known = stored(signatures(docs, id_column, text_column, size, percent), "signatures")
-    usable = known.filter(F.col(id_column).isNotNull() & (F.col("_n") > 0))
+    of = F.col(id_column)
+    usable = known.filter(of.isNotNull() & (F.col("_n") > 0))
     classes = usable.groupBy("_digest").agg(F.min(id_column).alias("_of"), F.count("*").alias("_many"))
-    classes = stored(classes.filter("_many > 1").drop("_many"), "classes")
-    member = known.join(classes, "_digest", "left").withColumn(
-        "_rep", F.when(F.col(id_column).isNotNull(), F.coalesce("_of", F.col(id_column)))
-    )
+    classes = bounded(stored(classes.filter("_many > 1").drop("_many"), "classes"))
+    member = known.join(classes, "_digest", "left").withColumn("_rep", F.when(of.isNotNull(), F.coalesce("_of", of)))
 
-    alone = member.filter(F.col("_of").isNull() & F.col(id_column).isNotNull())
     # One row stands for a class, also where rows repeat its id.
-    chosen = known.join(classes, "_digest").filter(F.col(id_column) == F.col("_of")).dropDuplicates(["_digest"])
-    prefixes = (
-        alone.select("_rep", "_prefix")
-        .unionByName(chosen.select(F.col("_of").alias("_rep"), "_prefix"))
-        .select("_rep", F.explode("_prefix").alias("_gram"))
-    )
-    blocks = stored(_blocks(prefixes), "blocks")
+    alone = member.filter(F.col("_of").isNull() & of.isNotNull() & (F.col("_n") > 0))
+    chosen = known.join(classes, "_digest").filter(of == F.col("_of")).dropDuplicates(["_digest"])
+    columns = ["_rep", "_n", "_prefix", "_bits"]
+    reps = alone.select(*columns).unionByName(chosen.withColumn("_rep", F.col("_of")).select(*columns))
+    prefixes = reps.select("_rep", F.explode("_prefix").alias("_gram"))
     placed = stored(
-        prefixes.join(blocks, "_gram")
+        _blocks(prefixes)
         .withColumn("_cuts", F.ceil(F.col("_size") / block).cast("int"))
         .withColumn("_cut", F.pmod(F.xxhash64("_rep", "_gram"), F.col("_cuts")).cast("int"))
-        .distinct(),
+        .drop("_size"),
         "placed",
     )
-    texts = docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("_rep"), F.col(text_column).alias("_body"))
-
-    def cell_rows(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("_rep").agg(
-            F.collect_list(F.struct(F.col("_cell").alias("cell"), F.col("_side").alias("side"), F.col("_group").alias("group"))).alias("_cells")
-        )
+    bits = reps.select("_rep", "_n", "_bits")
+    texts = docs.filter(of.isNotNull()).select(of.alias("_rep"), F.col(text_column).alias("_body"))
 
+    # Inside cuts: who has a possible partner, and what these hold.
     inside = placed.select(
-        "_rep",
-        F.xxhash64("_gram", "_cut").alias("_cell"),
-        F.lit(0).alias("_side"),
-        F.col("_rep").alias("_group"),
-    )
-    links = stored(_links(texts, cell_rows(inside), "_body", size, percent), "links")
-    found = components(links, "a", "b")
-
-    # Blocks that were cut and whose members are not all connected by now.
-    found = stored(found, "components")
-    cut = placed.filter("_cuts > 1").join(found, F.col("_rep") == F.col("id"), "left")
-    cut = cut.withColumn("_group", F.coalesce("component", "_rep")).drop("id", "component")
-    apart = (
-        cut.groupBy("_gram")
-        .agg(F.min("_group").alias("_low"), F.max("_group").alias("_high"))
-        .filter("_low <> _high")
-        .select("_gram")
-    )
+        "_rep", F.xxhash64("_gram", "_cut").alias("_cell"), F.lit(0).alias("_side"), F.col("_rep").alias("_group")
+    ).distinct()
+    active = stored(_active(inside, bits, percent), "active")
+    sets = stored(_sets(texts, active.select("_rep").distinct(), "_body", size), "sets")
+    turn = Window.partitionBy("_rep").orderBy(F.xxhash64("_cell"), "_cell")
+    some = active.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= FIRST_BLOCKS)
+    links = stored(_links(some.drop("_turn").withColumn("_group", F.col("_rep")), sets, percent), "links")
+    found = stored(components(links, "a", "b"), "components")
+    rest = stored(_links(_apart(_grouped(active, found), "_cell"), sets, percent), "links")
+    links = links.unionByName(rest)
+    if not rest.isEmpty():
+        found = stored(components(links, "a", "b"), "components")
+
+    # Across cuts of a block whose members are not all connected by now.
+    cut = _apart(_grouped(placed.filter("_cuts > 1"), found), "_gram")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("_cuts") - 1), lambda k: k != F.col("_cut"))).alias("_other")
-    crossing = stored(
-        cut.join(stored(apart, "apart"), "_gram")
-        .select("_rep", "_gram", "_cut", "_group", other)
-        .select(
-            "_rep",
-            F.xxhash64("_gram", F.least("_cut", "_other"), F.greatest("_cut", "_other")).alias("_cell"),
-            (1 + (F.col("_cut") > F.col("_other")).cast("int")).alias("_side"),
-            "_group",
-        ),
-        "crossing",
+    crossing = cut.select("_rep", "_gram", "_cut", "_group", other).select(
+        "_rep",
+        F.xxhash64("_gram", F.least("_cut", "_other"), F.greatest("_cut", "_other")).alias("_cell"),
+        (1 + (F.col("_cut") > F.col("_other")).cast("int")).alias("_side"),
+        "_group",
     )
-    if not crossing.isEmpty():
-        more = _links(texts, cell_rows(crossing), "_body", size, percent)
-        found = stored(components(links.unionByName(more), "a", "b"), "components")
+    late = stored(_active(crossing, bits, percent), "active")
+    if not late.isEmpty():
+        more = stored(_sets(texts, late.select("_rep").distinct(), "_body", size), "sets")
+        links = links.unionByName(_links(_grouped(late, found), more, percent))
+        found = stored(components(links, "a", "b"), "components")
 
     named = member.join(found, F.col("_rep") == F.col("id"), "left")
     return named.select(
@@ -426,13 +503,9 @@ def similarity_classes(
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the smallest id of each component; texts without n-grams all stay.
-
-    Rows that are dropped are fewer than those kept or rather few: the list of
-    their ids is joined to the table by id.
-    """
+    """``docs`` with the smallest id of each component; texts without n-grams all stay."""
     classes = similarity_classes(docs, id_column=id_column, **options)
     gone = stored(
         classes.filter(F.col("component_id") != F.col(id_column)).select(id_column).distinct(), "near-copies"
     )
-    return docs.join(gone, id_column, "left_anti")
+    return docs.join(bounded(gone), id_column, "left_anti")

@@ -123,13 +123,16 @@ def test_tree_loses_no_pair():
     import numpy as np
 
     sets = [np.array(sorted({hash((w, 1)) % 2**63 for w in mutated(prose(k % 5, 80), k, 0.05)}), np.uint64) for k in range(90)]
-    a, b = jaccard.SignatureTree(sets).pairs(70)
+    sets += [g[: len(g) // 2] for g in sets[:10]] + [np.arange(64, dtype=np.uint64) << np.uint64(20), np.arange(66, dtype=np.uint64) << np.uint64(20)]
+    sizes = np.array(list(map(len, sets)))
+    a, b = jaccard.candidates([jaccard.bitmap(g, jaccard._width(len(g))) for g in sets], sizes, 70)
     found = {frozenset(p) for p in zip(a.tolist(), b.tolist())}
-    for i in range(90):
+    for i in range(len(sets)):
         for j in range(i):
             if jaccard.similar(sets[i], sets[j], 70):
                 assert frozenset((i, j)) in found
     assert len(found) < 90 * 89 / 2
+    assert frozenset((100, 101)) in found and jaccard._width(64) < jaccard._width(66)
 
 
 def test_keep_one(docs, corpus):
