@@ -28,6 +28,8 @@ the other. Windows are judged on the input. Only the named columns are read.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,13 +45,12 @@ LEAST_SHELVES = 64
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
-_LOW = np.uint64((1 << 46) - 1)
 
 
 class Shelf:
     """Words of a shelf's documents end to end, in the order of ids."""
 
-    def __init__(self, table: pa.Table, id_column: str, text_column: str):
+    def __init__(self, table: pa.Table, id_column: str, text_column: str, hashed: bool = True):
         texts = texts_of(table.column(text_column).combine_chunks())
         ids = table.column(id_column).combine_chunks()
         rank = np.asarray(pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense"))
@@ -60,10 +61,11 @@ class Shelf:
         self.words = [texts[i].split() for i in order]
         self.counts = np.fromiter(map(len, self.words), np.int64, len(order))
         self.first = np.cumsum(self.counts) - self.counts
-        flat = [w for words in self.words for w in words]
-        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
+        if hashed:
+            flat = chain.from_iterable(map(xxhash.xxh3_64_intdigest, words) for words in self.words)
+            self.hash = np.fromiter(flat, np.uint64, int(self.counts.sum()))
         self.doc = np.repeat(np.arange(len(order)), self.counts)
-        self.start = np.arange(len(flat)) - self.first[self.doc]
+        self.start = np.arange(len(self.doc)) - self.first[self.doc]
         self.left = self.counts[self.doc] - self.start
 
     def rolling(self, size: int, factor: np.uint64 = _R) -> np.ndarray:
@@ -79,25 +81,14 @@ def _cell(hashes: np.ndarray, cells: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """The six low bytes of each number."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
+# Bits of a hash that an entry holds besides its cell. Other hashes of a cell
+# agree in them about once in a thousand: a hit too many, which step 3 drops.
+_BITS = np.uint64(30)
+_LOW = np.uint64((1 << 30) - 1)
 
-def _unpack(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view("<u8").ravel()
 
-
-def _anchors(shelf: Shelf, size: int):
-    """Distinct block hashes of a shelf, per valid place which, how often, and if indexed."""
-    valid = np.flatnonzero(shelf.left >= size)
-    found, which, many = np.unique(shelf.rolling(size)[valid], return_inverse=True, return_counts=True)
-    indexed = np.zeros(len(found), bool)
-    indexed[which[shelf.start[valid] % size == 0]] = True
-    return valid, found, which, many > 1, indexed
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u4").astype(np.uint64)
 
 
 def _cuts(cells: np.ndarray) -> list[tuple[int, int, int]]:
@@ -109,16 +100,29 @@ def _cuts(cells: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(cells[a]), a, b) for a, b in zip(starts, [*starts[1:], len(cells)])]
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in ascending order, and which occur more than once."""
+    if not len(hashes):
+        return hashes, np.zeros(0, bool)
+    ordered = np.sort(hashes)
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[starts], np.diff(np.append(starts, len(ordered))) > 1
+
+
 def _ask(shelf_id: int, shelf: Shelf, size: int, cells: int) -> pa.Table:
-    """A shelf's distinct hashes, by cell."""
-    _, found, _, many, indexed = _anchors(shelf, size)
+    """A shelf's distinct block hashes, by cell, with their flags."""
+    hashes = shelf.rolling(size)
+    valid = shelf.left >= size
+    found, many = _distinct(hashes[valid])
+    indexed = np.zeros(len(found), bool)
+    indexed[np.searchsorted(found, hashes[valid & (shelf.start % size == 0)])] = True
     entry = ((found & _LOW) << np.uint64(2)) | (many.astype(np.uint64) << np.uint64(1)) | indexed.astype(np.uint64)
     runs = _cuts(_cell(found, cells))
     return pa.table(
         {
             "_cell": pa.array([c for c, _, _ in runs], pa.int64()),
             "_shelf": pa.array([shelf_id] * len(runs), pa.int64()),
-            "_entries": pa.array([_pack(entry[a:b]) for _, a, b in runs], pa.binary()),
+            "_entries": pa.array([entry[a:b].astype("<u4").tobytes() for _, a, b in runs], pa.binary()),
         }
     )
 
@@ -126,17 +130,20 @@ def _ask(shelf_id: int, shelf: Shelf, size: int, cells: int) -> pa.Table:
 def _answer(asked: pa.Table) -> pa.Table:
     """For one cell, which entries of each shelf are anchored elsewhere."""
     shelves = asked.column("_shelf").to_pylist()
-    parts = [_unpack(p) for p in asked.column("_entries").to_pylist()]
+    parts = [_numbers(p) for p in asked.column("_entries").to_pylist()]
     entry = np.concatenate(parts)
-    whose = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     value = entry >> np.uint64(2)
-    _, which, many = np.unique(value, return_inverse=True, return_counts=True)
-    indexed = np.zeros(len(many), bool)
-    indexed[which[(entry & np.uint64(1)) == 1]] = True
-    # What repeats on the shelf itself is known there.
-    hit = (many > 1)[which] & indexed[which] & ((entry & np.uint64(2)) == 0)
-    rows = [(s, _pack(value[hit & (whose == k)])) for k, s in enumerate(shelves)]
-    rows = [r for r in rows if r[1]]
+    found, many = _distinct(value)
+    indexed = np.zeros(len(found), bool)
+    indexed[np.searchsorted(found, value[(entry & np.uint64(1)) == 1])] = True
+    anchored = found[many & indexed]
+    rows = []
+    for shelf, part in zip(shelves, parts):
+        # What repeats on the shelf itself is known there.
+        own = part[(part & np.uint64(2)) == 0] >> np.uint64(2)
+        own = own[np.isin(own, anchored)]
+        if len(own):
+            rows.append((shelf, own.astype("<u4").tobytes()))
     return pa.table(
         {
             "_shelf": pa.array([s for s, _ in rows], pa.int64()),
@@ -146,6 +153,18 @@ def _answer(asked: pa.Table) -> pa.Table:
     )
 
 
+def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in ``known``; a bit table turns most of them away."""
+    width = 1 << max(16, (8 * len(known)).bit_length())
+    table = np.zeros(width, bool)
+    mask = np.uint64(width - 1)
+    table[(known & mask).astype(np.int64)] = True
+    maybe = np.flatnonzero(table[(values & mask).astype(np.int64)])
+    out = np.zeros(len(values), bool)
+    out[maybe] = np.isin(values[maybe], known)
+    return out
+
+
 def _planes(values: np.ndarray) -> bytes:
     """32-bit numbers byte plane by byte plane; ascending numbers compress well so."""
     return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -155,48 +174,55 @@ def _from_planes(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _windows(shelf: Shelf, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Valid starts of full windows and both their hashes."""
-    at = np.flatnonzero(shelf.left >= window)
-    return at, shelf.rolling(window)[at], (shelf.rolling(window, _Q)[at] >> np.uint64(32)).astype(np.uint32)
+def _windows(shelf: Shelf, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the full windows that start at ``at``."""
+    h1, h2 = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for k in range(window):
+        word = shelf.hash[at + k]
+        h1 = h1 * _R + word
+        h2 = h2 * _Q + word
+    return mix64(h1), (mix64(h2) >> np.uint64(32)).astype(np.uint32)
 
 
-def _later(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which places have an earlier one with the same hashes; one earliest place of each."""
+def _later(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which places have an earlier one with the same hashes."""
     order = np.lexsort((start, rank, h2, h1))
+    later = np.zeros(len(order), bool)
     if not len(order):
-        return np.zeros(0, bool), np.zeros(0, np.int64)
+        return later
     a, b, r, s = h1[order], h2[order], rank[order], start[order]
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    later = np.empty(len(order), bool)
     later[order] = (r != r[head]) | (s != s[head])
-    return later, order[new]
+    return later
 
 
 def _compare(shelf_id: int, shelf: Shelf, answers: pa.Table, window: int, cells: int) -> pa.Table:
-    """Windows around hits, the earliest of each sequence on this shelf, by cell."""
+    """Windows around hits, the earliest of each sequence on this shelf, by cell.
+
+    Those that are later on the shelf itself are told without a comparison: in a
+    row without hashes.
+    """
     size = window // 2
-    valid, found, which, many, _ = _anchors(shelf, size)
-    wide = np.uint64(46)
-    known = [np.empty(0, np.uint64)]
+    hashes = shelf.rolling(size)
+    valid = shelf.left >= size
+    found, many = _distinct(hashes[valid])
+    key = lambda h: (h & _LOW) + (_cell(h, cells).astype(np.uint64) << _BITS)
+    known = [key(found[many])]
     for cell, packed in zip(answers.column("_cell").to_pylist(), answers.column("_entries").to_pylist()):
-        known.append(_unpack(packed) + (np.uint64(cell) << wide))
-    mine = (found & _LOW) + (_cell(found, cells).astype(np.uint64) << wide)
-    hit = np.zeros(len(shelf.hash) + 1, np.int64)
-    hit[valid] = (many | np.isin(mine, np.concatenate(known)))[which]
-    sums = np.concatenate(([0], np.cumsum(hit)))
-    at, h1, h2 = _windows(shelf, window)
+        known.append(_numbers(packed) + (np.uint64(cell) << _BITS))
+    hit = _member(key(hashes), np.concatenate(known)) & valid
+    sums = np.concatenate(([0], np.cumsum(hit), np.full(window, hit.sum())))
     # A window has the blocks from its first word to half a window on.
-    around = sums[at + window - size + 1] > sums[at]
-    at, h1, h2 = at[around], h1[around], h2[around]
-    _, one = _later(h1, h2, shelf.rank[shelf.doc[at]], shelf.start[at])
-    one.sort()
-    at, h1, h2 = at[one], h1[one], h2[one]
+    at = np.flatnonzero((shelf.left >= window) & (sums[window - size + 1 :][: len(hit)] > sums[: len(hit)]))
+    h1, h2 = _windows(shelf, at, window)
+    later = _later(h1, h2, shelf.rank[shelf.doc[at]], shelf.start[at])
+    here = at[later]
+    at, h1, h2 = at[~later], h1[~later], h2[~later]
     cell = _cell(h1, cells)
     order = np.argsort(cell, kind="stable")
     at, h1, h2 = at[order], h1[order], h2[order]
-    rows = []
+    rows = [(shelf_id % cells, None, None, _planes(here), shelf.ids.slice(0, 0), None)] if len(here) else []
     for c, a, b in _cuts(cell[order]):
         docs = np.unique(shelf.doc[at[a:b]])
         rows.append(
@@ -217,6 +243,13 @@ def _compare(shelf_id: int, shelf: Shelf, answers: pa.Table, window: int, cells:
 
 def _judge(compared: pa.Table) -> pa.Table:
     """For one cell, the places of each shelf whose sequence starts earlier elsewhere."""
+    told = compared.filter(pc.is_null(compared.column("_h1")))
+    rows = list(zip(told.column("_shelf").to_pylist(), told.column("_at").to_pylist()))
+    compared = compared.filter(pc.is_valid(compared.column("_h1")))
+    if not compared.num_rows:
+        return pa.table(
+            {"_shelf": pa.array([s for s, _ in rows], pa.int64()), "_gone": pa.array([p for _, p in rows], pa.binary())}
+        )
     shelves = compared.column("_shelf").to_pylist()
     at = [_from_planes(p) for p in compared.column("_at").to_pylist()]
     first = [_from_planes(p) for p in compared.column("_first").to_pylist()]
@@ -228,8 +261,8 @@ def _judge(compared: pa.Table) -> pa.Table:
     doc = [np.searchsorted(f, a, side="right") - 1 for f, a in zip(first, at)]
     start = np.concatenate([a - f[d] for a, f, d in zip(at, first, doc)])
     order = np.concatenate([rank[b + d] for b, d in zip(base, doc)])
-    later, _ = _later(h1, h2, order, start)
-    rows, here = [], 0
+    later = _later(h1, h2, order, start)
+    here = 0
     for shelf, places in zip(shelves, at):
         gone = places[later[here : here + len(places)]]
         here += len(places)
@@ -241,19 +274,12 @@ def _judge(compared: pa.Table) -> pa.Table:
 
 
 def _finish(shelf: Shelf, judged: pa.Table, window: int, names: list[str]) -> pa.Table:
-    at, h1, h2 = _windows(shelf, window)
-    gone, _ = _later(h1, h2, shelf.rank[shelf.doc[at]], shelf.start[at])
     places = [_from_planes(p) for p in judged.column("_gone").to_pylist()]
-    if places:
-        # All rows that share the place of a window found later elsewhere.
-        told = np.isin(at, np.concatenate(places))
-        same = np.zeros(len(at), [("a", np.uint64), ("b", np.uint32)])
-        same["a"], same["b"] = h1, h2
-        gone |= np.isin(h1, h1[told]) & np.isin(same, same[told])
-    edge = np.zeros(len(shelf.hash) + window + 1, np.int64)
-    np.add.at(edge, at[gone], 1)
-    np.add.at(edge, at[gone] + window, -1)
-    covered = np.cumsum(edge)[: len(shelf.hash)] > 0
+    gone = np.concatenate([np.zeros(0, np.int64), *places])
+    edge = np.bincount(gone, minlength=len(shelf.doc) + window + 1) - np.bincount(
+        gone + window, minlength=len(shelf.doc) + window + 1
+    )
+    covered = np.cumsum(edge)[: len(shelf.doc)] > 0
     removed, kept = [], []
     for words, a in zip(shelf.words, shelf.first):
         flags = covered[a : a + len(words)]
@@ -303,5 +329,5 @@ def remove_repeats(
     schema = schema_of(docs, [id_column], n_words="bigint", n_removed="bigint", kept_text="string")
     names = schema.names
     return own.cogroup(judged.groupBy("_shelf")).applyInArrow(
-        lambda rows, told: _finish(Shelf(rows, "_id", "_text"), told, window, names), schema
+        lambda rows, told: _finish(Shelf(rows, "_id", "_text", hashed=False), told, window, names), schema
     )
