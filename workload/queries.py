@@ -553,7 +553,7 @@ def score_contains(spark, sf_dir):
     (e OR c)::int::double AS score, predicted, expected FROM (SELECT doc_id, context_length,
       {duck.norm('response')} = {duck.norm('expected')} AS e,
       contains({duck.norm('response')}, {duck.norm('expected')}) AS c,
-      substr(response, 1, 200) AS predicted, substr(expected, 1, 200) AS expected FROM {ANSWERS})""",
+      substr(response, 1, 200) AS predicted, expected FROM {ANSWERS})""",
 )
 def score_retrieval(spark, sf_dir):
     scored = scoring.score_retrieval(frame(spark, sf_dir, fx.answers, spread_out=True))
@@ -580,7 +580,7 @@ def extract_set(spark, sf_dir):
     round(CASE WHEN len(p) = 0 AND len(e) = 0 THEN 1.0 WHEN len(p) = 0 OR len(e) = 0 THEN 0.0
       ELSE len(list_intersect(p, e)) / len(list_distinct(list_concat(p, e))) END, {DIGITS})::DOUBLE AS score, predicted, expected
     FROM (SELECT doc_id, {duck.item_set('response')} AS p, {duck.item_set('expected')} AS e,
-      substr(response, 1, 200) AS predicted, substr(expected, 1, 200) AS expected FROM {SETS})""",
+      substr(response, 1, 200) AS predicted, expected FROM {SETS})""",
 )
 def score_set(spark, sf_dir):
     scored = scoring.score_sets(frame(spark, sf_dir, fx.set_answers, spread_out=True))
