@@ -272,8 +272,7 @@ def samples_code(spark, sf_dir):
 
 @query(
     "prompt_code",
-    f"""SELECT task_id AS sample_id, 'Complete the following Python function. Return only the function body '
-    || '(no explanation, no markdown).' || chr(10) || chr(10) || prompt AS prompt FROM {CODE}""",
+    f"SELECT task_id AS sample_id, {fx.literal(prompts.CODE_INTRO)} || prompt AS prompt FROM {CODE}",
 )
 def prompt_code(spark, sf_dir):
     return _code(spark, sf_dir).select("sample_id", first_content().alias("prompt"))
@@ -323,8 +322,7 @@ def _patches(spark, sf_dir):
 
 @query(
     "prompt_patch",
-    f"""SELECT instance_id AS sample_id, 'Fix this issue:' || chr(10) || chr(10) || problem_statement AS prompt
-    FROM {PATCH_TASKS}""",
+    f"SELECT instance_id AS sample_id, {fx.literal(prompts.PATCH_INTRO)} || problem_statement AS prompt FROM {PATCH_TASKS}",
 )
 def prompt_patch(spark, sf_dir):
     rows = _patches(spark, sf_dir).withColumn("messages", prompts.patch_messages(first_content()))
