@@ -13,9 +13,10 @@ The join is exact over 64-bit hashes of the n-grams:
    range of sizes and the least number of bits. Two nodes are traversed together
    and left as soon as the largest possible overlap is below what the smallest
    sizes would need. Members without a surviving partner go; that is nearly all.
-4. What survives is compared exactly, on whole sets, in the same blocks: first in
-   a few blocks of each text, which connects groups of copies, then in all
-   blocks that still have members of different components.
+4. What survives is compared exactly, on whole sets: first in two blocks of each
+   text, which connects groups of copies. Pairs of different components that
+   the trees leave in the other blocks are then dealt out by component, so that
+   a set moves once for many pairs.
 5. A block above ``BLOCK`` members is cut at random, differently for every
    n-gram. Members of different cuts that other blocks have not connected by
    then are joined in a last round, cut by cut.
@@ -50,8 +51,9 @@ SIZE, MIN_PERCENT = 4, 85
 # Members of a block, of a leaf, and children of a node.
 BLOCK, LEAF, FAN = 128, 8, 4
 
-# Blocks of a text that are compared before the others.
-FIRST_BLOCKS = 3
+# Blocks of a text that are compared before the others. Two let groups that are cut
+# at random grow together.
+FIRST_BLOCKS = 2
 
 # One text in so many is counted to find frequent n-grams; those seen at least
 # so often, and at most so many of them (16 bytes each), are put last.
@@ -381,6 +383,52 @@ def _active(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return _by_cell(rows, work, f"_rep {kind}, _cell bigint, _side int")
 
 
+def _open_pairs(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """(a, ga, b, gb): surviving pairs of different groups, with their groups."""
+    kind = dict(cells.dtypes)["_rep"]
+
+    def work(members: list[tuple], kinds: list[pa.DataType]):
+        sizes = np.array([m[4] for m in members], np.int64)
+        a, b = candidates([np.frombuffer(m[5], np.uint8) for m in members], sizes, percent)
+        side = np.array([m[2] for m in members])
+        names: dict = {}
+        group = np.array([names.setdefault(m[3], len(names)) for m in members])
+        open_ = ((side[a] == 0) | (side[a] != side[b])) & (group[a] != group[b])
+        if open_.any():
+            pairs = [sorted(((members[x][1], members[x][3]), (members[y][1], members[y][3]))) for x, y in zip(a[open_].tolist(), b[open_].tolist())]
+            columns = ([p[0][0] for p in pairs], [p[0][1] for p in pairs], [p[1][0] for p in pairs], [p[1][1] for p in pairs])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[1]) for c in columns], names=["a", "ga", "b", "gb"])
+
+    rows = cells.join(bits, "_rep").select("_cell", "_rep", "_side", "_group", "_n", "_bits")
+    return _by_cell(rows, work, f"a {kind}, ga {kind}, b {kind}, gb {kind}").distinct()
+
+
+def _pair_cells(pairs: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """Cells (_rep, _cell, _side, _group) in which every pair meets.
+
+    The larger of the two components is cut into shares of ``block`` members;
+    partners of a share join it, cut as well where they are very many.
+    """
+    sizes = stored(found.groupBy("component").agg(F.count("*").alias("_many")), "sizes")
+    of = lambda g, n: sizes.select(F.col("component").alias(g), F.col("_many").alias(n))
+    sized = pairs.join(bounded(of("ga", "_na")), "ga", "left").join(bounded(of("gb", "_nb")), "gb", "left")
+    sized = sized.withColumns({n: F.coalesce(n, F.lit(1)) for n in ("_na", "_nb")})
+    here, there = F.struct(F.col("a").alias("rep"), F.col("ga").alias("g"), F.col("_na").alias("n")), F.struct(
+        F.col("b").alias("rep"), F.col("gb").alias("g"), F.col("_nb").alias("n")
+    )
+    larger = F.col("_na") >= F.col("_nb")
+    dealt = sized.select(F.when(larger, here).otherwise(there).alias("x"), F.when(larger, there).otherwise(here).alias("y"))
+    share = F.pmod(F.xxhash64("x.rep"), F.ceil(F.col("x.n") / block))
+    dealt = stored(dealt.withColumn("_share", F.xxhash64("x.g", share)), "dealt")
+    cuts = dealt.groupBy("_share").agg(F.ceil(F.count("*") / (block * block)).alias("_cuts"))
+    dealt = dealt.join(stored(cuts, "cuts"), "_share")
+    cell = F.xxhash64("_share", F.pmod(F.xxhash64("y.rep"), F.col("_cuts")))
+    side = lambda p, n: dealt.select(
+        F.col(f"{p}.rep").alias("_rep"), cell.alias("_cell"), F.lit(n).alias("_side"), F.col(f"{p}.g").alias("_group")
+    )
+    return side("x", 1).unionByName(side("y", 2)).distinct()
+
+
 def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links found inside each cell, on whole sets."""
     kind = dict(cells.dtypes)["_rep"]
@@ -474,7 +522,8 @@ def similarity_classes(
     some = active.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= FIRST_BLOCKS)
     links = stored(_links(some.drop("_turn").withColumn("_group", F.col("_rep")), sets, percent), "links")
     found = stored(components(links, "a", "b"), "components")
-    rest = stored(_links(_apart(_grouped(active, found), "_cell"), sets, percent), "links")
+    open_ = stored(_open_pairs(_apart(_grouped(active, found), "_cell"), bits, percent), "pairs")
+    rest = stored(_links(_pair_cells(open_, found, block), sets, percent), "links")
     links = links.unionByName(rest)
     if not rest.isEmpty():
         found = stored(components(links, "a", "b"), "components")
@@ -488,10 +537,11 @@ def similarity_classes(
         (1 + (F.col("_cut") > F.col("_other")).cast("int")).alias("_side"),
         "_group",
     )
-    late = stored(_active(crossing, bits, percent), "active")
+    late = stored(_open_pairs(crossing, bits, percent), "pairs")
     if not late.isEmpty():
-        more = stored(_sets(texts, late.select("_rep").distinct(), "_body", size), "sets")
-        links = links.unionByName(_links(_grouped(late, found), more, percent))
+        cells = stored(_pair_cells(late, found, block), "cells")
+        more = stored(_sets(texts, cells.select("_rep").distinct(), "_body", size), "sets")
+        links = links.unionByName(_links(cells, more, percent))
         found = stored(components(links, "a", "b"), "components")
 
     named = member.join(found, F.col("_rep") == F.col("id"), "left")
