@@ -49,8 +49,9 @@ def words_of(text: bytes) -> list[bytes]:
 class ItemAutomaton:
     """Suffix automaton over the word sequences of several items."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW, whole_below: int = 0):
         self.window = window
+        self.whole_below = max(window, whole_below)
         self.vocabulary: dict[bytes, int] = {}
         self.step: list[dict[int, int]] = [{}]
         self.link = [-1]
@@ -114,7 +115,7 @@ class ItemAutomaton:
                     names = self.owners.setdefault(at, [])
                     if not names or names[-1] != name:
                         names.append(name)
-            if len(ids) < size:
+            if len(ids) < self.whole_below:
                 self.whole.setdefault(state, (len(ids), []))[1].append(name)
         # The nearest state up the suffix links that is a whole short item.
         self.above = [-1] * len(self.step)
@@ -123,11 +124,14 @@ class ItemAutomaton:
                 up = self.link[state]
                 self.above[state] = up if up in self.whole else self.above[up]
 
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
+    def match(
+        self, words: list[bytes], wholes: list[tuple[int, int]] | None = None
+    ) -> tuple[list[tuple[int, int]], set[str], int]:
         """Hit spans (start, end) of word positions, items found, longest match.
 
         The longest match is that of words in runs long enough to hold a
-        window; shorter runs cannot be hit.
+        window; shorter runs cannot be hit. ``wholes`` receives the spans of
+        items found whole, of those shorter than ``whole_below``.
         """
         get = self.vocabulary.get
         ids = [get(w, -1) for w in words]
@@ -139,10 +143,10 @@ class ItemAutomaton:
         longest = 0
         for start, end in edges.reshape(-1, 2):
             if end - start >= need:
-                longest = max(longest, self._run(ids, int(start), int(end), spans, names))
+                longest = max(longest, self._run(ids, int(start), int(end), spans, names, wholes))
         return spans, names, longest
 
-    def _run(self, ids, start: int, end: int, spans: list, names: set) -> int:
+    def _run(self, ids, start: int, end: int, spans: list, names: set, wholes: list | None) -> int:
         step, link, length, size = self.step, self.link, self.length, self.window
         state = matched = longest = 0
         for i in range(start, end):
@@ -167,6 +171,8 @@ class ItemAutomaton:
                     if count <= matched:
                         names.update(owners)
                         _cover(spans, i + 1 - count, i + 1)
+                        if wholes is not None:
+                            _cover(wholes, i + 1 - count, i + 1)
                     at = self.above[at]
         return longest
 
@@ -188,7 +194,18 @@ def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int):
+def long_spans(spans: list[tuple[int, int]], wholes: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Spans of ``least`` words or more, and those around one of ``wholes``; both lists ascend."""
+    out, k = [], 0
+    for start, end in spans:
+        while k < len(wholes) and wholes[k][0] < start:
+            k += 1
+        if end - start >= least or (k < len(wholes) and wholes[k][1] <= end):
+            out.append((start, end))
+    return out
+
+
+def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int, whole_below: int = 0):
     """Automata over all items, each of about ``block_words`` words.
 
     The items are the query set; their words are counted first, so that what
@@ -202,7 +219,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_wo
     for k in range(count):
         block = rows.filter(F.col("block") == k).select("name", "text").collect()
         found = ((r.name, words_of((r.text or "").encode())) for r in block)
-        yield ItemAutomaton([x for x in found if x[0] is not None], window)
+        yield ItemAutomaton([x for x in found if x[0] is not None], window, whole_below)
 
 
 FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>, longest bigint"
@@ -348,7 +365,8 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` without spans of ``min_span`` words or more that items hold.
 
-    A document of which more than ``max_coverage`` of the words lies in such
+    An item shorter than ``min_span`` counts where it is found whole, and so
+    does the span it lies in. A document of which more than ``max_coverage`` of the words lies in such
     spans is dropped whole; with 0 every contaminated document goes, with 1
     documents stay and lose the spans. Clean rows pass unchanged. Columns are
     those of ``docs``. Nothing is shuffled: every block of items is one more
@@ -357,7 +375,7 @@ def decontaminate(
     spark = docs.sparkSession
     at = docs.columns.index(text_column)
     schema, names = docs.schema, docs.columns
-    for automaton in item_blocks(items, item_id, item_text, window, block_words):
+    for automaton in item_blocks(items, item_id, item_text, window, block_words, min_span):
         shared = spark.sparkContext.broadcast(automaton)
 
         def start(shared=shared):
@@ -369,7 +387,8 @@ def decontaminate(
                 texts = column.to_pylist()
                 for i, text in enumerate(texts_of(column)):
                     words = words_of(text)
-                    spans = [s for s in found.match(words)[0] if s[1] - s[0] >= min(min_span, len(words))]
+                    wholes: list[tuple[int, int]] = []
+                    spans = long_spans(found.match(words, wholes)[0], wholes, min(min_span, len(words)))
                     covered = sum(b - a for a, b in spans)
                     keep.append(covered <= max_coverage * len(words))
                     if spans and keep[-1]:

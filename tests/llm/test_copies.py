@@ -213,6 +213,18 @@ def test_decontaminate_drops_or_cuts(docs, items):
     assert {r.doc_id: r.text for r in cut} == {1: "clean text", 2: "before, ! after it all", 3: None}
 
 
+@pytest.mark.parametrize("min_span", [10, 20])
+def test_decontaminate_finds_short_items(docs, spark, min_span):
+    short = [(size, " ".join(f"i{size}k{j}" for j in range(size))) for size in range(3, 13)]
+    table = spark.createDataFrame(short, "item_id bigint, text string")
+    rows = [(i, " ".join([*prose(i, 15), item, *prose(i + 50, 15)])) for i, item in short]
+    rows += [(100 + i, " ".join([*prose(i, 15), *item.split()[:-1], *prose(i + 50, 15)])) for i, item in short if i < 10]
+    out = decontaminate.decontaminate(docs(rows), table, min_span=min_span)
+    assert sorted(r.doc_id for r in out.collect()) == [100 + i for i in range(3, 10)]
+    cut = decontaminate.decontaminate(docs(rows[:1]), table, min_span=min_span, max_coverage=1.0).collect()
+    assert [r.text.split() for r in cut] == [[*prose(3, 15), *prose(53, 15)]]
+
+
 # --- empty tables -------------------------------------------------------------
 
 

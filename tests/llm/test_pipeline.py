@@ -27,6 +27,15 @@ def test_pipeline_equals_brute_force(spark):
     assert all(r.round_trip and r.n_tokens for r in out)
 
 
+def test_the_pipeline_drops_documents_with_short_items(spark, docs, tmp_path):
+    items = [(1, "a passage of eight words is an item"), (2, "tiny item here")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(os.path.join(tmp_path, "benchmark.parquet"))
+    around = "these are the words that come before or after it in the text"
+    rows = [(1, f"{around} {items[0][1]} {around}"), (2, f"{around} Tiny item, here {around}"), (3, f"{around} tiny item {around}")]
+    out = corpus_pipeline.drop_contaminated(spark, docs(rows), str(tmp_path))
+    assert [r.doc_id for r in out.collect()] == [3]
+
+
 def test_stages_keep_the_columns_and_take_odd_rows(spark, docs, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(os.path.join(tmp_path, "benchmark.parquet"))
     table = docs([(1, None), (2, ""), (3, "some words here"), (3, "some words here"), (None, "other words"), (4, "!")])
