@@ -8,6 +8,11 @@ never seen. The statistics are frozen after training, so code lengths are
 exact and do not depend on what is scored. The language with the shortest code
 wins; the score is its posterior under equal priors.
 
+Texts of no learned language are told by code length alone (``keep_claimed``):
+a language claims what its tree codes in ``LIMIT`` times the bits per byte of
+the worst of its training texts. Those are part of the tree, so a labelled text
+is claimed by its label; other texts have to be like the labelled ones.
+
 Counts cover all training texts. What is broadcast is bounded: of each language
 and order at most ``MAX_GRAMS`` grams are kept, the most frequent ones. A count
 threshold does that, so every kept gram's shorter forms are kept as well.
@@ -15,7 +20,8 @@ threshold does that, so every kept gram's shorter forms are kept as well.
 Defined results: NULL text and text without a letter get ``und`` and score 0.
 Rows without a language or text teach nothing. Equal code lengths go to the
 language that sorts first. Without any training row every text is ``und``.
-Repeated rows are predicted alike. Only the named columns are read.
+Where no language was learned, any text with a
+letter is kept. Repeated rows are predicted alike. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -32,6 +38,13 @@ ORDER = 4
 MAX_GRAMS = 200_000
 UNDETERMINED = "und"
 
+# A text that was not learned takes more bits than one that was, but a language
+# claims no code of a byte's own 8 bits. The slack lets a short text hold a few
+# bytes never seen; the least limit is for training texts that are copies.
+LIMIT = 2.5
+LEAST_LIMIT, MOST_LIMIT = 4.0, 8.0
+SLACK_BITS = 64.0
+
 # Bytes of text coded at once, and grams whose costs a task remembers.
 PIECE = 1 << 20
 REMEMBERED = 1 << 19
@@ -318,7 +331,10 @@ def predict(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, *, text_column="text", min_score: float = 0.0) -> DataFrame:
-    """``docs`` without texts that are ``und`` or whose posterior is below ``min_score``."""
+    """``docs`` without texts that are ``und`` or whose posterior is below ``min_score``.
+
+    Without a learned language there is nothing to reject by but the letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, some = docs.columns.index(text_column), bool(model.langs)
 
@@ -327,8 +343,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, text_column="text"
 
         def work(batch: pa.RecordBatch):
             texts = texts_of(batch.column(at))
-            keep = np.fromiter(map(has_letter, texts), bool, len(texts)) & some
-            if min_score > 0 and keep.any():
+            keep = np.fromiter(map(has_letter, texts), bool, len(texts))
+            if some and min_score > 0 and keep.any():
                 bits = score(texts)
                 keep &= 1 / np.exp2(bits.min(axis=0) - bits).sum(axis=0) >= min_score
             yield batch.filter(pa.array(keep, pa.bool_()))
@@ -336,3 +352,47 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, text_column="text"
         return work
 
     return map_texts(docs, docs.columns, docs.schema, start)
+
+
+def claim_limits(docs: DataFrame, model: LanguageModel, *, text_column="text", lang_column="lang") -> dict[str, float]:
+    """By language, the most bits per byte of a text it claims; from its training texts ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    row = {lang: k for k, lang in enumerate(model.langs)}
+
+    def start():
+        score = shared.value.scorer()
+
+        def work(batch: pa.RecordBatch):
+            own = np.array([row[x] for x in batch.column(0).to_pylist()])
+            texts = texts_of(batch.column(1))
+            rate = (score(texts)[own, np.arange(len(texts))] - SLACK_BITS) / [len(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rate, pa.float64())], names=["lang", "rate"])
+
+        return work
+
+    rows = docs.filter(F.col(lang_column).isNotNull() & (F.length(text_column) > 0))
+    rates = map_texts(rows, [lang_column, text_column], "lang string, rate double", start)
+    worst = rates.groupBy("lang").agg(F.max("rate").alias("rate")).collect()
+    return {r.lang: min(max(LIMIT * r.rate, LEAST_LIMIT), MOST_LIMIT) for r in worst}
+
+
+def keep_claimed(docs: DataFrame, model: LanguageModel, limits: dict[str, float], *, text_column="text") -> DataFrame:
+    """``docs`` without texts that have no letter or that no language claims."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_column)
+    most = np.array([[limits[lang]] for lang in model.langs])
+
+    def start():
+        score = shared.value.scorer() if len(most) else None
+
+        def work(batch: pa.RecordBatch):
+            texts = texts_of(batch.column(at))
+            keep = np.fromiter(map(has_letter, texts), bool, len(texts))
+            if len(most) and keep.any():
+                size = np.array([len(t) for t in texts])
+                keep &= (score(texts) <= most * size + SLACK_BITS).any(axis=0)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return work
+
+    return map_texts(docs, docs.columns, docs.schema, start)

@@ -1,9 +1,11 @@
 """The pipeline against plain versions of its stages, and on odd tables."""
 
 import os
+import random
 
 import corpus_pipeline
 import pyarrow.parquet as pq
+from plumbline.llm import language_id
 from plumbline.llm.queries import ORACLES, QUERIES
 
 from tests.llm import brute
@@ -27,6 +29,31 @@ def test_pipeline_equals_brute_force(spark):
     assert all(r.round_trip and r.n_tokens for r in out)
 
 
+def test_texts_of_no_learned_language_are_rejected(spark, docs, tmp_path):
+    rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    clean = [(r["doc_id"], r["text"], r["lang"] if r["doc_id"] % 5 else None) for r in rows]
+    noise = random.Random(1)
+    odd = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        *("".join(chr(noise.randrange(33, 127)) for _ in range(200)) + "a" for _ in range(3)),
+    ]
+    out = corpus_pipeline.identify_language(spark, docs(clean + [(10**6 + i, t, None) for i, t in enumerate(odd)]), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, t, _ in clean if any(map(str.isalpha, t or "")))
+
+
+def test_a_language_of_one_text_and_no_language_at_all(spark, docs, tmp_path):
+    rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()[:60]
+    alone = (10**6, "Все люди рождаются свободными и равными в своем достоинстве и правах.", "ru")
+    some = [*((r["doc_id"], r["text"], r["lang"]) for r in rows), alone]
+    out = corpus_pipeline.identify_language(spark, docs(some), str(tmp_path))
+    assert 10**6 in {r.doc_id for r in out.collect()}
+    none = docs([(d, t, None) for d, t, _ in some] + [(-1, "12 ?", None)])
+    assert corpus_pipeline.identify_language(spark, none, str(tmp_path)).count() == len(some)
+    empty = language_id.train(none)
+    assert language_id.keep_identified(none, empty, min_score=0.5).count() == len(some)
+
+
 def test_the_pipeline_drops_documents_with_short_items(spark, docs, tmp_path):
     items = [(1, "a passage of eight words is an item"), (2, "tiny item here")]
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(os.path.join(tmp_path, "benchmark.parquet"))
