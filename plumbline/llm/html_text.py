@@ -1,7 +1,11 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree. Elements that never belong to an article (scripts,
-menus, forms, adverts, comments, …) are taken out by name, role or class. Every
+menus, forms, adverts, comments, …) are taken out by name, role or class. Inside
+an article, and for headings and sections, a word in a class or id is no proof:
+ids are slugs of headings, so only a whole class token takes an element out (of
+a section outside articles its whole id too), and a doubtful one only if most of
+its text is links. The text of formulas stays, without their annotations. Every
 node gets its link-adjusted characters per tag; the node with the largest
 sum of its children's densities is the article. The least density on its path
 to the body is the threshold: what is at least as dense elsewhere on the page
@@ -33,10 +37,11 @@ BLOCK = frozenset(
 )
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
 NOISE = frozenset(
-    "head script style noscript template iframe object embed svg math canvas audio video map form button select "
-    "textarea input datalist fieldset nav menu aside footer dialog title noembed noframes xmp".split()
+    "head script style noscript template iframe object embed svg canvas audio video map form button select "
+    "textarea input datalist fieldset nav menu aside footer dialog title noembed noframes xmp annotation annotation-xml".split()
 )
 CONTENT = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An opening tag that ends an open element of these names, up to a barrier.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -61,6 +66,16 @@ NOISE_WORDS = frozenset(
     "searchbox hidden".split()
 )
 
+# Words of the above that take out paragraphs and inline elements of an article.
+ADVERTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion".split()
+)
+# Words of the above that also name parts of an article.
+DOUBTFUL = frozenset(
+    "banner notice notices notification notifications alert aside rail menu menus header footer reply replies respond "
+    "discussion".split()
+)
+
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _TAG_END = re.compile(r"""[^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*>""")
 _ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
@@ -68,10 +83,11 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("name", "noise", "parent", "parts", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("name", "noise", "doubt", "parent", "parts", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, noise: bool = False):
-        self.name, self.parent, self.noise = name, parent, noise
+    def __init__(self, name: str, parent: Node | None, noise: bool = False, doubt: bool = False):
+        """``doubt``: it is noise only if most of its text is links."""
+        self.name, self.parent, self.noise, self.doubt = name, parent, noise, doubt
         self.parts: list[Node | str] = []
 
 
@@ -79,22 +95,33 @@ def _attributes(source: str) -> dict[str, str]:
     return {n.lower(): v.strip("\"'") for n, v in _ATTRIBUTE.findall(source)}
 
 
-def _is_noise(name: str, attributes: dict[str, str], in_content: bool) -> bool:
-    """Whether an element is taken out; by class only if it holds no article."""
+def _is_noise(name: str, attributes: dict[str, str], in_content: bool) -> tuple[bool, bool]:
+    """Whether an element is taken out, by class only if it holds no article, and if that is in doubt."""
     if name in NOISE:
-        return True
+        return True, False
     if name == "header":
-        return not in_content
+        return not in_content, False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+        return True, False
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+        return True, False
     if attributes.get("role", "").lower() in NOISE_ROLES:
-        return True
+        return True, False
     if name in CONTENT or name in ("html", "body"):
-        return False
-    words = _WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")
-    return any(w.lower() in NOISE_WORDS for w in words)
+        return False, False
+    classes, own_id = attributes.get("class", ""), attributes.get("id", "")
+    strict = in_content or name in HEADINGS or name == "section"
+    words = {w.lower() for w in _WORDS.findall(classes if strict else f"{classes} {own_id}")} & NOISE_WORDS
+    if not strict:
+        return bool(words), False
+    whole = set(classes.lower().split()) & NOISE_WORDS
+    if in_content and (name == "p" or name not in BLOCK):
+        return bool(whole & ADVERTS), False
+    if name in HEADINGS:
+        return not in_content and bool(whole - DOUBTFUL), False
+    if not in_content and own_id.lower() in NOISE_WORDS:
+        whole.add(own_id.lower())
+    return bool(words or whole), not whole - DOUBTFUL
 
 
 def parse(page: str) -> Node:
@@ -160,7 +187,7 @@ def parse(page: str) -> Node:
         if name in ("html", "body") and (name == "html" or find({"body"}, ())):
             continue
         attributes = _attributes(page[tag.end() : end - 1]) if end - 1 > tag.end() else {}
-        node = Node(name, here, _is_noise(name, attributes, in_content > 0))
+        node = Node(name, here, *_is_noise(name, attributes, in_content > 0))
         here.parts.append(node)
         if name in RAW:
             close_at = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
@@ -191,6 +218,10 @@ def _prune(root: Node) -> list[Node]:
     holds = {}
     for node in reversed(every):
         holds[node] = node.name in CONTENT or any(holds[p] for p in node.parts if isinstance(p, Node))
+    if any(node.doubt for node in every):
+        for node in reversed(every):
+            _count(node)
+            node.noise &= not node.doubt or 2 * node.link_chars > node.chars
     for node in every:
         node.parts = [
             p
@@ -200,17 +231,23 @@ def _prune(root: Node) -> list[Node]:
     return _nodes(root)
 
 
+def _count(node: Node) -> None:
+    """Characters and tags of a node whose parts were counted; raw text and other noise by name has none."""
+    inside = [p for p in node.parts if isinstance(p, Node) and p.name not in NOISE]
+    own = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+    node.chars = own + sum(p.chars for p in inside)
+    # A formula counts as one tag, or its marks would thin out the text around it.
+    node.tags = sum(p.tags + 1 for p in inside) if node.name != "math" else 0
+    if node.name == "a":
+        node.link_chars, node.link_tags = node.chars, node.tags + 1
+    else:
+        node.link_chars = sum(p.link_chars for p in inside)
+        node.link_tags = sum(p.link_tags for p in inside)
+
+
 def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
-        inside = [p for p in node.parts if isinstance(p, Node)]
-        own = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
-        node.chars = own + sum(p.chars for p in inside)
-        node.tags = sum(p.tags + 1 for p in inside)
-        if node.name == "a":
-            node.link_chars, node.link_tags = node.chars, node.tags + 1
-        else:
-            node.link_chars = sum(p.link_chars for p in inside)
-            node.link_tags = sum(p.link_tags for p in inside)
+        _count(node)
     body = next((n for n in nodes if n.name == "body"), nodes[0])
     share = body.link_chars / max(body.chars, 1)
     for node in nodes:

@@ -209,6 +209,29 @@ def test_article_text():
     assert html_text.main_text(PAGE) == "Title & more\nFirst line.\nSecond <line> here.\nOk."
 
 
+def test_parts_of_an_article_with_noisy_slugs_stay():
+    body = (
+        '<h1 class="header">Title</h1><section id="discussion"><h2 id="related-work">Related work</h2><p>It was done before.</p></section>'
+        '<h2 id="header-files">Header files</h2><p class="alert">Mind the gap.</p><div class="notice">A note with <a href=x>a link</a>.</div>'
+        '<div class="section" id="social-share">A chapter.</div><pre>x <span class="token comment"># why</span></pre>'
+        "<p>So <math><semantics><mi>a</mi><mo>=</mo><mn>1</mn><annotation>a = 1</annotation></semantics></math> holds.</p>"
+    )
+    noise = (
+        '<div class="ad">Buy</div><p class="ad">now</p><div class="share-buttons"><a href=x>One</a> <a href=y>two</a></div>'
+        '<div class="menu"><a href=x>Home</a></div><section class="comments"><p>First!</p></section>'
+    )
+    lines = ["Title", "Related work", "It was done before.", "Header files", "Mind the gap.", "A note with a link.", "A chapter.", "x # why"]
+    for name in ("article", "main"):
+        page = f'<body><div id="site-nav"><a href=x>x</a></div><{name}>{body}{noise}</{name}><section id="comments"><p>me too</p></section></body>'
+        assert html_text.main_text(page).split("\n") == [*lines, "So a=1 holds."]
+
+
+def test_slugs_on_a_page_without_an_article_element():
+    text = "<p>A paragraph with enough text to be dense and plain.</p>" * 3
+    page = f'<body><section id="discussion"><h2 id="related-work">Related</h2>{text}</section><section id="comments">{text}</section></body>'
+    assert html_text.main_text(page).split("\n") == ["Related", *["A paragraph with enough text to be dense and plain."] * 3]
+
+
 def test_page_without_an_article_element():
     page = (
         "<body><div class=menu><a href=x>Home</a><a href=y>News</a></div><div><h2>Head</h2>"
