@@ -11,6 +11,7 @@ non-ASCII character. All else separates words.
 Defined results: a NULL or empty text has no words and is never hit. A NULL or
 empty item, or one without words, has no window. An item shorter than the
 window is one window of its own length. Items with the same words all count.
+Items without an id are hit like others; they count as one item without a name.
 Rows repeated in the input are repeated in the output. An empty table of items
 leaves every document clean. Only the named columns are read.
 """
@@ -49,7 +50,7 @@ def words_of(text: bytes) -> list[bytes]:
 class ItemAutomaton:
     """Suffix automaton over the word sequences of several items."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW, whole_below: int = 0):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW, whole_below: int = 0):
         self.window = window
         self.whole_below = max(window, whole_below)
         self.vocabulary: dict[bytes, int] = {}
@@ -219,7 +220,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_wo
     for k in range(count):
         block = rows.filter(F.col("block") == k).select("name", "text").collect()
         found = ((r.name, words_of((r.text or "").encode())) for r in block)
-        yield ItemAutomaton([x for x in found if x[0] is not None], window, whole_below)
+        yield ItemAutomaton(found, window, whole_below)
 
 
 FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>, longest bigint"
@@ -264,7 +265,7 @@ def find_items(
                     hit, who, most = found.match(words)
                     counts.append(len(words))
                     spans.append([{"start": a, "end": b} for a, b in hit])
-                    names.append(sorted(who))
+                    names.append(sorted(who, key=lambda x: (x is None, x)))
                     longest.append(most)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -369,35 +370,39 @@ def decontaminate(
     does the span it lies in. A document of which more than ``max_coverage`` of the words lies in such
     spans is dropped whole; with 0 every contaminated document goes, with 1
     documents stay and lose the spans. Clean rows pass unchanged. Columns are
-    those of ``docs``. Nothing is shuffled: every block of items is one more
-    pass over the rows, in the same tasks.
+    those of ``docs``. Nothing is shuffled: all blocks of items are matched in one
+    pass over the rows, and coverage is that by all of them.
     """
     spark = docs.sparkSession
     at = docs.columns.index(text_column)
     schema, names = docs.schema, docs.columns
-    for automaton in item_blocks(items, item_id, item_text, window, block_words, min_span):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def start(shared=shared):
-            found = shared.value
-
-            def work(batch: pa.RecordBatch):
-                keep, changed = [], False
-                column = batch.column(at)
-                texts = column.to_pylist()
-                for i, text in enumerate(texts_of(column)):
-                    words = words_of(text)
-                    wholes: list[tuple[int, int]] = []
-                    spans = long_spans(found.match(words, wholes)[0], wholes, min(min_span, len(words)))
-                    covered = sum(b - a for a, b in spans)
-                    keep.append(covered <= max_coverage * len(words))
-                    if spans and keep[-1]:
-                        texts[i], changed = remove_spans(texts[i], spans), True
-                if changed:
-                    batch = batch.set_column(at, names[at], pa.array(texts, column.type))
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-            return work
-
-        docs = map_texts(docs, names, schema, start)
-    return docs
+    blocks = item_blocks(items, item_id, item_text, window, block_words, min_span)
+    shared = [spark.sparkContext.broadcast(automaton) for automaton in blocks]
+
+    def start():
+        automata = [s.value for s in shared]
+
+        def work(batch: pa.RecordBatch):
+            keep, changed = [], False
+            column = batch.column(at)
+            texts = column.to_pylist()
+            for i, text in enumerate(texts_of(column)):
+                words = words_of(text)
+                wholes: list[tuple[int, int]] = []
+                spans = []
+                for found in automata:
+                    some: list[tuple[int, int]] = []
+                    spans += found.match(words, some)[0]
+                    wholes += some
+                spans = long_spans(merge_spans(spans), merge_spans(wholes), min(min_span, len(words)))
+                covered = sum(b - a for a, b in spans)
+                keep.append(covered <= max_coverage * len(words))
+                if spans and keep[-1]:
+                    texts[i], changed = remove_spans(texts[i], spans), True
+            if changed:
+                batch = batch.set_column(at, names[at], pa.array(texts, column.type))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return work
+
+    return map_texts(docs, names, schema, start)

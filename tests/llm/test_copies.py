@@ -225,6 +225,21 @@ def test_decontaminate_finds_short_items(docs, spark, min_span):
     assert [r.text.split() for r in cut] == [[*prose(3, 15), *prose(53, 15)]]
 
 
+@pytest.mark.parametrize("block_words", [200_000, 12])
+def test_items_without_an_id_and_coverage_by_all_blocks(docs, spark, block_words):
+    a, b = prose(80, 12), [w.replace("w", "v") for w in prose(81, 12)]
+    table = spark.createDataFrame([(None, " ".join(a)), (None, "one two"), (2, " ".join(b))], "item_id bigint, text string")
+    rows = [(1, " ".join(a)), (2, "say one two"), (3, " ".join([*b, "x", "one", "two"])), (4, " ".join([*a, *prose(82, 12, 9), *b]))]
+    out = decontaminate.contamination(docs(rows), table, block_words=block_words).collect()
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in out}
+    none, two = brute.sha(""), brute.sha("2")
+    assert got == {1: (12, 1, none), 2: (2, 1, none), 3: (14, 2, two), 4: (24, 2, two)}
+    assert decontaminate.decontaminate(docs(rows), table, block_words=block_words).count() == 0
+    # Either item alone covers a third of the last document, both two thirds.
+    half = decontaminate.decontaminate(docs(rows[3:]), table, block_words=block_words, max_coverage=0.5)
+    assert half.count() == 0
+
+
 # --- empty tables -------------------------------------------------------------
 
 
