@@ -9,7 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import configure
-from plumbline.llm import bpe, decontaminate, exact_dedup, html_text, jaccard, language_id, lattice_lm, quality, secrets, substring
+from plumbline.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    jaccard,
+    language_id,
+    lattice_lm,
+    quality,
+    secrets,
+    substring,
+    vector_codes,
+)
 from plumbline.llm.common import prepare, split_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +147,50 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("_learn", learn)
     scored = lattice_lm.score(docs, "_learn", PIECES)
     return scored.withColumn("held_out", ~F.col("_learn")).drop("_learn")
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out, one pair of subqueries each."""
+    apart = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(cut.v, c.v)])"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+    a{r} AS MATERIALIZED (
+      SELECT vec_id, label, p, any_value(v) AS v, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d
+      FROM (SELECT vec_id, label, cut.p, cut.v, c.e, CAST({apart} AS BIGINT) AS d FROM cut JOIN c{r} c ON cut.p = c.p)
+      GROUP BY vec_id, label, p)""")
+        if r < rounds:
+            steps.append(f"""
+    c{r + 1} AS MATERIALIZED (
+      SELECT p, e, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN (
+        SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+        FROM (SELECT p, e, i, sum(x) AS s, count(*) AS n
+              FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY p, e, i)
+        GROUP BY p, e) m USING (p, e))""")
+    return f"""
+    WITH kept AS MATERIALIZED (
+      SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    cut AS MATERIALIZED (
+      SELECT vec_id, label, p, q[p * (len(q) // {parts}) + 1 : (p + 1) * (len(q) // {parts})] AS v
+      FROM kept, range({parts}) AS r(p)),
+    c0 AS MATERIALIZED (
+      SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM cut
+      QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries}),{",".join(steps)},
+    books AS (
+      SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+      FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM c{rounds})),
+    coded AS (
+      SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+      FROM a{rounds} GROUP BY vec_id, label)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM coded, books
+    """
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.digest).alias("codebooks_sha256")
+    return codes.select("vec_id", "code", "error", "label_error", digest)
