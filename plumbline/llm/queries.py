@@ -13,6 +13,7 @@ from plumbline.llm import (
     bpe,
     decontaminate,
     exact_dedup,
+    filter_audit,
     html_text,
     jaccard,
     language_id,
@@ -194,3 +195,54 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     digest = F.lit(books.digest).alias("codebooks_sha256")
     return codes.select("vec_id", "code", "error", "label_error", digest)
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+    WITH doc AS (
+      SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    label AS (
+      SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+    flag AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+             || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * (strlen(t) - strlen(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+      FROM doc LEFT JOIN label USING (doc_id)),
+    tally AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flag GROUP BY part, fails),
+    letter(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+    orders AS (
+      SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+      FROM letter a JOIN letter b ON b.x <> a.x JOIN letter c ON c.x NOT IN (a.x, b.x)
+      JOIN letter d ON d.x NOT IN (a.x, b.x, c.x) JOIN letter e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+    steps AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1 : step - 1] AS before FROM orders, range(1, 6) AS r(step)),
+    state AS (
+      SELECT part, filter_order, step, f, n, good, toxic, fails = f AS lone,
+             contains(fails, f) AS hit,
+             len(translate(fails, before, '')) < len(fails) AS gone
+      FROM tally, steps),
+    total AS (
+      SELECT part, filter_order, step, f,
+             sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN lone THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+      FROM state GROUP BY part, filter_order, step, f)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+           CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+    FROM total
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = filter_audit.failures(table(spark, sf_dir, "documents"))
+    return filter_audit.interactions(filter_audit.with_labels(flagged, table(spark, sf_dir, "labels")), "ABCDE")
