@@ -18,6 +18,7 @@ from plumbline.llm import (
     jaccard,
     language_id,
     lattice_lm,
+    packing,
     quality,
     secrets,
     substring,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -197,6 +199,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("vec_id", "code", "error", "label_error", digest)
 
 
+@query("op12_pattern_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE_JSON)
+
+
 @query(
     "op13_filter_audit",
     r"""
