@@ -32,6 +32,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,46 +44,75 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_texts, schema_of, stored
 
-# Words remembered by a worker, and the longest one that is.
-REMEMBERED, LONGEST = 1 << 18, 64
+# Runs of a text remembered by a worker, and the longest one that is.
+REMEMBERED, LONGEST = 1 << 19, 64
 
 # No token reaches over a single blank between two visible characters, so words
-# can be encoded one by one.
+# can be encoded one by one, each with the blank before it.
 BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 
+# Texts of Latin letters, ASCII digits and signs (but no special token's bracket),
+# with single blanks or line ends between them, are cut by the tokenizer's own
+# rule for these characters.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_VISIBLE = rf"[!-;=-~{_LETTERS}]+"
+LATIN = re.compile(rf" ?{_VISIBLE}(?:[ \n]{_VISIBLE})*")
+RUN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|\n")
+
+# Byte-level vocabularies write a byte that is no visible Latin-1 character as one
+# of the characters from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LEVEL = {byte: 256 + i for i, byte in enumerate(sorted(set(range(256)) - _SHOWN))}
+
 
 # --- encoding -------------------------------------------------------------------
 
 
-class WordEncoder:
-    """Ids of texts, little-endian unsigned 32-bit, by a tokenizer's JSON text."""
+def runs_of(text: str) -> list[str]:
+    """What a text can be cut into: single runs where it is Latin, else words."""
+    if LATIN.fullmatch(text):
+        return RUN.findall(text)
+    found = []
+    for word in BETWEEN.split(text):
+        if LATIN.fullmatch(word):
+            found += RUN.findall(word)
+        else:
+            found.append(word)
+    return found
+
+
+class RunEncoder:
+    """Ids of texts, little-endian unsigned 32-bit, by a byte-level tokenizer's JSON text."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.fromiter(e.ids, "<u4").tobytes() for e in found]
+    def _encode(self, run: str) -> bytes:
+        """Ids of a run, by the model alone where nothing is left to be cut."""
+        if RUN.fullmatch(run):
+            shown = run.encode().decode("latin-1").translate(BYTE_LEVEL)
+            return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split = [BETWEEN.split(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        short = [w for w in new if len(w) <= LONGEST]
-        self.known.update(zip(short, self._encode(short)))
-        rest = {w: self._encode([w])[0] for w in new if len(w) > LONGEST}
-        get = (lambda w: rest[w] if w in rest else self.known[w]) if rest else self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        known, long = self.known, {}
+        runs = [runs_of(t) for t in texts]
+        for run in set().union(*runs).difference(known):
+            (known if len(run) <= LONGEST else long)[run] = self._encode(run)
+        get = known.__getitem__ if not long else lambda r: long[r] if r in long else known[r]
+        return [b"".join(map(get, found)) for found in runs]
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer: str) -> WordEncoder:
-    return WordEncoder(tokenizer)
+def encoder(tokenizer: str) -> RunEncoder:
+    return RunEncoder(tokenizer)
 
 
 def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:

@@ -64,8 +64,8 @@ def best_fit(lengths, capacity):
 def test_ids_are_those_of_the_tokenizer():
     encoder = packing.encoder(open(TOKENIZER, encoding="utf-8").read())
     r = random.Random(1)
-    alphabet = ["a", "B", "'s", " ", "  ", "\n", " ", "7", "...", "é", "語", " ", "<|endoftext|>", "\x1c", "\x85", "word", "w" * 70]
-    texts = [t or "" for t in ODD] + ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(1500)]
+    alphabet = ["a", "B", "'s", " ", "  ", "\n", " ", "7", "...", "é", "語", " ", "<|endoftext|>", "\x1c", "'", "ll", "'T", ".", "ß", "Œ", "×", "<", "_", "²", "½", "ǅ", "\x85", "word", "w" * 70]
+    texts = [t or "" for t in ODD] + ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(4000)]
     for found, text in zip(encoder.encode(texts), texts):
         assert np.frombuffer(found, "<u4").tolist() == ids_of(text)[:-1], text
 
