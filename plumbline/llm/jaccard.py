@@ -14,12 +14,13 @@ The join is exact over 64-bit hashes of the n-grams:
    and left as soon as the largest possible overlap is below what the smallest
    sizes would need. Members without a surviving partner go; that is nearly all.
 4. What survives is compared exactly, on whole sets: first in two blocks of each
-   text, which connects groups of copies. Pairs of different components that
-   the trees leave in the other blocks are then dealt out by component, so that
-   a set moves once for many pairs.
+   text, which connects groups of copies. Of the other blocks, those members
+   follow that the trees leave with a partner of another component, in the one
+   block that counts for the pair: members, never pairs, are written.
 5. A block above ``BLOCK`` members is cut at random, differently for every
    n-gram. Members of different cuts that other blocks have not connected by
-   then are joined in a last round, cut by cut.
+   then are joined in a last round: the largest component of a block stays in
+   its cuts, the others visit them.
 6. Components of the links; every member of a class gets its component.
 
 Links are found between different sets; inside a class no pairs are made. Pairs
@@ -27,9 +28,12 @@ whose ends are connected by other links need not be compared, so the links
 given are enough for the components but are not all links.
 
 Defined results: a NULL or empty text has no n-grams and links with nothing.
-Fewer words than n are one n-gram. A row with a NULL id links with nothing and
-has a NULL component. Rows that repeat an id are rows of their own. Only the
-named columns are read.
+Fewer words than n are one n-gram; texts of any length have whole sets. A row
+with a NULL id links with nothing and has a NULL component. Rows that repeat an
+id are rows of their own, each with the component of its own text. Of a
+component ``keep_one`` keeps one row of the smallest id, any of them where
+several have it. An empty table gives an empty result. Only the named columns
+are read.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +56,9 @@ SIZE, MIN_PERCENT = 4, 85
 # Members of a block, of a leaf, and children of a node.
 BLOCK, LEAF, FAN = 128, 8, 4
 
+# Bytes of bitmaps compared at once.
+COMPARED_BYTES = 4 << 20
+
 # Blocks of a text that are compared before the others. Two let groups that are cut
 # at random grow together.
 FIRST_BLOCKS = 2
@@ -132,16 +140,24 @@ def bitmap(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_column: str, text_column: str, size: int, percent: int) -> DataFrame:
-    """id, n, digest of the set, prefix and bitmap: what is known of every text's set."""
+    """What is known of every text's set: n, digest, prefix and bitmap, and a number for the row.
+
+    ``_text`` is a digest of the text itself.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(docs, id_column, text_column, size))
-    schema = schema_of(docs, [id_column], _n="bigint", _digest="binary", _prefix="array<bigint>", _bits="binary")
+    schema = schema_of(
+        docs, [id_column], _row="bigint", _text="binary", _n="bigint", _digest="binary", _prefix="array<bigint>", _bits="binary"
+    )
 
     def start():
         listed, seen = shared.value
+        row = TaskContext.get().partitionId() << 36
 
         def work(batch: pa.RecordBatch):
+            nonlocal row
+            texts = texts_of(batch.column(1))
             n, digests, prefixes, bits = [], [], [], []
-            for text in texts_of(batch.column(1)):
+            for text in texts:
                 grams = ngram_set(text, size)
                 n.append(len(grams))
                 digests.append(hashlib.sha256(grams.tobytes()).digest()[:16] if len(grams) else None)
@@ -150,6 +166,8 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, size: int, per
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    pa.array(np.arange(row, row + len(texts))),
+                    pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
                     pa.array(n, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())),
@@ -157,6 +175,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, size: int, per
                 ],
                 names=schema.names,
             )
+            row += len(texts)
 
         return work
 
@@ -199,15 +218,16 @@ class SignatureTree:
         """Node pairs below which two members may be similar enough."""
         ors, least, low, high = self.levels[level]
         out = np.empty(len(a), bool)
-        for s in range(0, len(a), 1 << 14):
-            x, y = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
+        step = max(COMPARED_BYTES // ors.itemsize // ors.shape[1], 1)
+        for s in range(0, len(a), step):
+            x, y = a[s : s + step], b[s : s + step]
             shared = np.bitwise_count(ors[x] & ors[y]).sum(axis=1, dtype=np.int64)
             # A bit that the other side lacks is an n-gram it lacks.
             most = np.minimum(
                 high[x] - np.maximum(least[x] - shared, 0), high[y] - np.maximum(least[y] - shared, 0)
             )
             # overlap / (sizes - overlap) >= percent / 100, for the smallest sizes.
-            out[s : s + (1 << 14)] = (100 + percent) * most >= percent * (low[x] + low[y])
+            out[s : s + step] = (100 + percent) * most >= percent * (low[x] + low[y])
         return out
 
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -383,8 +403,29 @@ def _active(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return _by_cell(rows, work, f"_rep {kind}, _cell bigint, _side int")
 
 
-def _open_pairs(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """(a, ga, b, gb): surviving pairs of different groups, with their groups."""
+def _met(lists: list[np.ndarray]) -> np.ndarray:
+    """Which two of the members have a number in common."""
+    out = np.zeros((len(lists), len(lists)), bool)
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    numbers, code, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    common = count[code] > 1
+    owner, at = owner[common], place[code[common]]
+    for first in range(0, int(at.max(initial=-1)) + 1, 2048):
+        has = np.zeros((len(lists), 2048), np.float32)
+        some = (at >= first) & (at < first + 2048)
+        has[owner[some], at[some] - first] = 1
+        out |= has @ has.T > 0
+    return out
+
+
+def _open_members(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``cells`` that have a surviving partner of another group which they meet here first.
+
+    ``_before`` lists what two members would share if they met elsewhere, too,
+    so a pair counts in one cell only. A member is one row, however many
+    partners it has.
+    """
     kind = dict(cells.dtypes)["_rep"]
 
     def work(members: list[tuple], kinds: list[pa.DataType]):
@@ -394,39 +435,50 @@ def _open_pairs(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
         names: dict = {}
         group = np.array([names.setdefault(m[3], len(names)) for m in members])
         open_ = ((side[a] == 0) | (side[a] != side[b])) & (group[a] != group[b])
-        if open_.any():
-            pairs = [sorted(((members[x][1], members[x][3]), (members[y][1], members[y][3]))) for x, y in zip(a[open_].tolist(), b[open_].tolist())]
-            columns = ([p[0][0] for p in pairs], [p[0][1] for p in pairs], [p[1][0] for p in pairs], [p[1][1] for p in pairs])
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[1]) for c in columns], names=["a", "ga", "b", "gb"])
+        a, b = a[open_], b[open_]
+        if len(a):
+            # Only members of a pair are looked up.
+            some = np.union1d(a, b)
+            met = _met([np.asarray(members[k][6], np.int64) for k in some.tolist()])
+            new = ~met[np.searchsorted(some, a), np.searchsorted(some, b)]
+            kept = [members[k] for k in np.union1d(a[new], b[new]).tolist()]
+            if kept:
+                columns = list(zip(*kept))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[k], kinds[k]) for k in (1, 0, 2, 3)], names=["_rep", "_cell", "_side", "_group"]
+                )
 
-    rows = cells.join(bits, "_rep").select("_cell", "_rep", "_side", "_group", "_n", "_bits")
-    return _by_cell(rows, work, f"a {kind}, ga {kind}, b {kind}, gb {kind}").distinct()
+    rows = cells.join(bits, "_rep").select("_cell", "_rep", "_side", "_group", "_n", "_bits", "_before")
+    return _by_cell(rows, work, f"_rep {kind}, _cell bigint, _side int, _group {kind}")
 
 
-def _pair_cells(pairs: DataFrame, found: DataFrame, block: int) -> DataFrame:
-    """Cells (_rep, _cell, _side, _group) in which every pair meets.
+def _crossing(cut: DataFrame, placed: DataFrame, block: int) -> DataFrame:
+    """Cells in which members of different cuts of a block meet.
 
-    The larger of the two components is cut into shares of ``block`` members;
-    partners of a share join it, cut as well where they are very many.
+    Members of the block's largest group stay in their cut; only the others
+    visit the other cuts, in shares of ``block``.
     """
-    sizes = stored(found.groupBy("component").agg(F.count("*").alias("_many")), "sizes")
-    of = lambda g, n: sizes.select(F.col("component").alias(g), F.col("_many").alias(n))
-    sized = pairs.join(bounded(of("ga", "_na")), "ga", "left").join(bounded(of("gb", "_nb")), "gb", "left")
-    sized = sized.withColumns({n: F.coalesce(n, F.lit(1)) for n in ("_na", "_nb")})
-    here, there = F.struct(F.col("a").alias("rep"), F.col("ga").alias("g"), F.col("_na").alias("n")), F.struct(
-        F.col("b").alias("rep"), F.col("gb").alias("g"), F.col("_nb").alias("n")
+    groups = cut.groupBy("_gram", "_group").agg(F.count("*").alias("_many"))
+    largest = groups.groupBy("_gram").agg(
+        F.max_by("_group", F.struct("_many", "_group")).alias("_largest"),
+        F.ceil((F.sum("_many") - F.max("_many")) / block).cast("int").alias("_shares"),
     )
-    larger = F.col("_na") >= F.col("_nb")
-    dealt = sized.select(F.when(larger, here).otherwise(there).alias("x"), F.when(larger, there).otherwise(here).alias("y"))
-    share = F.pmod(F.xxhash64("x.rep"), F.ceil(F.col("x.n") / block))
-    dealt = stored(dealt.withColumn("_share", F.xxhash64("x.g", share)), "dealt")
-    cuts = dealt.groupBy("_share").agg(F.ceil(F.count("*") / (block * block)).alias("_cuts"))
-    dealt = dealt.join(stored(cuts, "cuts"), "_share")
-    cell = F.xxhash64("_share", F.pmod(F.xxhash64("y.rep"), F.col("_cuts")))
-    side = lambda p, n: dealt.select(
-        F.col(f"{p}.rep").alias("_rep"), cell.alias("_cell"), F.lit(n).alias("_side"), F.col(f"{p}.g").alias("_group")
+    rows = cut.join(stored(largest, "largest"), "_gram")
+    shares = F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share")
+    home = rows.select("_rep", "_gram", "_group", F.col("_cut").alias("_at"), F.lit(1).alias("_side"), shares)
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("_cuts") - 1), lambda k: k != F.col("_cut"))).alias("_at")
+    own = F.pmod(F.xxhash64("_gram", "_rep", F.lit(1)), F.col("_shares")).cast("int").alias("_share")
+    guests = rows.filter("_group <> _largest").select("_rep", "_gram", "_group", others, F.lit(2).alias("_side"), own)
+    # Who shares a cut has met; else the least common n-gram counts.
+    here = F.collect_list(F.xxhash64("_gram", "_cut")).alias("_cells")
+    met = placed.join(stored(cut.select("_rep").distinct(), "crossing"), "_rep", "left_semi").groupBy("_rep")
+    met = met.agg(here, F.collect_list(F.when(F.col("_cuts") > 1, F.col("_gram"))).alias("_grams"))
+    before = F.concat("_cells", F.filter("_grams", lambda g: g < F.col("_gram")))
+    return (
+        home.unionByName(guests)
+        .join(stored(met, "met"), "_rep")
+        .select("_rep", F.xxhash64("_gram", "_at", "_share").alias("_cell"), "_side", "_group", before.alias("_before"))
     )
-    return side("x", 1).unionByName(side("y", 2)).distinct()
 
 
 def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -434,6 +486,8 @@ def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     kind = dict(cells.dtypes)["_rep"]
 
     def work(members: list[tuple], kinds: list[pa.DataType]):
+        # Rows that repeat a text may have brought its set twice.
+        members = list({m[1:3]: m for m in members}.values())
         grams = [np.frombuffer(m[4], np.uint64) for m in members]
         sides = np.array([m[2] for m in members])
         found = join_block(grams, [m[3] for m in members], percent, sides if sides.any() else None)
@@ -447,19 +501,28 @@ def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _by_cell(rows, work, f"a {kind}, b {kind}").distinct()
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, text_column: str, size: int) -> DataFrame:
-    """_rep and the whole set of every wanted text."""
-    joined = texts.join(bounded(stored(wanted, "wanted")), "_rep").select("_rep", text_column)
-    schema = schema_of(joined, ["_rep"], _set="binary")
+def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """_rep and the whole set of every wanted text (_rep, _id, _text) of ``texts`` (_id, _body).
+
+    A row that repeats id and text gives its set once a task.
+    """
+    joined = texts.join(bounded(stored(wanted, "wanted")), "_id").select("_rep", "_text", "_body")
 
     def start():
+        given: set[int] = set()
+
         def work(batch: pa.RecordBatch):
-            sets = [ngram_set(t, size).tobytes() for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=schema.names)
+            reps, sets = [], []
+            for rep, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
+                if rep not in given and hashlib.sha256(text).digest() == digest:
+                    given.add(rep)
+                    reps.append(rep)
+                    sets.append(ngram_set(text, size).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], names=["_rep", "_set"])
 
         return work
 
-    return map_texts(joined, joined.columns, schema, start)
+    return map_texts(joined, joined.columns, "_rep bigint, _set binary", start)
 
 
 def _grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -479,28 +542,23 @@ def _apart(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(bounded(stored(keys, "apart")), key)
 
 
-def similarity_classes(
-    docs: DataFrame,
-    *,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    size: int = SIZE,
-    percent: int = MIN_PERCENT,
-    block: int = BLOCK,
-) -> DataFrame:
-    """One row per document: the id, n_shingles and component_id."""
-    known = stored(signatures(docs, id_column, text_column, size, percent), "signatures")
-    of = F.col(id_column)
-    usable = known.filter(of.isNotNull() & (F.col("_n") > 0))
-    classes = usable.groupBy("_digest").agg(F.min(id_column).alias("_of"), F.count("*").alias("_many"))
+def _rows(docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """For every row of ``docs`` (_id, _body): _id, _text, _row, _n, _class and component_id.
+
+    ``_class`` is the number of the row that stands for the component; NULL where
+    a row links with nothing by definition.
+    """
+    known = stored(signatures(docs, "_id", "_body", size, percent), "signatures")
+    linked = F.col("_id").isNotNull() & (F.col("_n") > 0)
+    classes = known.filter(linked).groupBy("_digest")
+    classes = classes.agg(F.min("_row").alias("_of"), F.min("_id").alias("_least"), F.count("*").alias("_many"))
     classes = bounded(stored(classes.filter("_many > 1").drop("_many"), "classes"))
-    member = known.join(classes, "_digest", "left").withColumn("_rep", F.when(of.isNotNull(), F.coalesce("_of", of)))
+    member = known.join(classes, "_digest", "left").withColumns(
+        {"_rep": F.when(linked, F.coalesce("_of", "_row")), "_low": F.when(F.col("_id").isNotNull(), F.coalesce("_least", "_id"))}
+    )
 
-    # One row stands for a class, also where rows repeat its id.
-    alone = member.filter(F.col("_of").isNull() & of.isNotNull() & (F.col("_n") > 0))
-    chosen = known.join(classes, "_digest").filter(of == F.col("_of")).dropDuplicates(["_digest"])
-    columns = ["_rep", "_n", "_prefix", "_bits"]
-    reps = alone.select(*columns).unionByName(chosen.withColumn("_rep", F.col("_of")).select(*columns))
+    # One row stands for a class.
+    reps = member.filter("_row = _rep")
     prefixes = reps.select("_rep", F.explode("_prefix").alias("_gram"))
     placed = stored(
         _blocks(prefixes)
@@ -510,52 +568,88 @@ def similarity_classes(
         "placed",
     )
     bits = reps.select("_rep", "_n", "_bits")
-    texts = docs.filter(of.isNotNull()).select(of.alias("_rep"), F.col(text_column).alias("_body"))
+    texts = docs.filter(F.col("_id").isNotNull())
+    sets_of = lambda rows: _sets(texts, reps.select("_rep", "_id", "_text").join(stored(rows.select("_rep").distinct(), "with-sets"), "_rep"), size)
 
     # Inside cuts: who has a possible partner, and what these hold.
     inside = placed.select(
         "_rep", F.xxhash64("_gram", "_cut").alias("_cell"), F.lit(0).alias("_side"), F.col("_rep").alias("_group")
     ).distinct()
     active = stored(_active(inside, bits, percent), "active")
-    sets = stored(_sets(texts, active.select("_rep").distinct(), "_body", size), "sets")
+    sets = stored(sets_of(active), "sets")
     turn = Window.partitionBy("_rep").orderBy(F.xxhash64("_cell"), "_cell")
     some = active.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= FIRST_BLOCKS)
     links = stored(_links(some.drop("_turn").withColumn("_group", F.col("_rep")), sets, percent), "links")
     found = stored(components(links, "a", "b"), "components")
-    open_ = stored(_open_pairs(_apart(_grouped(active, found), "_cell"), bits, percent), "pairs")
-    rest = stored(_links(_pair_cells(open_, found, block), sets, percent), "links")
-    links = links.unionByName(rest)
-    if not rest.isEmpty():
+    rest = stored(_apart(_grouped(active, found), "_cell"), "rest")
+    met = stored(rest.groupBy("_rep").agg(F.collect_list("_cell").alias("_cells")), "met")
+    before = F.filter("_cells", lambda c: c < F.col("_cell")).alias("_before")
+    open_ = rest.join(met, "_rep").select("_rep", "_cell", "_side", "_group", before)
+    more = stored(_links(stored(_open_members(open_, bits, percent), "open"), sets, percent), "links")
+    links = links.unionByName(more)
+    if not more.isEmpty():
         found = stored(components(links, "a", "b"), "components")
 
     # Across cuts of a block whose members are not all connected by now.
-    cut = _apart(_grouped(placed.filter("_cuts > 1"), found), "_gram")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("_cuts") - 1), lambda k: k != F.col("_cut"))).alias("_other")
-    crossing = cut.select("_rep", "_gram", "_cut", "_group", other).select(
-        "_rep",
-        F.xxhash64("_gram", F.least("_cut", "_other"), F.greatest("_cut", "_other")).alias("_cell"),
-        (1 + (F.col("_cut") > F.col("_other")).cast("int")).alias("_side"),
-        "_group",
-    )
-    late = stored(_open_pairs(crossing, bits, percent), "pairs")
+    cut = stored(_apart(_grouped(placed.filter("_cuts > 1"), found), "_gram"), "cut")
+    late = stored(_open_members(_crossing(cut, placed, block), bits, percent), "open")
     if not late.isEmpty():
-        cells = stored(_pair_cells(late, found, block), "cells")
-        more = stored(_sets(texts, cells.select("_rep").distinct(), "_body", size), "sets")
-        links = links.unionByName(_links(cells, more, percent))
+        links = links.unionByName(_links(late, stored(sets_of(late), "sets"), percent))
         found = stored(components(links, "a", "b"), "components")
 
+    least = found.join(reps.select(F.col("_rep").alias("id"), "_low"), "id").groupBy("component")
+    least = stored(least.agg(F.min("_low").alias("_smallest")), "least-ids")
+    found = stored(found.join(bounded(least), "component"), "classes")
     named = member.join(found, F.col("_rep") == F.col("id"), "left")
     return named.select(
-        id_column,
-        F.col("_n").alias("n_shingles"),
-        F.coalesce("component", "_rep").alias("component_id"),
+        "_id",
+        "_text",
+        "_row",
+        "_n",
+        F.coalesce("component", "_rep").alias("_class"),
+        F.coalesce("_smallest", "_low").alias("component_id"),
     )
 
 
-def keep_one(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the smallest id of each component; texts without n-grams all stay."""
-    classes = similarity_classes(docs, id_column=id_column, **options)
-    gone = stored(
-        classes.filter(F.col("component_id") != F.col(id_column)).select(id_column).distinct(), "near-copies"
-    )
-    return docs.join(bounded(gone), id_column, "left_anti")
+def similarity_classes(
+    docs: DataFrame,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    size: int = SIZE,
+    percent: int = MIN_PERCENT,
+    block: int = BLOCK,
+) -> DataFrame:
+    """One row per document: the id, n_shingles and component_id."""
+    named = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_body"))
+    rows = _rows(named, size, percent, block)
+    return rows.select(F.col("_id").alias(id_column), F.col("_n").alias("n_shingles"), "component_id")
+
+
+def keep_one(
+    docs: DataFrame,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    size: int = SIZE,
+    percent: int = MIN_PERCENT,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``docs`` with one row of each component, of the smallest id; texts without n-grams all stay."""
+    named = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_body"))
+    rows = stored(_rows(named, size, percent, block).filter("_class IS NOT NULL"), "near-copies")
+    groups = rows.groupBy("_class").agg(F.min(F.struct("_id", "_row", "_text")).alias("_stays"), F.count("*").alias("_many"))
+    stays = stored(groups.filter("_many > 1").select("_class", "_stays.*"), "stays")
+    among = rows.join(stays.select("_class"), "_class", "left_semi")
+    gone = stored(among.join(stays.select("_row"), "_row", "left_anti").select("_id", "_text").distinct(), "gone")
+    # Rows are told apart by id and text.
+    text = F.unhex(F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256))
+    same = lambda keys: (F.col(id_column) == keys["_id"]) & (text == keys["_text"])
+    left = bounded(gone)
+    kept = docs.join(left, same(left), "left_anti")
+    again = stored(stays.select("_id", "_text").join(gone, ["_id", "_text"], "left_semi"), "again")
+    if not again.isEmpty():
+        # Rows that repeat both id and text: one of them stays.
+        some = docs.join(bounded(again), same(again)).dropDuplicates(["_id", "_text"])
+        kept = kept.unionByName(some.select(*docs.columns))
+    return kept

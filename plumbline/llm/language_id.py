@@ -254,6 +254,13 @@ class LanguageModel:
     def __init__(self, counts: Counts):
         self.langs = sorted(counts)
         self.trees = [Tree(counts[lang]) for lang in self.langs]
+        self._shared = None
+
+    def shared(self, docs: DataFrame):
+        """The model as a broadcast, one for all its uses."""
+        if self._shared is None:
+            self._shared = docs.sparkSession.sparkContext.broadcast(self)
+        return self._shared
 
     def scorer(self):
         known, costs = np.empty(0, np.int64), np.empty((len(self.langs), 0))
@@ -294,7 +301,7 @@ def has_letter(text: bytes) -> bool:
 
 def predict(docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("doc_id",), text_column="text") -> DataFrame:
     """Columns ``keep`` with lang_pred, score and bits_per_byte of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs)
     schema = schema_of(docs, keep, lang_pred="string", score="double", bits_per_byte="double")
     n = len(keep)
     langs = [*model.langs, UNDETERMINED]
@@ -335,7 +342,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, text_column="text"
 
     Without a learned language there is nothing to reject by but the letter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs)
     at, some = docs.columns.index(text_column), bool(model.langs)
 
     def start():
@@ -356,7 +363,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, text_column="text"
 
 def claim_limits(docs: DataFrame, model: LanguageModel, *, text_column="text", lang_column="lang") -> dict[str, float]:
     """By language, the most bits per byte of a text it claims; from its training texts ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs)
     row = {lang: k for k, lang in enumerate(model.langs)}
 
     def start():
@@ -378,7 +385,7 @@ def claim_limits(docs: DataFrame, model: LanguageModel, *, text_column="text", l
 
 def keep_claimed(docs: DataFrame, model: LanguageModel, limits: dict[str, float], *, text_column="text") -> DataFrame:
     """``docs`` without texts that have no letter or that no language claims."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs)
     at = docs.columns.index(text_column)
     most = np.array([[limits[lang]] for lang in model.langs])
 

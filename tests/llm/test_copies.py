@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from plumbline.llm import decontaminate, exact_dedup, jaccard, substring
 from plumbline.llm.components import components
@@ -143,6 +144,47 @@ def test_keep_one(docs, corpus):
     assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, (_, c) in want.items() if c == d)
 
 
+def test_rows_that_repeat_an_id_are_rows_of_their_own(docs):
+    first, other = prose(1, 60), prose(2, 60)
+    near = [*first[:-1], "end"]
+    rows = [(1, " ".join(first)), (5, " ".join(near)), (5, " ".join(other)), (4, " ".join([*other[:-1], "x"])), (9, "a b"), (9, "c d")]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.similarity_classes(docs(rows)).collect())
+    assert got == [(1, 1), (4, 4), (5, 1), (5, 4), (9, 9), (9, 9)]
+    kept = sorted((r.doc_id, r.text) for r in jaccard.keep_one(docs(rows)).collect())
+    assert kept == sorted([rows[0], rows[3], rows[4], rows[5]])
+
+
+def test_keep_one_of_rows_that_repeat_id_and_text(docs, corpus):
+    rows = [*corpus[:6], corpus[0], corpus[0], corpus[45], corpus[45], (None, corpus[0][1]), (None, None), (304, None), (304, None)]
+    kept = jaccard.keep_one(docs(rows), percent=30).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [
+        (False, 0), (False, corpus[45][0]), (False, 304), (False, 304), (True, 0), (True, 0)]
+
+
+def test_a_group_that_fills_many_cuts(docs):
+    """One large group and some texts that share its n-grams without being similar."""
+    base = prose(11, 40, 10**6)
+    rows = [(i, " ".join([*base[:-1], f"v{i}"])) for i in range(120)]
+    rows += [(500 + i, " ".join([*base[:30], *prose(600 + i // 2, 30, 10**6)])) for i in range(24)]
+    rows += [(700 + i, " ".join([*base[10:], *prose(800 + i, 4, 10**6)])) for i in range(10)]
+    want = brute.similarity_classes(rows, 2, 85)
+    for block in (4, 16):
+        got = jaccard.similarity_classes(docs(rows), size=2, block=block).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_open_members_are_no_more_than_the_members(spark):
+    """A cell of alike members of different groups gives a row a member, not a pair."""
+    sets = [np.unique(np.concatenate([np.arange(100, dtype=np.uint64) * 77777, np.array([i + 10**6], np.uint64)])) for i in range(60)]
+    bits = spark.createDataFrame(
+        [(i, len(s), bytearray(jaccard.bitmap(s, 512).tobytes())) for i, s in enumerate(sets)], "_rep bigint, _n bigint, _bits binary"
+    )
+    cells = [(i, c, 0, i, [k for k in (1, 2) if k < c]) for i in range(60) for c in (1, 2)]
+    schema = "_rep bigint, _cell bigint, _side int, _group bigint, _before array<bigint>"
+    out = jaccard._open_members(spark.createDataFrame(cells, schema), bits, 85).collect()
+    assert sorted((r._rep, r._cell) for r in out) == [(i, 1) for i in range(60)]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     out = components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()
