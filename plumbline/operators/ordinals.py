@@ -1,86 +1,98 @@
-"""Row numbers without a single-task sort.
+"""Row numbers without a single-task sort and without a job of the driver.
 
 ``row_number() OVER (ORDER BY key)`` moves the whole table into one task.
-Here sampled keys cut the key range into buckets of similar size, rows are
-numbered inside their bucket, and each bucket starts where the previous ones
-end. Tables of every size and keys of every orderable type go the same way.
+Here borders cut the key range into buckets of similar size, rows are numbered
+inside their bucket, and each bucket starts where the earlier ones end. Borders
+and starts are subqueries of one lazy plan: building it runs nothing.
+
+Which keys become borders is decided by their hash, so borders do not depend on
+how often or in what order the plan is evaluated; a poor border costs time, never
+a position.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 100_000
-# Borders are part of the plan; a bucket of a very large table is larger.
-MAX_BUCKETS = 8_192
-# Keys sampled for each border.
+# Keys sampled for each border, and the range of hashes they are chosen by.
 SAMPLED = 20
+_HASHES = 1 << 30
 
 
-def with_ordinal(
-    table: DataFrame,
-    key: str,
-    name: str = "ordinal",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
+def with_ordinal(table: DataFrame, key: str, name: str = "ordinal", rows_per_bucket: int | None = None) -> DataFrame:
     """Add the 0-based position of each row in the order of the unique ``key``.
 
-    A NULL key comes first. Runs two small jobs while the plan is built: the
-    number of rows with a sample of keys (``SAMPLED`` per bucket), and one
-    count per bucket. Which keys are sampled changes sizes of buckets, never
-    a position.
+    A NULL key comes first. See ``with_position`` for ``rows_per_bucket``.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    total = table.count()
-    buckets = min(max(ceil(total / rows_per_bucket), cores), MAX_BUCKETS)
-    share = min(1.0, SAMPLED * buckets / max(total, 1))
-    keys = sorted(
-        r[0] for r in table.select(key).filter(F.col(key).isNotNull()).sample(share, 7).collect()
-    )
-    borders = sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)}) if keys else []
-    placed = table.withColumn("_bucket", _bucket_of(F.col(key), borders))
-    counts = dict(placed.groupBy("_bucket").count().collect())
-    sizes = [counts.get(b, 0) for b in range(-1, len(borders) + 1)]
-    starts = list(accumulate(sizes, initial=0))[:-1]
-    start = F.get(F.lit(starts), F.col("_bucket") + 1)
-    window = Window.partitionBy("_bucket").orderBy(key)
-    within = F.row_number().over(window).cast("bigint") - 1
-    return placed.withColumn(name, start + within).drop("_bucket")
-
-
-def _bucket_of(position: Column, borders: list) -> Column:
-    """Number of borders at or below ``position``; -1 for NULL."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(position < F.lit(borders[middle]), search(low, middle)).otherwise(
-            search(middle + 1, high)
-        )
-
-    # Long border lists are searched in two steps to keep the expression small.
-    if len(borders) <= 64:
-        found = search(0, len(borders))
+    return with_position(table, [], key, name, rows_per_bucket)
+
+
+def with_position(
+    table: DataFrame, by: list[str], key: str, name: str = "position", rows_per_bucket: int | None = None
+) -> DataFrame:
+    """Add the 0-based position of each row of a group ``by`` in the order of ``key``.
+
+    Keys are unique within a group. There are as many buckets as shuffle
+    partitions, cut across groups, so a group with most rows is spread over
+    most of them. With ``rows_per_bucket`` their number follows the rows
+    instead; one in ``rows_per_bucket / SAMPLED`` keys must then fit one value.
+    """
+    spark = table.sparkSession
+    place = F.struct(*by, key) if by else F.col(key)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows_per_bucket is None:
+        total = table.agg(F.count("*").alias("n")).scalar()
+        share = F.lit(float(SAMPLED * buckets)) / F.greatest(total, F.lit(1))
     else:
-        listed = F.array(*map(F.lit, borders))
-        step = ceil(len(borders) ** 0.5)
-        firsts = F.array(*map(F.lit, borders[step - 1 :: step]))
-        coarse = F.size(F.filter(firsts, lambda b: b <= position)) * step
-        found = coarse + F.size(F.filter(F.slice(listed, coarse + 1, step), lambda b: b <= position))
-    return F.when(position.isNull(), -1).otherwise(found)
+        share = F.lit(SAMPLED / rows_per_bucket)
+    step = ceil(buckets**0.5)
+    chosen = table.filter(place.isNotNull() & (F.pmod(F.xxhash64(place), F.lit(_HASHES)) < share * _HASHES))
+    keys = chosen.agg(F.sort_array(F.collect_list(place)).alias("keys"))
+    listed = keys.select(F.filter("keys", lambda k, i: i % SAMPLED == SAMPLED - 1).alias("borders"))
+    both = listed.select(F.struct("borders", F.filter("borders", lambda k, i: i % step == step - 1).alias("firsts")).alias("b"))
+    # A column of its own: lambdas may not hold a subquery.
+    bordered = table.withColumn("_b", both.scalar())
+    placed = bordered.withColumn("_bucket", _bucket_of(place, F.col("_b"), step)).drop("_b")
+
+    counts = placed.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        *[F.col(c).alias(f"_of_{i}") for i, c in enumerate(by)],
+        F.col("_bucket").alias("_at"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),
+    )
+    same = F.col("_bucket") == F.col("_at")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{i}"))
+    # One row a bucket: bounded by the number of buckets.
+    joined = placed.join(starts if by else F.broadcast(starts), same)
+    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(key)).cast("bigint") - 1
+    return joined.select(*table.columns, (F.col("_start") + within).alias(name))
+
+
+def _bucket_of(place: Column, borders: Column, step: int) -> Column:
+    """Number of borders at or below ``place``; -1 for NULL. Searched in two steps."""
+    coarse = F.size(F.filter(borders["firsts"], lambda b: b <= place)) * step
+    part = F.slice(borders["borders"], coarse + 1, step)
+    found = coarse + F.size(F.filter(part, lambda b: b <= place))
+    return F.when(place.isNull(), -1).otherwise(found)
 
 
 def numbered(table: DataFrame, key: str, n: int | None, name: str = "ordinal") -> DataFrame:
     """``table`` with positions by ``key``; its first ``n`` rows (None and 0: all)."""
-    rows = with_ordinal(table, key, name)
-    return rows.filter(F.col(name) < n) if n else rows
+    if not n:
+        return with_ordinal(table, key, name)
+    order = Window.partitionBy(F.lit(0)).orderBy(key)
+    rows = first_rows(table, key, n)
+    return rows.withColumn(name, F.row_number().over(order).cast("bigint") - 1)
 
 
 def first_rows(table: DataFrame, key: str, n: int | None) -> DataFrame:
-    """The first ``n`` rows by ``key``; None and 0 both mean all rows."""
-    return numbered(table, key, n, "_position").drop("_position") if n else table
+    """The first ``n`` rows by ``key``; None and 0 both mean all rows.
+
+    Every task keeps ``n`` rows at most; nothing is numbered or sorted whole.
+    """
+    return table.orderBy(key).limit(n) if n else table

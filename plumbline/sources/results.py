@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import jsontext
+from plumbline.operators.quality import interval_columns
 from plumbline.operators.rows import exploded
+from plumbline.sources import documents
 
 # Fields of an exported sample's metrics, layout of a document.
 METRIC_FIELDS = (
@@ -119,21 +121,6 @@ def write_results(results: DataFrame, path: str, *, format: str = "parquet") ->
     writer.option("partitionOverwriteMode", "dynamic").save(path)
 
 
-def documents_with_samples(summaries: DataFrame, exported: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One JSON text per run, its samples nested: what ``read_results`` reads.
-
-    ``summaries`` are ``run_documents`` with the columns ``keys``; ``exported``
-    has ``keys`` and the objects of ``export_sample``. A document is one value,
-    so it holds all samples of its run in one row; runs of any size are
-    written by ``write_results``.
-    """
-    nested = exported.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("exported")), ",").alias("_s"))
-    fields = [c for c in summaries.columns if c not in keys or c == "model"]
-    head = F.regexp_replace(F.to_json(F.struct(*fields)), r"\}\z", "")
-    tail = F.concat(F.lit(',"sample_results":['), F.coalesce("_s", F.lit("")), F.lit("]}"))
-    return summaries.join(nested, list(keys), "left").select(*keys, F.concat(head, tail).alias("document"))
-
-
 def run_documents(
     summaries: DataFrame, *, stamp: Column, config: dict[str, Column] | None = None
 ) -> DataFrame:
@@ -163,18 +150,19 @@ def write_run_documents(summaries: DataFrame, path: str) -> None:
 
 
 def read_results(
-    spark: SparkSession, paths: str | Sequence[str], *, multi_line: bool = True
+    spark: SparkSession, paths: str | Sequence[str], *, multi_line: bool = True, parts: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Result documents as (runs, sample results, unreadable files).
 
     A file that cannot be read is reported in the third table and does not
-    stop the others. ``multi_line`` reads one document per file; without it,
-    one document per line, which Spark can split.
+    stop the others. ``multi_line`` reads one document per file, in byte ranges,
+    however large; without it, one document per line. With ``parts`` a document
+    is a folder of ``write_documents``.
     """
-    texts = (
-        spark.read.text([paths] if isinstance(paths, str) else list(paths), wholetext=multi_line)
-        .withColumn("file", F.col("_metadata.file_path"))
-    )
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if multi_line or parts:
+        return _read_split(spark, paths, parts)
+    texts = spark.read.text(paths).withColumn("file", F.col("_metadata.file_path"))
     # Validity is judged on the whole text: a reader that is asked for some
     # columns only would not notice a fault elsewhere in the document.
     readable = jsontext.is_json(F.trim("value"))
@@ -194,9 +182,22 @@ def read_results(
     return runs, samples, bad
 
 
-def runs_from_documents(runs: DataFrame) -> DataFrame:
+def _read_split(spark: SparkSession, paths: list[str], parts: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``read_results`` of documents of any size; the content of a bad one is that without samples."""
+    found, items = documents.read_split(spark, paths, parts=parts)
+    found = found.withColumnRenamed("doc", "file")
+    read = found.filter("valid").select("file", F.from_json("text", DOCUMENT).alias("d")).select("file", "d.*")
+    runs = read.drop("sample_results")
+    named = runs.select("file", F.col("benchmark").alias("suite"), "model", "timestamp")
+    parsed = items.select(F.col("doc").alias("file"), F.from_json("text", f"struct<{SAMPLE}>").alias("s"))
+    samples = parsed.join(named, "file").select("suite", "model", "timestamp", "file", "s.*")
+    return runs, samples, found.filter(~F.col("valid")).select("file", F.col("text").alias("content"))
+
+
+def runs_from_documents(runs: DataFrame, *more: str) -> DataFrame:
     """Flat run summaries (suite, model, quality, aggregates) for comparison."""
     return runs.select(
+        *more,
         F.col("benchmark").alias("suite"),
         "model",
         "timestamp",
@@ -205,3 +206,14 @@ def runs_from_documents(runs: DataFrame) -> DataFrame:
         "score",
         "aggregated_metrics.*",
     )
+
+
+def summaries_from_documents(runs: DataFrame, samples: DataFrame) -> DataFrame:
+    """Run summaries with the interval of the stored samples; NULL for a run without samples.
+
+    One row per file, whatever files say of themselves.
+    """
+    judged = samples.select("file", F.coalesce("correct", F.lit(False)).alias("correct"))
+    intervals = judged.groupBy("file").agg(*interval_columns()).select("file", "ci_lo", "ci_hi")
+    flat = runs_from_documents(runs, "file")
+    return flat.join(intervals, "file", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import stats
 from plumbline.operators import percentiles, quality, requests
-from plumbline.operators.ordinals import first_rows, with_ordinal
+from plumbline.operators.ordinals import first_rows, numbered, with_ordinal, with_position
 
 
 @pytest.mark.parametrize("rows_per_bucket", [10_000, 100, 7, 3])
@@ -188,3 +188,31 @@ def test_ordinals_of_strings_with_null(spark, size):
     data = spark.createDataFrame([(k,) for k in keys], "k string")
     got = {r.k: r.ordinal for r in with_ordinal(data, "k", rows_per_bucket=50).collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys, key=lambda k: (k is not None, k or "")))}
+
+
+def test_ordinals_are_one_lazy_plan(spark):
+    """Nothing runs while the plan is built; first rows are taken, not numbered."""
+    data = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("k"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    rows = with_ordinal(data, "k")
+    some = numbered(data, "k", 5)
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("running", "running")
+    assert [(r.k, r.ordinal) for r in some.orderBy("ordinal").collect()] == [(k, k) for k in range(5)]
+    assert rows.filter(F.col("k") < F.col("ordinal")).count() == 0 and rows.agg(F.max("ordinal")).first()[0] == 999
+    assert "TakeOrderedAndProject" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positions_within_groups(spark):
+    """A group of most rows is spread over buckets; NULL is a group like any other."""
+    groups = ["big"] * 900 + ["a", None, None, "z"]
+    data = spark.createDataFrame([(g, i * 7919 % 1009, i) for i, g in enumerate(groups)], "g string, k bigint, kept int")
+    for rows_per_bucket in (None, 40):
+        got = with_position(data.repartition(5), ["g"], "k", rows_per_bucket=rows_per_bucket).collect()
+        keys = {}
+        for i, g in enumerate(groups):
+            keys.setdefault(g, []).append(i * 7919 % 1009)
+        want = {(g, k): n for g, ks in keys.items() for n, k in enumerate(sorted(ks))}
+        assert len(got) == len(groups) and {(r.g, r.k): r.position for r in got} == want
+        assert data.columns == got[0].__fields__[:3]

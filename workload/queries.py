@@ -33,7 +33,7 @@ from plumbline.plans import compare, logged
 from plumbline.plans.report import run_report
 from plumbline.plans.suites import Suite, get_suite, run_summary, score_suite
 from plumbline.session import shared_path
-from plumbline.sources import adapters, catalog, logs, results
+from plumbline.sources import adapters, catalog, documents, logs, results
 from plumbline.streaming import live
 from workload import duck
 from workload import fixtures as fx
@@ -1313,20 +1313,11 @@ def read_results(spark, sf_dir):
     sum(CASE WHEN error IS NULL THEN prompt_tokens END)::BIGINT AS prompt_tokens, 1::BIGINT AS num_bad FROM ({_RUN}) r GROUP BY r.suite""",
 )
 def read_documents(spark, sf_dir):
-    """Complete documents from two folders, read back with a broken file among them."""
-    first, second = shared_path(spark, "documents"), shared_path(spark, "documents")
-    rows = _run_results(spark, sf_dir)
-    exported = results.export_sample(
-        rows.withColumn("prompt_tokens", F.when(F.col("error").isNull(), F.col("prompt_tokens")))
-    )
-    stamp = results.run_stamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    summaries = results.run_documents(run_report(rows), stamp=stamp).withColumn("suite", F.col("benchmark"))
-    documents = results.documents_with_samples(summaries, exported, ["suite", "model"])
-    low = F.col("suite") < "m"
-    documents.filter(low).select("document").write.text(first)
-    documents.filter(~low).select("document").write.text(second)
-    spark.createDataFrame([('{"benchmark": "cut',)], "value string").write.mode("append").text(second)
-    _, samples, bad = results.read_results(spark, [first, second], multi_line=False)
+    """Complete documents of all runs, written in lines and read in byte ranges, a broken one among them."""
+    path = shared_path(spark, "documents")
+    _write_documents(spark, sf_dir, path)
+    spark.createDataFrame([('{"benchmark": "cut",',)], "value string").write.text(f"{path}/broken")
+    _, samples, bad = results.read_results(spark, path, parts=True)
     totals = samples.groupBy("suite").agg(
         F.count("*").alias("num_samples"),
         F.count_if("correct").alias("num_correct"),
@@ -1335,6 +1326,17 @@ def read_documents(spark, sf_dir):
     return totals.select("*", bad.agg(F.count("*")).scalar().alias("num_bad"))
 
 
+def _write_documents(spark, sf_dir, path):
+    rows = _run_results(spark, sf_dir)
+    exported = results.export_sample(
+        rows.withColumn("prompt_tokens", F.when(F.col("error").isNull(), F.col("prompt_tokens")))
+    )
+    stamp = results.run_stamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    summaries = results.run_documents(run_report(rows), stamp=stamp).withColumn("suite", F.col("benchmark"))
+    lines = documents.document_lines(summaries, exported, ["suite", "model"])
+    documents.write_documents(lines, path, ["suite", "model"])
+
+
 @query(
     "read_logs",
     f"""SELECT 'mmlu' AS suite, count(*) AS num_rows, count(*) FILTER (WHERE value > 100) AS num_failed FROM {CHOICES}""",
@@ -1385,6 +1387,18 @@ def compare_runs(spark, sf_dir):
     return compare.compare_runs(summaries, RUN_LABELS)
 
 
+@query("compare_files", _compare_sql())
+def compare_files(spark, sf_dir):
+    """The comparison from result files; intervals come from the samples they hold."""
+    path = shared_path(spark, "documents")
+    _write_documents(spark, sf_dir, path)
+    spark.createDataFrame([('{"benchmark": "cut",',)], "value string").write.text(f"{path}/broken")
+    runs, samples, _ = results.read_results(spark, path, parts=True)
+    summaries = results.summaries_from_documents(runs, samples)
+    label = compare.run_label(F.col("suite"), F.col("model"))
+    return compare.compare_runs(summaries.withColumn("label", label), RUN_LABELS)
+
+
 @query(
     "custom_suite",
     f"""SELECT 'arith_' || event_id AS sample_id, response = expected AS correct,
