@@ -13,6 +13,14 @@ from plumbline.session import shared_path
 DELAY = "10 minutes"
 UNNAMED_ERROR = "error"
 
+# Percentiles of a window, and how many ranks their sketch tells apart.
+PROGRESS_SHARES = (("latency_p50", 0.5), ("latency_p95", 0.95), ("latency_p99", 0.99))
+RANKS = 1_000
+
+# State of streams with timers is kept by this store.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def request_metrics(
     chunks: DataFrame, *, delay: str = DELAY, gap: str | None = None, with_text: bool = True
@@ -70,8 +78,16 @@ def request_metrics(
     )
 
 
-def progress(requests: DataFrame, *by: str, width: str = "1 hour", delay: str = DELAY) -> DataFrame:
-    """Finished and failed requests and mean latency per time window."""
+def progress(
+    requests: DataFrame, *by: str, width: str = "1 hour", delay: str = DELAY, accuracy: int = RANKS
+) -> DataFrame:
+    """Finished and failed requests, mean and percentiles of latency per time window.
+
+    Percentiles come from a mergeable sketch, the state of a window: each is a
+    latency of the window whose rank differs from the asked one by at most
+    n / ``accuracy``, so it is exact in windows of up to ``accuracy`` requests.
+    """
+    shares = [share for _, share in PROGRESS_SHARES]
     return (
         requests.withWatermark("ts", delay)
         .groupBy(F.window("ts", width), *by)
@@ -79,9 +95,15 @@ def progress(requests: DataFrame, *by: str, width: str = "1 hour", delay: str =
             F.count("*").alias("num_finished"),
             F.count_if(F.col("error").isNotNull()).alias("num_failed"),
             F.avg("total_latency_seconds").alias("latency_mean"),
+            F.percentile_approx("total_latency_seconds", shares, accuracy).alias("_shares"),
         )
         .select(
-            F.col("window.start").alias("window_start"), *by, "num_finished", "num_failed", "latency_mean"
+            F.col("window.start").alias("window_start"),
+            *by,
+            "num_finished",
+            "num_failed",
+            "latency_mean",
+            *[F.get("_shares", F.lit(i)).alias(name) for i, (name, _) in enumerate(PROGRESS_SHARES)],
         )
     )
 
@@ -102,6 +124,8 @@ def score_live(
 def drain(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     """Process what is available, into a table of the shared folder; read it back."""
     path = shared_path(spark, label)
+    store = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKSDB)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{path}/data")
@@ -110,6 +134,8 @@ def drain(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
+    # A running query keeps the settings it was started with.
+    spark.conf.set(_STORE, store)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 

@@ -35,6 +35,7 @@ from plumbline.plans.suites import Suite, get_suite, run_summary, score_suite
 from plumbline.session import shared_path
 from plumbline.sources import adapters, catalog, documents, logs, results
 from plumbline.streaming import live
+from plumbline.streaming import requests as live_requests
 from workload import duck
 from workload import fixtures as fx
 from workload.fixtures import duck as table
@@ -1873,9 +1874,8 @@ def _chunks(events: DataFrame) -> DataFrame:
     FROM events""",
 )
 def stream_ttft(spark, sf_dir):
-    metrics = live.request_metrics(_chunks(_event_stream(spark, sf_dir)))
-    done = live.drain_updates(metrics, spark, "ttft", ["request_id"])
-    return done.select(
+    ended = live_requests.ended_requests(_chunks(_event_stream(spark, sf_dir)))
+    return live.drain(ended, spark, "ttft").select(
         "request_id", "ttft_seconds", "total_latency_seconds", "prompt_tokens", "completion_tokens", "text"
     )
 
@@ -1883,7 +1883,9 @@ def stream_ttft(spark, sf_dir):
 @query(
     "stream_progress",
     f"""SELECT epoch_us(w)::BIGINT AS window_start_us, event_type, count(*) AS num_finished,
-    count(*) FILTER (WHERE value > 100) AS num_failed, round(avg(value / 1000.0), 12) AS latency_mean
+    count(*) FILTER (WHERE value > 100) AS num_failed, round(avg(value / 1000.0), 12) AS latency_mean,
+    quantile_disc(value / 1000.0, 0.5) AS latency_p50, quantile_disc(value / 1000.0, 0.95) AS latency_p95,
+    quantile_disc(value / 1000.0, 0.99) AS latency_p99
     FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events) GROUP BY w, event_type""",
 )
 def stream_progress(spark, sf_dir):
@@ -1903,6 +1905,8 @@ def stream_progress(spark, sf_dir):
         "num_failed",
         # Means of two to the n short decimals end exactly at up to eleven digits.
         F.round("latency_mean", 12).alias("latency_mean"),
+        # No window has more requests than ranks: the sketch is exact.
+        *[name for name, _ in live.PROGRESS_SHARES],
     )
 
 
@@ -1931,3 +1935,40 @@ def stream_score(spark, sf_dir):
     scored = live.score_live(responses, samples, scoring.score_choices, ("event_id",))
     done = live.drain(scored.select("event_id", "subject", "predicted", "correct"), spark, "scores")
     return done
+
+
+@query(
+    "stream_outcomes",
+    f"""SELECT event_id, subject, coalesce(CASE WHEN fails IS NULL THEN said END, '') AS predicted,
+    CASE WHEN fails = 'no response' THEN '' ELSE expected END AS expected,
+    fails IS NULL AND said IS NOT DISTINCT FROM expected AS correct,
+    (fails IS NULL AND said IS NOT DISTINCT FROM expected)::int::double AS score, fails AS error
+    FROM (SELECT *, {duck.letter('response')} AS said,
+      CASE WHEN event_id % 7 = 0 THEN 'no response' WHEN event_id % 11 = 0 THEN 'reset' END AS fails FROM {CHOICES})""",
+)
+def stream_outcomes(spark, sf_dir):
+    """Chunks of answered, failed and unanswered requests, scored when each ends; a clock row closes the log."""
+    raw, path = frame(spark, sf_dir, fx.choices), shared_path(spark, "chunk-log")
+    number = F.col("event_id")
+    silent, failed = number % 7 == 0, number % 11 == 0
+    part = lambda seq, kind, content, there: F.when(
+        there, F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), content.cast("string").alias("content"))
+    )
+    parts = F.array(
+        part(0, "dispatch", F.lit(None), F.lit(True)),
+        part(1, "chunk", F.col("response"), ~silent | (number % 2 == 0)),
+        part(2, "error", F.lit("reset"), ~silent & failed),
+        part(3, "usage", F.lit(None), ~silent & ~failed),
+    )
+    chunks = raw.select(number.alias("request_id"), "ts", F.explode(parts).alias("c")).filter("c IS NOT NULL")
+    chunks = chunks.select("request_id", (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("c.seq"))).alias("ts"), "c.*")
+    clock = chunks.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts"))
+    log = chunks.unionByName(clock, allowMissingColumns=True)
+    log = log.withColumns({c: F.when(F.col("kind") == "usage", F.lit(1)).cast("bigint") for c in ("prompt_tokens", "completion_tokens")})
+    log.write.parquet(path)
+    stream = spark.readStream.schema(log.schema).parquet(path)
+    ended = live_requests.ended_requests(stream).withColumnRenamed("request_id", "event_id")
+    samples = raw.select("event_id", "subject", "expected")
+    scored = live_requests.score_requests(ended, samples, scoring.score_choices, ("event_id",))
+    done = live.drain(scored.select("event_id", "subject", "predicted", "expected", "correct", "score", "error"), spark, "outcomes")
+    return done
