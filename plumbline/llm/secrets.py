@@ -8,10 +8,14 @@ the candidate's character class are reported, unless the candidate is on the
 allow list or overlaps a base span.
 
 Places come from the parts between matches and the matches themselves: their
-lengths in code points add up to offsets.
-
-Defined results: NULL and empty text have no spans. Repeated rows are scanned
-alike. Only the named columns are read.
+lengths in code points add up to offsets. Sums over arrays, and windows over long
+candidates, go in blocks, so that time grows with the length of a text and the
+number of its matches, however long and however many.
+
+Defined results: NULL and empty text have no spans. A candidate of any length is
+one candidate. Spans of equal start are ordered by kind, then end. Repeated rows
+are scanned alike; an empty table gives an empty result. Only the named columns
+are read.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-# A candidate is a whole run of these characters, as long as a window at least.
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{WINDOW},}}"
+
+# Items of an array that are summed up, or windows that are slid over, at once.
+BLOCK = 256
 
 # Character classes, first match counts, and the bits per character above
 # which a window of 20 looks random. A random window has about 3.4 bits over
@@ -65,37 +70,63 @@ def _none() -> Column:
     return F.expr(f"CAST(array() AS {_SPAN})")
 
 
-def _spans(text: Column, pattern: str, rank: int, valid: Column | None = None) -> Column:
-    """All matches of ``pattern`` with their places; ``valid`` flags them one by one."""
+def _scan(items: Column, start: Column, merge) -> Column:
+    """For each item ``merge`` over all items before it, beginning with ``start``."""
+
+    def plain(values: Column, first: Column) -> Column:
+        empty = F.slice(values, 1, 0)
+        step = lambda acc, x: F.struct(
+            merge(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")
+        )
+        return F.aggregate(values, F.struct(first.alias("now"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def in_blocks(values: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.size(values) - 1, F.lit(BLOCK))
+        return _bound(
+            F.transform(cuts, lambda cut: F.slice(values, cut + 1, BLOCK)),
+            lambda blocks: F.flatten(
+                F.zip_with(
+                    blocks, plain(F.transform(blocks, lambda b: F.aggregate(b, start, merge)), start), plain
+                )
+            ),
+        )
+
+    return _bound(items, lambda values: F.when(F.size(values) > 0, in_blocks(values)).otherwise(values))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """All matches of ``pattern``: (start, end, value), ends exclusive, in code points."""
     found = F.struct(
-        F.split(text, pattern, -1).alias("between"),
+        F.transform(F.split(text, pattern, -1), F.char_length).alias("between"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
-        (F.array().cast("array<boolean>") if valid is None else valid).alias("valid"),
     )
 
     def places(x: Column) -> Column:
-        def add(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.char_length(F.get(x["between"], i))
-            end = start + F.char_length(F.get(x["match"], i))
-            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-            keep = F.coalesce(F.get(x["valid"], i), F.lit(True))
-            return F.struct(
-                end.alias("at"),
-                F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-            )
-
-        count = F.size(x["match"])
-        return F.when(
-            count > 0,
-            F.aggregate(
-                F.sequence(F.lit(0), count - 1),
-                F.struct(F.lit(0).alias("at"), _none().alias("out")),
-                add,
-                lambda acc: acc["out"],
+        steps = F.transform(x["match"], lambda m, i: F.get(x["between"], i) + F.char_length(m))
+        return _bound(
+            _scan(steps, F.lit(0), lambda a, b: a + b),
+            lambda at: F.transform(
+                x["match"],
+                lambda m, i: F.struct(
+                    (F.get(at, i) + F.get(x["between"], i)).alias("start"),
+                    (F.get(at, i) + F.get(x["between"], i) + F.char_length(m)).alias("end"),
+                    m.alias("value"),
+                ),
             ),
-        ).otherwise(_none())
+        )
 
-    return F.when(F.rlike(text, F.lit(pattern)), _bound(found, places)).otherwise(_none())
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)")
+    return F.when(F.rlike(text, F.lit(pattern)), _bound(found, places)).otherwise(none)
+
+
+def _spans(text: Column, pattern: str, rank: int, valid: Column | None = None) -> Column:
+    """Places of all matches of ``pattern``; ``valid`` flags them one by one."""
+    span = lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"))
+    matches = _matches(text, pattern)
+    if valid is None:
+        return F.transform(matches, span)
+    both = F.struct(matches.alias("m"), valid.alias("valid"))
+    return _bound(both, lambda x: F.transform(F.filter(x["m"], lambda m, i: F.get(x["valid"], i)), span))
 
 
 def base_spans(text: Column) -> Column:
@@ -116,38 +147,61 @@ def windows(codes: Column, size: int = WINDOW) -> Column:
     """Entropy in bits of every window over an array of character codes below 128.
 
     One step per character: what enters and what leaves changes two counts and
-    two terms of the sum.
+    two terms of the sum. Counts are packed, several to a number.
     """
-
-    def slide(acc: Column, i: Column) -> Column:
-        enters = F.get(codes, i)
-        leaves = F.coalesce(F.get(codes, F.when(i >= size, i - size)), F.lit(-1))
-        many = F.get(acc["counts"], enters)
-        fewer = F.coalesce(F.get(acc["counts"], F.when(leaves >= 0, leaves)), F.lit(0))
-        changed = (
-            _weight(many + 1) - _weight(many) + F.when(leaves >= 0, _weight(fewer - 1) - _weight(fewer)).otherwise(0.0)
+    width = size.bit_length()
+    packed = 63 // width
+    word = lambda code: F.floor(code / packed)
+    shift = lambda code: (code % packed * width).cast("int")
+
+    def count(counts: Column, code: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, word(code).cast("int")), shift(code)).bitwiseAND(
+            F.lit((1 << width) - 1)
         )
-        total = acc["sum"] + F.when(enters == leaves, 0.0).otherwise(changed)
-        counts = F.when(enters == leaves, acc["counts"]).otherwise(
-            F.transform(
-                acc["counts"], lambda c, j: c + F.when(j == enters, 1).when(j == leaves, -1).otherwise(0)
+
+    def one(code: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), shift(code))
+
+    def slide(values: Column):
+        def step(acc: Column, i: Column) -> Column:
+            enters = F.get(values, i)
+            leaves = F.when(i >= size, F.get(values, F.greatest(i - size, F.lit(0))))
+            many, fewer = count(acc["counts"], enters), count(acc["counts"], leaves)
+            gone = F.when(leaves.isNotNull(), _weight(fewer - 1) - _weight(fewer)).otherwise(0.0)
+            same = F.coalesce(enters == leaves, F.lit(False))
+            total = acc["sum"] + F.when(same, 0.0).otherwise(_weight(many + 1) - _weight(many) + gone)
+            counts = F.when(same, acc["counts"]).otherwise(
+                F.transform(
+                    acc["counts"],
+                    lambda c, j: c
+                    + F.when(j == word(enters), one(enters)).otherwise(0)
+                    - F.when(j == word(leaves), one(leaves)).otherwise(0),
+                )
+            )
+            bits = F.lit(math.log2(size)) - total / size
+            return F.struct(
+                counts.alias("counts"),
+                total.alias("sum"),
+                F.when(i >= size - 1, F.concat(acc["bits"], F.array(bits))).otherwise(acc["bits"]).alias("bits"),
             )
-        )
-        bits = F.lit(math.log2(size)) - total / size
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("sum"),
-            F.when(i >= size - 1, F.concat(acc["bits"], F.array(bits))).otherwise(acc["bits"]).alias("bits"),
-        )
+
+        return step
 
     start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"),
+        F.array_repeat(F.lit(0).cast("bigint"), -(-128 // packed)).alias("counts"),
         F.lit(0.0).alias("sum"),
         F.expr("CAST(array() AS array<double>)").alias("bits"),
     )
-    return F.aggregate(
-        F.sequence(F.lit(0), F.size(codes) - 1), start, slide, lambda acc: acc["bits"]
-    )
+
+    def block(values: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(values) - 1)
+        return F.aggregate(places, start, slide(values), lambda acc: acc["bits"])
+
+    def whole(values: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.greatest(F.size(values) - size, F.lit(0)), F.lit(BLOCK))
+        return F.flatten(F.transform(cuts, lambda cut: _bound(F.slice(values, cut + 1, BLOCK + size - 1), block)))
+
+    return _bound(codes, whole)
 
 
 def entropy_spans(
@@ -157,35 +211,32 @@ def entropy_spans(
     classes: tuple[tuple[str, float], ...] = CLASSES,
     allow: tuple[str, ...] = ALLOW,
 ) -> Column:
-    """Per candidate, from the first to the last window above its class's threshold."""
-    pattern = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{window},}}"
-    candidates = _spans(text, pattern, 3)
+    """Per candidate, from the first to the last window above its class's threshold.
 
-    def judge(span: Column) -> Column:
-        value = F.substring(text, span["start"] + 1, span["end"] - span["start"])
-
-        def of(v: Column) -> Column:
-            limit = None
-            for rule, bits in classes:
-                test = F.rlike(v, F.lit(rule))
-                limit = F.when(test, bits) if limit is None else limit.when(test, bits)
-            allowed = F.lit(False)
-            for rule in allow:
-                allowed = allowed | F.rlike(v, F.lit(rule))
-            high = F.transform(
-                windows(F.transform(F.split(v, ""), lambda c: F.ascii(c)), window), lambda b: b >= limit
-            )
-            whole = _bound(
-                high,
-                lambda h: F.struct(
-                    F.array_position(h, True).cast("int").alias("first"),
-                    (F.size(h) - F.array_position(F.reverse(h), True) + 1).cast("int").alias("last"),
-                ),
-            )
-            return F.when(allowed, F.lit(None)).otherwise(whole)
+    A candidate is a whole run of its characters, as long as a window at least.
+    """
+    candidates = _matches(text, rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{window},}}")
 
+    def judge(span: Column) -> Column:
+        v = span["value"]
+        limit = None
+        for rule, bits in classes:
+            test = F.rlike(v, F.lit(rule))
+            limit = F.when(test, bits) if limit is None else limit.when(test, bits)
+        allowed = F.lit(False)
+        for rule in allow:
+            allowed = allowed | F.rlike(v, F.lit(rule))
+        codes = F.transform(F.split(v, ""), F.ascii)
+        high = _bound(limit, lambda least: F.transform(windows(codes, window), lambda b: b >= least))
+        found = _bound(
+            high,
+            lambda h: F.struct(
+                F.array_position(h, True).cast("int").alias("first"),
+                (F.size(h) - F.array_position(F.reverse(h), True) + 1).cast("int").alias("last"),
+            ),
+        )
         return _bound(
-            _bound(value, of),
+            F.when(~allowed, found),
             lambda w: F.when(
                 w["first"] > 0,
                 F.struct(
@@ -199,6 +250,27 @@ def entropy_spans(
     return F.filter(F.transform(candidates, judge), lambda s: s.isNotNull())
 
 
+def _without_overlaps(base: Column, extra: Column) -> Column:
+    """Base spans and those of ``extra`` that touch none, in order.
+
+    In the order of starts, a span touches a base span before it if one of
+    those ends later than it starts, and one after it if the next begins before it ends.
+    """
+    far = F.lit((1 << 31) - 1)
+
+    def kept(x: Column) -> Column:
+        is_base = lambda s: s["rank"] < 3
+        ends = F.transform(x, lambda s: F.when(is_base(s), s["end"]).otherwise(-1))
+        starts = F.transform(F.reverse(x), lambda s: F.when(is_base(s), s["start"]).otherwise(far))
+        around = F.struct(
+            _scan(ends, F.lit(-1), lambda a, b: F.greatest(a, b)).alias("before"), F.reverse(_scan(starts, far, lambda a, b: F.least(a, b))).alias("after")
+        )
+        free = lambda a, s, i: (F.get(a["before"], i) <= s["start"]) & (F.get(a["after"], i) >= s["end"])
+        return _bound(around, lambda a: F.filter(x, lambda s, i: is_base(s) | free(a, s, i)))
+
+    return _bound(F.array_sort(F.concat(base, extra)), lambda x: F.when(F.size(extra) > 0, kept(x)).otherwise(x))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     one = lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))
@@ -215,11 +287,7 @@ def find_secrets(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     text = F.coalesce(F.col(text_column), F.lit(""))
 
     def both(x: Column) -> Column:
-        extra = F.filter(
-            x["extra"],
-            lambda e: ~F.exists(x["base"], lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])),
-        )
-        return F.struct(x["base"].alias("base"), F.array_sort(F.concat(x["base"], extra)).alias("spans"))
+        return F.struct(x["base"].alias("base"), _without_overlaps(x["base"], x["extra"]).alias("spans"))
 
     found = F.struct(base_spans(text).alias("base"), entropy_spans(text).alias("extra"))
     return docs.select(F.col(id_column), F.transform(F.array(found), both).alias("_found")).select(

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -190,6 +192,51 @@ def test_window_entropy_is_that_of_each_window(docs, spark):
         assert row.bits == pytest.approx(want)
 
 
+def plain_spans(text):
+    """All spans: base ones, and candidates with a window above the limit that touch none."""
+    text = text or ""
+    base = brute.base_spans(text)
+    out = list(base)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text):
+        value = m.group()
+        if any(re.search(rule, value) for rule in secrets.ALLOW):
+            continue
+        limit = next(bits for rule, bits in secrets.CLASSES if re.search(rule, value))
+        high = [i for i in range(len(value) - 19) if brute.entropy(value[i : i + 20]) >= limit]
+        if high:
+            start, end = m.start() + high[0], m.start() + high[-1] + 20
+            if not any(s < end and start < e for s, _, e in base):
+                out.append((start, 3, end))
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
+
+
+def test_spans_against_brute_force(docs):
+    r = random.Random(8)
+    parts = ["token=", "secret: '", "AKIA", "é", "😀", " ", "\n", "0123456789", "abcdef", "deadbeef", "Zq7", "_-/+", "password", "x" * 9]
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    word = lambda: r.choice([r.choice(parts), "".join(r.choices(alphabet, k=r.randrange(1, 60))), "".join(r.choices("0123456789abcdef", k=r.randrange(60)))])
+    rows = [(i, "".join(word() + r.choice(["", "", " "]) for _ in range(r.randrange(40)))) for i in range(250)]
+    rows += [(500 + i, "".join(r.choices(alphabet, k=n))) for i, n in enumerate([255, 256, 275, 276, 531, 1500])]
+    rows += [(600, " ".join("".join(r.choices(alphabet, k=25)) for _ in range(700)))]
+    found = {x.doc_id: x.spans for x in secrets.secret_report(docs(rows + SECRETS)).collect()}
+    assert found == {i: plain_spans(t) for i, t in rows + SECRETS}
+    assert sum("entropy" in x for x in found.values()) > 100
+
+
+def test_long_candidates_and_many_matches(docs):
+    """Time grows with the length: a run of 200,000 characters, 100,000 matches."""
+    r = random.Random(9)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    run = "".join(r.choices(alphabet, k=200_000))
+    rows = [(1, run), (2, "token=abcdef " * 100_000), (3, f"{'w ' * 50_000}{run[:20_000]} secret=abcdefgh")]
+    start = time.time()
+    found = {x.doc_id: x for x in secrets.secret_report(docs(rows)).collect()}
+    assert time.time() - start < 120
+    assert found[1].spans == "entropy:0:200000"
+    assert found[2].n_assign == 100_000 and found[2].spans.endswith(f"assign:{13 * 99_999}:{13 * 99_999 + 12}")
+    assert found[3].n_assign == 1 and found[3].spans.startswith("entropy:100000:")
+
+
 def test_secrets_run_no_python(docs):
     plan = secrets.secret_report(docs(SECRETS))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
