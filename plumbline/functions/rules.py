@@ -30,6 +30,16 @@ Rule = Callable[[Column, "Args"], Column]
 
 RULES: dict[str, Rule] = {}
 
+# What several rules read of a text, and the rules that read it. Computed once a
+# text, and only where one of its rules asks for it.
+FEATURES: dict[str, Callable[[Column], Column]] = {
+    "lower": F.lower,
+    "stripped": strip,
+    "num_words": word_count,
+    "paragraphs": lambda text: nonblank_parts(text, "\n\n"),
+}
+READERS: dict[str, list[str]] = {name: [] for name in FEATURES}
+
 # The comparison words of the counting rules.
 AT_LEAST, AT_MOST, EXACTLY = "at least", "at most", "exactly"
 
@@ -37,8 +47,13 @@ AT_LEAST, AT_MOST, EXACTLY = "at least", "at most", "exactly"
 class Args:
     """Typed access to a MAP<STRING, VARIANT> of rule arguments."""
 
-    def __init__(self, members: Column):
+    def __init__(self, members: Column, features: Column | None = None):
         self.members = members
+        self.features = features
+
+    def feature(self, name: str, text: Column) -> Column:
+        """A feature of the text: the one computed for all its rules, or a new one."""
+        return FEATURES[name](text) if self.features is None else self.features.getField(name)
 
     def _typed(self, key: str, default: Column, accept: str, target: str) -> Column:
         value = F.try_element_at(self.members, F.lit(key))
@@ -91,23 +106,42 @@ class Args:
         )
 
 
-def register_rule(rule_id: str) -> Callable[[Rule], Rule]:
-    """Add a rule under ``rule_id``; later registrations replace earlier ones."""
+def register_rule(rule_id: str, reads: str | None = None) -> Callable[[Rule], Rule]:
+    """Add a rule under ``rule_id``; later registrations replace earlier ones.
+
+    ``reads`` names the shared feature that the rule asks its ``Args`` for.
+    """
 
     def add(rule: Rule) -> Rule:
         RULES[rule_id] = rule
+        for name, readers in READERS.items():
+            if rule_id in readers:
+                readers.remove(rule_id)
+            if name == reads:
+                readers.append(rule_id)
         return rule
 
     return add
 
 
-def check(text: Column, rule_id: Column, members: Column, only: list[str] | None = None) -> Column:
+def features(text: Column, rule_ids: Column) -> Column:
+    """One struct of all features of ``text``, NULL where no rule of the list reads them."""
+    fields = []
+    for name, make in FEATURES.items():
+        asked = F.arrays_overlap(rule_ids, F.array(*map(F.lit, READERS[name]))) if READERS[name] else F.lit(False)
+        fields.append(F.when(asked, make(text)).alias(name))
+    return F.struct(*fields)
+
+
+def check(
+    text: Column, rule_id: Column, members: Column, only: list[str] | None = None, shared: Column | None = None
+) -> Column:
     """Outcome of the rule named by ``rule_id``; unknown rules fail.
 
     ``only`` restricts the branches to the listed rules, for jobs that know
-    which rules their data uses.
+    which rules their data uses. ``shared`` is the text's ``features``.
     """
-    args = Args(members)
+    args = Args(members, shared)
     outcome = None
     for known in only if only is not None else RULES:
         branch = RULES[known](text, args)
@@ -144,29 +178,29 @@ def pattern_count(text: Column, pattern: str) -> Column:
 # --- keywords ---------------------------------------------------------------
 
 
-@register_rule("keywords:existence")
+@register_rule("keywords:existence", reads="lower")
 def _all_present(text: Column, args: Args) -> Column:
-    lowered = F.lower(text)
+    lowered = args.feature("lower", text)
     return F.forall(args.words("keywords"), lambda w: F.contains(lowered, F.lower(w)))
 
 
-@register_rule("keywords:frequency")
+@register_rule("keywords:frequency", reads="lower")
 def _keyword_count(text: Column, args: Args) -> Column:
-    count = occurrences(F.lower(text), F.lower(args.text("keyword", "")))
+    count = occurrences(args.feature("lower", text), F.lower(args.text("keyword", "")))
     return compare(
         count, args.text("relation", AT_LEAST), args.number("frequency", 0), exactly=True
     )
 
 
-@register_rule("keywords:forbidden_words")
+@register_rule("keywords:forbidden_words", reads="lower")
 def _none_present(text: Column, args: Args) -> Column:
-    lowered = F.lower(text)
+    lowered = args.feature("lower", text)
     return ~F.exists(args.words("forbidden_words"), lambda w: F.contains(lowered, F.lower(w)))
 
 
-@register_rule("keywords:letter_frequency")
+@register_rule("keywords:letter_frequency", reads="lower")
 def _letter_count(text: Column, args: Args) -> Column:
-    count = occurrences(F.lower(text), F.lower(args.text("letter", "")))
+    count = occurrences(args.feature("lower", text), F.lower(args.text("letter", "")))
     return compare(
         count, args.text("let_relation", AT_LEAST), args.number("let_frequency", 0), exactly=False
     )
@@ -192,10 +226,10 @@ def _language(text: Column, args: Args) -> Column:
 # --- length -----------------------------------------------------------------
 
 
-@register_rule("length_constraints:number_words")
+@register_rule("length_constraints:number_words", reads="num_words")
 def _words(text: Column, args: Args) -> Column:
     return compare(
-        word_count(text),
+        args.feature("num_words", text),
         args.text("relation", AT_LEAST),
         args.number("num_words", 0),
         exactly=True,
@@ -212,22 +246,22 @@ def _sentences(text: Column, args: Args) -> Column:
     )
 
 
-@register_rule("length_constraints:number_paragraphs")
+@register_rule("length_constraints:number_paragraphs", reads="paragraphs")
 def _paragraphs(text: Column, args: Args) -> Column:
     return compare(
-        F.size(nonblank_parts(text, "\n\n")),
+        F.size(args.feature("paragraphs", text)),
         args.text("relation", AT_LEAST),
         args.number("num_paragraphs", 0),
         exactly=False,
     )
 
 
-@register_rule("length_constraints:nth_paragraph_first_word")
+@register_rule("length_constraints:nth_paragraph_first_word", reads="paragraphs")
 def _paragraph_start(text: Column, args: Args) -> Column:
     nth = args.integer("nth_paragraph", 1)
     fewest = args.number("num_paragraphs", 1)
     paragraph = bound_to(
-        nonblank_parts(text, "\n\n"),
+        args.feature("paragraphs", text),
         lambda parts: F.when(
             (F.size(parts) >= fewest) & (nth >= 1), F.get(parts, (nth - 1).cast("int"))
         ),
@@ -260,9 +294,9 @@ def _bullets(text: Column, args: Args) -> Column:
     return pattern_count(text, f"(?md)^{WS}*[-*•]{WS}") >= args.number("num_bullets", 0)
 
 
-@register_rule("detectable_format:constrained_response")
+@register_rule("detectable_format:constrained_response", reads="stripped")
 def _not_blank(text: Column, args: Args) -> Column:
-    return strip(text) != ""
+    return args.feature("stripped", text) != ""
 
 
 @register_rule("detectable_format:number_highlighted_sections")
@@ -297,10 +331,10 @@ def _title(text: Column, args: Args) -> Column:
     return F.rlike(text, F.lit("<<[^>]+>>"))
 
 
-@register_rule("detectable_format:number_words_in_section")
+@register_rule("detectable_format:number_words_in_section", reads="num_words")
 def _words_overall(text: Column, args: Args) -> Column:
     return compare(
-        word_count(text),
+        args.feature("num_words", text),
         args.text("relation", AT_LEAST),
         args.number("num_words", 0),
         exactly=False,
@@ -315,23 +349,23 @@ def _two_responses(text: Column, args: Args) -> Column:
     return F.contains(text, F.lit("*" * 6))
 
 
-@register_rule("combination:repeat_prompt")
+@register_rule("combination:repeat_prompt", reads="stripped")
 def _repeats_prompt(text: Column, args: Args) -> Column:
     prompt = strip(args.text("prompt_to_repeat", ""))
-    return args.is_falsy("prompt_to_repeat") | F.startswith(strip(text), prompt)
+    return args.is_falsy("prompt_to_repeat") | F.startswith(args.feature("stripped", text), prompt)
 
 
 # --- start and end ----------------------------------------------------------
 
 
-@register_rule("startend:end_checker")
+@register_rule("startend:end_checker", reads="stripped")
 def _ends_with(text: Column, args: Args) -> Column:
-    return F.endswith(strip(text), strip(args.text("end_phrase", "")))
+    return F.endswith(args.feature("stripped", text), strip(args.text("end_phrase", "")))
 
 
-@register_rule("startend:quotation")
+@register_rule("startend:quotation", reads="stripped")
 def _quoted(text: Column, args: Args) -> Column:
-    body = strip(text)
+    body = args.feature("stripped", text)
     return F.startswith(body, F.lit('"')) & F.endswith(body, F.lit('"'))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import jsontext, rules
+from plumbline.functions.text import bound_to
 from plumbline.operators.rows import exploded
 
 NO_IDS = "array<string>"
@@ -110,13 +111,17 @@ def check_listed(
     responses: DataFrame, listed: Column, *, text: str = "response", only: list[str] | None = None
 ) -> DataFrame:
     """``check_rules`` for a ready list of (rule_id, args)."""
-    outcome = F.transform(
-        "_rules",
-        lambda r: F.struct(
-            r.rule_id.alias("instruction_id"),
-            rules.check(F.col(text), r.rule_id, r.args, only).alias("pass"),
-        ),
-    )
+    def outcomes(shared: Column) -> Column:
+        return F.transform(
+            "_rules",
+            lambda r: F.struct(
+                r.rule_id.alias("instruction_id"),
+                rules.check(F.col(text), r.rule_id, r.args, only, shared).alias("pass"),
+            ),
+        )
+
+    # Bound outside the lambda over the rules: once a response, not once a rule.
+    outcome = bound_to(rules.features(F.col(text), F.transform("_rules", lambda r: r.rule_id)), outcomes)
     prepared = responses.withColumn("_rules", listed)
     return prepared.withColumn("per_instruction", outcome).drop("_rules")
 

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +174,17 @@ def test_turns(spark):
 )
 def test_argument_list(evaluate, text, expected):
     assert evaluate(instructions.argument_list(F.col("a")), [text]) == [expected]
+
+
+def test_features_of_a_response_are_computed_once(spark):
+    """However many rules read them, and only where one does."""
+    ids = [*rules.READERS["lower"], *rules.READERS["stripped"], *rules.READERS["num_words"], *rules.READERS["paragraphs"]]
+    data = spark.createDataFrame([(" Some WORDS here. ", ids, ["{}"] * len(ids))], "response string, instruction_id_list array<string>, kwargs array<string>")
+    checked = instructions.check_rules(data)
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(response") == 1 and len(re.findall(r"split\(response#\d+, \n\n", plan)) == 1
+    assert plan.count("btrim(response") + plan.count("trim(response") <= 2  # and the JSON rule
+    alone = [instructions.check_rules(data.withColumns({"instruction_id_list": F.array(F.lit(i)), "kwargs": F.array(F.lit("{}"))})).first().per_instruction[0][1] for i in ids[:3]]
+    assert [o[1] for o in checked.first().per_instruction][:3] == alone
+    nothing = data.select(rules.features(F.col("response"), F.array(F.lit("punctuation:no_comma"))).alias("f")).first().f
+    assert all(v is None for v in nothing)
