@@ -6,9 +6,13 @@ are equal), ``f`` other number, ``s`` text, ``z`` null, ``l`` list,
 ``d`` object, ``o`` anything else. String values that hold JSON count as the value
 they hold.
 
-JSON calls with scalar arguments are read by built-in functions. Nested
-arguments, fractions and Python call syntax go through one Arrow function;
-it sees NULL for every other row.
+Both notations are read by built-in functions. Python call syntax is cut into
+tokens; each token becomes its JSON form by what stands next to it, and the JSON
+reader judges how they nest. Names of calls and of keywords carry a mark, so that
+counting them tells whether every call is an item and every argument a keyword.
+What is left to one Arrow function are nested arguments and what the tokens
+cannot say (escapes, tuples, positional arguments, operators, prefixes); it sees
+NULL for every other row.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import jsontext
-from plumbline.functions.text import FENCE, WS, first_group, strip
+from plumbline.functions.text import FENCE, WS, bound_to, first_group, strip
 
 _ENTRY = T.StructType([T.StructField(n, T.StringType()) for n in ("k", "t", "v")])
 _CALL = T.StructType(
@@ -42,6 +46,31 @@ _ARROW_CALLS = pa.struct([("failed", pa.bool_()), ("calls", pa.list_(_ARROW_CALL
 # Marks arguments that are no object: the key of their single entry.
 WHOLE = "\x00"
 
+# Tokens of calls with literal arguments. Strings without escapes, numbers as JSON
+# writes them, dotted names, single signs.
+_BLANK = r" \t\f\n\r"
+_NAME = r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*"
+_TOKEN = "|".join(
+    (
+        r"'[^'\\\x00-\x1f]*'|\"[^\"\\\x00-\x1f]*\"",
+        r"(?<![\w.)\]}'\"])-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![\w.])",
+        _NAME,
+        r"[()\[\]{},:]|(?<!=)=(?!=)",
+    )
+)
+# The literals of Python by their JSON form, and its keywords.
+_LITERALS = {"True": "true", "False": "false", "None": "null"}
+_KEYWORDS = (
+    "and as assert async await break class continue def del elif else except finally for from global if import in is "
+    "lambda nonlocal not or pass raise return try while with yield True False None"
+).split()
+_WORD = rf"(?!(?:{'|'.join(_KEYWORDS)})\b)[A-Za-z_]\w*"
+# A line end outside of brackets, where a bracket closes only a call.
+_TOP_LINE_END = r"\A[^(]*[\n\r]|\)[^('\"]*[\n\r]"
+# Marks of a call and of a keyword; no text of theirs can hold them.
+_MARK = "\x01"
+_MARKED = "\\u0001"
+
 
 def _canonical(value: Any) -> list:
     if isinstance(value, str):
@@ -145,6 +174,22 @@ def _text_of(value: Column) -> Column:
     return F.when(jsontext.kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
+def _fraction(number: Column) -> Column:
+    """One form of a fraction, whoever read it."""
+    return number.cast("string")
+
+
+def _same_fractions(calls: Column) -> Column:
+    """Calls that Python read, with fractions in the form of the others."""
+    entry = lambda e: F.struct(
+        e["k"].alias("k"),
+        e["t"].alias("t"),
+        F.when((e["t"] == "f") & ~F.startswith(e["v"], F.lit("nan")), _fraction(e["v"].cast("double"))).otherwise(e["v"]).alias("v"),
+    )
+    one = lambda c: F.struct(c["name"].alias("name"), F.array_sort(F.transform(c["args"], entry)).alias("args"))
+    return F.transform(calls, one)
+
+
 def _native_entries(entries: Column) -> Column:
     """Entries of scalar members; the kind is NULL where Python has to look.
 
@@ -170,11 +215,17 @@ def _native_entries(entries: Column) -> Column:
     )
 
     def finish(e: Column) -> Column:
-        whole = e.kind.isin("BIGINT", "BOOLEAN")
+        number = F.try_variant_get(e.value, "$", "double")
+        # Larger ones are whole numbers of many digits, or no longer exact.
+        fraction = F.rlike(e.kind, F.lit("^(DECIMAL|DOUBLE|FLOAT)")) & (F.abs(number) < 1e15)
+        whole = e.kind.isin("BIGINT", "BOOLEAN") | (fraction & (number == F.floor(number)))
         plain_text = e.kind.isNull() & ~F.rlike(e.text, F.lit("NaN|Infinity"))
-        tag = F.when(whole, "n").when(e.kind == "VOID", "z").when(plain_text, "s")
-        shown = F.when(whole, F.try_variant_get(e.value, "$", "bigint").cast("string")).when(
-            e.kind == "VOID", ""
+        tag = F.when(whole, "n").when(fraction, "f").when(e.kind == "VOID", "z").when(plain_text, "s")
+        shown = (
+            F.when(e.kind.isin("BIGINT", "BOOLEAN"), F.try_variant_get(e.value, "$", "bigint").cast("string"))
+            .when(whole, number.cast("bigint").cast("string"))
+            .when(fraction, _fraction(number))
+            .when(e.kind == "VOID", "")
         )
         return F.struct(
             e.k.alias("k"), tag.alias("t"), shown.otherwise(strip(e.text)).alias("v")
@@ -232,6 +283,99 @@ def _native_calls(items: Column) -> Column:
     )
 
 
+def _json_of_syntax(text: Column) -> Column:
+    """(json, calls, keywords): call syntax as a JSON list; NULL where a token has no JSON form."""
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    begins = F.rlike(text, F.lit(rf"\A{_NAME}[{_BLANK}]*\("))
+    # Nothing but blanks stands between the tokens.
+    covered = ~F.rlike(F.regexp_replace(text, _TOKEN, ""), F.lit(f"[^{_BLANK}]"))
+
+    def forms(all_: Column) -> Column:
+        def form(token: Column, i: Column) -> Column:
+            first, after = F.substring(token, 1, 1), F.get(all_, i + 1)
+            named_before = F.rlike(F.when(i > 0, F.get(all_, i - 1)), F.lit("^[A-Za-z_]"))
+            name = F.rlike(token, F.lit("^[A-Za-z_]"))
+            plain = F.rlike(token, F.lit(rf"^{_WORD}(?:\.{_WORD})*$"))
+            inner = F.replace(F.substring(token, F.lit(2), F.char_length(token) - 2), F.lit('"'), F.lit('\\"'))
+            literal = F.element_at(F.create_map(*(F.lit(x) for pair in _LITERALS.items() for x in pair)), token)
+            last = F.element_at(F.split(token, r"\."), -1)
+            return (
+                F.when(first == "'", F.concat(F.lit('"'), inner, F.lit('"')))
+                .when(first == '"', token)
+                .when(plain & (after == "("), F.concat(F.lit(f'{{"{_MARKED}name":"'), last, F.lit('","arguments":')))
+                .when(plain & (after == "=") & ~F.contains(token, F.lit(".")), F.concat(F.lit(f'"{_MARKED}'), token, F.lit('"')))
+                .when(name, F.when(token.isin(*_LITERALS), literal))
+                .when(first == "=", F.when(named_before, ":"))
+                .when(first == "(", F.when(named_before, "{"))
+                .when(first == ")", "}}")
+                .otherwise(token)
+            )
+
+        many = lambda sign: F.size(F.filter(all_, lambda t: t == sign))
+        return bound_to(
+            F.transform(all_, form),
+            lambda made: F.struct(
+                F.when(
+                    F.forall(made, lambda m: m.isNotNull()), F.concat(F.lit("["), F.array_join(made, " "), F.lit("]"))
+                ).alias("json"),
+                many("(").alias("calls"),
+                many("=").alias("keywords"),
+            ),
+        )
+
+    return F.when(begins & covered, bound_to(tokens, forms))
+
+
+def _syntax_calls(text: Column) -> Column:
+    """Calls of a text in call syntax; NULL where Python has to say what it means.
+
+    Every call has to be an item (one within an argument is not) and every
+    argument a keyword, none of them twice. Several calls are a tuple, which
+    is no call, unless a line ends between them.
+    """
+    name = lambda m: F.try_element_at(m, F.lit(f"{_MARK}name"))
+    given = lambda m: jsontext.as_members(F.try_element_at(m, F.lit("arguments")))
+    unmarked = lambda held: F.transform(
+        held, lambda e: F.struct(F.substring(e["key"], F.lit(2), F.char_length(e["key"])).alias("key"), e["value"].alias("value"))
+    )
+
+    def sound(calls: Column, read: Column) -> Column:
+        marked = lambda c: F.forall(c["held"], lambda e: F.startswith(e["key"], F.lit(_MARK)))
+        return (
+            (F.size(calls) == read["calls"])
+            & F.forall(calls, lambda c: c["called"].isNotNull() & c["held"].isNotNull() & marked(c))
+            & (F.aggregate(calls, F.lit(0), lambda n, c: n + F.size(c["held"])) == read["keywords"])
+        )
+
+    def judged(read: Column) -> Column:
+        members = F.transform(jsontext.as_items(jsontext.parse(read["json"])), jsontext.as_members)
+        opened = F.transform(
+            members, lambda m: F.struct(_text_of(name(m)).alias("called"), F.map_entries(given(m)).alias("held"))
+        )
+        entries = lambda calls: F.transform(
+            calls, lambda c: F.struct(c["called"].alias("name"), _native_entries(unmarked(c["held"])).alias("args"))
+        )
+        several = (read["calls"] > 1) & ~F.rlike(text, F.lit(_TOP_LINE_END))
+        return bound_to(
+            opened,
+            lambda calls: F.when(
+                sound(calls, read), F.when(several, F.array().cast(_NO_CALLS)).otherwise(entries(calls))
+            ),
+        )
+
+    return bound_to(_json_of_syntax(text), judged)
+
+
+def _maybe_calls(text: Column) -> Column:
+    """Whether Python could read a call: there is a call form, and no two words stand side by side.
+
+    The second is never so in an expression, outside of strings and comments.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", "__"), r"\"[^\"\n]*\"|'[^'\n]*'", "")
+    prose = ~F.rlike(text, F.lit("#|\"\"\"|'''")) & F.rlike(bare, F.lit(rf"\b{_WORD}[ \t]+{_WORD}"))
+    return F.rlike(text, F.lit(r"(?:[\w)\]}'\"]|[^\x00-\x7f])\s*\(")) & ~prose
+
+
 def with_calls(table: DataFrame, text: str, name: str, *, quoted: bool = False) -> DataFrame:
     """Add ``name``: a struct (failed, calls) read from the column ``text``.
 
@@ -261,18 +405,23 @@ def with_calls(table: DataFrame, text: str, name: str, *, quoted: bool = False)
     staged = staged.withColumn("_native", _native_calls(items))
     readable = F.col("_native").isNotNull()
     done = F.forall("_native", lambda c: c.done)
-    syntax = F.rlike("_text", F.lit(r"\(|NaN|Infinity"))
-    needs_python = (readable & ~done) | (~readable & syntax)
+    # Call syntax, where the text is no JSON.
+    staged = staged.withColumn("_syntax", F.when(~readable, _syntax_calls(F.col("_text"))))
+    told_all = F.coalesce(F.forall("_syntax", lambda c: F.forall(c.args, lambda e: e.t.isNotNull())), F.lit(False))
+    possible = F.rlike("_text", F.lit("NaN|Infinity")) | _maybe_calls(F.col("_text"))
+    needs_python = (readable & ~done) | (~readable & possible & ~told_all)
     staged = staged.withColumn("_ask", F.when(needs_python, F.col("_text")))
     told = _read_calls(F.col("_ask"), F.when(F.col("_ask").isNotNull(), F.col("_block")))
-    native = F.transform("_native", lambda c: F.struct(c.getField("name").alias("name"), c.args.alias("args")))
+    listed = F.transform("_native", lambda c: F.struct(c.getField("name").alias("name"), c.args.alias("args")))
+    native = F.coalesce(listed, "_syntax")
     plain = F.struct(
         F.lit(False).alias("failed"),
         F.coalesce(native, F.array().cast(_NO_CALLS)).alias("calls"),
     )
     staged = staged.withColumn("_told", told)
-    return staged.withColumn(name, F.coalesce("_told", plain)).drop(
-        "_text", "_block", "_value", "_native", "_ask", "_told"
+    again = F.struct(F.col("_told.failed").alias("failed"), _same_fractions(F.col("_told.calls")).alias("calls"))
+    return staged.withColumn(name, F.when(F.col("_told").isNotNull(), again).otherwise(plain)).drop(
+        "_text", "_block", "_value", "_native", "_syntax", "_ask", "_told"
     )
 
 

@@ -116,3 +116,40 @@ def test_actions(spark):
         "object": (False, 0, 0),
         "null": (True, 0, 0),
     }
+
+
+SYNTAX = [
+    "f()", "f(x=1)", "a.b.f(x=1)", "f (x = 1 , y = 'a' )", "f(x=1,)", "f(x=-1.5, y=1e3, z=2.0, w=0)", "f(x='it', y=\"a 'b' c\")", "f(x='say \"hi\"')",
+    "f(x='', y=\"\")", "f(x=True, y=False, z=None)", "f(x='5', y=' b ', z='true', w='[1]')", "f(x=[1, 2], y={'k': None})", "f(x=[], y={})", "f(x=[{'a': [1.5]}])",
+    "f(x=1),\ng(y='z')", "f(x=1), g()", "f(x=1)\n, g()", "f\n(x=1)", "f(x=1,\n y=2)", "f(x=')\\n', y=2)", "f(x=')',\n y=2), g()", "f(x=1),", "f(x=1),\n3", "3,\nf(x=1)",
+    "f(1)", "f(1, x=2)", "f(*a, x=2)", "f(**k)", "f(x=1, x=2)", "f(x=1, **{'y': 2})", "f(x=g(y=1))", "f(x=[g(y=1)])", "f(x=y)", "f(x=(1, 2))", "f(x={1, 2})", "f(x={1: 2})",
+    "f('x': 1)", "f('x'=1)", "f(x={y=1})", "f('a':1, x={b=2})", "f(x:1)", "f(x==1)", "f(x=1=2)", "f(None=1)", "None(x=1)", "a.if(x=1)", "lambda(x=1)", "f(if=1)", "f(x=1) # two words (y)",
+    "f(x=007)", "f(x=0x1)", "f(x=1_000)", "f(x=1.)", "f(x=.5)", "f(x=+1)", "f(x=1-2)", "f(x=- 1)", "f(x=1j)", "f(x=12345678901234567890)", "f(x=0.1, y=1e300, z=1e-7, w=100000000000000000.5)",
+    "f(x='a' 'b')", "f(x='a\\tb')", "f(x='a\tb')", "f(x=r'a')", "f(x=b'a')", "f(x='''a b''')", "f(x=\"\"\"two words\n(more words)\"\"\")", "f(x=f'{y}')", "f(x='é語')", "fé(x=1)", "f(x=1)(y=2)",
+    "(f)(x=1)", "a[0](x=1)", "'s'.f(x=1)", "f(x=1) + 2", "[f(x=1)]", "not f(x=1)", "f(x=1) if a else b", "x if f(a=1) else y", "f(x=1) g(y=2)", "f(x=1", "f x=1)", "f(x=)", "f(=1)", "(", "f(", "f)",
+    "The answer (see below) is f(x=1)", "call f(x=1)", "don't (really)", "f(x='two words (here)')", "await f(x=1)", "f(x=1);g()", "f(x=1)\ng(y=2)", "f(x='\x01')", "f(x=1, y='\\'')", "print(x=1, end='')",
+    "f(x=-0, y=-0.0, z=1E5)", "f(x=[1 2])", "f(x=[1,,2])", "f(x={'a' 1})", "f(x=1 y=2)", "f(x={'a': 1, 'a': 2})", "f(x=[True, None, 'None'])",
+]
+
+
+def test_call_syntax_reads_as_python_reads_it(spark):
+    from plumbline.functions import call_text
+
+    want = []
+    for text in SYNTAX:
+        told = call_text._read(text.strip(), None)
+        want.append(None if told["failed"] else [(c["name"], [(e["k"], e["t"], str(float(e["v"])) if e["t"] == "f" else e["v"]) for e in c["args"]]) for c in told["calls"]])
+    got = [None if c is None else [(n, [(k, t, str(float(v)) if t == "f" else v) for k, t, v in a]) for n, a in c] for c in read(spark, SYNTAX)]
+    assert {t: (g, w) for t, g, w in zip(SYNTAX, got, want) if g != w} == {}
+
+
+def test_python_sees_only_what_the_tokens_cannot_say(spark, monkeypatch):
+    """Flat calls, several calls and prose never get there."""
+    from plumbline.functions import call_text
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(call_text, "_read_calls", lambda texts, blocks: F.when(texts.isNotNull(), F.raise_error(F.lit("asked")).cast(call_text.CALLS)))
+    texts = ["f(x=1, y='a', z=1.5, w=None)", "a.f(x=1),\ng()", "f(x=1), g()", "The answer (see below) is 5", "No (really), it's fine", '{"name":"f","arguments":{"x":0.5}}', "text", ""]
+    assert [c is None for c in read(spark, texts)] == [False] * len(texts)
+    long = "f(" + ", ".join(f"a{i}='{'x' * 50}'" for i in range(20_000)) + ")"
+    assert len(read(spark, [long])[0][0][1]) == 20_000
