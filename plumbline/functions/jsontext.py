@@ -21,17 +21,22 @@ _OPENING = r"^[ \t\n\r]*(?:[\[{\"0-9\-]|true|false|null)"
 _OPENING_OR_BARE = r"^[ \t\n\r]*(?:[\[{\"0-9\-]|true|false|null|NaN|Infinity)"
 
 
-# The VARIANT parser gives NULL above its size limit (128 MB). Texts longer than
-# this are tested by the streaming parser, which has no limit; it also takes
-# single quotes.
+# The VARIANT parser gives NULL above its size limit (128 MB); a text has to be this
+# long before that can be the reason.
 LARGE = 64 << 20
 
 
-def _is_large_json(text: Column) -> Column:
-    """True where a text of any size is exactly one JSON value."""
+def _counted(text: Column) -> Column:
+    """True where the streaming parser, which has no limit, reads exactly one value.
+
+    It also takes single quotes and control characters in strings: what is left
+    without the strings that JSON allows must have no quote of either kind.
+    """
     items = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
     members = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.coalesce((items == 1) & members.isNotNull(), F.lit(False))
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", "__"), r'"[^"\x00-\x1f]*"', "")
+    one = (items == 1) & members.isNotNull() & ~F.rlike(bare, F.lit("[\"']"))
+    return F.coalesce(one, F.lit(False))
 
 
 def _wrapped(text: Column) -> tuple[Column, Column]:
@@ -41,14 +46,10 @@ def _wrapped(text: Column) -> tuple[Column, Column]:
 
 
 def is_json(text: Column) -> Column:
-    """True where ``text`` is exactly one JSON value."""
+    """True where ``text`` is exactly one JSON value; one parser for texts of every size."""
     has_bare = F.rlike(text, F.lit("NaN|Infinity"))
     plain = F.when(has_bare, F.regexp_replace(text, _BARE_NUMBER, "0")).otherwise(text)
-    as_item, as_member = _wrapped(plain)
-    one = F.size(F.try_variant_get(as_item, "$", "array<variant>")) == 1
-    small = F.when(F.rlike(text, F.lit(_OPENING_OR_BARE)), one & as_member.isNotNull())
-    valid = F.when(F.octet_length(text) > LARGE, _is_large_json(plain)).otherwise(small)
-    return F.coalesce(valid, F.lit(False))
+    return F.coalesce(F.when(F.rlike(text, F.lit(_OPENING_OR_BARE)), _counted(plain)), F.lit(False))
 
 
 def parse(text: Column) -> Column:
@@ -59,7 +60,7 @@ def parse(text: Column) -> Column:
     as_item, as_member = _wrapped(text)
     one = F.size(F.try_variant_get(as_item, "$", "array<variant>")) == 1
     opens = F.rlike(text, F.lit(_OPENING))
-    too_large = (F.octet_length(text) > LARGE) & as_item.isNull() & _is_large_json(text)
+    too_large = (F.octet_length(text) > LARGE) & as_item.isNull() & _counted(text)
     return F.when(
         too_large, F.raise_error(F.lit("a JSON text above the size limit of a VARIANT")).cast("variant")
     ).when(opens & one, F.try_variant_get(as_member, "$.v", "variant"))

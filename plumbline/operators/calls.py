@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import jsontext
 from plumbline.functions.call_text import same_calls, with_calls
+from plumbline.operators import multisets
 from plumbline.operators.rows import exploded
 
 # Echo length, most turns of an agent run.
@@ -64,13 +65,25 @@ def score_calls(
     )
 
 
-def calls_long(table: DataFrame, key: str, text: str = "response") -> DataFrame:
+def calls_long(table: DataFrame, key: str, text: str = "response", *, quoted: bool = False) -> DataFrame:
     """One row per call read from ``text``: ``pos, name`` and its arguments."""
-    rows = with_calls(table.select(key, text), text, "_calls")
+    rows = with_calls(table.select(key, text), text, "_calls", quoted=quoted)
     rows = exploded(rows, key, array="_calls.calls", item="c")
     return rows.select(key, "pos", F.col("c.name").alias("name"), F.col("c.args").alias("args"))
 
 
+def score_call_lists(
+    said: DataFrame, wanted: DataFrame, key: str = "sample_id", samples: DataFrame | None = None
+) -> DataFrame:
+    """``score_calls`` for lists in long form (``key, name, args``), of any length.
+
+    Calls are counted per name and arguments on both sides; equal counts of all
+    are equal multisets, whatever the order. Two empty lists are equal.
+    """
+    found = multisets.match_multisets(said, wanted, ("name", "args"), (key,), samples)
+    return found.withColumn("score", F.col("correct").cast("double"))
+
+
 # --- action sequences -------------------------------------------------------
 
 TOOL_CALLS = "array<struct<name:string,arguments:string>>"

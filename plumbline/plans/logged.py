@@ -9,7 +9,8 @@ error in a log makes its sample wrong and leaves the prediction empty.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -29,8 +30,19 @@ SHELL_RESULT = "Exit code: %d\nOutput:\n%s"
 SHELL_OUTPUT = 2_000
 NO_PATCH = "No patch extracted from response"
 
+# Request metrics a log may carry.
+MEASURES = (
+    "start_ts",
+    "ttft_seconds",
+    "total_latency_seconds",
+    "prompt_tokens",
+    "completion_tokens",
+    "tokens_per_second_generation",
+    "tokens_per_second_prompt",
+)
 
-def _judged(
+
+def judged(
     suite: str,
     samples: DataFrame,
     logs: Sequence[DataFrame],
@@ -40,8 +52,11 @@ def _judged(
 ) -> DataFrame:
     """One row per run and sample, with the failure rules applied.
 
-    ``judge`` gets samples and logs keyed by ``CASE``. ``seen`` is the log by
-    which a sample counts as answered; its ``error`` is a request's error.
+    ``judge`` gets samples and logs keyed by ``CASE`` and returns ``CASE``,
+    ``correct, score, predicted, expected`` and details. ``seen`` is the log by
+    which a sample counts as answered; its ``error`` is a request's error, and
+    request metrics in it become the sample's: those of its last turn that
+    carries any.
     """
     keys = [RUN, KEY] if any(RUN in log.columns for log in logs) or runs is not None else [KEY]
 
@@ -52,7 +67,11 @@ def _judged(
     cases = keyed(per_run(samples, suite, *logs, runs=runs))
     answered = keyed(seen)
     failed = F.col("error") if "error" in seen.columns else F.lit(None).cast("string")
-    answered = answered.groupBy(CASE).agg(F.max(failed).alias("_failed"), F.lit(True).alias("paired"))
+    measures = [m for m in MEASURES if m in seen.columns]
+    turn = F.col("turn") if "turn" in seen.columns else F.lit(0)
+    carries = F.coalesce(*(F.col(m).cast("string") for m in measures)).isNotNull() if measures else None
+    last = [F.max_by(F.struct(*measures), F.when(carries, turn)).alias("_metrics")] if measures else []
+    answered = answered.groupBy(CASE).agg(F.max(failed).alias("_failed"), F.lit(True).alias("paired"), *last)
     outcome = judge(cases, *map(keyed, logs))
     if "error" not in outcome.columns:
         outcome = outcome.withColumn("error", F.lit(None).cast("string"))
@@ -60,8 +79,9 @@ def _judged(
         {"paired": F.coalesce("paired", F.lit(False)), "error": F.coalesce("_failed", "error")}
     )
     done = apply_failures(joined)
-    rest = [c for c in done.columns if c not in (CASE, "_failed", "paired", *keys)]
-    return done.select(*(F.col(CASE).getField(k).alias(k) for k in keys), *rest)
+    rest = [c for c in done.columns if c not in (CASE, "_failed", "_metrics", "paired", *keys, *measures)]
+    metrics = [F.col("_metrics").getField(m).alias(m) for m in measures]
+    return done.select(*(F.col(CASE).getField(k).alias(k) for k in keys), *rest, *metrics)
 
 
 def score_code(
@@ -79,7 +99,7 @@ def score_code(
         programs = cases.select(CASE, "entry_point").join(said, CASE, "left")
         return verdicts.score_programs(programs, log, CASE)
 
-    return _judged("humaneval", samples, [responses, program_runs], judge, responses, runs)
+    return judged("humaneval", samples, [responses, program_runs], judge, responses, runs)
 
 
 def score_conversations(samples: DataFrame, turns: DataFrame, runs: DataFrame | None = None) -> DataFrame:
@@ -111,7 +131,7 @@ def score_conversations(samples: DataFrame, turns: DataFrame, runs: DataFrame |
             F.coalesce("num_turns_passed", F.lit(0)).alias("num_turns_passed"),
         )
 
-    return _judged("multi_if", samples, [turns], judge, turns, runs)
+    return judged("multi_if", samples, [turns], judge, turns, runs)
 
 
 def score_agents(
@@ -124,7 +144,7 @@ def score_agents(
         texts = cases.select(CASE, F.substring("expected_actions", 1, calls.ECHO).alias("expected"))
         return outcome.join(texts, CASE).withColumn("predicted", F.lit(""))
 
-    return _judged("tau_bench", samples, [turns], judge, turns, runs)
+    return judged("tau_bench", samples, [turns], judge, turns, runs)
 
 
 def score_shell(
@@ -156,7 +176,7 @@ def score_shell(
             F.coalesce("num_turns", F.lit(0)).alias("num_turns"),
         )
 
-    return _judged("terminal_bench", samples, [turns, checks], judge, turns, runs)
+    return judged("terminal_bench", samples, [turns, checks], judge, turns, runs)
 
 
 def score_patches(
@@ -190,20 +210,62 @@ def score_patches(
             F.when(~F.coalesce("has_patch", F.lit(False)), NO_PATCH).alias("_note"),
         )
 
-    done = _judged(suite, samples, [responses, tests], judge, responses, runs)
+    done = judged(suite, samples, [responses, tests], judge, responses, runs)
     # No patch is an outcome, not a failed request: texts stay.
     return done.withColumn("error", F.coalesce("error", "_note")).drop("_note")
 
 
-# Suite name to (adapter, scorer); the scorers differ in the logs they take.
-LOGGED_SUITES = {
-    "humaneval": (adapters.code_samples, score_code),
-    "multi_if": (adapters.turn_samples, score_conversations),
-    "tau_bench": (adapters.action_samples, score_agents),
-    "terminal_bench": (adapters.terminal_samples, score_shell),
-    "swe_bench": (adapters.patch_samples, score_patches),
-    "swe_bench_pro": (
-        partial(adapters.patch_samples, suite="swe_bench_pro"),
-        partial(score_patches, suite="swe_bench_pro"),
-    ),
-}
+@dataclass(frozen=True)
+class LoggedSuite:
+    """A suite judged by several logs.
+
+    ``score(samples, *logs, runs=…, **options)`` takes the logs named in
+    ``logs``, in that order; ``judged`` makes one of a judge.
+    """
+
+    name: str
+    tier: int
+    to_samples: Callable[..., DataFrame]
+    score: Callable[..., DataFrame]
+    logs: tuple[str, ...]
+
+
+LOGGED: dict[str, LoggedSuite] = {}
+
+
+def register_logged_suite(suite: LoggedSuite) -> LoggedSuite:
+    """Add a suite; later registrations replace earlier ones."""
+    LOGGED[suite.name] = suite
+    return suite
+
+
+def get_logged_suite(name: str) -> LoggedSuite:
+    if name not in LOGGED:
+        raise KeyError(f"no suite judged by logs {name!r}; known: {', '.join(sorted(LOGGED))}")
+    return LOGGED[name]
+
+
+def score_logged(
+    suite: LoggedSuite, samples: DataFrame, logs: Mapping[str, DataFrame], runs: DataFrame | None = None, **options
+) -> DataFrame:
+    """One row per run and sample, from the logs by their names."""
+    wrong = set(suite.logs) ^ set(logs)
+    if wrong:
+        raise ValueError(f"{suite.name} is judged by the logs {', '.join(suite.logs)}; got {', '.join(sorted(logs))}")
+    return suite.score(samples, *(logs[name] for name in suite.logs), runs=runs, **options)
+
+
+register_logged_suite(LoggedSuite("humaneval", 1, adapters.code_samples, score_code, ("responses", "program_runs")))
+register_logged_suite(LoggedSuite("multi_if", 2, adapters.turn_samples, score_conversations, ("turns",)))
+register_logged_suite(LoggedSuite("tau_bench", 3, adapters.action_samples, score_agents, ("turns",)))
+register_logged_suite(LoggedSuite("terminal_bench", 4, adapters.terminal_samples, score_shell, ("turns", "checks")))
+register_logged_suite(LoggedSuite("swe_bench", 4, adapters.patch_samples, score_patches, ("responses", "tests")))
+register_logged_suite(
+    LoggedSuite(
+        "swe_bench_pro", 4, partial(adapters.patch_samples, suite="swe_bench_pro"),
+        partial(score_patches, suite="swe_bench_pro"), ("responses", "tests"),
+    )
+)
+
+# Suite name to (adapter, scorer).
+LOGGED_SUITES = {name: (suite.to_samples, suite.score) for name, suite in LOGGED.items()}

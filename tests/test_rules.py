@@ -187,3 +187,32 @@ def test_features_of_a_response_are_computed_once(spark):
     assert [o[1] for o in checked.first().per_instruction][:3] == alone
     nothing = data.select(rules.features(F.col("response"), F.array(F.lit("punctuation:no_comma"))).alias("f")).first().f
     assert all(v is None for v in nothing)
+
+
+JSON_TEXTS = [
+    "{}", "[]", "1", "-0", "1.5e3", '"a"', "null", "true", " {} ", '{"a": [1, {"b": null}]}', '"it\'s"', '"\\"\'"', '{"a": "\\\\"}', '"\\u00e9"', "[1, 2]",
+    "", " ", "{", "[1,]", "{'a': 1}", "'a'", "01", "1.", ".5", "+1", "{} {}", "1 2", "[1] [2]", '{"a": 1}, {"b": 2}', "nul", "True", '"a', 'a"', '"\n"', '"a\tb"', '"\\x"', '"\\"',
+    "{a: 1}", '{"a" 1}', "[1 2]", "// c\n1", '{"a": \'b\'}', '["a", \'b"c\']', '"a" \'', "]", "1]", "[1", '"a"]["b"', "NaN", "[NaN, -Infinity]", '{"a": Infinity}', "Infinit", "\u00a01", "\ufeff1",
+]
+
+
+def test_json_is_told_by_one_parser(spark):
+    """What Python's reader takes, on short texts and on long ones."""
+    from plumbline.functions import jsontext
+
+    def valid(text):
+        try:
+            json.loads(text)
+        except ValueError:
+            return False
+        return True
+
+    data = spark.createDataFrame(list(enumerate(JSON_TEXTS)), "i int, t string")
+    got = {r.t: r.v for r in data.select("t", jsontext.is_json(F.col("t")).alias("v")).collect()}
+    assert {t for t in JSON_TEXTS if got[t] != valid(t)} == set()
+    # Repeated by a column, so that no plan holds the text.
+    filler = F.repeat(F.lit('"xxxxxxxxxxxxxxxxxxxxxxxxx",'), (F.length("t") * 0 + 2_700_000).cast("int"))
+    long = F.concat(F.lit("["), filler, F.col("t"), F.lit("]"))
+    some = data.filter(F.col("t").isin("{'a': 1}", '{"a": 1}', '["a", \'b"c\']')).union(spark.createDataFrame([(99, '{"a": 1}')], "i int, t string")).coalesce(1)
+    for r in some.select("t", F.octet_length(long).alias("n"), jsontext.is_json(long).alias("v")).collect():
+        assert r.n > 70_000_000 and r.v == valid(r.t)

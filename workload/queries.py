@@ -17,6 +17,7 @@ from plumbline.functions.text import normalize
 from plumbline.operators import (
     calls,
     instructions,
+    multisets,
     pairing,
     percentiles,
     prompts,
@@ -875,6 +876,44 @@ def score_calls(spark, sf_dir):
     return scored.select("event_id", "correct", "score", "num_predicted", "num_expected")
 
 
+_CALL_SIDES = f"""SELECT g, f, sum(s) AS s, sum(w) AS w FROM (
+      SELECT g, f, s, w FROM (SELECT event_type, unnest({_FORM.format('said')}) AS f, 1 AS s, 0 AS w FROM ({_PARSED}) JOIN (SELECT event_id, event_type FROM events) USING (event_id)
+        UNION ALL SELECT event_type, unnest({_FORM.format('wanted')}), 0, 1 FROM ({_PARSED}) JOIN (SELECT event_id, event_type FROM events) USING (event_id)) x,
+      LATERAL (SELECT unnest([event_type, 'all']) AS g) y) GROUP BY g, f"""
+
+
+@query(
+    "score_call_lists",
+    f"""SELECT g AS sample_id, bool_and(s = w) AS correct, sum(s)::BIGINT AS num_predicted, sum(w)::BIGINT AS num_expected,
+    sum(least(s, w))::BIGINT AS num_matched FROM ({_CALL_SIDES}) GROUP BY g""",
+)
+def score_call_lists(spark, sf_dir):
+    """All calls of an event type as one list, and those of all events."""
+    raw = frame(spark, sf_dir, fx.call_log, spread_out=True)
+    owners = F.explode(F.array("event_type", F.lit("all"))).alias("sample_id")
+    of = raw.select("event_id", owners)
+    said = calls.calls_long(raw, "event_id").join(of, "event_id")
+    wanted = calls.calls_long(raw, "event_id", "answer", quoted=True).join(of, "event_id")
+    return calls.score_call_lists(said, wanted).drop("score")
+
+
+@query(
+    "score_set_lists",
+    f"""WITH i AS (SELECT DISTINCT l_returnflag AS sample_id, l_partkey || '-' || l_suppkey AS item,
+      bool_or(l_linenumber <= 4) OVER k AS s, bool_or(l_linenumber >= 2) OVER k AS w FROM lineitem
+      WINDOW k AS (PARTITION BY l_returnflag, l_partkey || '-' || l_suppkey))
+    SELECT sample_id, bool_and(s = w) AS correct, round(count(*) FILTER (WHERE s AND w) / count(*), {DIGITS}) AS score,
+    count(*) FILTER (WHERE s) AS num_predicted, count(*) FILTER (WHERE w) AS num_expected FROM i GROUP BY sample_id""",
+)
+def score_set_lists(spark, sf_dir):
+    """Three samples whose sets hold a third of all rows each."""
+    rows = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey").select(
+        F.col("l_returnflag").alias("sample_id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("item"), "l_linenumber"
+    )
+    found = multisets.match_sets(rows.filter("l_linenumber <= 4"), rows.filter("l_linenumber >= 2"), ["item"])
+    return found.withColumn("score", F.round("score", DIGITS))
+
+
 @query(
     "score_tool_calls",
     f"""SELECT event_id, event_type = 'click' OR {_FORM.format('said')} = {_FORM.format('wanted')} AS correct
@@ -1671,17 +1710,102 @@ def typed_test_lists(spark, sf_dir):
 
 @query(
     "suite_swe_bench_pro",
-    f"""SELECT 'swe_pro_' || {ordinal('o_orderkey')} AS sample_id, false AS correct, 'no response' AS error
-    FROM {PATCH_TASKS}""",
+    f"""WITH f AS (SELECT sample_id, bool_and(passed) AS f2p FROM {TESTS} WHERE kind = 'f2p' GROUP BY sample_id),
+    p AS (SELECT sample_id, bool_and(passed) AS p2p FROM {TESTS} WHERE kind = 'p2p' GROUP BY sample_id),
+    t AS (SELECT *, {ordinal('o_orderkey')} AS n FROM {PATCH_TASKS})
+    SELECT 'swe_pro_' || n AS sample_id, n % 10 <> 0 AND has_patch AND coalesce(f2p, false) AND coalesce(p2p, true) AS correct,
+    CASE WHEN n % 10 = 0 THEN '' WHEN has_patch THEN substr('+' || problem_statement, 1, 500)
+      ELSE substr('No patch for ' || problem_statement, 1, 300) END AS predicted,
+    CASE WHEN n % 10 = 0 THEN 'no response' WHEN NOT has_patch THEN 'No patch extracted from response' END AS error
+    FROM t LEFT JOIN f ON t.o_orderkey = f.sample_id LEFT JOIN p ON t.o_orderkey = p.sample_id""",
 )
 def suite_swe_bench_pro(spark, sf_dir):
-    """Tasks without an id of their own get the default one; none was answered."""
-    to_samples, score = logged.LOGGED_SUITES["swe_bench_pro"]
-    raw = frame(spark, sf_dir, fx.patch_tasks).drop("instance_id")
-    nothing = frame(spark, sf_dir, fx.patch_answers).filter("false")
-    log = frame(spark, sf_dir, fx.test_log).withColumn("sample_id", F.concat(F.lit("issue-"), "sample_id"))
-    scored = score(to_samples(raw, "o_orderkey"), nothing, log, order=("l_linenumber", "l_partkey", "l_suppkey"))
-    return scored.select("sample_id", "correct", "error")
+    """Tasks without an id of their own get the default one; answers and tests come under it, a tenth not at all."""
+    suite = logged.get_logged_suite("swe_bench_pro")
+    raw = frame(spark, sf_dir, fx.patch_tasks)
+    ids = numbered(raw.select("o_orderkey", "instance_id"), "o_orderkey", None, "n")
+    ids = ids.withColumn("default_id", F.concat(F.lit("swe_pro_"), "n"))
+    answers = frame(spark, sf_dir, fx.patch_answers).withColumnRenamed("sample_id", "instance_id").join(ids, "instance_id")
+    answers = answers.filter(F.col("n") % 10 != 0).select(F.col("default_id").alias("sample_id"), "response")
+    tests = frame(spark, sf_dir, fx.test_log).withColumnRenamed("sample_id", "o_orderkey").join(ids, "o_orderkey")
+    tests = tests.withColumnRenamed("default_id", "sample_id").drop("instance_id", "n")
+    samples = suite.to_samples(raw.drop("instance_id"), "o_orderkey")
+    scored = logged.score_logged(
+        suite, samples, {"responses": answers, "tests": tests}, order=("l_linenumber", "l_partkey", "l_suppkey")
+    )
+    return scored.select("sample_id", "correct", "predicted", "error")
+
+
+@query(
+    "custom_logged_suite",
+    f"""SELECT run_id, 'mine_' || event_id AS sample_id, event_id % 4 <> 0 AND event_id % 3 = 0 AND response = expected AS correct,
+    CASE WHEN event_id % 4 = 0 THEN '' ELSE response END AS predicted,
+    CASE WHEN event_id % 4 = 0 THEN 'no response' END AS error,
+    CASE WHEN event_id % 4 <> 0 THEN value / 1000.0 END AS ttft_seconds
+    FROM {CHOICES}, (SELECT unnest(['r1', 'r2']) AS run_id)""",
+)
+def custom_logged_suite(spark, sf_dir):
+    """A suite of one's own, judged by two logs: the answer has to match and its check to pass."""
+
+    def judge(cases, answers, checks):
+        passed = checks.groupBy(logged.CASE).agg(F.bool_and("passed").alias("passed"))
+        rows = cases.join(answers.select(logged.CASE, "response"), logged.CASE, "left").join(passed, logged.CASE, "left")
+        good = F.coalesce(F.col("passed") & (F.col("response") == F.col("expected")), F.lit(False))
+        return rows.select(
+            logged.CASE, good.alias("correct"), good.cast("double").alias("score"), F.col("response").alias("predicted"), "expected"
+        )
+
+    def score(samples, answers, checks, runs=None):
+        return logged.judged("mine", samples, [answers, checks], judge, answers, runs)
+
+    suite = logged.register_logged_suite(
+        logged.LoggedSuite("mine", 1, lambda rows: rows.select("sample_id", "expected"), score, ("answers", "checks"))
+    )
+    raw = frame(spark, sf_dir, fx.choices).withColumn("sample_id", F.concat(F.lit("mine_"), "event_id"))
+    twice = raw.withColumn("run_id", F.explode(F.array(F.lit("r1"), F.lit("r2"))))
+    answers = twice.filter("event_id % 4 <> 0").select(
+        "run_id", "sample_id", "response", (F.col("value") / 1000.0).alias("ttft_seconds")
+    )
+    checks = twice.select("run_id", "sample_id", (F.col("event_id") % 3 == 0).alias("passed"))
+    scored = logged.score_logged(logged.get_logged_suite("mine"), suite.to_samples(raw), {"answers": answers, "checks": checks})
+    return scored.select("run_id", "sample_id", "correct", "predicted", "error", "ttft_seconds")
+
+
+_LAST_TURNS = f"""(SELECT sample_id, max(turn) AS turn FROM {TURNS} WHERE turn % 5 <> 0 GROUP BY sample_id)"""
+
+
+@query(
+    "logged_report",
+    f"""WITH s AS (SELECT sample_id FROM {table(fx.agent_tasks)}),
+    r AS (SELECT s.sample_id, l.turn, s.sample_id IN (SELECT sample_id FROM {TURNS}) AS seen FROM s LEFT JOIN {_LAST_TURNS} l USING (sample_id)),
+    c AS (SELECT replace(sample_id, 'tau_bench_', '')::BIGINT AS sample_id, correct FROM ({ORACLES["suite_tau_bench"]}))
+    SELECT 'tau_bench' AS suite, count(*) AS num_samples, round(avg(correct::int), {DIGITS}) AS accuracy,
+    count(*) FILTER (WHERE NOT seen) AS failed_requests, round(avg(turn / 8.0) FILTER (WHERE seen), {DIGITS}) AS ttft_mean,
+    round(quantile_cont(turn / 4.0, 0.95) FILTER (WHERE seen), {DIGITS}) AS latency_p95,
+    coalesce(sum(50 + turn) FILTER (WHERE seen), 0)::BIGINT AS total_prompt_tokens
+    FROM r JOIN c USING (sample_id)""",
+)
+def logged_report(spark, sf_dir):
+    """The report of a suite of conversations: metrics are those of the last turn that has any."""
+    has = F.col("turn") % 5 != 0
+    turns_log = _prefixed(_action_turns(spark, sf_dir), "tau_bench").withColumns(
+        {
+            "start_ts": F.when(has, F.lit("2024-01-01").cast("timestamp")),
+            "ttft_seconds": F.when(has, F.col("turn") / 8.0),
+            "total_latency_seconds": F.when(has, F.col("turn") / 4.0),
+            "prompt_tokens": F.when(has, 50 + F.col("turn")),
+            "completion_tokens": F.when(has, F.col("turn")),
+            "tokens_per_second_generation": F.lit(None).cast("double"),
+            "tokens_per_second_prompt": F.lit(None).cast("double"),
+        }
+    )
+    samples = adapters.action_samples(frame(spark, sf_dir, fx.agent_tasks).drop("sample_id"), "conv_id")
+    scored = logged.score_logged(logged.get_logged_suite("tau_bench"), samples, {"turns": turns_log})
+    report = run_report(scored.withColumn("suite", F.lit("tau_bench")), ["suite"])
+    return report.select(
+        "suite", "num_samples", *[F.round(c, DIGITS).alias(c) for c in ("accuracy",)], "failed_requests",
+        *[F.round(c, DIGITS).alias(c) for c in ("ttft_mean", "latency_p95")], "total_prompt_tokens",
+    )
 
 
 # --- several runs, failures, missing logs --------------------------------------
