@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -58,11 +59,14 @@ def ship(spark: SparkSession) -> None:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder of the cluster.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a session without
-    that setting (a unit test) gets a local folder.
+    The folder comes from ``spark.checkpoint.dir``. Only a session within one
+    process (a unit test) may lack that setting and then gets a local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all of {master} share")
         base = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -209,3 +209,14 @@ def test_entry_points(spark):
     assert frame.count() == 5 and "ci_lo" in frame.columns
     names = contract.queries()
     assert set(contract.oracle_sql()) <= set(names) and len(names) > 80
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_path(session, "x")
