@@ -25,10 +25,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return pairs.select("x.a", F.col("x.m").alias("b")).filter("a <> b").distinct()
 
 
-def _state(edges: DataFrame):
-    return edges.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-    ).first()
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node has either one neighbour, which is smaller, or larger ones alone."""
+    up = F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = edges.select(F.explode(F.array(up, down)).alias("e")).select("e.*")
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.filter((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
 
 
 def components(edges: DataFrame, first: str, second: str) -> DataFrame:
@@ -43,11 +46,7 @@ def components(edges: DataFrame, first: str, second: str) -> DataFrame:
     now = stored(
         edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges"
     )
-    state = _state(now)
-    while state.n:
+    while not _all_stars(now):
         now = stored(_small_star(stored(_large_star(now), "edges")), "edges")
-        before, state = state, _state(now)
-        if state == before:
-            break
     nodes = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return nodes.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

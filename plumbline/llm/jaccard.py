@@ -481,8 +481,25 @@ def _crossing(cut: DataFrame, placed: DataFrame, block: int) -> DataFrame:
     )
 
 
+def _stars(links: list[tuple[int, int]], reps: list[int]) -> list[tuple[int, int]]:
+    """Links that connect the same members, each to the smallest it is connected with."""
+    parent = {x: x for pair in links for x in pair}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in links:
+        x, y = top(x), top(y)
+        if reps[y] < reps[x]:
+            x, y = y, x
+        parent[y] = x
+    return [(reps[x], reps[top(x)]) for x in parent if top(x) != x]
+
+
 def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links found inside each cell, on whole sets."""
+    """(a, b): who is connected inside each cell, on whole sets; short paths need few rounds later."""
     kind = dict(cells.dtypes)["_rep"]
 
     def work(members: list[tuple], kinds: list[pa.DataType]):
@@ -492,10 +509,8 @@ def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         sides = np.array([m[2] for m in members])
         found = join_block(grams, [m[3] for m in members], percent, sides if sides.any() else None)
         if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([members[x][1] for x, _ in found], kinds[1]), pa.array([members[y][1] for _, y in found], kinds[1])],
-                names=["a", "b"],
-            )
+            a, b = zip(*_stars(found, [m[1] for m in members]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, kinds[1]), pa.array(b, kinds[1])], names=["a", "b"])
 
     rows = cells.join(sets, "_rep").select("_cell", "_rep", "_side", "_group", "_set")
     return _by_cell(rows, work, f"a {kind}, b {kind}").distinct()

@@ -300,3 +300,21 @@ def test_empty_tables(docs, items):
         assert out.count() == 0
     clean = decontaminate.contamination(docs([(1, "a b c")]), table.filter("false")).collect()
     assert [(r.n_words, r.contaminated) for r in clean] == [(3, False)]
+
+
+def test_stars_connect_what_links_connect():
+    r = random.Random(3)
+    for _ in range(50):
+        n = r.randrange(2, 30)
+        links = [(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(1, 40))]
+        links = [(x, y) for x, y in links if x != y] or [(0, 1)]
+        reps = r.sample(range(1000), n)
+        near = {x: {x} for x in range(n)}
+        for x, y in links:
+            both = near[x] | near[y]
+            for z in both:
+                near[z] = both
+        stars = jaccard._stars(links, reps)
+        named = {x for pair in links for x in pair}
+        want = {(reps[x], min(reps[y] for y in near[x])) for x in named}
+        assert sorted(stars) == sorted(p for p in want if p[0] != p[1])
