@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import bounded, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect each node's larger neighbours to the smallest node it knows."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    # Stored, so that the join has two plain sides and a hot node can be split.
-    joined = both.join(stored(least, "least"), "a")
+    # Stored, so that a small table needs no shuffle, and the join of a large one has two
+    # plain sides, of which a hot node can be split.
+    joined = both.join(bounded(stored(least, "least")), "a")
     return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect each node and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(stored(least, "least"), "a")
+    joined = edges.join(bounded(stored(least, "least")), "a")
     pairs = joined.select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
     return pairs.select("x.a", F.col("x.m").alias("b")).filter("a <> b").distinct()
 

@@ -463,7 +463,7 @@ def _crossing(cut: DataFrame, placed: DataFrame, block: int) -> DataFrame:
         F.max_by("_group", F.struct("_many", "_group")).alias("_largest"),
         F.ceil((F.sum("_many") - F.max("_many")) / block).cast("int").alias("_shares"),
     )
-    rows = cut.join(stored(largest, "largest"), "_gram")
+    rows = cut.join(bounded(stored(largest, "largest")), "_gram")
     shares = F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share")
     home = rows.select("_rep", "_gram", "_group", F.col("_cut").alias("_at"), F.lit(1).alias("_side"), shares)
     others = F.explode(F.filter(F.sequence(F.lit(0), F.col("_cuts") - 1), lambda k: k != F.col("_cut"))).alias("_at")
@@ -543,7 +543,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def _grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with ``_group``: the component of ``_rep`` so far."""
     known = found.select(F.col("id").alias("_rep"), "component")
-    return rows.drop("_group").join(known, "_rep", "left").withColumn("_group", F.coalesce("component", "_rep")).drop("component")
+    return rows.drop("_group").join(bounded(known), "_rep", "left").withColumn("_group", F.coalesce("component", "_rep")).drop("component")
 
 
 def _apart(rows: DataFrame, key: str) -> DataFrame:

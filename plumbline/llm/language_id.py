@@ -46,8 +46,8 @@ LEAST_LIMIT, MOST_LIMIT = 4.0, 8.0
 SLACK_BITS = 64.0
 
 # Bytes of text coded at once, and grams whose costs a task remembers.
-PIECE = 1 << 20
-REMEMBERED = 1 << 19
+PIECE = 1 << 19
+REMEMBERED = 1 << 18
 
 # Shares in which a language's grams of one order reach the driver.
 SHARES = 16
