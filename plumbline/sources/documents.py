@@ -19,6 +19,7 @@ sample by sample; what remains is the document without its samples.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,13 +43,15 @@ def document_lines(summaries: DataFrame, exported: DataFrame, keys: Sequence[str
     ``summaries`` has one row per run: ``keys`` and the fields of the document's
     head. ``exported`` has ``keys``, ``order`` (unique within a run) and the JSON
     objects of ``export_sample``. Samples of runs without a summary are left
-    out; a run without samples has an empty array.
+    out; a run without samples has an empty array. Both tables are stored, so that numbering
+    and dealing, which pass over the samples several times, do not score them again.
     """
     keys = list(keys)
+    summaries = _stored(summaries, "document-heads")
     fields = [c for c in summaries.columns if c not in keys or c == "model"]
     head = F.regexp_replace(F.to_json(F.struct(*fields)), r"\}\z", f',"{SAMPLES}":[')
     known = exported.join(summaries.select(*keys), keys, "left_semi").select(*keys, order, "exported")
-    placed = with_position(known, keys, order, "_place")
+    placed = with_position(_stored(known, "document-exports"), keys, order, "_place")
     sample = F.when(F.col("_place") == 0, F.col("exported")).otherwise(F.concat(F.lit(","), "exported"))
     return (
         summaries.select(*keys, F.lit(0).cast("bigint").alias("line_no"), head.alias("line"))
@@ -67,19 +70,21 @@ def write_documents(lines: DataFrame, path: str, keys: Sequence[str]) -> None:
 # --- reading --------------------------------------------------------------------
 
 
-def _count(text: Column, what: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{what}]", "")).cast("bigint")
+def _count(text: Column, signs: str) -> Column:
+    """How often ASCII signs occur: what a text loses without them."""
+    without = reduce(lambda t, sign: F.replace(t, F.lit(sign), F.lit("")), signs, text)
+    return (F.octet_length(text) - F.octet_length(without)).cast("bigint")
 
 
 def _unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\.", "__")
+    return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"(?s)\\.", "__")).otherwise(text)
 
 
 def _rise(text: Column, inside: bool) -> Column:
     """Opened less closed brackets of an unescaped text that begins outside or inside a string."""
     begun = F.regexp_replace(text, r'\A[^"]*("|\z)', "") if inside else text
     bare = F.regexp_replace(begun, r'"[^"]*("|\z)', "")
-    return _count(bare, r"\[{") - _count(bare, r"\]}")
+    return _count(bare, "[{") - _count(bare, "]}")
 
 
 def _pieces(spark: SparkSession, paths: Sequence[str], parts: bool) -> DataFrame:
@@ -87,7 +92,7 @@ def _pieces(spark: SparkSession, paths: Sequence[str], parts: bool) -> DataFrame
     texts = spark.read.option("lineSep", "}").option("recursiveFileLookup", "true").text(list(paths))
     file = F.col("_metadata.file_path")
     # Part numbers have five digits, or more where there are more parts.
-    folder, name = F.regexp_extract(file, r"^(.*)/([^/]*)$", 1), F.regexp_extract(file, r"([^/]*)$", 1)
+    folder, name = F.regexp_extract(file, r"^(.*)/", 1), F.substring_index(file, "/", -1)
     digits = F.length(F.regexp_extract(name, r"^part-(\d+)", 1))
     return texts.select(
         (folder if parts else file).alias("doc"),
