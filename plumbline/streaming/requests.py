@@ -8,17 +8,19 @@ requests alone.
 
 Requests are dealt by hash into shares, whose number belongs to the stream. A
 share's open requests are one map with one timer: requests that begin and
-end within a batch, most of them, never touch the store.
+end within a batch, most of them, never touch the store and are summed as columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import DataType, NumericType, StringType, StructField, StructType
 
 from plumbline.operators.pairing import KEYS, NO_RESPONSE, apply_failures
 from plumbline.streaming.live import DELAY, UNNAMED_ERROR
@@ -44,6 +46,10 @@ _RESULT = {
     "outcome": "string",
     "num_chunks": "bigint",
 }
+_COLUMNS = ["request_id", "at", "seq", "kind", "content", "prompt_tokens", "completion_tokens"]
+_TIMES = ("sent", "first", "last")
+# Later than any time.
+_NEVER = np.iinfo(np.int64).max
 
 
 class _Request:
@@ -55,7 +61,8 @@ class _Request:
         )
         self.pieces: list[tuple[int, str]] = []
 
-    def add(self, r: Row) -> None:
+    def add(self, r) -> None:
+        """One more chunk, a row of ``_COLUMNS``."""
         self.chunks += 1
         self.last = r.at if self.last is None else max(self.last, r.at)
         if r.kind == "dispatch":
@@ -91,25 +98,38 @@ class Requests(StatefulProcessor):
         self.pieces = handle.getMapState("pieces", f"id {self.key}, no bigint", "seq bigint, content string")
         self.due = handle.getValueState("due", "ms bigint")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        chunks = pd.concat([r[_COLUMNS][r["named"]] for r in rows], ignore_index=True)
+        if chunks.empty:
+            return
+        if chunks["at"].isna().any():
+            raise TypeError("a chunk has no time")
+        of, ids = pd.factorize(chunks["request_id"])
+        ids = ids.tolist()
+        order = np.argsort(of, kind="stable")
+        chunks, of = chunks.take(order), of[order]
+        chunks["content"] = chunks["content"].astype(object).where(chunks["content"].notna(), None)
+        bounds = np.searchsorted(of, np.arange(len(ids) + 1))
+        ended, table = _summed(chunks, of, bounds, self.with_text)
         stored = self.open.exists()
-        seen: dict[object, _Request] = {}
-        kept = set()
-        for r in rows:
-            if r.request_id is None:
-                continue
-            request = seen.get(r.request_id)
-            if request is None:
-                known = stored and self.open.containsKey((r.request_id,))
-                if known:
-                    kept.add(r.request_id)
-                request = seen[r.request_id] = _Request(tuple(self.open.getValue((r.request_id,))) if known else None)
-            request.add(r)
-        first_due = None
-        for id_, request in seen.items():
+        kept = {i for i, id_ in enumerate(ids) if self.open.containsKey((id_,))} if stored else set()
+        # Most requests begin and end here; the others meet their state one by one.
+        whole = ended.copy()
+        whole[list(kept)] = False
+        if whole.any():
+            done = table[whole]
+            done.insert(0, "request_id", pd.Series([i for i, w in zip(ids, whole) if w], index=done.index))
+            yield done[list(self.names)]
+        first_due, out = None, []
+        met = {i: _Request(tuple(self.open.getValue((ids[i],))) if i in kept else None) for i in np.flatnonzero(~whole).tolist()}
+        rest = ~whole[of]
+        for i, r in zip(of[rest].tolist(), chunks[rest].itertuples(index=False)):
+            met[i].add(r)
+        for i, request in met.items():
+            id_ = ids[i]
             if request.ended:
-                yield self._end(id_, request, DONE if request.error is None else FAILED)
-                if id_ in kept:
+                out.append(self._end(id_, request, DONE if request.error is None else FAILED))
+                if i in kept:
                     self._drop(id_, request)
             else:
                 if self.with_text:
@@ -119,10 +139,12 @@ class Requests(StatefulProcessor):
                 self.open.updateValue((id_,), request.state())
                 due = self._deadline(request)
                 first_due = due if first_due is None else min(first_due, due)
+        if out:
+            yield self._frame(out)
         if first_due is not None:
             self._wake(first_due)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
         now, next_due, over = timerValues.getCurrentWatermarkInMs(), None, []
         for (id_,), state in list(self.open.iterator()):
@@ -132,9 +154,17 @@ class Requests(StatefulProcessor):
                 over.append((id_, request))
             else:
                 next_due = due if next_due is None else min(next_due, due)
+        out = []
         for id_, request in over:
-            yield self._end(id_, request, LATE if request.sent is None else UNANSWERED)
-            self._drop(id_, request)
+            out.append(self._end(id_, request, LATE if request.sent is None else UNANSWERED))
+            if next_due is not None:
+                self._drop(id_, request)
+        if next_due is None:
+            # Nothing is left open, nor any piece of text.
+            self.open.clear()
+            self.pieces.clear()
+        if out:
+            yield self._frame(out)
         if next_due is not None:
             self._wake(next_due)
 
@@ -156,14 +186,71 @@ class Requests(StatefulProcessor):
             for no in range(request.stored):
                 self.pieces.removeKey((id_, no))
 
-    def _end(self, id_, request: _Request, outcome: str) -> Row:
+    def _end(self, id_, request: _Request, outcome: str) -> tuple:
         text = ""
         if self.with_text and outcome == DONE:
             before = [tuple(self.pieces.getValue((id_, no))) for no in range(request.stored)]
             text = "".join(content for _, content in sorted([*before, *request.pieces]))
         error = NO_RESPONSE if outcome == UNANSWERED else request.error
         numbers = (request.sent, request.first, request.last, request.prompt, request.completion)
-        return Row(*self.names)(id_, *numbers, text, error, outcome, request.chunks)
+        return id_, *numbers, text, error, outcome, request.chunks
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=list(self.names))
+        return out.astype(dict.fromkeys(_TIMES, "Int64"))
+
+
+def _summed(chunks: pd.DataFrame, of: np.ndarray, bounds: np.ndarray, with_text: bool) -> tuple[np.ndarray, pd.DataFrame]:
+    """Which requests ended, and their results (without ids), as ``_Request`` tells them one by one.
+
+    ``of`` is the number of each chunk's request, ascending; that of request ``i`` begin at ``bounds[i]``.
+    """
+    starts, n = bounds[:-1], len(bounds) - 1
+    at, kind, content = chunks["at"].to_numpy(np.int64), chunks["kind"], chunks["content"]
+    is_sent, is_usage, is_error = ((kind == k).to_numpy(bool) for k in ("dispatch", "usage", "error"))
+    has_content = ~is_sent & ~is_usage & ~is_error & content.notna().to_numpy() & (content != "").to_numpy(bool)
+    sent = np.minimum.reduceat(np.where(is_sent, at, _NEVER), starts)
+    first = np.minimum.reduceat(np.where(has_content, at, _NEVER), starts)
+    prompt, completion, used = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    # Of each request the latest usage stays, of equal ones the last to arrive.
+    usage = np.flatnonzero(is_usage)
+    usage = usage[np.lexsort((at[usage], of[usage]))]
+    used[of[usage]] = True
+    prompt[of[usage]], completion[of[usage]] = (chunks[c].to_numpy(np.int64)[usage] for c in ("prompt_tokens", "completion_tokens"))
+    errors = np.full(n, None, object)
+    for i, told in zip(of[is_error].tolist(), content[is_error]):
+        told = UNNAMED_ERROR if told is None else told
+        errors[i] = told if errors[i] is None else max(errors[i], told)
+    failed = np.array([e is not None for e in errors], bool)
+    ended = (sent != _NEVER) & (used | failed)
+    texts = np.full(n, "", object)
+    if with_text:
+        wanted = np.flatnonzero(has_content & (ended & ~failed)[of])
+        seq, said = chunks["seq"].to_numpy(np.int64), content.to_numpy(object)
+        wanted = wanted[np.lexsort((seq[wanted], of[wanted]))]
+        whose, number, said = of[wanted], seq[wanted], said[wanted]
+        ends = np.searchsorted(whose, np.arange(n + 1))
+        tied = np.zeros(n, bool)
+        tied[whose[1:][(whose[1:] == whose[:-1]) & (number[1:] == number[:-1])]] = True
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            own = slice(ends[i], ends[i + 1])
+            # Pieces of one number go by their content.
+            texts[i] = "".join(c for _, c in sorted(zip(number[own], said[own]))) if tied[i] else "".join(said[own])
+    known = lambda x: pd.array(x, "Int64") if (x != _NEVER).all() else pd.array(np.where(x == _NEVER, None, x.astype(object)), "Int64")
+    table = pd.DataFrame(
+        {
+            "sent": known(sent),
+            "first": known(first),
+            "last": pd.array(np.maximum.reduceat(at, starts), "Int64"),
+            "prompt_tokens": prompt,
+            "completion_tokens": completion,
+            "text": texts,
+            "error": errors,
+            "outcome": np.where(failed, FAILED, DONE),
+            "num_chunks": np.diff(bounds),
+        }
+    )
+    return ended, table
 
 
 def ended_requests(
@@ -185,12 +272,16 @@ def ended_requests(
     fields = [StructField(n, DataType.fromDDL(t)) for n, t in _RESULT.items()]
     schema = StructType([StructField("request_id", kind), *fields])
     # Rows without an id are dropped by the processor: a filter would move below the watermark.
+    # Numbers are never NULL, so that pandas keeps them whole.
+    whole = lambda c, none: F.coalesce(F.col(c).cast("bigint"), F.lit(none)).alias(c)
+    no_id = F.lit(0).cast(kind) if isinstance(kind, (NumericType, StringType)) else F.lit(None)
     rows = chunks.withWatermark("ts", delay).select(
-        "request_id", "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("bigint").alias("seq"), "kind", "content",
-        F.col("prompt_tokens").cast("bigint").alias("prompt_tokens"), F.col("completion_tokens").cast("bigint").alias("completion_tokens"),
+        F.coalesce("request_id", no_id).alias("request_id"), F.col("request_id").isNotNull().alias("named"),
+        "ts", F.unix_micros("ts").alias("at"), whole("seq", -(2**63)), "kind", "content",
+        whole("prompt_tokens", 0), whole("completion_tokens", 0),
+        F.pmod(F.xxhash64("request_id"), F.lit(shares)).alias("_share"),
     )
-    shared = rows.withColumn("_share", F.pmod(F.xxhash64("request_id"), F.lit(shares))).groupBy("_share")
-    ended = shared.transformWithState(
+    ended = rows.groupBy("_share").transformWithStateInPandas(
         Requests(wait // 1000, with_text, kind.simpleString(), tuple(schema.names)), schema, "append", "eventTime"
     )
     started = F.col("outcome") != LATE
