@@ -195,22 +195,35 @@ def _native_entries(entries: Column) -> Column:
 
     Written as a chain of transforms, so that each step is computed once.
     """
-    read = F.transform(
+    told = F.transform(
         entries,
-        lambda e: F.struct(e.key.alias("k"), e.value.alias("value"), _text_of(e.value).alias("text")),
+        lambda e: F.struct(e.key.alias("k"), e.value.alias("value"), jsontext.kind(e.value).alias("kind")),
+    )
+    read = F.transform(
+        told,
+        lambda e: F.struct(
+            e.k.alias("k"),
+            e.value.alias("value"),
+            e.kind.alias("kind"),
+            F.when(e.kind == "STRING", F.try_variant_get(e.value, "$", "string")).alias("text"),
+        ),
     )
     resolved = F.transform(
         read,
         lambda e: F.struct(
             e.k.alias("k"),
             e.text.alias("text"),
+            e.kind.alias("kind"),
             F.when(e.text.isNull(), e.value).otherwise(jsontext.parse(e.text)).alias("value"),
         ),
     )
     typed = F.transform(
         resolved,
         lambda e: F.struct(
-            e.k.alias("k"), e.text.alias("text"), e.value.alias("value"), jsontext.kind(e.value).alias("kind")
+            e.k.alias("k"),
+            e.text.alias("text"),
+            e.value.alias("value"),
+            F.when(e.text.isNull(), e.kind).otherwise(jsontext.kind(e.value)).alias("kind"),
         ),
     )
 
@@ -245,15 +258,36 @@ def _native_calls(items: Column) -> Column:
             F.try_element_at(m, F.lit("arguments")).alias("given"),
         ),
     )
-    opened = F.transform(
+    named = F.transform(
         fields,
         lambda f: F.struct(
             f.bad.alias("bad"),
-            f.called.alias("called"),
+            f.called.isNull().alias("unnamed"),
+            _text_of(f.called).alias("name"),
+            f.given.alias("given"),
+            jsontext.as_members(f.given).alias("object"),
+        ),
+    )
+    # Arguments that are no object may be a text that holds one.
+    quoted = F.transform(
+        named,
+        lambda f: F.struct(
+            f.bad.alias("bad"),
+            f.unnamed.alias("unnamed"),
+            f["name"].alias("name"),
             f.given.isNull().alias("bare"),
-            jsontext.as_members(
-                F.coalesce(jsontext.parse(_text_of(f.given)), f.given)
-            ).alias("held"),
+            f.object.alias("object"),
+            F.when(f.object.isNull(), _text_of(f.given)).alias("text"),
+        ),
+    )
+    opened = F.transform(
+        quoted,
+        lambda f: F.struct(
+            f.bad.alias("bad"),
+            f.unnamed.alias("unnamed"),
+            f["name"].alias("name"),
+            f.bare.alias("bare"),
+            F.coalesce(f.object, jsontext.as_members(jsontext.parse(f.text))).alias("held"),
         ),
     )
     none = F.array().cast(_NO_ARGS)
@@ -261,7 +295,8 @@ def _native_calls(items: Column) -> Column:
         opened,
         lambda o: F.struct(
             o.bad.alias("bad"),
-            o.called.alias("called"),
+            o.unnamed.alias("unnamed"),
+            o["name"].alias("name"),
             F.when(o.bad | o.bare, none)
             .otherwise(_native_entries(F.map_entries(o.held)))
             .alias("args"),
@@ -270,12 +305,12 @@ def _native_calls(items: Column) -> Column:
     return F.transform(
         listed,
         lambda c: F.struct(
-            F.when(~c.bad, F.coalesce(_text_of(c.called), F.lit(""))).alias("name"),
+            F.when(~c.bad, F.coalesce(c["name"], F.lit(""))).alias("name"),
             c.args.alias("args"),
             (
                 c.bad
                 | (
-                    (c.called.isNull() | _text_of(c.called).isNotNull())
+                    (c.unnamed | c["name"].isNotNull())
                     & F.coalesce(F.forall(c.args, lambda e: e.t.isNotNull()), F.lit(False))
                 )
             ).alias("done"),
@@ -386,22 +421,15 @@ def with_calls(table: DataFrame, text: str, name: str, *, quoted: bool = False)
     """
     body = strip(F.col(text))
     if quoted:
-        value = jsontext.parse(body)
-        content = F.when(
-            jsontext.kind(value) == "STRING", strip(F.try_variant_get(value, "$", "string"))
-        )
-        body = F.coalesce(content, body)
+        value = jsontext.parse(F.when(F.startswith(body, F.lit('"')), body))
+        body = F.coalesce(strip(F.try_variant_get(value, "$", "string")), body)
     staged = table.withColumn("_text", body)
     block = first_group(F.col("_text"), rf"(?s){FENCE}(?:json)?{WS}*\n?(.*?){FENCE}")
-    staged = staged.withColumn("_block", strip(block)).withColumn("_value", jsontext.parse(F.col("_text")))
-    staged = staged.withColumn(
-        "_value", F.when(_container(F.col("_value")), F.col("_value")).otherwise(
-            jsontext.parse(F.col("_block"))
-        )
-    )
-    items = F.when(
-        jsontext.is_array(F.col("_value")), jsontext.as_items(F.col("_value"))
-    ).when(jsontext.is_object(F.col("_value")), F.array("_value"))
+    staged = staged.withColumn("_block", strip(block))
+    staged = staged.withColumn("_value", jsontext.parse(_container(F.col("_text"))))
+    staged = staged.withColumn("_value", F.coalesce("_value", jsontext.parse(_container(F.col("_block")))))
+    # A value that is no array is an object: others were not parsed.
+    items = F.coalesce(jsontext.as_items(F.col("_value")), F.when(F.col("_value").isNotNull(), F.array("_value")))
     staged = staged.withColumn("_native", _native_calls(items))
     readable = F.col("_native").isNotNull()
     done = F.forall("_native", lambda c: c.done)
@@ -425,8 +453,9 @@ def with_calls(table: DataFrame, text: str, name: str, *, quoted: bool = False)
     )
 
 
-def _container(value: Column) -> Column:
-    return F.coalesce(jsontext.is_array(value) | jsontext.is_object(value), F.lit(False))
+def _container(text: Column) -> Column:
+    """Stripped text of a list or an object, told by its first sign; NULL for any other."""
+    return F.when(F.substring(text, 1, 1).isin("[", "{"), text)
 
 
 def same_calls(predicted: Column, expected: Column) -> Column:
