@@ -19,7 +19,7 @@ from plumbline.llm.queries import BYTE_BPE
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a language can be told; trained on their own labels."""
+    """Documents of which a language can be told, with that as their ``lang``; trained on their own labels."""
     prepare(configure(spark))
     model = language_id.train(docs)
     return language_id.keep_claimed(docs, model, language_id.claim_limits(docs, model))

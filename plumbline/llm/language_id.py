@@ -383,10 +383,18 @@ def claim_limits(docs: DataFrame, model: LanguageModel, *, text_column="text", l
     return {r.lang: min(max(LIMIT * r.rate, LEAST_LIMIT), MOST_LIMIT) for r in worst}
 
 
-def keep_claimed(docs: DataFrame, model: LanguageModel, limits: dict[str, float], *, text_column="text") -> DataFrame:
-    """``docs`` without texts that have no letter or that no language claims."""
+def keep_claimed(
+    docs: DataFrame, model: LanguageModel, limits: dict[str, float], *, text_column="text", lang_column="lang"
+) -> DataFrame:
+    """``docs`` without texts that have no letter or that no language claims.
+
+    The language of what stays is that of the shortest code among those that claim the
+    text, whatever the label said; without a learned language labels stay.
+    """
     shared = model.shared(docs)
     at = docs.columns.index(text_column)
+    place = docs.columns.index(lang_column)
+    langs = np.array(model.langs, object)
     most = np.array([[limits[lang]] for lang in model.langs])
 
     def start():
@@ -397,7 +405,13 @@ def keep_claimed(docs: DataFrame, model: LanguageModel, limits: dict[str, float]
             keep = np.fromiter(map(has_letter, texts), bool, len(texts))
             if len(most) and keep.any():
                 size = np.array([len(t) for t in texts])
-                keep &= (score(texts) <= most * size + SLACK_BITS).any(axis=0)
+                bits = score(texts)
+                claims = bits <= most * size + SLACK_BITS
+                keep &= claims.any(axis=0)
+                told = langs[np.where(claims, bits, np.inf).argmin(axis=0)]
+                columns = [*batch.columns]
+                columns[place] = pa.array(told, columns[place].type)
+                batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
         return work
