@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,6 +81,18 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [t if t is not None else b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker have freed.
+
+    Workers are used again by later stages; without this each keeps its largest heap.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_texts(
     table: DataFrame,
     columns: list[str],
@@ -93,6 +107,7 @@ def map_texts(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         work = start()
         for batch in batches:
             if batch.num_rows:
