@@ -6,7 +6,7 @@ character is a function from states to states. Composing such functions is
 associative, so the states before all characters come from a scan: blocks of
 characters are composed side by side, block results are scanned by doubling,
 and one more pass fills in the states. Slices between borders are merged by
-rank; merged slices are remembered per task.
+rank; merged slices are remembered per task, those seen last, by their bytes.
 
 The split is that of the pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import blocks, map_texts, schema_of, texts_of
 
-# Code points worked on at once; slices a worker remembers (about 200 bytes each).
-CODE_POINTS = 1 << 20
-REMEMBERED = 1 << 19
+# Code points worked on at once; bytes of slices a task remembers, twice, and what
+# one takes beside its own bytes and ids.
+CODE_POINTS = 1 << 18
+REMEMBERED = 24 << 20
+ENTRY = 150
 
 # Longest slice merged by rescanning a short list; longer ones use a heap.
 SHORT = 48
@@ -225,35 +227,42 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Merged(dict):
-    """Slices to packed ids; misses are merged."""
+    """Slices to packed ids; misses are merged.
+
+    Slices fill one generation and then another; those that nothing asked for
+    meanwhile go with the older one.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.before: dict[bytes, bytes] = {}
+        self.size = 0
 
     def __missing__(self, piece: bytes) -> bytes:
-        packed = np.array(merge(piece, self.ranks), "<u4").tobytes()
+        packed = self.before.get(piece)
+        if packed is None:
+            packed = np.array(merge(piece, self.ranks), "<u4").tobytes()
+        size = ENTRY + len(piece) + len(packed)
+        if self and self.size + size > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+            self.size = 0
         self[piece] = packed
+        self.size += size
         return packed
 
 
-# Per vocabulary, what this Python worker has merged; outlives single tasks.
-_KNOWN: dict[str, _Merged] = {}
-
-
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray, name: str = ""):
-        """``name`` of the vocabulary lets tasks of one worker share merged slices."""
+    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray):
         self.classes = classes
-        self.merged = _KNOWN.setdefault(name, _Merged(ranks)) if name else _Merged(ranks)
+        self.merged = _Merged(ranks)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids (little-endian, 32 bits) of each text."""
         out: list[bytes] = []
         for a, b in blocks(texts, CODE_POINTS):
             out += self._block(texts[a:b])
-            if len(self.merged) > REMEMBERED:
-                self.merged.clear()
         return out
 
     def _block(self, texts: list[bytes]) -> list[bytes]:
@@ -307,7 +316,7 @@ def encode(
 
     def start():
         ranks, classes = shared.value
-        encoder = Encoder(ranks, classes, ranks_path)
+        encoder = Encoder(ranks, classes)
         sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             sizes[rank] = len(token)

@@ -93,6 +93,17 @@ def give_back() -> None:
         trim(0)
 
 
+def one_task(start: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task of ``map_texts`` does; a worker that waits for its next task holds nothing of it."""
+    give_back()
+    work = start()
+    for batch in batches:
+        if batch.num_rows:
+            yield from work(batch)
+    work = batch = None
+    give_back()
+
+
 def map_texts(
     table: DataFrame,
     columns: list[str],
@@ -107,11 +118,7 @@ def map_texts(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
-        work = start()
-        for batch in batches:
-            if batch.num_rows:
-                yield from work(batch)
+        return one_task(start, batches)
 
     return table.select(*columns).mapInArrow(run, schema)
 
