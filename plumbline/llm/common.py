@@ -59,6 +59,19 @@ def bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if total <= BROADCAST_BYTES else table
 
 
+# Rows of a few numbers that are worth a task.
+TASK_ROWS = 50_000
+
+
+def few(table: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``table``, of about ``rows`` rows, in a task for every ``each`` of them, and one a core at least.
+
+    Behind a shuffle a small table else has a task, and stored a file, for every
+    shuffle partition, however few its rows. It is never dealt over more tasks.
+    """
+    return table.coalesce(max(table.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def split_of(id_column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a NULL id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ASCII_LOWER, bounded, map_texts, mix64, schema_of, stored, texts_of
+from plumbline.llm.common import ASCII_LOWER, bounded, few, map_texts, mix64, schema_of, stored, texts_of
 from plumbline.llm.components import components
 
 SIZE, MIN_PERCENT = 4, 85
@@ -56,6 +56,9 @@ SIZE, MIN_PERCENT = 4, 85
 # Members of a block, of a leaf, and children of a node.
 BLOCK, LEAF, FAN = 128, 8, 4
 
+# Rows of cells that are worth a task.
+CELL_ROWS = 1_000
+
 # Bytes of bitmaps compared at once.
 COMPARED_BYTES = 4 << 20
 
@@ -337,14 +340,15 @@ def join_block(sets: list[np.ndarray], groups: list, percent: int, sides: np.nda
 # --- the distributed join -------------------------------------------------------
 
 
-def _blocks(prefixes: DataFrame) -> DataFrame:
+def _blocks(prefixes: DataFrame, most: int) -> DataFrame:
     """(_rep, _gram, _size): n-grams in the prefixes of two members at least.
 
-    Of n-grams with the same members one is kept.
+    Of n-grams with the same members one is kept. ``most`` bounds the rows of ``prefixes``.
     """
-    counts = prefixes.groupBy("_gram").agg(F.count("*").alias("_size"))
+    counts = few(prefixes.groupBy("_gram").agg(F.count("*").alias("_size")), most)
     shared = stored(counts.filter("_size > 1"), "shared-grams")
-    rows = stored(prefixes.join(shared, "_gram"), "shared-rows")
+    rows = stored(few(prefixes.join(shared, "_gram"), most), "shared-rows")
+    most = rows.count()
     of = F.col("_rep")
     members = rows.groupBy("_gram", "_size").agg(
         F.min(of).alias("_low"),
@@ -352,15 +356,17 @@ def _blocks(prefixes: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64(of)).alias("_x"),
         F.sum(F.xxhash64(of, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))).alias("_y"),
     )
-    same = members.filter("_low <> _high").groupBy("_size", "_low", "_high", "_x", "_y")
-    return rows.join(stored(same.agg(F.min("_gram").alias("_gram")).select("_gram"), "blocks"), "_gram")
+    same = few(members, most).filter("_low <> _high").groupBy("_size", "_low", "_high", "_x", "_y")
+    least = few(same.agg(F.min("_gram").alias("_gram")).select("_gram"), most)
+    return rows.join(stored(least, "blocks"), "_gram")
 
 
-def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
+def _by_cell(rows: DataFrame, most: int, work, schema: str) -> DataFrame:
     """Run ``work`` over the rows of each ``_cell``, a list of tuples at a time.
 
     Rows are dealt by cell and sorted, and cells are read one after the other:
-    most have a handful of members, too few for a call of their own.
+    most have a handful of members, too few for a call of their own. ``most``
+    tells about how many rows there are.
     """
     names = rows.columns
 
@@ -377,10 +383,11 @@ def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
         if len(members) > 1:
             yield from work(members, kinds)
 
-    return rows.select("_cell", *[n for n in names if n != "_cell"]).repartition("_cell").sortWithinPartitions("_cell").mapInArrow(run, schema)
+    dealt = few(rows, most, CELL_ROWS).select("_cell", *[n for n in names if n != "_cell"]).repartition("_cell")
+    return few(dealt, most, CELL_ROWS).sortWithinPartitions("_cell").mapInArrow(run, schema)
 
 
-def _active(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+def _active(cells: DataFrame, most: int, bits: DataFrame, percent: int) -> DataFrame:
     """Rows of ``cells`` (_rep, _cell, _side, _group) that have a surviving partner."""
     kind = dict(cells.dtypes)["_rep"]
 
@@ -400,7 +407,7 @@ def _active(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
             )
 
     rows = cells.join(bits, "_rep").select("_cell", "_rep", "_side", "_group", "_n", "_bits")
-    return _by_cell(rows, work, f"_rep {kind}, _cell bigint, _side int")
+    return _by_cell(rows, most, work, f"_rep {kind}, _cell bigint, _side int")
 
 
 def _met(lists: list[np.ndarray]) -> np.ndarray:
@@ -419,7 +426,7 @@ def _met(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _open_members(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+def _open_members(cells: DataFrame, bits: DataFrame, percent: int, most: int | None = None) -> DataFrame:
     """Rows of ``cells`` that have a surviving partner of another group which they meet here first.
 
     ``_before`` lists what two members would share if they met elsewhere, too,
@@ -449,21 +456,28 @@ def _open_members(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
                 )
 
     rows = cells.join(bits, "_rep").select("_cell", "_rep", "_side", "_group", "_n", "_bits", "_before")
-    return _by_cell(rows, work, f"_rep {kind}, _cell bigint, _side int, _group {kind}")
+    most = cells.count() if most is None else most
+    return _by_cell(rows, most, work, f"_rep {kind}, _cell bigint, _side int, _group {kind}")
 
 
-def _crossing(cut: DataFrame, placed: DataFrame, block: int) -> DataFrame:
-    """Cells in which members of different cuts of a block meet.
+def _crossing(cut: DataFrame, placed: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Cells in which members of different cuts of a block meet, and how many rows they have.
 
     Members of the block's largest group stay in their cut; only the others
     visit the other cuts, in shares of ``block``.
     """
-    groups = cut.groupBy("_gram", "_group").agg(F.count("*").alias("_many"))
-    largest = groups.groupBy("_gram").agg(
+    most = cut.count()
+    groups = cut.groupBy("_gram", "_group").agg(F.count("*").alias("_many"), F.first("_cuts").alias("_cuts"))
+    others = F.sum("_many") - F.max("_many")
+    shares = F.ceil(others / block).cast("int")
+    largest = few(groups, most).groupBy("_gram").agg(
         F.max_by("_group", F.struct("_many", "_group")).alias("_largest"),
-        F.ceil((F.sum("_many") - F.max("_many")) / block).cast("int").alias("_shares"),
+        shares.alias("_shares"),
+        (F.sum("_many") * shares + others * (F.first("_cuts") - 1)).alias("_visits"),
     )
-    rows = cut.join(bounded(stored(largest, "largest")), "_gram")
+    largest = stored(few(largest, most), "largest")
+    visits = largest.agg(F.sum("_visits")).first()[0] or 0
+    rows = cut.join(bounded(largest.drop("_visits")), "_gram")
     shares = F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share")
     home = rows.select("_rep", "_gram", "_group", F.col("_cut").alias("_at"), F.lit(1).alias("_side"), shares)
     others = F.explode(F.filter(F.sequence(F.lit(0), F.col("_cuts") - 1), lambda k: k != F.col("_cut"))).alias("_at")
@@ -471,14 +485,15 @@ def _crossing(cut: DataFrame, placed: DataFrame, block: int) -> DataFrame:
     guests = rows.filter("_group <> _largest").select("_rep", "_gram", "_group", others, F.lit(2).alias("_side"), own)
     # Who shares a cut has met; else the least common n-gram counts.
     here = F.collect_list(F.xxhash64("_gram", "_cut")).alias("_cells")
-    met = placed.join(stored(cut.select("_rep").distinct(), "crossing"), "_rep", "left_semi").groupBy("_rep")
-    met = met.agg(here, F.collect_list(F.when(F.col("_cuts") > 1, F.col("_gram"))).alias("_grams"))
+    met = placed.join(stored(few(cut.select("_rep").distinct(), most), "crossing"), "_rep", "left_semi").groupBy("_rep")
+    met = few(met.agg(here, F.collect_list(F.when(F.col("_cuts") > 1, F.col("_gram"))).alias("_grams")), most)
     before = F.concat("_cells", F.filter("_grams", lambda g: g < F.col("_gram")))
-    return (
+    cells = (
         home.unionByName(guests)
         .join(stored(met, "met"), "_rep")
         .select("_rep", F.xxhash64("_gram", "_at", "_share").alias("_cell"), "_side", "_group", before.alias("_before"))
     )
+    return cells, visits
 
 
 def _stars(links: list[tuple[int, int]], reps: list[int]) -> list[tuple[int, int]]:
@@ -498,7 +513,7 @@ def _stars(links: list[tuple[int, int]], reps: list[int]) -> list[tuple[int, int
     return [(reps[x], reps[top(x)]) for x in parent if top(x) != x]
 
 
-def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(cells: DataFrame, most: int, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): who is connected inside each cell, on whole sets; short paths need few rounds later."""
     kind = dict(cells.dtypes)["_rep"]
 
@@ -513,7 +528,7 @@ def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, kinds[1]), pa.array(b, kinds[1])], names=["a", "b"])
 
     rows = cells.join(sets, "_rep").select("_cell", "_rep", "_side", "_group", "_set")
-    return _by_cell(rows, work, f"a {kind}, b {kind}").distinct()
+    return few(_by_cell(rows, most, work, f"a {kind}, b {kind}").distinct(), most)
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -546,15 +561,15 @@ def _grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.drop("_group").join(bounded(known), "_rep", "left").withColumn("_group", F.coalesce("component", "_rep")).drop("component")
 
 
-def _apart(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` still has members of different groups."""
+def _apart(rows: DataFrame, most: int, key: str) -> DataFrame:
+    """Rows, ``most`` at most, whose ``key`` still has members of different groups."""
     keys = (
         rows.groupBy(key)
         .agg(F.min("_group").alias("_low"), F.max("_group").alias("_high"))
         .filter("_low <> _high")
         .select(key)
     )
-    return rows.join(bounded(stored(keys, "apart")), key)
+    return rows.join(bounded(stored(few(keys, most), "apart")), key)
 
 
 def _rows(docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
@@ -564,10 +579,12 @@ def _rows(docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
     a row links with nothing by definition.
     """
     known = stored(signatures(docs, "_id", "_body", size, percent), "signatures")
+    # Rows, and n-grams in their prefixes at most.
+    many, grams = known.agg(F.count("*"), F.coalesce(F.sum(F.ceil(F.col("_n") * (100 - percent) / 100) + 1), F.lit(0))).first()
     linked = F.col("_id").isNotNull() & (F.col("_n") > 0)
     classes = known.filter(linked).groupBy("_digest")
     classes = classes.agg(F.min("_row").alias("_of"), F.min("_id").alias("_least"), F.count("*").alias("_many"))
-    classes = bounded(stored(classes.filter("_many > 1").drop("_many"), "classes"))
+    classes = bounded(stored(few(classes, many).filter("_many > 1").drop("_many"), "classes"))
     member = known.join(classes, "_digest", "left").withColumns(
         {"_rep": F.when(linked, F.coalesce("_of", "_row")), "_low": F.when(F.col("_id").isNotNull(), F.coalesce("_least", "_id"))}
     )
@@ -576,7 +593,7 @@ def _rows(docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
     reps = member.filter("_row = _rep")
     prefixes = reps.select("_rep", F.explode("_prefix").alias("_gram"))
     placed = stored(
-        _blocks(prefixes)
+        _blocks(prefixes, grams)
         .withColumn("_cuts", F.ceil(F.col("_size") / block).cast("int"))
         .withColumn("_cut", F.pmod(F.xxhash64("_rep", "_gram"), F.col("_cuts")).cast("int"))
         .drop("_size"),
@@ -584,36 +601,46 @@ def _rows(docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
     )
     bits = reps.select("_rep", "_n", "_bits")
     texts = docs.filter(F.col("_id").isNotNull())
-    sets_of = lambda rows: _sets(texts, reps.select("_rep", "_id", "_text").join(stored(rows.select("_rep").distinct(), "with-sets"), "_rep"), size)
+
+    def sets_of(rows: DataFrame, most: int) -> DataFrame:
+        wanted = stored(few(rows.select("_rep").distinct(), most), "with-sets")
+        return _sets(texts, reps.select("_rep", "_id", "_text").join(wanted, "_rep"), size)
 
     # Inside cuts: who has a possible partner, and what these hold.
     inside = placed.select(
         "_rep", F.xxhash64("_gram", "_cut").alias("_cell"), F.lit(0).alias("_side"), F.col("_rep").alias("_group")
     ).distinct()
-    active = stored(_active(inside, bits, percent), "active")
-    sets = stored(sets_of(active), "sets")
+    active = stored(_active(inside, placed.count(), bits, percent), "active")
+    most = active.count()
+    sets = stored(sets_of(active, most), "sets")
     turn = Window.partitionBy("_rep").orderBy(F.xxhash64("_cell"), "_cell")
     some = active.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= FIRST_BLOCKS)
-    links = stored(_links(some.drop("_turn").withColumn("_group", F.col("_rep")), sets, percent), "links")
+    links = stored(_links(some.drop("_turn").withColumn("_group", F.col("_rep")), most, sets, percent), "links")
     found = stored(components(links, "a", "b"), "components")
-    rest = stored(_apart(_grouped(active, found), "_cell"), "rest")
-    met = stored(rest.groupBy("_rep").agg(F.collect_list("_cell").alias("_cells")), "met")
+    rest = stored(_apart(_grouped(active, found), most, "_cell"), "rest")
+    most = rest.count()
+    met = stored(few(rest.groupBy("_rep").agg(F.collect_list("_cell").alias("_cells")), most), "met")
     before = F.filter("_cells", lambda c: c < F.col("_cell")).alias("_before")
     open_ = rest.join(met, "_rep").select("_rep", "_cell", "_side", "_group", before)
-    more = stored(_links(stored(_open_members(open_, bits, percent), "open"), sets, percent), "links")
-    links = links.unionByName(more)
+    open_ = stored(_open_members(open_, bits, percent, most), "open")
+    more = stored(_links(open_, open_.count(), sets, percent), "links")
+    # What is connected so far is stars already, which takes fewer rounds than its links.
+    with_ = lambda links: found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)
     if not more.isEmpty():
-        found = stored(components(links, "a", "b"), "components")
+        found = stored(components(with_(more), "a", "b"), "components")
 
     # Across cuts of a block whose members are not all connected by now.
-    cut = stored(_apart(_grouped(placed.filter("_cuts > 1"), found), "_gram"), "cut")
-    late = stored(_open_members(_crossing(cut, placed, block), bits, percent), "open")
-    if not late.isEmpty():
-        links = links.unionByName(_links(late, stored(sets_of(late), "sets"), percent))
-        found = stored(components(links, "a", "b"), "components")
+    parts = placed.filter("_cuts > 1")
+    cut = stored(_apart(_grouped(parts, found), parts.count(), "_gram"), "cut")
+    crossing, visits = _crossing(cut, placed, block)
+    late = stored(_open_members(crossing, bits, percent, visits), "open")
+    most = late.count()
+    if most:
+        across = stored(_links(late, most, stored(sets_of(late, most), "sets"), percent), "links")
+        found = stored(components(with_(across), "a", "b"), "components")
 
     least = found.join(reps.select(F.col("_rep").alias("id"), "_low"), "id").groupBy("component")
-    least = stored(least.agg(F.min("_low").alias("_smallest")), "least-ids")
+    least = stored(few(least.agg(F.min("_low").alias("_smallest")), found.count()), "least-ids")
     found = stored(found.join(bounded(least), "component"), "classes")
     named = member.join(found, F.col("_rep") == F.col("id"), "left")
     return named.select(

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from plumbline.llm import decontaminate, exact_dedup, jaccard, substring
+from plumbline.llm import common, decontaminate, exact_dedup, jaccard, substring
 from plumbline.llm.components import components
 from pyspark.sql import functions as F
 
@@ -193,6 +193,44 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 150)}}
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles of 64 partitions that Spark itself does not merge."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_small_tables_take_few_tasks(docs, spark, corpus, many_partitions, monkeypatch):
+    files = {}
+
+    def counted(table, label, stored=common.stored):
+        out = stored(table, label)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    # Its module has the name of the function.
+    monkeypatch.setattr(jaccard, "stored", counted)
+    monkeypatch.setitem(components.__globals__, "stored", counted)
+    out = jaccard.similarity_classes(docs(corpus), block=8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute.similarity_classes(corpus, 4, 85)
+    assert {"classes", "shared-grams", "blocks", "active", "links", "edges", "components", "met", "open", "least-ids"} <= set(files)
+    assert max(files.values()) <= max(2 * spark.sparkContext.defaultParallelism, 32), files
+
+
+def test_tasks_follow_rows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    table = spark.range(0, 1000, 1, 64)
+    tasks = lambda *a: common.few(table, *a).rdd.getNumPartitions()
+    assert tasks(0) == tasks(1000) == min(cores, 64)
+    assert tasks(1000, 25) == max(40, min(cores, 64))
+    assert tasks(10**9) == 64
+
+
 # --- passages ---------------------------------------------------------------
 
 
